@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import native_lines
+from marlstone.llm import fertility, fm_index, native_lines
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,19 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op6_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = fertility.measure(_docs(spark, sf_dir).select("doc_id", "text", "lang"), keep_text=False)
+    base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return measured.select(*base, "n_tokens", "chars_per_token", "byte_fallback_share", "token_entropy", "script")
+
+
+def op10_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fm_index.scan(_docs(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep_text=False)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), fm_index.contaminated().alias("contaminated"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_tokeniser_fertility": op6_tokeniser_fertility,
+    "op10_fm_decontamination": op10_fm_decontamination,
     "op9_line_dedup": op9_line_dedup,
 }

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 #: Used only where the session names no folder, as in tests on one machine.
 LOCAL_DEFAULT = "/tmp/checkpoints"
@@ -43,3 +48,22 @@ class Scratch:
         for p in paths:
             path = jvm.org.apache.hadoop.fs.Path(p)
             path.getFileSystem(conf).delete(path, True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, once for each Spark context."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_marlstone_shipped", False):
+        package = Path(__file__).resolve().parents[1]
+        archive = f"{tempfile.mkdtemp()}/{package.name}.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for p in sorted(package.rglob("*.py")):
+                z.write(p, p.relative_to(package.parent))
+        sc.addPyFile(archive)
+        sc._marlstone_shipped = True
+
+
+def map_batches(df: DataFrame, run: Callable, schema: T.StructType | str) -> DataFrame:
+    """df.mapInArrow with the package at hand in the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
