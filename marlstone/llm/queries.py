@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import fertility, fm_index, native_lines
+from marlstone.llm import fertility, fm_index, native_lines, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,12 @@ def op6_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measured.select(*base, "n_tokens", "chars_per_token", "byte_fallback_share", "token_entropy", "script")
 
 
+def op7_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.archived(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    page = F.when(F.col("page") != "-", F.col("page")).cast("bigint").alias("page_id")
+    return back.select(page, "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("bigint").alias("refers_to"))
+
+
 def op10_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fm_index.scan(_docs(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep_text=False)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), fm_index.contaminated().alias("contaminated"))
@@ -33,6 +39,7 @@ def op10_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_tokeniser_fertility": op6_tokeniser_fertility,
+    "op7_warc_index": op7_warc_index,
     "op10_fm_decontamination": op10_fm_decontamination,
     "op9_line_dedup": op9_line_dedup,
 }
