@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import fertility, fm_index, native_lines, warc
+from marlstone.llm import fertility, fm_index, labelled, native_lines, nbsvm, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,12 @@ def op7_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(page, "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("bigint").alias("refers_to"))
 
 
+def op8_nb_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    scored = nbsvm.score(docs, nbsvm.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), keep_text=False)
+    return scored.select("doc_id", (labelled.fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fm_index.scan(_docs(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep_text=False)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), fm_index.contaminated().alias("contaminated"))
@@ -40,6 +46,7 @@ def op10_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_tokeniser_fertility": op6_tokeniser_fertility,
     "op7_warc_index": op7_warc_index,
+    "op8_nb_svm": op8_nb_svm,
     "op10_fm_decontamination": op10_fm_decontamination,
     "op9_line_dedup": op9_line_dedup,
 }
