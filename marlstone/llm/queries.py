@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import fertility, fm_index, labelled, native_lines, nbsvm, warc
+from marlstone.llm import deobfuscate, fertility, fm_index, labelled, native_lines, nbsvm, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,12 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op1_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    scored = deobfuscate.score(docs, deobfuscate.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), keep_text=False)
+    return scored.select("doc_id", (labelled.fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = fertility.measure(_docs(spark, sf_dir).select("doc_id", "text", "lang"), keep_text=False)
     base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -44,6 +50,7 @@ def op10_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_noisy_channel_toxicity": op1_noisy_channel_toxicity,
     "op6_tokeniser_fertility": op6_tokeniser_fertility,
     "op7_warc_index": op7_warc_index,
     "op8_nb_svm": op8_nb_svm,
