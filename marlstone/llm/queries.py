@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import deobfuscate, fertility, fm_index, group_join, gru, labelled, native_lines, nbsvm, warc
+from marlstone.llm import deobfuscate, fertility, fm_index, group_join, gru, labelled, native_lines, nbsvm, ngram_lm, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,11 @@ def op1_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (labelled.fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = ngram_lm.score(_docs(spark, sf_dir).select("doc_id", "text"))
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_group_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_join.similar_groups(_docs(spark, sf_dir).select("doc_id", "text"))
 
@@ -61,6 +66,7 @@ def op10_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_noisy_channel_toxicity": op1_noisy_channel_toxicity,
+    "op2_elias_fano_lm": op2_elias_fano_lm,
     "op3_group_jaccard_join": op3_group_jaccard_join,
     "op4_bigru_language": op4_bigru_language,
     "op6_tokeniser_fertility": op6_tokeniser_fertility,
