@@ -1,9 +1,63 @@
-"""The corpus pipeline: each stage works on all that the stage before it kept."""
-from marlstone.llm import queries  # noqa: F401
+"""The corpus pipeline: five stages, each working on all that the stage before it kept.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
+of documents. Between stages the documents are written as Parquet in the shared folder, so an
+executor that is lost costs one stage's tasks at most.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marlstone.llm import fertility, fm_index, group_join, mixing, native_lines
+from marlstone.llm.store import Scratch
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or lie outside their fertility band go."""
+    return fertility.measure(docs).where("kept").select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Common long lines go from all documents but the last that has them; n_chars follows."""
+    out = native_lines.apply_bitmaps(docs, native_lines.keep_bitmaps(docs))
+    return out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the least id stays."""
+    return group_join.one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which a twentieth or more is benchmark text go."""
+    found = fm_index.scan(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.where(~fm_index.contaminated()).select(*docs.columns)
+
+
+def mixing_rates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document with the rate and the number of copies that bring domains to their target weights."""
+    mixer = mixing.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return mixing.apply(docs, mixer).select(*docs.columns, "n_tokens", "rate", "copies")
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixing_rates", mixing_rates),
+]
+
+#: The tokeniser verdict and the mixing classifier can't be said in SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, applied to documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    scratch = Scratch(spark, "pipeline")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.write(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

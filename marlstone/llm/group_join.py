@@ -332,3 +332,16 @@ def similar_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
     else:
         named = reps.select("node", F.col("doc_id").alias("component_id"))
     return sets.select("doc_id", "n", "node").join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows whose id isn't the least of their component.
+
+    Rows that repeat the least id stay, and so do rows with a null id. Ids of rows that go are
+    broadcast up to MAX_BROADCAST of them; more are matched by a shuffled join.
+    """
+    scratch = Scratch(docs.sparkSession, "one-of-each")
+    found = similar_groups(docs, size, percent, id_col, text_col)
+    gone = scratch.write(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    out = F.broadcast(gone) if gone.count() <= MAX_BROADCAST else gone
+    return docs.join(out, docs[id_col] == out["__gone"], "left_anti")

@@ -76,7 +76,9 @@ class Model:
     offset: float
 
     def score(self, texts: pa.Array) -> np.ndarray:
-        columns, at = features(texts)
+        return self.of_features(*features(texts))
+
+    def of_features(self, columns: np.ndarray, at: np.ndarray) -> np.ndarray:
         size = np.maximum(np.diff(at), 1)
         return sigmoid(self.slope * text.rows_sum(self.weights[columns].astype(np.float64), at) / np.sqrt(size) + self.offset)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import deobfuscate, fertility, fm_index, group_join, gru, labelled, native_lines, nbsvm, ngram_lm, warc
+from marlstone.llm import deobfuscate, fertility, fm_index, group_join, gru, labelled, mixing, native_lines, nbsvm, ngram_lm, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +41,13 @@ def op4_bigru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (labelled.fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op5_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    rated = mixing.apply(docs, mixing.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), keep_text=False)
+    shares = [F.get("posterior", F.lit(k)).alias(mixing.domain_name(d)) for k, d in enumerate(mixing.DOMAINS)]
+    return rated.select("doc_id", "n_tokens", *shares, "rate", "copies")
+
+
 def op6_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = fertility.measure(_docs(spark, sf_dir).select("doc_id", "text", "lang"), keep_text=False)
     base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -69,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_elias_fano_lm": op2_elias_fano_lm,
     "op3_group_jaccard_join": op3_group_jaccard_join,
     "op4_bigru_language": op4_bigru_language,
+    "op5_soft_mixing": op5_soft_mixing,
     "op6_tokeniser_fertility": op6_tokeniser_fertility,
     "op7_warc_index": op7_warc_index,
     "op8_nb_svm": op8_nb_svm,
