@@ -89,32 +89,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Bytes of a token that are hashed place by place with those of others; what is behind is folded in by itself.
+_WALKED = 64
+_POWERS = np.cumprod(np.full(4096, 0x9E3779B97F4A7C15, dtype=np.uint64))
+
+
 def hashes(tokens: pa.Array, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of each token, the same in every process and on every machine.
+    """A 64-bit hash of each token: a function of the token alone, on every machine.
 
-    Positions up to the longest token are walked together, so the work is in proportion to the
-    bytes: tokens are taken longest first and leave the walk as they end.
+    Places up to the longest token are walked together, so the work is in proportion to the bytes:
+    tokens are taken longest first and leave the walk as they end.
     """
     data, at = raw(tokens)
     size = np.diff(at)
     order = np.argsort(-size, kind="stable")
     alive, h = size[order], mix(size.astype(np.uint64) + np.uint64(seed * 7919 + 1))[order]
-    first, j = at[:-1][order], 0
-    left = len(order)
-    while True:
-        left = int(np.searchsorted(-alive[:left], -j, side="left"))  # tokens longer than j
-        if not left:
-            break
-        if left < 8:  # a few very long tokens: fold their bytes by themselves
-            for i in range(left):
-                for b in range(j, int(alive[i]), 4096):
-                    part = data[first[i] + b : first[i] + min(b + 4096, int(alive[i]))].astype(np.uint64)
-                    power = np.cumprod(np.full(len(part), 0x9E3779B97F4A7C15, dtype=np.uint64))
-                    h[i] = mix(np.array([(part + np.uint64(1)) @ power + h[i] * np.uint64(31)], dtype=np.uint64))[0]
-            break
+    first = at[:-1][order]
+    for j in range(int(min(_WALKED, alive[0]))) if len(alive) else ():
+        left = int(np.searchsorted(-alive, -j, side="left"))  # tokens longer than j
         h[:left] = (h[:left] ^ data[first[:left] + j]) * np.uint64(0x100000001B3)
         h[:left] ^= h[:left] >> np.uint64(29)
-        j += 1
+    for i in range(int(np.searchsorted(-alive, -_WALKED, side="left"))):
+        for b in range(_WALKED, int(alive[i]), len(_POWERS)):
+            part = data[first[i] + b : first[i] + min(b + len(_POWERS), int(alive[i]))].astype(np.uint64)
+            h[i : i + 1] = mix(h[i : i + 1] ^ np.sum((part + np.uint64(1)) * _POWERS[: len(part)], dtype=np.uint64))
     out = np.empty_like(h)
     out[order] = mix(h)
     return out
