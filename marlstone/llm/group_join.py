@@ -295,17 +295,21 @@ def similar_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
     total = sets.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0
     unique = nodes.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     rows = scratch.write(_shared(_shards(unique, int(total // 8 // SHARD) + 1)), "shared")
-    reps = scratch.write(nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
+    reps = scratch.write(nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "nodes")
     # Groups: each node's most frequent leader, if they are linked; then leaders of groups likewise.
-    best = lambda pairs: pairs.groupBy("b").agg(F.max(F.struct("count", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
-    pairs = rows.where((F.col("leader") != F.col("node")) & _compatible(F.col("n"), F.col("leader_n"), percent)).groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).count()
+    # Pairs that share too little for a link are left out; the matrix sees to all that this misses.
+    least = lambda a, b: 1 + F.floor(F.least(a, b) / EXTRA)
+    likely = lambda pairs: pairs.where(_compatible(F.col("n"), F.col("a_n"), percent) & (F.col("count") >= least(F.col("n"), F.col("a_n"))))
+    best = lambda pairs: likely(pairs).groupBy("b").agg(F.max(F.struct("count", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
+    pairs = rows.where(F.col("leader") != F.col("node")).groupBy(F.col("leader").alias("a"), F.col("leader_n").alias("a_n"), F.col("node").alias("b"), "n").count()
     found = _verified(best(pairs), docs, reps, shared, scratch, size, percent, "leaders")
     edges = found
     labels = None if found is None else components(found, scratch, "groups")
     for k in range(ROUNDS if found is not None else 0):
         own = scratch.write(_mixed(_labelled(rows, labels)), f"round{k}")
-        pairs = own.where(F.col("comp") != F.col("low")).groupBy(F.col("low").alias("a"), F.col("comp").alias("b")).count()
-        found = _verified(best(pairs), docs, reps, shared, scratch, size, percent, f"round{k}")
+        pairs = own.where(F.col("comp") != F.col("low")).groupBy(F.col("low").alias("a"), F.col("comp").alias("b")).count().where("count > 1")
+        sized = pairs.join(reps.select(F.col("node").alias("b"), "n"), "b").join(reps.select(F.col("node").alias("a"), F.col("n").alias("a_n")), "a")
+        found = _verified(best(sized), docs, reps, shared, scratch, size, percent, f"round{k}")
         if found is None or found.isEmpty():
             break
         edges = edges.union(found)
@@ -319,12 +323,10 @@ def similar_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
     members = grouped.select("token", F.col("comp").alias("other"), F.col("node").alias("a"), F.col("n").alias("a_n"))
     asked = open_groups.join(grouped.select("node", "token"), "node")
     pairs = asked.join(members, ["token", "other"]).where(_compatible(F.col("n"), F.col("a_n"), percent)).groupBy("a", "a_n", "node", "n").count()
-    least = 1 + F.floor(F.least("n", "a_n") / EXTRA)
-    found = _verified(pairs.where(F.col("count") >= least).select("a", F.col("node").alias("b")), docs, reps, shared, scratch, size, percent, "members")
+    found = _verified(likely(pairs).select("a", F.col("node").alias("b")), docs, reps, shared, scratch, size, percent, "members")
     if found is not None:
         edges = found if edges is None else edges.union(found)
         labels = components(edges, scratch, "all")
-    named = reps
     if labels is not None:
         of = scratch.write(reps.join(labels, "node"), "of")
         least_id = scratch.write(of.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "least")
