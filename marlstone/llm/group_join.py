@@ -34,8 +34,8 @@ BUCKETS = 1 << 20
 SHARD = 1_000_000
 #: Parts into which the rows of a frequent shingle are dealt.
 SALTS = 16
-#: Rounds in which leaders of groups look up leaders in turn.
-ROUNDS = 2
+#: Rounds in which nodes try leaders, leaders drawn for a shingle, and leaders that a node tries.
+ROUNDS, LEADERS, TRIES = 4, 4, 4
 #: Documents whose ids are broadcast to find them again; more are found by a shuffled join.
 MAX_BROADCAST = 2_000_000
 _HEAVY = 128
@@ -177,19 +177,16 @@ def _shards(reps: DataFrame, shards: int) -> DataFrame:
 
 
 def _shared(shards: DataFrame) -> DataFrame:
-    """Prefix shingles that two nodes or more have (and all frequent ones): (token, node, n, leader, leader_n), the leader being the least node."""
+    """Prefix shingles that two nodes or more have (and all frequent ones): (token, node, n)."""
 
     def flush(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         token, node, n = (np.frombuffer(b"".join(x for p in parts for x in p.column(c).to_pylist()), dtype=t) for c, t in (("tokens", np.uint64), ("nodes", np.int64), ("sizes", np.int32)))
-        order = np.lexsort((node, token))
+        order = np.argsort(token)
         token, node, n = token[order], node[order], n[order]
         first = np.append(True, token[1:] != token[:-1])
-        start = np.flatnonzero(first)
-        group = np.cumsum(first) - 1
-        size = np.diff(np.append(start, len(token)))
-        keep = (size[group] > 1) | (token >> np.uint64(63) == 1)
-        lead = start[group[keep]]
-        return pa.RecordBatch.from_arrays([_signed(token[keep]), pa.array(node[keep]), pa.array(n[keep]), pa.array(node[lead]), pa.array(n[lead])], names=["token", "node", "n", "leader", "leader_n"])
+        size = np.diff(np.append(np.flatnonzero(first), len(token)))
+        keep = (size[np.cumsum(first) - 1] > 1) | (token >> np.uint64(63) == 1)
+        return pa.RecordBatch.from_arrays([_signed(token[keep]), pa.array(node[keep]), pa.array(n[keep])], names=["token", "node", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[pa.RecordBatch] = []
@@ -206,19 +203,19 @@ def _shared(shards: DataFrame) -> DataFrame:
         if parts:
             yield flush(parts)
 
-    return map_batches(shards.repartition("shard").sortWithinPartitions("shard"), run, "token bigint, node bigint, n int, leader bigint, leader_n int")
+    return map_batches(shards.repartition("shard").sortWithinPartitions("shard"), run, "token bigint, node bigint, n int")
 
 
 def _compatible(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, shared, scratch: Scratch, size: int, percent: int, name: str) -> DataFrame | None:
+def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, shared, scratch: Scratch, size: int, percent: int) -> DataFrame | None:
     """Those of the node pairs (a, b) that are linked, by their whole sets; None if there are no pairs."""
-    pairs = scratch.write(pairs.select("a", "b"), f"{name}-pairs")
+    pairs = scratch.write(pairs.select("a", "b"), "verified-pairs")
     if pairs.isEmpty():
         return None
-    needed = scratch.write(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(reps, "node").select("node", "doc_id"), f"{name}-nodes")
+    needed = scratch.write(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(reps, "node").select("node", "doc_id"), "verified-nodes")
     ids = needed.select("doc_id").distinct()
     some = docs.join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST else ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
 
@@ -239,24 +236,24 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, shared, scratc
                 linked[i] = 100 * common >= percent * (len(x) + len(y) - common)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(linked)), batch.column("b").filter(pa.array(linked))], names=["a", "b"])
 
-    whole = scratch.write(map_batches(some, sets, "node bigint, tokens binary").join(needed.select("node"), "node", "left_semi").dropDuplicates(["node"]), f"{name}-sets")
+    whole = scratch.write(map_batches(some, sets, "node bigint, tokens binary").join(needed.select("node"), "node", "left_semi").dropDuplicates(["node"]), "verified-sets")
     joined = pairs.join(whole.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b").join(whole.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
-    return scratch.write(map_batches(joined.select("a", "b", "x", "y"), links, "a bigint, b bigint"), f"{name}-links")
+    return scratch.write(map_batches(joined.select("a", "b", "x", "y"), links, "a bigint, b bigint"), "verified-links")
 
 
-def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, comp) of every node of the edges (a, b): the least node that links reach.
 
     Least labels pass along edges and then along labels, so chains shrink by half and more in each
     round; every round is written, and the last changes nothing.
     """
-    both = scratch.write(edges.union(edges.select("b", "a")).distinct(), f"{name}-edges")
-    labels = scratch.write(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("comp")), f"{name}-labels")
+    both = scratch.write(edges.union(edges.select("b", "a")).distinct(), "components-edges")
+    labels = scratch.write(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("comp")), "components-labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
-        step = scratch.write(labels.join(near, "node").select("node", F.col("comp").alias("was"), F.least("comp", "near").alias("comp")), f"{name}-step")
+        step = scratch.write(labels.join(near, "node").select("node", F.col("comp").alias("was"), F.least("comp", "near").alias("comp")), "components-step")
         jump = step.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
-        labels = scratch.write(step.join(jump, "comp").select("node", "was", F.least("comp", "next").alias("comp")), f"{name}-labels")
+        labels = scratch.write(step.join(jump, "comp").select("node", "was", F.least("comp", "next").alias("comp")), "components-labels")
         if labels.where("was <> comp").isEmpty():
             return labels.select("node", "comp")
         labels = labels.select("node", "comp")
@@ -269,6 +266,15 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
+def _leaders(rows: DataFrame, turn: int) -> DataFrame:
+    """Up to LEADERS nodes, drawn by a hash that each turn changes, for each shingle that two groups or more have: (token, a, a_n, a_comp)."""
+    drawn = F.xxhash64(F.lit(turn), "node")
+    one = F.struct(drawn.alias("h"), F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("comp").alias("a_comp"))
+    part = F.pmod(F.xxhash64(F.lit(turn), "node", F.lit(0)), F.lit(LEADERS))
+    found = rows.groupBy("token").agg(*[F.min(F.when(part == k, one)).alias(f"l{k}") for k in range(LEADERS)], F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+    return found.select("token", F.explode(F.array(*[f"l{k}" for k in range(LEADERS)])).alias("l")).where(F.col("l").isNotNull()).select("token", "l.a", "l.a_n", "l.a_comp")
+
+
 def _mixed(rows: DataFrame) -> DataFrame:
     """The token-group matrix of shingles that two groups or more have: (token, comp), and the least group."""
     matrix = rows.groupBy("token", "comp").agg(F.lit(1).alias("one")).drop("one")
@@ -287,7 +293,45 @@ def similar_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
     no least id, and gets null where no other row of its component has one. Sets are compared by
     64-bit fingerprints and 56-bit shingle hashes.
     """
-    scratch = Scratch(docs.sparkSession, "group-join")
+    return _similar_groups(docs, Scratch(docs.sparkSession, "group-join"), size, percent, id_col, text_col)
+
+
+def _shares(percent: int):
+    """Whether a pair (n, a_n, count of shared prefix shingles) can be linked.
+
+    Sets that are linked share `together` shingles. The one whose prefix ends first has all its
+    shared prefix shingles in the other's prefix too, so those that aren't counted are behind it.
+    """
+    behind = lambda n: n - F.least(n, n - F.ceil(n * percent / 100) + 1 + F.floor(n / EXTRA))
+    n, m = F.col("n"), F.col("a_n")
+    together = F.ceil((n + m) * percent / (100 + percent))
+    least = F.greatest(1 + F.floor(F.least(n, m) / EXTRA), together - F.greatest(behind(n), behind(m)))
+    return _compatible(n, m, percent) & (F.col("count") >= least)
+
+
+def _tries(rows: DataFrame, labels: DataFrame | None, turn: int, scratch: Scratch, percent: int) -> DataFrame:
+    """Pairs (a, b): for each node its likeliest leaders of other groups."""
+    grouped = scratch.write(_labelled(rows, labels), "round")
+    leaders = scratch.write(_leaders(grouped, turn), "leaders")
+    pairs = grouped.join(leaders, "token").where(F.col("comp") != F.col("a_comp")).groupBy("a", "a_n", F.col("node").alias("b"), "n").count()
+    best = F.slice(F.sort_array(F.collect_list(F.struct("count", "a")), False), 1, TRIES)
+    return pairs.where(_shares(percent)).groupBy("b").agg(best.alias("best")).select("b", F.inline("best")).select("a", "b")
+
+
+def _members(rows: DataFrame, labels: DataFrame | None, scratch: Scratch, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes of different groups that may be linked, by way of the token-group matrix: all such pairs."""
+    grouped = scratch.write(_labelled(rows, labels), "grouped")
+    matrix = scratch.write(_mixed(grouped).select("token", F.col("comp").alias("other")), "matrix")
+    need = 1 + F.floor(F.ceil(F.col("n") * percent / 100) / EXTRA)  # of the smallest partner that the node can have
+    opened = grouped.join(matrix, "token").where(F.col("comp") > F.col("other")).groupBy("node", "n", "other").count().where(F.col("count") >= need)
+    opened = scratch.write(opened.select("node", "n", "other"), "open")
+    members = grouped.select("token", F.col("comp").alias("other"), F.col("node").alias("a"), F.col("n").alias("a_n"))
+    asked = opened.join(grouped.select("node", "token"), "node")
+    pairs = asked.join(members, ["token", "other"]).where(_compatible(F.col("n"), F.col("a_n"), percent)).groupBy("a", "a_n", "node", "n").count()
+    return pairs.where(_shares(percent)).select("a", F.col("node").alias("b"))
+
+
+def _similar_groups(docs: DataFrame, scratch: Scratch, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(order_of(docs, size))
     sets = scratch.write(_sets(docs, shared, size, percent), "sets")
@@ -295,45 +339,33 @@ def similar_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
     total = sets.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0
     unique = nodes.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     rows = scratch.write(_shared(_shards(unique, int(total // 8 // SHARD) + 1)), "shared")
-    reps = scratch.write(nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "nodes")
-    # Groups: each node's most frequent leader, if they are linked; then leaders of groups likewise.
-    # Pairs that share too little for a link are left out; the matrix sees to all that this misses.
-    least = lambda a, b: 1 + F.floor(F.least(a, b) / EXTRA)
-    likely = lambda pairs: pairs.where(_compatible(F.col("n"), F.col("a_n"), percent) & (F.col("count") >= least(F.col("n"), F.col("a_n"))))
-    best = lambda pairs: likely(pairs).groupBy("b").agg(F.max(F.struct("count", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
-    pairs = rows.where(F.col("leader") != F.col("node")).groupBy(F.col("leader").alias("a"), F.col("leader_n").alias("a_n"), F.col("node").alias("b"), "n").count()
-    found = _verified(best(pairs), docs, reps, shared, scratch, size, percent, "leaders")
-    edges = found
-    labels = None if found is None else components(found, scratch, "groups")
-    for k in range(ROUNDS if found is not None else 0):
-        own = scratch.write(_mixed(_labelled(rows, labels)), f"round{k}")
-        pairs = own.where(F.col("comp") != F.col("low")).groupBy(F.col("low").alias("a"), F.col("comp").alias("b")).count().where("count > 1")
-        sized = pairs.join(reps.select(F.col("node").alias("b"), "n"), "b").join(reps.select(F.col("node").alias("a"), F.col("n").alias("a_n")), "a")
-        found = _verified(best(sized), docs, reps, shared, scratch, size, percent, f"round{k}")
-        if found is None or found.isEmpty():
-            break
-        edges = edges.union(found)
-        labels = components(edges, scratch, f"groups{k}")
-    # The matrix: nodes against other groups, each pair of groups from one side.
-    grouped = scratch.write(_labelled(rows.select("token", "node", "n"), labels), "grouped")
-    matrix = scratch.write(_mixed(grouped).select("token", F.col("comp").alias("other")), "matrix")
-    need = lambda n: 1 + F.floor(F.ceil(n * percent / 100) / EXTRA)  # noqa: E731  of the smallest partner it can have
-    open_groups = grouped.join(matrix, "token").where(F.col("comp") > F.col("other")).groupBy("node", "n", "other").count().where(F.col("count") >= need(F.col("n"))).select("node", "n", "other")
-    open_groups = scratch.write(open_groups, "open")
-    members = grouped.select("token", F.col("comp").alias("other"), F.col("node").alias("a"), F.col("n").alias("a_n"))
-    asked = open_groups.join(grouped.select("node", "token"), "node")
-    pairs = asked.join(members, ["token", "other"]).where(_compatible(F.col("n"), F.col("a_n"), percent)).groupBy("a", "a_n", "node", "n").count()
-    found = _verified(likely(pairs).select("a", F.col("node").alias("b")), docs, reps, shared, scratch, size, percent, "members")
-    if found is not None:
-        edges = found if edges is None else edges.union(found)
-        labels = components(edges, scratch, "all")
+    reps = scratch.write(nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
+    sets = scratch.write(sets.select("doc_id", "n", "node"), "rows")
+    del nodes, unique
+    kept = ("rows", "shared", "nodes", "edges", "labels")
+    scratch.drop(kept)
+    # Groups: each node tries its likeliest leaders of other groups, drawn anew in each round. Pairs
+    # that share too little for a link are left out; the matrix sees to all that the rounds miss.
+    edges = labels = None
+    for turn in range(ROUNDS + 1):
+        pairs = _tries(rows, labels, turn, scratch, percent) if turn < ROUNDS else _members(rows, labels, scratch, percent)
+        found = _verified(pairs, docs, reps, shared, scratch, size, percent)
+        del pairs
+        if found is not None and not found.isEmpty():
+            edges = scratch.write(found if edges is None else edges.union(found), "edges")
+            labels = scratch.write(components(edges, scratch), "labels")
+        elif turn < ROUNDS:
+            continue
+        del found
+        scratch.drop(kept)
     if labels is not None:
         of = scratch.write(reps.join(labels, "node"), "of")
         least_id = scratch.write(of.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "least")
         named = scratch.write(reps.join(of.join(least_id, "comp").select("node", "component_id"), "node", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id")), "named")
     else:
-        named = reps.select("node", F.col("doc_id").alias("component_id"))
-    return sets.select("doc_id", "n", "node").join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+        named = scratch.write(reps.select("node", F.col("doc_id").alias("component_id")), "named")
+    scratch.drop(("rows", "named"))
+    return sets.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -342,8 +374,10 @@ def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id
     Rows that repeat the least id stay, and so do rows with a null id. Ids of rows that go are
     broadcast up to MAX_BROADCAST of them; more are matched by a shuffled join.
     """
-    scratch = Scratch(docs.sparkSession, "one-of-each")
-    found = similar_groups(docs, size, percent, id_col, text_col)
-    gone = scratch.write(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    scratch = Scratch(docs.sparkSession, "group-join")
+    found = _similar_groups(docs, scratch, size, percent, id_col, text_col)
+    gone = Scratch(docs.sparkSession, "one-of-each").write(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    del found
+    scratch.drop()
     out = F.broadcast(gone) if gone.count() <= MAX_BROADCAST else gone
     return docs.join(out, docs[id_col] == out["__gone"], "left_anti")

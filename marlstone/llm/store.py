@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
+import gc
 import uuid
-import zipfile
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from marlstone.workers import ship
+
 #: Used only where the session names no folder, as in tests on one machine.
 LOCAL_DEFAULT = "/tmp/checkpoints"
 
@@ -31,9 +31,11 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.paths: list[str] = []
+        self.written = 0
 
     def path(self, name: str) -> str:
-        self.paths.append(f"{self.root}/{len(self.paths)}-{name}")
+        self.written += 1
+        self.paths.append(f"{self.root}/{self.written}-{name}")
         return self.paths[-1]
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
@@ -41,26 +43,19 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, *frames_or_none: DataFrame) -> None:
-        """Remove the tables of these frames, or all of them."""
-        paths = [f.inputFiles()[0].rsplit("/", 1)[0] for f in frames_or_none if f.inputFiles()] if frames_or_none else [self.root]
+    def drop(self, keep: tuple[str, ...] = ()) -> None:
+        """Remove the tables, but for those by these names, and free the shuffle files of frames that are gone.
+
+        Spark removes shuffle files when the driver collects the objects that stand for them, which
+        a driver with room to spare may not do for hours.
+        """
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for p in paths:
+        for p in [p for p in self.paths if p.rsplit("/", 1)[1].split("-", 1)[1] not in keep]:
             path = jvm.org.apache.hadoop.fs.Path(p)
             path.getFileSystem(conf).delete(path, True)
-
-
-def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, once for each Spark context."""
-    sc = spark.sparkContext
-    if not getattr(sc, "_marlstone_shipped", False):
-        package = Path(__file__).resolve().parents[1]
-        archive = f"{tempfile.mkdtemp()}/{package.name}.zip"
-        with zipfile.ZipFile(archive, "w") as z:
-            for p in sorted(package.rglob("*.py")):
-                z.write(p, p.relative_to(package.parent))
-        sc.addPyFile(archive)
-        sc._marlstone_shipped = True
+            self.paths.remove(p)
+        gc.collect()
+        jvm.System.gc()
 
 
 def map_batches(df: DataFrame, run: Callable, schema: T.StructType | str) -> DataFrame:
