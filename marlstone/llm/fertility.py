@@ -22,7 +22,7 @@ from marlstone.llm.store import map_batches
 #: Where the public vocabularies are; a parameter of measure().
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Text taken at once: distinct words are tokenised once for each such run of documents.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 SYMBOLS = b"#*$%&|<>"
 REPEAT_WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
