@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from marlstone.sources.bindings import Catalog
 
-#: Node labels by table, key and the properties they carry.
+# Node labels by table, key and the properties they carry.
 NODES: dict[str, tuple[str, str]] = {
     "Party": ("party", "party_id"), "Individual": ("party_individual", "party_id"), "Organization": ("party_organization", "party_id"), "Customer": ("party_role_customer", "party_role_customer_id"),
     "DepositAccount": ("deposit_account", "deposit_account_id"), "DepositBalance": ("deposit_balance", "deposit_balance_id"), "LoanApplication": ("loan_application", "loan_application_id"), "LoanAgreement": ("loan_agreement", "loan_agreement_id"),
     "LoanCollateral": ("loan_collateral", "loan_collateral_id"), "RefCountry": ("ref_country", "country_code"), "RefCurrency": ("ref_currency", "currency_code"), "RefIndustry": ("ref_nace_industry", "nace_code"),
 }
-#: Relationships: source label, its foreign key column (on the node's table), target label; reversed if the target holds the key.
+# Relationships: source label, its foreign key column (on the node's table), target label; reversed if the target holds the key.
 EDGES: tuple[tuple[str, str, str, str, bool], ...] = (
     ("CITIZEN_OF", "Individual", "citizenship_country_code", "RefCountry", False),
     ("OPERATES_IN_INDUSTRY", "Organization", "nace_code", "RefIndustry", False),

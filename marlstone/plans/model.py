@@ -45,6 +45,7 @@ def _belongs(to: str, own: str, their: str) -> Join:
     return Join(to, "belongs_to", f"${own} = ${to}.{their}")
 
 
+# Members of the cubes, their kinds and predicates.
 CUBES: dict[str, Cube] = {
     c.name: c
     for c in (
@@ -124,7 +125,7 @@ CUBES: dict[str, Cube] = {
     )
 }
 
-#: The curated view: its members by the cube members they stand for.
+# The curated view's members by the cube members they stand for.
 CUSTOMER_360: dict[str, str] = (
     {m: f"party_role_customer.{m}" for m in ("customer_number", "customer_segment", "kyc_status", "aml_risk_rating", "total_customers", "active_customers_count", "high_aml_risk_count", "high_aml_risk_ratio")}
     | {f"deposit_account_{m}": f"deposit_account.{m}" for m in ("account_type", "account_status", "currency_code", "total_deposit_accounts", "total_available_balance", "overdrawn_account_count")}
@@ -132,6 +133,6 @@ CUSTOMER_360: dict[str, str] = (
 )
 VIEWS = {"customer_360": CUSTOMER_360}
 
-#: Members that only a privileged role may ask for. Masked dimensions are for no role.
+# Members that only a privileged role may ask for. Masked dimensions are for no role.
 PRIVILEGED = frozenset({"party_role_customer.aml_risk_rating", "party_role_customer.high_aml_risk_count", "party_role_customer.high_aml_risk_ratio", "party_role_customer.kyc_status", "party_role_customer.verified_kyc_count", "ref_country.is_high_risk_aml", "ref_country.high_risk_aml_country_count"})
 MASKED = frozenset(f"{c.name}.{d}" for c in CUBES.values() for d in c.masked)

@@ -13,7 +13,7 @@ from marlstone.operators.ontology import Ontology
 from marlstone.plans.semantic import SemanticLayer
 from marlstone.sources.bindings import Catalog
 
-#: Metrics that an intent asks for.
+# Metrics that an intent asks for.
 METRICS = {
     "collateral": ("loan_collateral", ("total_collateral_assets", "total_appraised_value")),
     "deposit": ("deposit_account", ("total_deposit_accounts", "overdrawn_account_count")),
