@@ -34,8 +34,8 @@ BUCKETS = 1 << 20
 SHARD = 1_000_000
 #: Parts into which the rows of a frequent shingle are dealt.
 SALTS = 16
-#: Rounds in which nodes try leaders, leaders drawn for a shingle, and leaders that a node tries.
-ROUNDS, LEADERS, TRIES = 4, 4, 4
+#: Rounds in which nodes try leaders: leaders drawn for a shingle, and leaders that a node tries.
+TURNS = ((4, 4), (16, 16), (16, 16))
 #: Documents whose ids are broadcast to find them again; more are found by a shuffled join.
 MAX_BROADCAST = 2_000_000
 _HEAVY = 128
@@ -109,7 +109,7 @@ def order_of(docs: DataFrame, size: int = SHINGLE, text_col: str = "text") -> Or
                 shingles += np.bincount(_bucket(distinct), minlength=BUCKETS)
         # A bucket that is rare here can be left out: statistics only choose an order.
         out = [("total words", 0, int(words.sum())), ("total shingles", 0, int(shingles.sum()))]
-        for kind, counts, least in (("word", words, max(2, words.sum() >> 19)), ("shingle", shingles, 8 + 4 * shingles.sum() // BUCKETS)):
+        for kind, counts, least in (("word", words, max(2, words.sum() >> 19)), ("shingle", shingles, 4 + 2 * shingles.sum() // BUCKETS)):
             out += [(kind, int(b), int(counts[b])) for b in np.flatnonzero(counts >= least)]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], schema=pa.schema([("kind", pa.string()), ("bucket", pa.int64()), ("n", pa.int64())]))
 
@@ -121,7 +121,7 @@ def order_of(docs: DataFrame, size: int = SHINGLE, text_col: str = "text") -> Or
     share = np.log2(np.maximum(n[kind == "word"] * (1 << 20) / words, 1.0)).astype(np.int64) + 1
     word_class[bucket[kind == "word"]] = share
     heavy = np.zeros(BUCKETS, dtype=np.int64)
-    heavy[bucket[(kind == "shingle") & (n >= max(64, 4 * shingles // BUCKETS))]] = 1
+    heavy[bucket[(kind == "shingle") & (n >= max(48, 2 * shingles // BUCKETS))]] = 1
     return Order(word_class, heavy)
 
 
@@ -266,13 +266,11 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
-def _leaders(rows: DataFrame, turn: int) -> DataFrame:
-    """Up to LEADERS nodes, drawn by a hash that each turn changes, for each shingle that two groups or more have: (token, a, a_n, a_comp)."""
-    drawn = F.xxhash64(F.lit(turn), "node")
-    one = F.struct(drawn.alias("h"), F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("comp").alias("a_comp"))
-    part = F.pmod(F.xxhash64(F.lit(turn), "node", F.lit(0)), F.lit(LEADERS))
-    found = rows.groupBy("token").agg(*[F.min(F.when(part == k, one)).alias(f"l{k}") for k in range(LEADERS)], F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-    return found.select("token", F.explode(F.array(*[f"l{k}" for k in range(LEADERS)])).alias("l")).where(F.col("l").isNotNull()).select("token", "l.a", "l.a_n", "l.a_comp")
+def _leaders(rows: DataFrame, turn: int, drawn: int) -> DataFrame:
+    """Up to `drawn` nodes of each shingle, drawn by a hash that each turn changes: (token, a, a_n, a_comp)."""
+    part = F.pmod(F.xxhash64(F.lit(turn), "node"), F.lit(drawn)).alias("part")
+    least = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("comp").alias("a_comp")))
+    return rows.groupBy("token", part).agg(least.alias("l")).select("token", "l.a", "l.a_n", "l.a_comp")
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
@@ -311,19 +309,24 @@ def _shares(percent: int):
 
 def _tries(rows: DataFrame, labels: DataFrame | None, turn: int, scratch: Scratch, percent: int) -> DataFrame:
     """Pairs (a, b): for each node its likeliest leaders of other groups."""
+    drawn, tried = TURNS[turn]
     grouped = scratch.write(_labelled(rows, labels), "round")
-    leaders = scratch.write(_leaders(grouped, turn), "leaders")
+    several = grouped.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
+    grouped = scratch.write(grouped.join(several, "token", "left_semi"), "several")
+    leaders = scratch.write(_leaders(grouped, turn, drawn), "leaders")
     pairs = grouped.join(leaders, "token").where(F.col("comp") != F.col("a_comp")).groupBy("a", "a_n", F.col("node").alias("b"), "n").count()
-    best = F.slice(F.sort_array(F.collect_list(F.struct("count", "a")), False), 1, TRIES)
+    best = F.slice(F.sort_array(F.collect_list(F.struct("count", "a")), False), 1, tried)
     return pairs.where(_shares(percent)).groupBy("b").agg(best.alias("best")).select("b", F.inline("best")).select("a", "b")
 
 
 def _members(rows: DataFrame, labels: DataFrame | None, scratch: Scratch, percent: int) -> DataFrame:
     """Pairs (a, b) of nodes of different groups that may be linked, by way of the token-group matrix: all such pairs."""
     grouped = scratch.write(_labelled(rows, labels), "grouped")
-    matrix = scratch.write(_mixed(grouped).select("token", F.col("comp").alias("other")), "matrix")
+    sizes = scratch.write(grouped.groupBy("comp").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n")), "sizes")
+    matrix = scratch.write(_mixed(grouped).join(sizes, "comp").select("token", F.col("comp").alias("other"), "least_n", "most_n"), "matrix")
+    fits = (100 * F.col("n") >= percent * F.col("least_n")) & (100 * F.col("most_n") >= percent * F.col("n"))
     need = 1 + F.floor(F.ceil(F.col("n") * percent / 100) / EXTRA)  # of the smallest partner that the node can have
-    opened = grouped.join(matrix, "token").where(F.col("comp") > F.col("other")).groupBy("node", "n", "other").count().where(F.col("count") >= need)
+    opened = grouped.join(matrix, "token").where((F.col("comp") > F.col("other")) & fits).groupBy("node", "n", "other").count().where(F.col("count") >= need)
     opened = scratch.write(opened.select("node", "n", "other"), "open")
     members = grouped.select("token", F.col("comp").alias("other"), F.col("node").alias("a"), F.col("n").alias("a_n"))
     asked = opened.join(grouped.select("node", "token"), "node")
@@ -347,14 +350,14 @@ def _similar_groups(docs: DataFrame, scratch: Scratch, size: int, percent: int,
     # Groups: each node tries its likeliest leaders of other groups, drawn anew in each round. Pairs
     # that share too little for a link are left out; the matrix sees to all that the rounds miss.
     edges = labels = None
-    for turn in range(ROUNDS + 1):
-        pairs = _tries(rows, labels, turn, scratch, percent) if turn < ROUNDS else _members(rows, labels, scratch, percent)
+    for turn in range(len(TURNS) + 1):
+        pairs = _tries(rows, labels, turn, scratch, percent) if turn < len(TURNS) else _members(rows, labels, scratch, percent)
         found = _verified(pairs, docs, reps, shared, scratch, size, percent)
         del pairs
         if found is not None and not found.isEmpty():
             edges = scratch.write(found if edges is None else edges.union(found), "edges")
             labels = scratch.write(components(edges, scratch), "labels")
-        elif turn < ROUNDS:
+        elif turn < len(TURNS):
             continue
         del found
         scratch.drop(kept)
