@@ -96,46 +96,42 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", rows_per_cl
                 packed = columns.astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array([packed[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary()), part.column("label").cast(pa.int64())], names=["features", "label"])
 
-    rows = map_batches(sample(docs, labels, target, rows_per_class), run, "features binary, label bigint").collect()
-    rows.sort(key=lambda r: (r["label"], bytes(r["features"])))
+    table = map_batches(sample(docs, labels, target, rows_per_class), run, "features binary, label bigint").toArrow()
+    own = sorted(zip(table.column("label").to_pylist(), table.column("features").to_pylist()))
+    del table
     sizes = class_sizes(labels, target)
     total = sum(sizes.values())
     share = (sizes.get(1, 0) + 0.5) / (total + 1)
-    y = np.array([r["label"] for r in rows])
+    y = np.array([label for label, _ in own])
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(1 << BITS, np.float32), 1.0, float(np.log(share / (1 - share))))
-    parts = [np.frombuffer(r["features"], dtype=np.int32) for r in rows]
-    at = np.zeros(len(parts) + 1, dtype=np.int64)
-    np.cumsum([len(p) for p in parts], out=at[1:])
-    columns = np.concatenate(parts).astype(np.int64)
+    rows = [np.frombuffer(f, dtype=np.int32) for _, f in own]  # no copies: the sample is held once
     held = np.arange(len(y)) % CALIBRATION_STEP == 0
     train = np.flatnonzero(~held)
-    per_row = np.repeat(np.where(held, -1, y), np.diff(at))
-    p, q = (np.bincount(columns[per_row == c], minlength=1 << BITS) + SMOOTH for c in (1, 0))
-    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
+    counts = np.full((2, 1 << BITS), SMOOTH)
+    for i in train:
+        counts[y[i], rows[i]] += 1  # a row's indicators are distinct
+    ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
     # Rows are divided by the root of their size, as long texts have many indicators.
-    scale = 1 / np.sqrt(np.maximum(np.diff(at), 1))
-    cut_at = np.zeros(len(train) + 1, dtype=np.int64)
-    np.cumsum(np.diff(at)[train], out=cut_at[1:])
-    own = np.concatenate([columns[at[i] : at[i + 1]] for i in train])
+    scale = np.array([1 / np.sqrt(max(len(r), 1)) for r in rows])
     n = np.bincount(y[train], minlength=2)
     upper = PENALTY * len(train) / (2 * n[y[train]])
-    weights = descend(own, cut_at, ratio, scale[train], np.where(y[train] == 1, 1.0, -1.0), upper)
-    margins = text.rows_sum((weights * ratio)[columns], at) * scale
+    weights = ratio * descend([rows[i] for i in train], ratio, scale[train], np.where(y[train] == 1, 1.0, -1.0), upper)
+    margins = np.array([weights[r].sum() for r in rows]) * scale
     prior = np.where(y == 1, share / (y == 1).sum(), (1 - share) / (y == 0).sum()) * len(y)
     slope, offset = calibrate(margins[held], y[held], prior[held])
-    return Model((weights * ratio).astype(np.float32), slope, offset)
+    return Model(weights.astype(np.float32), slope, offset)
 
 
-def descend(columns: np.ndarray, at: np.ndarray, ratio: np.ndarray, scale: np.ndarray, y: np.ndarray, upper: np.ndarray) -> np.ndarray:
+def descend(rows: list[np.ndarray], ratio: np.ndarray, scale: np.ndarray, y: np.ndarray, upper: np.ndarray) -> np.ndarray:
     """Weights of the L2-regularised hinge loss by dual coordinate descent, examples in random order."""
     w, dual = np.zeros(len(ratio)), np.zeros(len(y))
-    norm = np.maximum(text.rows_sum(ratio[columns] ** 2, at) * scale**2, 1e-12)
+    norm = np.array([max(float((ratio[r] ** 2).sum()) * s * s, 1e-12) for r, s in zip(rows, scale)])
     rng = np.random.default_rng(0)
     for _ in range(EPOCHS):
         moved = 0.0
         for i in rng.permutation(len(y)):
-            own = columns[at[i] : at[i + 1]]
+            own = rows[i]
             x = ratio[own] * scale[i]
             new = min(max(dual[i] - (y[i] * float(x @ w[own]) - 1.0) / norm[i], 0.0), upper[i])
             if new != dual[i]:
