@@ -31,7 +31,7 @@ MU = 2000.0
 BLOCK_BYTES, SHARD_WORDS, SHARD_PAIRS = 8 << 20, 2_000_000, 1_000_000
 #: Bits of a context and of a successor in a shard's trie; successors of a context go to 2 ** SPLIT shards.
 BITS, SPLIT = 24, 3
-#: Steps of stored log10 probabilities, of the word log10 probabilities and the log2 context counts that make them.
+#: Steps of stored log10 probabilities, of the word log10 probabilities and the log2 context counts that make them; two bytes hold any context count.
 STEP, WORD_STEP, COUNT_STEP = 6000.0, 24.0, 12.0
 #: Hashes of the start of a text, as a context, and of its end, as a token.
 START, END = np.uint64(0x1234567890ABCDEF), np.uint64(0xFEDCBA0987654321)
@@ -212,11 +212,11 @@ def _ask_pairs(shards: int, word_shards: int, corpus: Corpus, starts: int):
                 pairs = Pairs(row["stream"], row["size"], row["words"], shards)
                 train = np.repeat(np.array(row["train"], dtype=bool), row["size"])
                 local = np.bincount(pairs.of_token[train], minlength=len(pairs.key))
-                context = np.minimum(255, np.rint(COUNT_STEP * np.log2(1 + _context_counts(counts, starts)[pairs.context])))
+                context = np.rint(COUNT_STEP * np.log2(1 + _context_counts(counts, starts)[pairs.context]))
                 word = np.minimum(255, np.rint(-WORD_STEP * np.log10(corpus.word(counts)[pairs.word])))
                 for s in np.flatnonzero(np.diff(pairs.cut)):
                     own = slice(pairs.cut[s], pairs.cut[s + 1])
-                    yield pa.RecordBatch.from_pydict({"shard": [int(s)], "block": [row["block"]], "keys": [_pack_sorted(pairs.key[own])], "counts": [_narrow(local[own])], "context": [context[own].astype(np.uint8).tobytes()], "word": [word[own].astype(np.uint8).tobytes()]}, schema=schema)
+                    yield pa.RecordBatch.from_pydict({"shard": [int(s)], "block": [row["block"]], "keys": [_pack_sorted(pairs.key[own])], "counts": [_narrow(local[own])], "context": [context[own].astype("<u2").tobytes()], "word": [word[own].astype(np.uint8).tobytes()]}, schema=schema)
 
     return run
 
@@ -236,7 +236,7 @@ def _answer_pairs(mu: float, keep: bool):
             at = np.append(0, np.cumsum([len(p) for p in parts]))
             key, first, inverse = np.unique(np.concatenate(parts), return_index=True, return_inverse=True)
             count = np.bincount(inverse, weights=np.concatenate([_widen(x) for x in rows["counts"]]), minlength=len(key)).astype(np.int64)
-            context, word = (np.frombuffer(b"".join(rows[c]), dtype=np.uint8)[first].astype(np.float64) for c in ("context", "word"))
+            context, word = (np.frombuffer(b"".join(rows[c]), dtype=kind)[first].astype(np.float64) for c, kind in (("context", "<u2"), ("word", np.uint8)))
             data = _shard_trie(key, count, context, word, mu)
             yield _answers(rows, shard, at, Trie.from_buffer(mapped(data)).find(key)[inverse], None)
             if keep:

@@ -156,6 +156,24 @@ def test_language_model(spark, tmp_path):
     assert math.isclose(float(corpus.word(np.array(list(word.values()))).sum() + corpus.word(np.array([0]))[0]), 1.0, rel_tol=1e-9)
 
 
+def test_frequent_contexts_keep_their_counts():
+    """Pairs whose context has far more than 2 ** (255 / 12) occurrences in all blocks."""
+    word, count, size = np.array([10, 20, 30], dtype=np.uint64), np.array([120_000_000, 40_000, 2_000_000_000]), [400]
+    corpus = ngram_lm.Corpus(4_000_000_000, 3, 0, 0)
+    stream = np.array([0, 1, 2, 1] * 100)
+    row = {"block": 0, "doc_id": [1], "train": [True], "size": size, "stream": stream.astype("<u4").tobytes(), "words": ngram_lm._pack_sorted(word), "answers": [{"shard": 0, "answer": ngram_lm._narrow(count)}]}
+    blocks = lambda r: pa.RecordBatch.from_pylist([r])
+    asked = list(ngram_lm._ask_pairs(1, 1, corpus, 5_000_000)(iter([blocks(row)])))
+    answers = [a for b in ngram_lm._answer_pairs(ngram_lm.MU, False)(iter(asked)) for a in b.to_pylist()]
+    pair_answers = [{"shard": a["shard"], "answer": a["answer"]} for a in answers]
+    got = next(ngram_lm._score(1, 1, corpus, 5_000_000)(iter([blocks(row | {"pair_answers": pair_answers})]))).to_pylist()[0]["score"]
+    before = np.append(3, stream[:-1])
+    h = np.append(count, 5_000_000)[before]
+    both = np.array([np.count_nonzero((before == a) & (stream == b)) for a, b in zip(before, stream)])
+    exact = np.log10((both + ngram_lm.MU * corpus.word(count)[stream]) / (h + ngram_lm.MU)).sum()
+    assert abs(got - exact) <= 0.03 * len(stream)
+
+
 def test_hashes_depend_on_the_word_alone():
     words = [bytes([33 + (i * j) % 90 for j in range(n)]) for i, n in enumerate([0, 1, 2, 63, 64, 65, 66, 130, 5000, 5001] * 7)]
     together = text.hashes(pa.array(words, pa.large_binary()))
