@@ -32,7 +32,9 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 class Band:
     """What is kept: bounds of characters per token, byte-fallback share and bits of token entropy.
 
-    min_entropy holds for texts of entropy_from tokens or more; shorter ones can't reach it.
+    min_entropy holds for texts of entropy_from tokens or more; shorter ones can't reach it. So do
+    entropy_floors, the least entropy of texts of FLOOR_TOKENS tokens, between which it goes with
+    the logarithm of their number.
     """
 
     min_chars: float = 0.0
@@ -40,7 +42,17 @@ class Band:
     max_fallback: float = 1.0
     min_entropy: float = 0.0
     entropy_from: int = 100
+    entropy_floors: tuple[float, ...] = ()
 
+    def least_entropy(self, n_tokens: np.ndarray) -> np.ndarray:
+        least = np.full(len(n_tokens), self.min_entropy)
+        if self.entropy_floors:
+            least = np.maximum(least, np.interp(np.log2(np.maximum(n_tokens, 1)), np.log2(FLOOR_TOKENS), self.entropy_floors))
+        return np.where(n_tokens >= self.entropy_from, least, 0.0)
+
+
+#: Token counts at which entropy floors are given: a text's entropy grows with its length.
+FLOOR_TOKENS = (100, 200, 400, 800, 1600, 3200, 6400)
 
 #: Scripts by the lead bytes of their letters in UTF-8.
 SCRIPTS = ("Latin", "Greek", "Cyrillic", "Hebrew", "Arabic", "Indic", "Kana or Han", "Hangul", "other")
@@ -50,9 +62,14 @@ for _name, _leads in {"Latin": [*range(65, 91), *range(97, 123), *range(0xC3, 0x
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(0xC2, 256)]] = True
 
-#: Kept bands by language; other texts take the band of their script.
+#: Kept bands by language; other texts take the band of their script. Those of languages lie four deviations
+#: below the mean entropy of texts labelled clean, or lower; Latin's are 0.3 bits or more below the lowest of them.
 BANDS: dict[str, Band] = {
-    "Latin": Band(min_chars=1.15, max_chars=8.0, max_fallback=0.20, min_entropy=3.2),
+    "en": Band(min_chars=1.6, max_chars=8.0, max_fallback=0.10, min_entropy=3.2, entropy_floors=(5.2, 5.7, 6.1, 6.4, 6.6, 6.75, 6.8)),
+    "de": Band(min_chars=1.7, max_chars=8.0, max_fallback=0.10, min_entropy=3.2, entropy_floors=(5.0, 5.4, 5.95, 6.2, 6.4, 6.5, 6.6)),
+    "fr": Band(min_chars=1.5, max_chars=8.0, max_fallback=0.10, min_entropy=3.2, entropy_floors=(5.0, 5.5, 5.85, 6.05, 6.3, 6.4, 6.5)),
+    "es": Band(min_chars=1.6, max_chars=8.0, max_fallback=0.10, min_entropy=3.2, entropy_floors=(5.0, 5.4, 5.8, 6.15, 6.4, 6.5, 6.65)),
+    "Latin": Band(min_chars=1.15, max_chars=8.0, max_fallback=0.20, min_entropy=3.2, entropy_floors=(4.7, 5.1, 5.5, 5.75, 6.0, 6.1, 6.2)),
     "Greek": Band(min_chars=0.6, max_chars=6.0, max_fallback=0.35, min_entropy=3.0),
     "Cyrillic": Band(min_chars=0.8, max_chars=8.0, max_fallback=0.35, min_entropy=3.2),
     "Hebrew": Band(min_chars=0.4, max_chars=6.0, max_fallback=0.5, min_entropy=3.0),
@@ -172,8 +189,12 @@ def _measure(texts: pa.Array, langs: list[str | None], vocabulary: Vocabulary, b
     failed = (n_words < MIN_WORDS) | (100 * n_repeat > MAX_REPEAT_PERCENT * n_words)
     per_token, share = word_chars / some, n_fallback / some
     band = [bands.get(lang) or bands[SCRIPTS[s]] for lang, s in zip(langs, script)]
-    low, high, most, least, since = (np.array([getattr(b, k) for b in band], dtype=np.float64) for k in ("min_chars", "max_chars", "max_fallback", "min_entropy", "entropy_from"))
-    fits = (per_token >= low) & (per_token <= high) & (share <= most) & ((entropy >= least) | (n_tokens < since))
+    low, high, most = (np.array([getattr(b, k) for b in band], dtype=np.float64) for k in ("min_chars", "max_chars", "max_fallback"))
+    least = np.zeros(len(band))
+    for b in set(band):
+        own = np.array([x is b or x == b for x in band])
+        least[own] = b.least_entropy(n_tokens[own])
+    fits = (per_token >= low) & (per_token <= high) & (share <= most) & (entropy >= least)
     found = {
         "n_words": n_words, "word_chars": word_chars, "n_symbols": n_symbols, "n_dup_lines": repeated_lines(texts), "n_repeat_words": n_repeat,
         "n_tokens": n_tokens, "chars_per_token": per_token, "byte_fallback_share": share, "token_entropy": entropy,

@@ -154,6 +154,14 @@ def test_fertility_band_rejects(spark):
     assert rows[1]["byte_fallback_share"] > 0.5 and not rows[1]["base_failed"] and not rows[1]["kept"] and rows[2]["kept"]
 
 
+def test_production_bands_decide(spark):
+    """Documents labelled junk that the base rules pass lie outside the bands; those labelled clean lie inside."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = fertility.measure(docs.select("doc_id", "text", "lang")).where("not base_failed and n_tokens >= 100").join(labels, "doc_id").select("quality", "kept").collect()
+    clean, junk = [r["kept"] for r in rows if r["quality"] == 1], [r["kept"] for r in rows if r["quality"] == 0]
+    assert len(junk) >= 10 and sum(junk) <= 0.2 * len(junk) and sum(clean) >= 0.99 * len(clean)
+
+
 def test_warc_round_trip(spark):
     big = "<p>é" + "x" * 1200
     rows = [(1, "http://www.b.example.com/a?q=1#f", big), (2, "https://c.example.org", big), (5, "http://b.example.com:80/a?q=1", big), (3, None, None), (None, "odd url\nwith break", big), (7, "x", ""), (8, "http://b.example.com/", "small"), (9, "http://b.example.com/", "small"), (5, "http://b.example.com:80/a?q=1", big)]
