@@ -9,7 +9,7 @@ Restored texts are scored by a logistic model over words that set toxic labelled
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -43,6 +43,7 @@ _LEET = "0-9@$!|+*"
 _ODD = rf"[a-z][{_LEET}._~'`/-]+[a-z]|^[0-9@$!|+][a-z]{{2}}|[a-z]{{2}}[0-9]$|" + "|".join(f"{c}{{3}}" for c in "abcdefghijklmnopqrstuvwxyz")
 _CODE = np.full(256, SYMBOLS - 1, dtype=np.int64)
 _CODE[ord("a") : ord("z") + 1] = np.arange(1, 27)
+_MARK = r"^[._~'`,/\\-]+$"
 _RUN = np.zeros(256, dtype=bool)
 _RUN[list(b"abcdefghijklmnopqrstuvwxyz0123456789@$!+*")] = True
 
@@ -105,35 +106,56 @@ def _means(c: str) -> list[tuple[int, float]]:
     return [(ord(x) - 96, SWAP - math.log10(len(LOOK_ALIKES[c]))) for x in LOOK_ALIKES.get(c, "")]
 
 
-def decode(token: str, model: np.ndarray) -> str:
-    """The likeliest word behind a token of a to z, look-alikes and fillers; other characters stay themselves.
+def _viterbi(token: str, model: np.ndarray, split: bool) -> str:
+    """The likeliest reading of a token; with split, of words that follow one another, with spaces between.
 
     States are the last three symbols; a character adds a letter, repeats the last one without
-    adding, or is a filler.
+    adding, or is a filler; with split, a word may end before any character.
     """
-    if len(token) > PIECE:
-        return "".join(decode(token[i : i + PIECE], model) for i in range(0, len(token), PIECE))
-    best: dict[tuple[int, int, int], tuple[float, str]] = {(0, 0, 0): (0.0, "")}
+    best: dict[tuple[int, int, int], tuple[float, tuple]] = {(0, 0, 0): (0.0, ())}
     for c in token:
         means = _means(c)
         other = not means and c not in FILLERS
-        following: dict[tuple[int, int, int], tuple[float, str]] = {}
-        for (a, b, last), (score, word) in best.items():
+        following: dict[tuple[int, int, int], tuple[float, tuple]] = {}
+        if split:
+            ends = [(score + model[state + (0,)], (path, " ")) for state, (score, path) in best.items() if state[2]]
+            if ends:
+                best[0, 0, 0] = max([*ends, best.get((0, 0, 0), (-math.inf, ()))], key=lambda e: e[0])
+        for (a, b, last), (score, path) in best.items():
             steps = []
             if other:
-                steps.append(((b, last, SYMBOLS - 1), score + model[a, b, last, SYMBOLS - 1], word + c))
+                steps.append(((b, last, SYMBOLS - 1), score + model[a, b, last, SYMBOLS - 1], (path, c)))
             if c in FILLERS:
-                steps.append(((a, b, last), score + FILL, word))
+                steps.append(((a, b, last), score + FILL, path))
             for symbol, cost in means:
                 same = symbol == last
-                steps.append(((b, last, symbol), score + cost + model[a, b, last, symbol] + (KEEP_REPEAT if same else 0.0), word + chr(96 + symbol)))
+                steps.append(((b, last, symbol), score + cost + model[a, b, last, symbol] + (KEEP_REPEAT if same else 0.0), (path, chr(96 + symbol))))
                 if same:
-                    steps.append(((a, b, last), score + cost + DROP_REPEAT, word))
+                    steps.append(((a, b, last), score + cost + DROP_REPEAT, path))
             for state, s, w in steps:
                 if state not in following or s > following[state][0]:
                     following[state] = (s, w)
         best = following
-    return max(best.items(), key=lambda kv: (kv[1][0] + model[kv[0] + (0,)], kv[1][1]))[1][1]
+
+    def spelled(path: tuple) -> str:
+        out = []
+        while path:
+            path, c = path
+            out.append(c)
+        return "".join(reversed(out))
+
+    top = max(score + model[state + (0,)] for state, (score, _) in best.items())
+    return max(spelled(path) for state, (score, path) in best.items() if score + model[state + (0,)] == top)
+
+
+def decode(token: str, model: np.ndarray) -> str:
+    """The likeliest word behind a token of a to z, look-alikes and fillers; other characters stay themselves."""
+    return "".join(_viterbi(token[i : i + PIECE], model, False) for i in range(0, len(token), PIECE))
+
+
+def segment(run: str, model: np.ndarray) -> list[str]:
+    """The likeliest words behind letters that were written apart, however many."""
+    return _viterbi(run, model, True).split()
 
 
 @dataclass
@@ -144,18 +166,25 @@ class Restorer:
     cache: dict[str, str] = field(default_factory=dict)
 
     def word(self, token: str) -> str:
-        found = self.cache.get(token)
+        return self._cached(token, lambda: decode(token, self.model))
+
+    def spaced(self, run: str) -> list[str]:
+        """Words that a run of single letters may be: those it falls into, and the whole as one."""
+        return [*self._cached(f" {run}", lambda: " ".join(segment(run, self.model))).split(), self.word(run)]
+
+    def _cached(self, key: str, make: Callable[[], str]) -> str:
+        found = self.cache.get(key)
         if found is None:
             if len(self.cache) > 200_000:
                 self.cache.clear()
-            found = self.cache[token] = decode(token, self.model)
+            found = self.cache[key] = make()
         return found
 
     def restore(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
         """(text, word) pairs: number of the text, the distinct words, number of the word.
 
         Words have punctuation taken off both ends. Suspicious ones also count as what they decode
-        to, and so does a run of three or more single letters.
+        to, and so do the words that a run of three or more single letters falls into.
         """
         tokens, at = text.words(texts)
         ids, distinct = text.coded(tokens)
@@ -174,18 +203,23 @@ class Restorer:
             words = [ids, slot[ids[hit]] + len(names)]
         else:
             words = [ids]
-        # Spaced-out words: runs of single letters.
-        single = (pc.binary_length(distinct).to_numpy() == 1) if len(distinct) else np.zeros(0, bool)
+        # Spaced-out words: runs of single letters, with or without marks at them and between them.
+        bare = pc.if_else(pc.equal(pc.binary_length(names), 1), names, pc.utf8_trim(names, _EDGES)) if len(names) else names
+        single = (pc.binary_length(bare).to_numpy() == 1) if len(names) else np.zeros(0, bool)
         if single.any():
-            first = text.raw(distinct)[0][text.raw(distinct)[1][:-1]]
-            flag = (single & _RUN[first])[ids]
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], (flag * (row + 1)), [0]])))
-            spans = [(a, b) for a, b in zip(edge, edge[1:]) if flag[a] and b - a >= 3]
+            data, starts = text.raw(bare)
+            first = np.append(data, np.uint8(0))[starts[:-1]]
+            single &= _RUN[first]
+            mark = pc.match_substring_regex(names, _MARK).to_numpy(zero_copy_only=False)
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], (single | mark)[ids] * (row + 1), [0]])))
+            letters = np.append(0, np.cumsum(single[ids]))
+            spans = [(a, b) for a, b in zip(edge, edge[1:]) if letters[b] - letters[a] >= 3]
             for a, b in spans:
-                word = self.word(bytes(first[ids[a:b]]).decode())
-                rows.append(row[a : a + 1])
-                words.append(np.array([len(names) + len(extra)]))
-                extra.append(word)
+                own = ids[a:b]
+                found = self.spaced(bytes(first[own[single[own]]]).decode())
+                rows.append(np.repeat(row[a : a + 1], len(found)))
+                words.append(len(names) + len(extra) + np.arange(len(found)))
+                extra += found
         both = pa.concat_arrays([core, pa.array(extra, pa.large_string())]) if extra else core
         code, vocabulary = text.coded(both)
         keys = np.unique(np.concatenate(rows) * max(1, len(vocabulary)) + code[np.concatenate(words)]) if len(both) else np.zeros(0, np.int64)

@@ -62,6 +62,22 @@ def test_toxicity(spark, docs, labels):
     assert min(got[1], got[2], got[3]) > 0.5 > got[4]
 
 
+@pytest.fixture(scope="module")
+def restorer(docs):
+    return deobfuscate.Restorer(deobfuscate.char_model(deobfuscate.count_char_grams(docs)))
+
+
+def _restored(restorer, t):
+    rows, vocabulary, word = restorer.restore(pa.array([t]))
+    return {vocabulary[int(w)].as_py() for w in word}
+
+
+def test_words_spaced_out(restorer):
+    for t in ("you are a m o r o n", "you i d i o t m o r o n", "y o u a r e a m o r o n", "you m o r o n.", "you (m . o - r . o . n)", "w h a t a n i d i o t a n d w h a t a g r e a t b i g m o r o n", "you m 0 r 0 n!"):
+        assert "moron" in _restored(restorer, t), t
+    assert "idiot" in _restored(restorer, "you i d i o t m o r o n")
+
+
 def test_no_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     assert nbsvm.score(docs, nbsvm.fit(docs, none)).agg(F.countDistinct("score")).first()[0] == 1
