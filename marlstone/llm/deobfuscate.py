@@ -39,8 +39,11 @@ ORDER, SYMBOLS = 4, 28
 #: Words of the scoring lexicon at most, and the least labelled texts that must hold one.
 LEXICON, LEAST_TEXTS, LEAST_STRENGTH = 400, 4, 4.5
 _EDGES = ".,;:!?\"'()[]{}<>#%&*-_~^/\\|="
-_LEET = "0-9@$!|+*"
-_ODD = rf"[a-z][{_LEET}._~'`/-]+[a-z]|^[0-9@$!|+][a-z]{{2}}|[a-z]{{2}}[0-9]$|" + "|".join(f"{c}{{3}}" for c in "abcdefghijklmnopqrstuvwxyz")
+#: Suspicious tokens: a letter with a look-alike or an inner filler, or a doubled letter.
+_LETTER = "[a-z]"
+_LEET = "[0-9@$!|+*]"
+_INNER = r"[a-z0-9@$!|+*][._\-~*'`,/\\]+[a-z0-9@$!|+*]"
+_DOUBLED = "|".join(f"{c}{c}" for c in "abcdefghijklmnopqrstuvwxyz")
 _CODE = np.full(256, SYMBOLS - 1, dtype=np.int64)
 _CODE[ord("a") : ord("z") + 1] = np.arange(1, 27)
 _MARK = r"^[._~'`,/\\-]+$"
@@ -191,7 +194,8 @@ class Restorer:
         row = text.row_of(at)
         names = distinct.cast(pa.large_string(), safe=False)
         core = pc.utf8_trim(pc.utf8_rtrim(names, _EDGES + "$+@"), _EDGES)
-        odd = np.flatnonzero(pc.match_substring_regex(names, _ODD).to_numpy(zero_copy_only=False)) if len(names) else np.zeros(0, np.int64)
+        has = lambda pattern: pc.match_substring_regex(names, pattern).to_numpy(zero_copy_only=False).astype(bool)
+        odd = np.flatnonzero(has(_LETTER) & has(f"{_LEET}|{_INNER}|{_DOUBLED}"))
         decoded = {int(i): self.word(names[int(i)].as_py().strip(".,;:?\"'()[]{}<>#%&-_~^/\\=")) for i in odd}
         rows, extra = [row], []
         if decoded:

@@ -78,6 +78,14 @@ def test_words_spaced_out(restorer):
     assert "idiot" in _restored(restorer, "you i d i o t m o r o n")
 
 
+def test_whole_channel_reaches_the_decoder(restorer):
+    cases = {"idiot": ("iiddiioott", "1d107", "id10+", "i,d,i,o,t", "1d10t"), "moron": ("moorroonn", "m\\o\\r\\o\\n", "m0r0n", "m.o.r.o.n"), "loser": ("10$3r", "1053r")}
+    for word, tokens in cases.items():
+        for token in tokens:
+            assert word in _restored(restorer, f"you {token} there"), token
+    assert "as" in _restored(restorer, "such a$ this") and _restored(restorer, "3.14 1,000 2026") == {"3.14", "1,000", "2026"}
+
+
 def test_no_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     assert nbsvm.score(docs, nbsvm.fit(docs, none)).agg(F.countDistinct("score")).first()[0] == 1
