@@ -367,12 +367,15 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return physical(spark, sf_dir, "documents").select("doc_id", "text").unionByName(spark.createDataFrame(list(SAMPLES), "doc_id bigint, text string"))
 
 
+def _talk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = spark.createDataFrame(list(SAMPLES), "doc_id bigint, text string").select("doc_id", F.lit(0).cast("bigint").alias("turn"), "text")
+    return samples.unionByName(physical(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", "text"))
+
+
 @_register
 def pii_redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples and conversations with personal data replaced, as digests."""
-    samples = spark.createDataFrame(list(SAMPLES), "doc_id bigint, text string").select("doc_id", F.lit(0).cast("bigint").alias("turn"), "text")
-    talk = physical(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", "text")
-    return samples.unionByName(talk).select("doc_id", "turn", F.md5(text.redact(F.col("text"))).alias("digest"))
+    return _talk(spark, sf_dir).select("doc_id", "turn", F.md5(text.redact(F.col("text"))).alias("digest"))
 
 
 @_register
@@ -405,14 +408,13 @@ def guard_readonly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register
 def numbered_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations with placeholders numbered within each text; the counter runs over all kinds, so Arrow batches do it."""
+    """Samples and conversations with placeholders numbered within each text; the counter runs over all kinds, so Arrow batches do it."""
     from marlstone.functions.numbered import redact_series
     from marlstone.workers import ship
 
     ship(spark)
     numbered = F.pandas_udf(redact_series, "text string, n bigint")
-    samples = spark.createDataFrame(list(SAMPLES), "doc_id bigint, text string")
-    return samples.select("doc_id", numbered("text").alias("r")).select("doc_id", F.col("r.text").alias("redacted"), F.col("r.n").alias("n_redacted"))
+    return _talk(spark, sf_dir).select("doc_id", "turn", numbered("text").alias("r")).select("doc_id", "turn", F.col("r.text").alias("redacted"), F.col("r.n").alias("n_redacted"))
 
 
 # Retrieval, evaluation, telemetry.

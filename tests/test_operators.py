@@ -7,6 +7,7 @@ from marlstone.functions import text
 from marlstone.operators import quality, temporal, vector
 from marlstone.operators.ontology import Ontology
 from marlstone.plans import retrieve
+from marlstone.queries import QUERIES, SAMPLES
 from marlstone.sources.bindings import Catalog
 from marlstone.streaming import windows
 
@@ -117,3 +118,11 @@ def test_change_stream_to_versions(spark, tmp_path):
     sink(spark.createDataFrame([(1, "b", datetime.datetime(2021, 1, 1))], "k int, v string, cutover timestamp_ntz"), 0)
     sink(spark.createDataFrame([(1, "c", datetime.datetime(2022, 1, 1))], "k int, v string, cutover timestamp_ntz"), 1)
     assert [r["v"] for r in spark.read.parquet(str(tmp_path / "base/state=1")).orderBy("valid_from").collect()] == ["a", "b", "c"]
+
+
+def test_numbered_redaction_covers_conversations(spark, sf_dir):
+    """Every sample and every turn, each numbered from one."""
+    rows = QUERIES["numbered_redaction"](spark, sf_dir).collect()
+    talk = [(r["conv_id"], r["turn"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").collect()]
+    expected = [(i, t, *text.redact_numbered(x)) for i, t, x in [*((i, 0, x) for i, x in SAMPLES), *talk]]
+    assert sorted((r["doc_id"], r["turn"], r["redacted"], r["n_redacted"]) for r in rows) == sorted((i, t, x, len(k)) for i, t, x, k in expected)
