@@ -70,7 +70,7 @@ def _char_grams(words: pa.Array) -> np.ndarray:
 
 
 def count_char_grams(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Counts of character grams over all texts: each distinct word of letters counts once for each run of texts it is in.
+    """Counts of character grams over all texts: each word of letters counts as often as texts have it.
 
     There are SYMBOLS ** ORDER counts, however large the corpus.
     """
@@ -79,10 +79,14 @@ def count_char_grams(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         total = np.zeros(SYMBOLS**ORDER, dtype=np.int64)
         for batch in batches:
             for part in text.slices(batch, text_col):
-                _, distinct = text.coded(text.words(part.column(text_col))[0])
+                ids, distinct = text.coded(text.words(part.column(text_col))[0])
                 core = pc.utf8_trim(distinct.cast(pa.large_string(), safe=False), _EDGES)
-                core = core.filter(pc.match_substring_regex(core, "^[^0-9@$!|+*._~`#%&<>]+$"))
-                total += np.bincount(_char_grams(core.unique()), minlength=len(total))
+                plain = pc.match_substring_regex(core, "^[^0-9@$!|+*._~`#%&<>]+$")
+                times = np.bincount(ids, minlength=len(distinct))[plain.to_numpy(zero_copy_only=False).astype(bool)]
+                core = core.filter(plain)
+                # A word has a gram for each of its bytes and one for its end.
+                grams = np.repeat(times, np.diff(text.raw(core)[1]) + 1)
+                total += np.bincount(_char_grams(core), weights=grams, minlength=len(total)).astype(np.int64)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["gram", "n"])
 

@@ -92,6 +92,16 @@ def test_no_labels(spark, docs):
     assert deobfuscate.score(docs, deobfuscate.fit(docs, none)).agg(F.countDistinct("score")).first()[0] == 1
 
 
+def test_char_grams_count_tokens(spark):
+    """Counts of all tokens, however rows lie in batches."""
+    rows = [(1, "the the the cat"), (2, "the cat, sat"), (3, "- 1d10t"), (4, None), (5, "the")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    words = ["the"] * 5 + ["cat"] * 2 + ["sat"]
+    expected = np.bincount(deobfuscate._char_grams(pa.array(words, pa.large_string())), minlength=deobfuscate.SYMBOLS**deobfuscate.ORDER)
+    for parts in (1, 5):
+        assert (deobfuscate.count_char_grams(docs.repartition(parts)) == expected).all()
+
+
 def test_viterbi_is_the_best_path():
     """Against all readings of short tokens."""
     counts = np.zeros(deobfuscate.SYMBOLS**deobfuscate.ORDER)
