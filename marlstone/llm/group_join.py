@@ -1,12 +1,17 @@
 """Exact n-gram Jaccard self-join and its components, by a token-group matrix.
 
-Every text is the set of its distinct word shingles. Equal sets are one node. A global order of
-shingles, rare ones first, gives each set a prefix that must overlap the prefix of any set linked
-with it. Nodes are partitioned into groups of similar sets: each looks up the leaders of its prefix
-shingles, and verified links to leaders make the groups. The token-group matrix holds, for each
-shingle of a group's union, the group. A node opens only those other groups that its own prefix
-overlaps far enough for a link; members of opened groups are counted, then verified exactly. Groups
-that links join are components.
+Every text is the set of its distinct word shingles. Equal sets are one node. Shingles are dealt to
+shards that count the nodes of each; those that two nodes or more have go back to their nodes, and
+order each set: rare shingles first. Only these can be shared, so a node keeps its repeated shingles
+and its number of shingles, and a node with too few of them for any link is done.
+
+Linked sets have a first shared shingle in that order. What stands before it in either set isn't
+shared, so its places bound the overlap, and it lies in a short prefix. Nodes are partitioned into
+groups of similar sets: each looks up leaders by its prefix shingles, and verified links to leaders
+make the groups. The token-group matrix holds the union of each group's prefix shingles, with the
+least and greatest set of the members that have one and the best place it takes among them. A node
+opens only those other groups that this bound lets it link with; members of opened groups are bounded
+one by one and then verified exactly. Groups that links join are components.
 
 Hot groups cost no more than their members: copies are one node, near copies one group, and a
 group stands once for each shingle however many members have it.
@@ -14,7 +19,7 @@ group stands once for each shingle however many members have it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,35 +31,32 @@ from marlstone.llm.store import Scratch, map_batches
 
 #: Words of a shingle, and the least similarity in percent.
 SHINGLE, PERCENT = 5, 75
-#: A node must share one more prefix shingle with a partner for every so many shingles it has.
-EXTRA = 32
-#: Buckets of the corpus statistics that order shingles; their size doesn't grow with the corpus.
+#: Buckets of the shingle counts that say how many parts a frequent shingle is dealt into.
 BUCKETS = 1 << 20
-#: Prefix shingles that one task sorts at once.
+#: Occurrences of shingles that one task sorts at once.
 SHARD = 1_000_000
-#: Parts into which the rows of a frequent shingle are dealt.
-SALTS = 16
+#: Bits of a shingle's hash.
+BITS = 56
+#: Text whose shingles are dealt together, and nodes that a task remembers to have dealt.
+DEALT_BYTES, SEEN = 8 << 20, 1 << 20
 #: Rounds in which nodes try leaders: leaders drawn for a shingle, and leaders that a node tries.
-TURNS = ((4, 4), (16, 16), (16, 16))
-#: Documents whose ids are broadcast to find them again; more are found by a shuffled join.
+TURNS = ((4, 1), (8, 4), (16, 16))
+#: Ids of documents that go which are broadcast; more are matched by a shuffled join.
 MAX_BROADCAST = 2_000_000
-_HEAVY = 128
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all shingles, repeated ones too: hash, text, place of the first word, words; then the number of each word, and the distinct words' hashes."""
+def _shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of all shingles, repeated ones too: 56 bits of hash, and text."""
     tokens, at = text.words(texts)
     ids, distinct = text.coded(tokens)
-    word = text.hashes(distinct, 3)
-    h, row, count = word[ids], text.row_of(at), np.diff(at)
+    h, row, count = text.hashes(distinct, 3)[ids], text.row_of(at), np.diff(at)
     n = max(0, len(ids) - size + 1)
     key = np.full(n, size, dtype=np.uint64)
     for j in range(size):
         key = key * _K + h[j : j + n]
     whole = row[:n] == row[size - 1 : size - 1 + n]
-    start = np.flatnonzero(whole)
-    keys, rows, first, words = [text.mix(key[whole])], [row[:n][whole]], [start], [np.full(len(start), size)]
+    keys, rows = [text.mix(key[whole])], [row[:n][whole]]
     for length in range(1, size):  # a shorter text is one shingle
         own = np.flatnonzero(count == length)
         short = np.full(len(own), length, dtype=np.uint64)
@@ -62,183 +64,235 @@ def _shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.nd
             short = short * _K + h[at[:-1][own] + j]
         keys.append(text.mix(short))
         rows.append(own)
-        first.append(at[:-1][own])
-        words.append(np.full(len(own), length))
-    return np.concatenate(keys), np.concatenate(rows), np.concatenate(first), np.concatenate(words), ids, word
+    return np.concatenate(keys) >> np.uint64(64 - BITS), np.concatenate(rows)
 
 
-def _distinct(keys: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order of the distinct (row, key) pairs by row and key: their places, and offsets by row."""
+def _sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingles of each text, and their offsets by text."""
+    keys, rows = _shingles(texts, size)
     order = np.lexsort((keys, rows))
     k, r = keys[order], rows[order]
     new = np.append(True, (k[1:] != k[:-1]) | (r[1:] != r[:-1])) if len(k) else np.zeros(0, bool)
-    order = order[new]
-    return order, k[new], np.searchsorted(rows[order], np.arange(n + 1))
+    return k[new], np.searchsorted(r[new], np.arange(len(texts) + 1))
 
 
-def _bucket(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(44)).astype(np.int64)
+def _bucket(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(BITS - 20)).astype(np.int64)
 
 
-class Order:
-    """Class of a shingle in the global order: the sum of its words' log frequencies, and frequent shingles last."""
-
-    def __init__(self, word_class: np.ndarray, heavy: np.ndarray):
-        self.word_class, self.heavy = word_class, heavy
-
-    def tokens(self, texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted distinct tokens of each text and their offsets; a token is its class, then 56 bits of hash."""
-        keys, rows, first, words, ids, word = _shingles(texts, size)
-        total = np.append(0, np.cumsum(self.word_class[_bucket(word)][ids].astype(np.int64)))
-        kind = np.minimum(total[first + words] - total[first], _HEAVY - 1) + _HEAVY * self.heavy[_bucket(keys)]
-        token = (kind.astype(np.uint64) << np.uint64(56)) | (keys >> np.uint64(8))
-        _, distinct, at = _distinct(token, rows, len(texts))
-        return distinct, at
-
-
-def order_of(docs: DataFrame, size: int = SHINGLE, text_col: str = "text") -> Order:
-    """Corpus statistics over all texts, in BUCKETS buckets: word counts, and shingles that many texts share."""
+def bucket_counts(docs: DataFrame, size: int = SHINGLE, text_col: str = "text") -> tuple[np.ndarray, int]:
+    """Occurrences of shingles by bucket, where they stand out, and of all shingles together, over all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, shingles = np.zeros(BUCKETS, dtype=np.int64), np.zeros(BUCKETS, dtype=np.int64)
+        counts = np.zeros(BUCKETS, dtype=np.int64)
         for batch in batches:
             for part in text.slices(batch, text_col):
-                keys, rows, _, _, ids, word = _shingles(part.column(text_col), size)
-                np.add.at(words, _bucket(word), np.bincount(ids, minlength=len(word)))
-                _, distinct, _ = _distinct(keys, rows, part.num_rows)
-                shingles += np.bincount(_bucket(distinct), minlength=BUCKETS)
-        # A bucket that is rare here can be left out: statistics only choose an order.
-        out = [("total words", 0, int(words.sum())), ("total shingles", 0, int(shingles.sum()))]
-        for kind, counts, least in (("word", words, max(2, words.sum() >> 19)), ("shingle", shingles, 4 + 2 * shingles.sum() // BUCKETS)):
-            out += [(kind, int(b), int(counts[b])) for b in np.flatnonzero(counts >= least)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], schema=pa.schema([("kind", pa.string()), ("bucket", pa.int64()), ("n", pa.int64())]))
+                counts += np.bincount(_bucket(_sets(part.column(text_col), size)[0]), minlength=BUCKETS)
+        # What a bucket lacks here is an even share at most: it makes no frequent shingle rare.
+        some = np.flatnonzero(counts > 4 + 2 * counts.sum() // BUCKETS)
+        out = pa.array(np.append(-1, some)), pa.array(np.append(counts.sum(), counts[some]))
+        yield pa.RecordBatch.from_arrays(list(out), names=["bucket", "n"])
 
-    found = map_batches(docs.select(text_col), run, "kind string, bucket bigint, n bigint").groupBy("kind", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    kind, bucket, n = (np.array(found.column(c)) for c in ("kind", "bucket", "n"))
-    words = max(1, int(n[kind == "total words"].sum()))
-    shingles = int(n[kind == "total shingles"].sum())
-    word_class = np.zeros(BUCKETS, dtype=np.uint8)
-    share = np.log2(np.maximum(n[kind == "word"] * (1 << 20) / words, 1.0)).astype(np.int64) + 1
-    word_class[bucket[kind == "word"]] = share
-    heavy = np.zeros(BUCKETS, dtype=np.int64)
-    heavy[bucket[(kind == "shingle") & (n >= max(48, 2 * shingles // BUCKETS))]] = 1
-    return Order(word_class, heavy)
+    found = map_batches(docs.select(text_col), run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
+    found = found.where((F.col("bucket") < 0) | (F.col("n") > SHARD)).toArrow()
+    bucket, n = (np.array(found.column(c)) for c in ("bucket", "n"))
+    counts = np.zeros(BUCKETS, dtype=np.int64)
+    counts[bucket[bucket >= 0]] = n[bucket >= 0]
+    return counts, int(n[bucket < 0].sum())
 
 
-def _prefix(n: np.ndarray, percent: int) -> np.ndarray:
-    return np.minimum(n, n - -(-percent * n // 100) + 1 + n // EXTRA)
+def _nodes(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A 64-bit fingerprint of each row's set."""
+    total = text.rows_sum(text.mix(tokens ^ np.uint64(0xA5A5)).view(np.int64), at).view(np.uint64)
+    return text.mix(total ^ text.mix(np.diff(at).astype(np.uint64))).view(np.int64)
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.astype(np.uint64).view(np.int64))
+def _planes(x: np.ndarray) -> bytes:
+    """Integers with the bytes of equal place together, so that leading zeros compress away."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
 
 
-def _nodes(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A 64-bit fingerprint of each row's set."""
-    total = text.rows_sum(text.mix(tokens ^ np.uint64(0xA5A5)).view(np.int64), at).view(np.uint64)
-    return text.mix(total ^ text.mix(np.diff(at).astype(np.uint64)))
+def _flat(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-def _sets(docs: DataFrame, shared, size: int, percent: int) -> DataFrame:
+def _rows(docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, n, node) of each text; without shingles the node is null."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text.slices(batch, "text"):
-                tokens, at = shared.value.tokens(part.column("text"), size)
+                tokens, at = _sets(part.column("text"), size)
                 n = np.diff(at)
-                node = pa.array(_nodes(tokens, at).view(np.int64), mask=n == 0)
-                prefix = [tokens[a : a + p].tobytes() for a, p in zip(at, _prefix(n, percent))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), node, pa.array(prefix, pa.binary())], names=["doc_id", "n", "node", "prefix"])
-
-    return map_batches(docs, run, "doc_id bigint, n bigint, node bigint, prefix binary")
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(_nodes(tokens, at), mask=n == 0)], names=["doc_id", "n", "node"])
 
+    return map_batches(docs, run, "doc_id bigint, n bigint, node bigint")
 
-def _shards(reps: DataFrame, shards: int) -> DataFrame:
-    """Prefix shingles of nodes, dealt to shards by shingle: rows (shard, tokens, nodes, sizes) of packed arrays."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prefix = [np.frombuffer(b, dtype=np.uint64) for b in batch.column("prefix").to_pylist()]
-            if not prefix:
-                continue
-            size = np.array([len(p) for p in prefix])
-            token = np.concatenate(prefix)
-            node = np.repeat(np.array(batch.column("node")), size)
-            n = np.repeat(np.array(batch.column("n")).astype(np.int32), size)
-            heavy = token >> np.uint64(63) == 1
-            salt = np.where(heavy, text.mix(node.view(np.uint64)) % np.uint64(SALTS) + np.uint64(1), np.uint64(0))
-            shard = (text.mix(token ^ text.mix(salt)) % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            cut = np.searchsorted(shard[order], np.arange(shards + 1))
-            some = np.flatnonzero(np.diff(cut))
-            column = lambda x: pa.array([x[order[cut[s] : cut[s + 1]]].tobytes() for s in some], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), column(token), column(node), column(n)], names=["shard", "tokens", "nodes", "sizes"])
-
-    return map_batches(reps, run, "shard int, tokens binary, nodes binary, sizes binary")
-
-
-def _shared(shards: DataFrame) -> DataFrame:
-    """Prefix shingles that two nodes or more have (and all frequent ones): (token, node, n)."""
-
-    def flush(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        token, node, n = (np.frombuffer(b"".join(x for p in parts for x in p.column(c).to_pylist()), dtype=t) for c, t in (("tokens", np.uint64), ("nodes", np.int64), ("sizes", np.int32)))
-        order = np.argsort(token)
-        token, node, n = token[order], node[order], n[order]
-        first = np.append(True, token[1:] != token[:-1])
-        size = np.diff(np.append(np.flatnonzero(first), len(token)))
-        keep = (size[np.cumsum(first) - 1] > 1) | (token >> np.uint64(63) == 1)
-        return pa.RecordBatch.from_arrays([_signed(token[keep]), pa.array(node[keep]), pa.array(n[keep])], names=["token", "node", "n"])
+def _gathered(packed: DataFrame, key: str, flush: Callable, schema: str) -> DataFrame:
+    """flush applied to the rows of each key together; keys are dealt so that one fits in memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[pa.RecordBatch] = []
-        shard = None
+        now = None
         for batch in batches:
-            of = np.array(batch.column("shard"))
+            of = np.array(batch.column(key))
             for a in np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else []:
                 b = a + int(np.searchsorted(of[a:], of[a], side="right"))
-                if parts and of[a] != shard:
-                    yield flush(parts)
+                if parts and of[a] != now:
+                    yield from flush(parts)
                     parts = []
-                shard = of[a]
+                now = of[a]
                 parts.append(batch.slice(a, b - a))
         if parts:
-            yield flush(parts)
+            yield from flush(parts)
 
-    return map_batches(shards.repartition("shard").sortWithinPartitions("shard"), run, "token bigint, node bigint, n int")
+    return map_batches(packed.repartition(key).sortWithinPartitions(key), run, schema)
 
 
-def _compatible(a: Column, b: Column, percent: int) -> Column:
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def _read(parts: list[pa.RecordBatch], column: str) -> list[bytes]:
+    return [x for p in parts for x in p.column(column).to_pylist()]
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, shared, scratch: Scratch, size: int, percent: int) -> DataFrame | None:
-    """Those of the node pairs (a, b) that are linked, by their whole sets; None if there are no pairs."""
+def _repeated(docs: DataFrame, counts, shards: int, size: int, percent: int) -> DataFrame:
+    """(node, n, tokens): the nodes that may have a link, and those of their shingles that other nodes have too.
+
+    Shingles go to shards and the repeated ones back, both packed. Shingles of a bucket with more
+    than SHARD occurrences are dealt to so many shards more, and are ordered by their bucket's
+    count instead of their own; the others by the number of their nodes. tokens are in that order.
+    """
+    homes = shards // 4 + 1
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(0, dtype=np.int64)  # nodes that this task has dealt: further copies add nothing
+        for batch in batches:
+            for part in text.slices(batch, "text", DEALT_BYTES):
+                tokens, at = _sets(part.column("text"), size)
+                node = _nodes(tokens, at)
+                _, first = np.unique(node, return_index=True)
+                fresh = np.zeros(len(node), dtype=bool)
+                fresh[first] = True
+                fresh &= ~np.isin(node, seen) & (np.diff(at) > 0)
+                seen = np.concatenate([seen, node[fresh]])
+                if len(seen) > SEEN:
+                    seen = seen[-SEEN // 2 :]
+                row = text.row_of(at)
+                mine = fresh[row]
+                token, row = tokens[mine], row[mine]
+                if not len(token):
+                    continue
+                salts = (1 + counts.value[_bucket(token)] // SHARD).astype(np.uint64)
+                home = (token >> np.uint64(BITS - 32)) * np.uint64(shards) >> np.uint64(32)
+                shard = ((home + text.mix(node.view(np.uint64))[row] % salts * _K) % np.uint64(shards)).astype(np.int64)
+                order = np.lexsort((token, shard))
+                token, row = token[order], row[order]
+                cut = np.searchsorted(shard[order], np.arange(shards + 1))
+                n = np.diff(at).astype(np.int32)
+                out: list[list] = [[], [], [], [], []]
+                for s in np.flatnonzero(np.diff(cut)):
+                    own, ref = np.unique(row[cut[s] : cut[s + 1]], return_inverse=True)
+                    for c, x in zip(out, (s, _planes(np.diff(token[cut[s] : cut[s + 1]], prepend=np.uint64(0))), _planes(ref.astype(np.uint32)), node[own].tobytes(), n[own].tobytes())):
+                        c.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *[pa.array(c, pa.binary()) for c in out[1:]]], names=["shard", "tokens", "refs", "nodes", "sizes"])
+
+    def count(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes = [np.frombuffer(x, dtype=np.int64) for x in _read(parts, "nodes")]
+        base = np.cumsum([0, *[len(x) for x in nodes]])
+        ref = np.concatenate([_flat(x, np.uint32).astype(np.int64) + b for x, b in zip(_read(parts, "refs"), base)])
+        token = np.concatenate([np.cumsum(_flat(x, np.uint64), dtype=np.uint64) for x in _read(parts, "tokens")])
+        distinct, code = np.unique(np.concatenate(nodes), return_inverse=True)
+        n = np.zeros(len(distinct), dtype=np.int32)
+        n[code] = np.frombuffer(b"".join(_read(parts, "sizes")), dtype=np.int32)
+        code = code[ref]
+        order = np.lexsort((code, token))
+        token, code = token[order], code[order]
+        new = np.append(True, (token[1:] != token[:-1]) | (code[1:] != code[:-1]))
+        token, code = token[new], code[new]  # tasks may deal the same node
+        first = np.append(True, token[1:] != token[:-1])
+        shared = np.diff(np.append(np.flatnonzero(first), len(token)))[np.cumsum(first) - 1]
+        hot = counts.value[_bucket(token)]
+        keep = (shared > 1) | (hot > SHARD)
+        token, code, rank = token[keep], code[keep], np.minimum(np.where(hot > SHARD, hot, shared)[keep], 2**32 - 1).astype(np.uint32)
+        part = (text.mix(distinct.view(np.uint64)) % np.uint64(homes)).astype(np.int64)[code]
+        order = np.lexsort((code, part))
+        token, code, rank = token[order], code[order], rank[order]
+        cut = np.searchsorted(part[order], np.arange(homes + 1))
+        out: list[list] = [[], [], [], [], [], []]
+        for p in np.flatnonzero(np.diff(cut)):
+            mine = slice(cut[p], cut[p + 1])
+            own, each = np.unique(code[mine], return_counts=True)
+            for c, x in zip(out, (p, distinct[own].tobytes(), n[own].tobytes(), _planes(each.astype(np.uint32)), _planes(token[mine]), _planes(rank[mine]))):
+                c.append(x)
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *[pa.array(c, pa.binary()) for c in out[1:]]], names=["part", "nodes", "sizes", "each", "tokens", "ranks"])
+
+    def order(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, n = (np.frombuffer(b"".join(_read(parts, c)), dtype=t) for c, t in (("nodes", np.int64), ("sizes", np.int32)))
+        each, token, rank = (np.concatenate([_flat(x, t) for x in _read(parts, c)]) for c, t in (("each", np.uint32), ("tokens", np.uint64), ("ranks", np.uint32)))
+        distinct, first, code = np.unique(node, return_index=True, return_inverse=True)
+        n, code = n[first], np.repeat(code, each)
+        sort = np.lexsort((token, rank, code))
+        token, code = token[sort], code[sort]
+        new = np.append(True, (token[1:] != token[:-1]) | (code[1:] != code[:-1]))
+        token, code = token[new], code[new]
+        cut = np.searchsorted(code, np.arange(len(distinct) + 1))
+        some = np.flatnonzero(100 * np.diff(cut) >= percent * n.astype(np.int64))
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array(distinct[some]), pa.array(n[some].astype(np.int64)), pa.array([token[cut[i] : cut[i + 1]].tobytes() for i in some], pa.binary())], names=["node", "n", "tokens"])
+
+    dealt = map_batches(docs.select("text"), deal, "shard int, tokens binary, refs binary, nodes binary, sizes binary")
+    back = _gathered(dealt, "shard", count, "part int, nodes binary, sizes binary, each binary, tokens binary, ranks binary")
+    return _gathered(back, "part", order, "node bigint, n bigint, tokens binary")
+
+
+def _prefixes(whole: DataFrame, percent: int) -> DataFrame:
+    """(token, node, n, rest): the repeated shingles in each node's prefix; rest is what stands from there to the set's end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = np.array(batch.column("n"))
+            sets = [np.frombuffer(x, dtype=np.uint64) for x in batch.column("tokens").to_pylist()]
+            shared = np.array([len(x) for x in sets], dtype=np.int64)
+            head = np.maximum(0, shared - -(-percent * n // 100) + 1)  # rest is enough for the smallest partner
+            if head.sum():
+                token = np.concatenate([x[:h] for x, h in zip(sets, head)])
+                at = np.append(0, np.cumsum(head))
+                rest = np.repeat(shared, head) - (np.arange(len(token)) - np.repeat(at[:-1], head))
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(np.repeat(np.array(batch.column("node")), head)), pa.array(np.repeat(n, head)), pa.array(rest)], names=["token", "node", "n", "rest"])
+
+    return map_batches(whole, run, "token bigint, node bigint, n bigint, rest bigint")
+
+
+def _together(n: Column, m: Column, percent: int) -> Column:
+    """Shingles that linked sets of n and m share at least."""
+    return F.ceil((n + m) * percent / (100 + percent))
+
+
+def _possible(percent: int) -> Column:
+    """Whether sets n and a_n, whose first shared shingle leaves them rest and a_rest, can be linked."""
+    n, m = F.col("n"), F.col("a_n")
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (F.least("rest", "a_rest") >= _together(n, m, percent))
+
+
+def _verified(pairs: DataFrame, whole: DataFrame, scratch: Scratch, percent: int) -> DataFrame | None:
+    """Those of the node pairs (a, b) that are linked, by all that they share; None if there are no pairs."""
     pairs = scratch.write(pairs.select("a", "b"), "verified-pairs")
     if pairs.isEmpty():
         return None
-    needed = scratch.write(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(reps, "node").select("node", "doc_id"), "verified-nodes")
-    ids = needed.select("doc_id").distinct()
-    some = docs.join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST else ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in text.slices(batch, "text"):
-                tokens, at = shared.value.tokens(part.column("text"), size)
-                yield pa.RecordBatch.from_arrays([pa.array(_nodes(tokens, at).view(np.int64)), pa.array([tokens[x:y].tobytes() for x, y in zip(at, at[1:])], pa.binary())], names=["node", "tokens"])
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             linked = np.zeros(batch.num_rows, dtype=bool)
-            for i, (x, y) in enumerate(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                both = np.concatenate([x, y])
+            for i, (x, y, n, m) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("x", "y", "n", "m")))):
+                both = np.concatenate([np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)])
                 both.sort(kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
-                linked[i] = 100 * common >= percent * (len(x) + len(y) - common)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(linked)), batch.column("b").filter(pa.array(linked))], names=["a", "b"])
+                linked[i] = 100 * common >= percent * (n + m - common)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(linked)) for c in ("a", "b")], names=["a", "b"])
 
-    whole = scratch.write(map_batches(some, sets, "node bigint, tokens binary").join(needed.select("node"), "node", "left_semi").dropDuplicates(["node"]), "verified-sets")
-    joined = pairs.join(whole.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b").join(whole.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
-    return scratch.write(map_batches(joined.select("a", "b", "x", "y"), links, "a bigint, b bigint"), "verified-links")
+    joined = pairs.join(whole.select(F.col("node").alias("b"), F.col("tokens").alias("y"), F.col("n").alias("m")), "b").join(whole.select(F.col("node").alias("a"), F.col("tokens").alias("x"), "n"), "a")
+    return scratch.write(map_batches(joined.select("a", "b", "x", "y", "n", "m"), links, "a bigint, b bigint"), "verified-links")
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -267,17 +321,15 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _leaders(rows: DataFrame, turn: int, drawn: int) -> DataFrame:
-    """Up to `drawn` nodes of each shingle, drawn by a hash that each turn changes: (token, a, a_n, a_comp)."""
+    """Up to `drawn` nodes of each shingle, drawn by a hash that each turn changes: (token, a, a_n, a_rest, a_comp)."""
     part = F.pmod(F.xxhash64(F.lit(turn), "node"), F.lit(drawn)).alias("part")
-    least = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("comp").alias("a_comp")))
-    return rows.groupBy("token", part).agg(least.alias("l")).select("token", "l.a", "l.a_n", "l.a_comp")
+    least = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("rest").alias("a_rest"), F.col("comp").alias("a_comp")))
+    return rows.groupBy("token", part).agg(least.alias("l")).select("token", "l.a", "l.a_n", "l.a_rest", "l.a_comp")
 
 
-def _mixed(rows: DataFrame) -> DataFrame:
-    """The token-group matrix of shingles that two groups or more have: (token, comp), and the least group."""
-    matrix = rows.groupBy("token", "comp").agg(F.lit(1).alias("one")).drop("one")
-    bounds = matrix.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-    return matrix.join(bounds.select("token", "low"), "token")
+def _several(rows: DataFrame) -> DataFrame:
+    """Shingles in the prefixes of two groups or more."""
+    return rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
 
 
 def similar_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -294,71 +346,46 @@ def similar_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
     return _similar_groups(docs, Scratch(docs.sparkSession, "group-join"), size, percent, id_col, text_col)
 
 
-def _shares(percent: int):
-    """Whether a pair (n, a_n, count of shared prefix shingles) can be linked.
-
-    Sets that are linked share `together` shingles. The one whose prefix ends first has all its
-    shared prefix shingles in the other's prefix too, so those that aren't counted are behind it.
-    """
-    behind = lambda n: n - F.least(n, n - F.ceil(n * percent / 100) + 1 + F.floor(n / EXTRA))
-    n, m = F.col("n"), F.col("a_n")
-    together = F.ceil((n + m) * percent / (100 + percent))
-    least = F.greatest(1 + F.floor(F.least(n, m) / EXTRA), together - F.greatest(behind(n), behind(m)))
-    return _compatible(n, m, percent) & (F.col("count") >= least)
-
-
-def _tries(rows: DataFrame, labels: DataFrame | None, turn: int, scratch: Scratch, percent: int) -> DataFrame:
+def _tries(grouped: DataFrame, turn: int, scratch: Scratch, percent: int) -> DataFrame:
     """Pairs (a, b): for each node its likeliest leaders of other groups."""
     drawn, tried = TURNS[turn]
-    grouped = scratch.write(_labelled(rows, labels), "round")
-    several = grouped.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
-    grouped = scratch.write(grouped.join(several, "token", "left_semi"), "several")
     leaders = scratch.write(_leaders(grouped, turn, drawn), "leaders")
-    pairs = grouped.join(leaders, "token").where(F.col("comp") != F.col("a_comp")).groupBy("a", "a_n", F.col("node").alias("b"), "n").count()
+    pairs = grouped.join(leaders, "token").where((F.col("comp") != F.col("a_comp")) & _possible(percent)).groupBy("a", F.col("node").alias("b")).count()
     best = F.slice(F.sort_array(F.collect_list(F.struct("count", "a")), False), 1, tried)
-    return pairs.where(_shares(percent)).groupBy("b").agg(best.alias("best")).select("b", F.inline("best")).select("a", "b")
+    return pairs.groupBy("b").agg(best.alias("best")).select("b", F.inline("best")).select("a", "b")
 
 
-def _members(rows: DataFrame, labels: DataFrame | None, scratch: Scratch, percent: int) -> DataFrame:
+def _members(grouped: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """Pairs (a, b) of nodes of different groups that may be linked, by way of the token-group matrix: all such pairs."""
-    grouped = scratch.write(_labelled(rows, labels), "grouped")
-    sizes = scratch.write(grouped.groupBy("comp").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n")), "sizes")
-    matrix = scratch.write(_mixed(grouped).join(sizes, "comp").select("token", F.col("comp").alias("other"), "least_n", "most_n"), "matrix")
-    fits = (100 * F.col("n") >= percent * F.col("least_n")) & (100 * F.col("most_n") >= percent * F.col("n"))
-    need = 1 + F.floor(F.ceil(F.col("n") * percent / 100) / EXTRA)  # of the smallest partner that the node can have
-    opened = grouped.join(matrix, "token").where((F.col("comp") > F.col("other")) & fits).groupBy("node", "n", "other").count().where(F.col("count") >= need)
-    opened = scratch.write(opened.select("node", "n", "other"), "open")
-    members = grouped.select("token", F.col("comp").alias("other"), F.col("node").alias("a"), F.col("n").alias("a_n"))
-    asked = opened.join(grouped.select("node", "token"), "node")
-    pairs = asked.join(members, ["token", "other"]).where(_compatible(F.col("n"), F.col("a_n"), percent)).groupBy("a", "a_n", "node", "n").count()
-    return pairs.where(_shares(percent)).select("a", F.col("node").alias("b"))
+    matrix = scratch.write(grouped.groupBy("token", F.col("comp").alias("other")).agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max("rest").alias("best")), "matrix")
+    partner = F.greatest("least_n", F.ceil(F.col("n") * percent / 100))  # the smallest that the group can offer
+    fits = (percent * F.col("least_n") <= 100 * F.col("n")) & (percent * F.col("n") <= 100 * F.col("most_n")) & (F.least("rest", "best") >= _together(F.col("n"), partner, percent))
+    opened = scratch.write(grouped.join(matrix, "token").where((F.col("comp") > F.col("other")) & fits).select("node", "token", "n", "rest", "other"), "open")
+    members = grouped.select("token", F.col("comp").alias("other"), F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("rest").alias("a_rest"))
+    return opened.join(members, ["token", "other"]).where(_possible(percent)).select("a", F.col("node").alias("b")).distinct()
 
 
 def _similar_groups(docs: DataFrame, scratch: Scratch, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(order_of(docs, size))
-    sets = scratch.write(_sets(docs, shared, size, percent), "sets")
-    nodes = sets.where(F.col("node").isNotNull())
-    total = sets.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0
-    unique = nodes.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    rows = scratch.write(_shared(_shards(unique, int(total // 8 // SHARD) + 1)), "shared")
-    reps = scratch.write(nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
-    sets = scratch.write(sets.select("doc_id", "n", "node"), "rows")
-    del nodes, unique
-    kept = ("rows", "shared", "nodes", "edges", "labels")
+    counts, total = bucket_counts(docs, size)
+    sets = scratch.write(_rows(docs, size), "rows")
+    whole = scratch.write(_repeated(docs, docs.sparkSession.sparkContext.broadcast(counts), total // SHARD + 1, size, percent), "whole")
+    rows = scratch.write(_prefixes(whole, percent), "prefixes")
+    reps = scratch.write(sets.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
+    kept = ("rows", "whole", "prefixes", "nodes", "edges", "labels")
     scratch.drop(kept)
-    # Groups: each node tries its likeliest leaders of other groups, drawn anew in each round. Pairs
-    # that share too little for a link are left out; the matrix sees to all that the rounds miss.
+    # Groups: each node tries its likeliest leaders of other groups, drawn anew in each round. The
+    # matrix sees to all that the rounds miss.
     edges = labels = None
     for turn in range(len(TURNS) + 1):
-        pairs = _tries(rows, labels, turn, scratch, percent) if turn < len(TURNS) else _members(rows, labels, scratch, percent)
-        found = _verified(pairs, docs, reps, shared, scratch, size, percent)
-        del pairs
+        grouped = scratch.write(_labelled(rows, labels), "grouped")
+        grouped = scratch.write(grouped.join(_several(grouped), "token", "left_semi"), "several")
+        pairs = _tries(grouped, turn, scratch, percent) if turn < len(TURNS) else _members(grouped, scratch, percent)
+        found = _verified(pairs, whole, scratch, percent)
+        del pairs, grouped
         if found is not None and not found.isEmpty():
             edges = scratch.write(found if edges is None else edges.union(found), "edges")
             labels = scratch.write(components(edges, scratch), "labels")
-        elif turn < len(TURNS):
-            continue
         del found
         scratch.drop(kept)
     if labels is not None:
