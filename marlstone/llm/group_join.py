@@ -10,8 +10,9 @@ shared, so its places bound the overlap, and it lies in a short prefix. Nodes ar
 groups of similar sets: each looks up leaders by its prefix shingles, and verified links to leaders
 make the groups. The token-group matrix holds the union of each group's prefix shingles, with the
 least and greatest set of the members that have one and the best place it takes among them. A node
-opens only those other groups that this bound lets it link with; members of opened groups are bounded
-one by one and then verified exactly. Groups that links join are components.
+opens only those larger groups that this bound lets it link with; members of opened groups are bounded
+one by one and then verified exactly, the likeliest first: one link settles a node and a group. Groups
+that links join are components.
 
 Hot groups cost no more than their members: copies are one node, near copies one group, and a
 group stands once for each shingle however many members have it.
@@ -38,9 +39,12 @@ SHARD = 1_000_000
 #: Bits of a shingle's hash.
 BITS = 56
 #: Text whose shingles are dealt together, and nodes that a task remembers to have dealt.
-DEALT_BYTES, SEEN = 8 << 20, 1 << 20
+DEALT_BYTES, SEEN = 4 << 20, 1 << 20
 #: Rounds in which nodes try leaders: leaders drawn for a shingle, and leaders that a node tries.
-TURNS = ((4, 1), (8, 4), (16, 16))
+TURNS = ((4, 1), (16, 8))
+#: Rounds in which nodes try members of groups that the matrix opens, before they try all that is left: members drawn
+#: for a shingle of a group, and members that a node tries.
+OPENED = ((32, 32),)
 #: Ids of documents that go which are broadcast; more are matched by a shuffled join.
 MAX_BROADCAST = 2_000_000
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -247,7 +251,11 @@ def _repeated(docs: DataFrame, counts, shards: int, size: int, percent: int) ->
 
 
 def _prefixes(whole: DataFrame, percent: int) -> DataFrame:
-    """(token, node, n, rest): the repeated shingles in each node's prefix; rest is what stands from there to the set's end."""
+    """(token, node, n, rest, pure): the repeated shingles in each node's prefix.
+
+    rest is what stands from there to the set's end, pure the share of the node's shingles that are
+    repeated ones: the original of a family of edited copies has most.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -259,9 +267,9 @@ def _prefixes(whole: DataFrame, percent: int) -> DataFrame:
                 token = np.concatenate([x[:h] for x, h in zip(sets, head)])
                 at = np.append(0, np.cumsum(head))
                 rest = np.repeat(shared, head) - (np.arange(len(token)) - np.repeat(at[:-1], head))
-                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(np.repeat(np.array(batch.column("node")), head)), pa.array(np.repeat(n, head)), pa.array(rest)], names=["token", "node", "n", "rest"])
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(np.repeat(np.array(batch.column("node")), head)), pa.array(np.repeat(n, head)), pa.array(rest), pa.array(np.repeat(shared / n, head))], names=["token", "node", "n", "rest", "pure"])
 
-    return map_batches(whole, run, "token bigint, node bigint, n bigint, rest bigint")
+    return map_batches(whole, run, "token bigint, node bigint, n bigint, rest bigint, pure double")
 
 
 def _together(n: Column, m: Column, percent: int) -> Column:
@@ -314,17 +322,24 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """rows with the group of their node."""
+    """rows with the group of their node and the number of the group's nodes."""
     if labels is None:
-        return rows.withColumn("comp", F.col("node"))
-    return rows.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        return rows.withColumns({"comp": F.col("node"), "size": F.lit(1).cast("bigint")})
+    sized = labels.join(labels.groupBy("comp").agg(F.count(F.lit(1)).alias("size")), "comp")
+    return rows.join(sized, "node", "left").withColumns({"comp": F.coalesce("comp", "node"), "size": F.coalesce("size", F.lit(1))})
 
 
-def _leaders(rows: DataFrame, turn: int, drawn: int) -> DataFrame:
-    """Up to `drawn` nodes of each shingle, drawn by a hash that each turn changes: (token, a, a_n, a_rest, a_comp)."""
+def _drawn(rows: DataFrame, by: list[str], turn: int, drawn: int) -> DataFrame:
+    """Up to `drawn` nodes of each `by`, the purest of parts that each turn deals anew: (token, a, a_n, a_rest, a_pure, a_comp, a_size)."""
     part = F.pmod(F.xxhash64(F.lit(turn), "node"), F.lit(drawn)).alias("part")
-    least = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("rest").alias("a_rest"), F.col("comp").alias("a_comp")))
-    return rows.groupBy("token", part).agg(least.alias("l")).select("token", "l.a", "l.a_n", "l.a_rest", "l.a_comp")
+    own = [F.col(c).alias(f"a_{c}") for c in ("n", "rest", "pure", "comp", "size")]
+    best = F.max(F.struct("pure", F.col("node").alias("a"), *own))
+    return rows.groupBy(*by, part).agg(best.alias("l")).select("token", "l.a", *[f"l.a_{c}" for c in ("n", "rest", "pure", "comp", "size")])
+
+
+def _below() -> Column:
+    """Whether a group asks another: the smaller asks the larger, so each two groups meet once."""
+    return (F.col("size") < F.col("a_size")) | ((F.col("size") == F.col("a_size")) & (F.col("comp") < F.col("a_comp")))
 
 
 def _several(rows: DataFrame) -> DataFrame:
@@ -346,23 +361,38 @@ def similar_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
     return _similar_groups(docs, Scratch(docs.sparkSession, "group-join"), size, percent, id_col, text_col)
 
 
+def _likeliest(pairs: DataFrame, tried: int) -> DataFrame:
+    """Of (a, a_pure, b), a row for each shared shingle: for each b the `tried` a that are pure and have most of them."""
+    counted = pairs.groupBy("a", "b").agg((F.count(F.lit(1)) * F.max("a_pure")).alias("score"))
+    best = F.slice(F.sort_array(F.collect_list(F.struct("score", "a")), False), 1, tried)
+    return counted.groupBy("b").agg(best.alias("best")).select("b", F.inline("best")).select("a", "b")
+
+
 def _tries(grouped: DataFrame, turn: int, scratch: Scratch, percent: int) -> DataFrame:
     """Pairs (a, b): for each node its likeliest leaders of other groups."""
     drawn, tried = TURNS[turn]
-    leaders = scratch.write(_leaders(grouped, turn, drawn), "leaders")
-    pairs = grouped.join(leaders, "token").where((F.col("comp") != F.col("a_comp")) & _possible(percent)).groupBy("a", F.col("node").alias("b")).count()
-    best = F.slice(F.sort_array(F.collect_list(F.struct("count", "a")), False), 1, tried)
-    return pairs.groupBy("b").agg(best.alias("best")).select("b", F.inline("best")).select("a", "b")
+    leaders = scratch.write(_drawn(grouped, ["token"], turn, drawn), "leaders")
+    pairs = grouped.join(leaders, "token").where(_below() & _possible(percent))
+    return _likeliest(pairs.select("a", "a_pure", F.col("node").alias("b")), tried)
 
 
-def _members(grouped: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes of different groups that may be linked, by way of the token-group matrix: all such pairs."""
-    matrix = scratch.write(grouped.groupBy("token", F.col("comp").alias("other")).agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max("rest").alias("best")), "matrix")
+def _open(grouped: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """The groups that nodes open by way of the token-group matrix, and the shingles that let them: (node, token, n, rest, a_comp)."""
+    matrix = grouped.groupBy("token", F.col("comp").alias("a_comp")).agg(F.max("size").alias("a_size"), F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max("rest").alias("best"))
     partner = F.greatest("least_n", F.ceil(F.col("n") * percent / 100))  # the smallest that the group can offer
     fits = (percent * F.col("least_n") <= 100 * F.col("n")) & (percent * F.col("n") <= 100 * F.col("most_n")) & (F.least("rest", "best") >= _together(F.col("n"), partner, percent))
-    opened = scratch.write(grouped.join(matrix, "token").where((F.col("comp") > F.col("other")) & fits).select("node", "token", "n", "rest", "other"), "open")
-    members = grouped.select("token", F.col("comp").alias("other"), F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("rest").alias("a_rest"))
-    return opened.join(members, ["token", "other"]).where(_possible(percent)).select("a", F.col("node").alias("b")).distinct()
+    return grouped.join(scratch.write(matrix, "matrix"), "token").where(_below() & fits).select("node", "token", "n", "rest", "a_comp")
+
+
+def _members(opened: DataFrame, grouped: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes and members of the groups that they opened: the likeliest, or after the last turn all that can be linked."""
+    if turn < len(OPENED):
+        drawn, tried = OPENED[turn]
+        members = _drawn(grouped, ["token", "comp"], turn, drawn)
+    else:
+        members = grouped.select("token", F.col("node").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("n", "rest", "pure", "comp")])
+    pairs = opened.join(members, ["token", "a_comp"]).where(_possible(percent)).select("a", "a_pure", F.col("node").alias("b"))
+    return _likeliest(pairs, tried) if turn < len(OPENED) else pairs.select("a", "b").distinct()
 
 
 def _similar_groups(docs: DataFrame, scratch: Scratch, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -374,13 +404,20 @@ def _similar_groups(docs: DataFrame, scratch: Scratch, size: int, percent: int,
     reps = scratch.write(sets.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
     kept = ("rows", "whole", "prefixes", "nodes", "edges", "labels")
     scratch.drop(kept)
-    # Groups: each node tries its likeliest leaders of other groups, drawn anew in each round. The
-    # matrix sees to all that the rounds miss.
+    # Groups: each node tries its likeliest leaders of larger groups, then the likeliest members of
+    # groups that the matrix opens, and at last all members of those that are still open to it.
     edges = labels = None
-    for turn in range(len(TURNS) + 1):
+    for turn in range(len(TURNS) + len(OPENED) + 1):
         grouped = scratch.write(_labelled(rows, labels), "grouped")
         grouped = scratch.write(grouped.join(_several(grouped), "token", "left_semi"), "several")
-        pairs = _tries(grouped, turn, scratch, percent) if turn < len(TURNS) else _members(grouped, scratch, percent)
+        if turn < len(TURNS):
+            pairs = _tries(grouped, turn, scratch, percent)
+        else:
+            opened = scratch.write(_open(grouped, scratch, percent), "opened")
+            if opened.isEmpty():
+                break
+            pairs = _members(opened, grouped, turn - len(TURNS), percent)
+            del opened
         found = _verified(pairs, whole, scratch, percent)
         del pairs, grouped
         if found is not None and not found.isEmpty():
