@@ -36,6 +36,13 @@ ENTITIES: dict[str, str] = {
     "loan_application": "LoanApplication", "loan_agreement": "LoanAgreement", "loan_repayment_schedule": "LoanRepaymentSchedule", "loan_disbursement": "LoanDisbursement", "loan_collateral": "LoanCollateral",
     "ref_country": "RefCountry", "ref_currency": "RefCurrency", "ref_nace_industry": "RefIndustry",
 }
+# Tables by the external concept that grounds what they hold.
+GROUNDINGS: dict[str, str] = {
+    "party": "fibo-party:Party", "party_individual": "fibo-people:Person", "party_organization": "fibo-org:LegalEntity", "party_role_customer": "fibo-partyrole:Customer", "party_address": "fibo-place:Address", "party_identification": "fibo-people:IdentityDocument",
+    "deposit_account": "fibo-account:DepositAccount", "deposit_balance": "fibo-account:Balance", "deposit_transaction": "fibo-pay:Transaction", "deposit_interest_term": "fibo-account:InterestTerm", "deposit_overdraft_facility": "fibo-loan:OverdraftFacility",
+    "loan_application": "fibo-loanapp:LoanApplication", "loan_agreement": "fibo-loan:Loan", "loan_repayment_schedule": "fibo-loan:PaymentSchedule", "loan_disbursement": "fibo-loan:Disbursement", "loan_collateral": "fibo-loan:Collateral",
+    "ref_country": "fibo-place:Country", "ref_currency": "fibo-currency:Currency", "ref_nace_industry": "fibo-org:IndustrySector",
+}
 #: Tables in one expansion at most.
 MAX_TABLES = 12
 
@@ -59,6 +66,14 @@ def column_lineage(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "cube string, member string, source_column string")
 
 
+def grounded_entities(entities: DataFrame) -> DataFrame:
+    """Catalog entities with the tag of the concept that grounds them; tagging twice changes nothing."""
+    spark = entities.sparkSession
+    known = F.broadcast(spark.createDataFrame([(t, f"Grounding.{g}") for t, g in GROUNDINGS.items()], "name string, grounding string"))
+    own = F.when(F.col("grounding").isNotNull(), F.array_union("tags", F.array("grounding"))).otherwise(F.col("tags"))
+    return entities.join(known, "name", "left").withColumn("tags", own).drop("grounding").select(*entities.columns)
+
+
 class Ontology:
     def __init__(self, spark: SparkSession):
         self.spark = spark
@@ -100,6 +115,14 @@ class Ontology:
             return self.expand(self.spark.createDataFrame([(0, term)], "prompt_id int, prompt string"))
         raise ValueError(f"unknown operation {operation}")
 
+    def ask(self, operation: str, term: str = "") -> DataFrame | str:
+        """query(), or a sentence that says what was not found."""
+        found = self.query(operation, term).limit(50)
+        if not found.isEmpty():
+            return found
+        near = [r["concept"] for r in self.search(term[:4]).collect()] if term else []
+        return f"No concept matches '{term.strip()}'." + (f" Close to it: {', '.join(near)}." if near else " Use list to see all.")
+
     def match(self, prompts: DataFrame) -> DataFrame:
         """(prompt_id, concept, match_reason): concepts all of whose name words, or else label words, a prompt has."""
         stop = F.array(*[F.lit(w) for w in text.LABEL_STOP_WORDS])
@@ -121,7 +144,8 @@ class Ontology:
     def grounded_counts(self, catalog: Catalog, concepts: DataFrame) -> DataFrame:
         """(source_table, row_count) of the allow-listed tables behind concepts, active rows where the table has the flag."""
         allowed = {f"financial.{r['table_name']}": r["has_active_flag"] for r in catalog.allowed_tables().collect()}
-        named = [r["source_table"] for r in concepts.where(F.col("source_table").isNotNull()).select("source_table").distinct().orderBy("source_table").limit(MAX_TABLES).collect()]
+        well = F.col("source_table").rlike(r"\A[A-Za-z_][A-Za-z0-9_]*\.[A-Za-z_][A-Za-z0-9_]*\z")  # anything else isn't a table's name
+        named = [r["source_table"] for r in concepts.where(well).select("source_table").distinct().orderBy("source_table").limit(MAX_TABLES).collect()]
         probes = []
         for t in named:
             if t in allowed:

@@ -18,17 +18,25 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm)
 
 
+def unit(v: Column) -> Column:
+    """A vector divided by its length; null for a vector of zeros."""
+    norm = F.sqrt(dot(v, v))
+    return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm))
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", query_id: str = "query_id", query_vector: str = "query_vector") -> DataFrame:
-    """(query_id, id, similarity, rank): the k vectors nearest to each query, ties by id.
+    """(query_id, id, similarity, rank): the k vectors nearest to each query by unrounded cosine, ties by id; shown to 4 digits.
 
-    queries is a stated set and is broadcast, so vectors are scanned once where they lie; each
-    partition keeps its best k of each query before anything is shuffled.
+    queries is a stated set and is broadcast, so vectors are scanned once where they lie; lengths
+    are divided out once for each vector, and each partition keeps its best k of each query before
+    anything is shuffled.
     """
-    scored = vectors.select(F.col(id_col).alias("id"), F.col(vector).alias("__v")).crossJoin(F.broadcast(queries.select(query_id, F.col(query_vector).alias("__q"))))
-    scored = scored.select(query_id, "id", F.round(cosine(F.col("__v"), F.col("__q")), 4).alias("similarity"))
-    best = lambda *by: Window.partitionBy(*by).orderBy(F.col("similarity").desc_nulls_last(), F.col("id"))
+    scored = vectors.select(F.col(id_col).alias("id"), unit(F.col(vector)).alias("__v")).crossJoin(F.broadcast(queries.select(query_id, unit(F.col(query_vector)).alias("__q"))))
+    scored = scored.select(query_id, "id", dot(F.col("__v"), F.col("__q")).alias("__s"))
+    best = lambda *by: Window.partitionBy(*by).orderBy(F.col("__s").desc_nulls_last(), F.col("id"))
     local = scored.withColumn("__p", F.spark_partition_id()).withColumn("__r", F.row_number().over(best(query_id, "__p"))).where(F.col("__r") <= k)
-    return local.withColumn("rank", F.row_number().over(best(query_id))).where(F.col("rank") <= k).select(query_id, "id", "similarity", F.col("rank").cast("bigint").alias("rank"))
+    ranked = local.withColumn("rank", F.row_number().over(best(query_id))).where(F.col("rank") <= k)
+    return ranked.select(query_id, "id", F.round("__s", 4).alias("similarity"), F.col("rank").cast("bigint").alias("rank"))
 
 
 def rerank(candidates: DataFrame, score: Column, k: int, query_id: str = "query_id", tiebreak: str = "id") -> DataFrame:
@@ -40,7 +48,7 @@ def rerank(candidates: DataFrame, score: Column, k: int, query_id: str = "query_
 
 def hashed_counts(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, bucket, n): how often pieces of up to three characters, from every place of every word, fall in a bucket."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit("[a-z0-9_]+"), F.lit(0))
+    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
     pieces = F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: w.substr(i, F.lit(PIECE)))))
     bucket = F.conv(F.substring(F.md5("piece"), 1, 8), 16, 10).cast("bigint") % DIMENSIONS
     return texts.select(F.col(id_col).alias("id"), F.explode(pieces).alias("piece")).select("id", bucket.alias("bucket")).groupBy("id", "bucket").agg(F.count(F.lit(1)).alias("n"))
@@ -59,3 +67,29 @@ def upsert(table: DataFrame, rows: DataFrame, key: str, replaced: list[str]) ->
     joined = table.join(new, table[key] == new["__key"], "full")
     kept = table[key].isNotNull()
     return joined.select(*[F.when(kept & (F.lit(c not in replaced) | F.col("__new").isNull()), table[c]).otherwise(F.col(f"__new.{c}")).alias(c) for c in table.columns])
+
+
+def content(columns: DataFrame) -> DataFrame:
+    """(fqn, display_name, content): what is embedded of each table, from (schema_name, table_name, column_name, position)."""
+    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "column_name"))), lambda x: x["column_name"]), ", ")
+    tables = columns.groupBy("schema_name", "table_name").agg(names.alias("names"))
+    return tables.select(F.concat_ws(".", "schema_name", "table_name").alias("fqn"), F.col("table_name").alias("display_name"), F.concat(F.lit("Table "), "table_name", F.lit(" in schema "), "schema_name", F.lit(" with columns: "), "names").alias("content"))
+
+
+def prompt_search(documents: DataFrame, prompts: DataFrame, score: Column, fetch: int = 10, k: int = 3, degraded: bool = False) -> DataFrame:
+    """(prompt_id, fqn, similarity, cross_score, rank): documents near each prompt by hashed vectors, re-ranked by `score` of prompt and content.
+
+    documents: (fqn, content), prompts: (prompt_id, prompt). Hashed vectors are a stand-in for a
+    trained encoder, so they are refused unless the caller asks for them. Vectors meet on their
+    buckets; the similarity is exact, and only documents that share a piece with a prompt appear.
+    """
+    if not degraded:
+        raise ValueError("no trained encoder is at hand; pass degraded=True to search by hashed vectors")
+    own = hashed_counts(documents, "fqn", "content")
+    asked = hashed_counts(prompts, "prompt_id", "prompt").withColumnsRenamed({"id": "prompt_id", "n": "m"})
+    size = lambda c, i, n, name: c.groupBy(i).agg(F.sqrt(F.sum(F.col(n) * F.col(n)).cast("double")).alias(name))
+    dots = own.join(F.broadcast(asked), "bucket").groupBy("prompt_id", "id").agg(F.sum(F.col("n") * F.col("m")).cast("double").alias("dot"))
+    scored = dots.join(size(own, "id", "n", "a"), "id").join(size(asked, "prompt_id", "m", "b"), "prompt_id").withColumn("s", F.col("dot") / (F.col("a") * F.col("b")))
+    near = scored.withColumn("n", F.row_number().over(Window.partitionBy("prompt_id").orderBy(F.desc("s"), "id"))).where(F.col("n") <= fetch)
+    both = near.select("prompt_id", F.col("id").alias("fqn"), F.round("s", 4).alias("similarity")).join(documents.select("fqn", "content"), "fqn").join(F.broadcast(prompts), "prompt_id")
+    return rerank(both, score, k, "prompt_id", "fqn").select("prompt_id", "fqn", "similarity", "cross_score", F.col("rerank").alias("rank"))

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from marlstone.functions.text import FORBIDDEN_SQL, INJECTION_PATTERNS, LABEL_STOP_WORDS, LABELLED, PII_PATTERNS
 from marlstone.operators.ontology import CLASSES, ENTITIES, schema_of
+from marlstone.operators.catalog import SUITES
 from marlstone.plans.model import CUBES
-from marlstone.queries import DECLARED, EDGES, PROMPTS, RATES, SAMPLES, STATEMENTS
+from marlstone.operators.ontology import GROUNDINGS
+from marlstone.plans.retrieve import cube_text
+from marlstone.queries import DECLARED, MODELS, PROMPTS, SAMPLES, STATEMENTS
 from marlstone.sources.bindings import LOGICAL, with_logical
+from marlstone.sources.contracts import ALLOWED
 
 ORACLES: dict[str, str] = {}
 
@@ -26,11 +30,11 @@ def _sum(expr: str, where: str = "") -> str:
 
 def _avg(expr: str, where: str = "") -> str:
     keep = f" FILTER (WHERE {where})" if where else ""
-    return f"round(CAST(sum(CAST({expr} AS DECIMAL(18,4))){keep} AS DOUBLE) / nullif(count({expr}){keep}, 0), 4)"
+    return f"CAST(sum(CAST({expr} AS DECIMAL(18,4))){keep} AS DOUBLE) / nullif(count({expr}){keep}, 0)"
 
 
 def _ratio(a: str, b: str) -> str:
-    return f"round(100.0 * CAST({a} AS DOUBLE) / nullif(CAST({b} AS DOUBLE), 0), 4)"
+    return f"100.0::DOUBLE * CAST({a} AS DOUBLE) / nullif(CAST({b} AS DOUBLE), 0)"
 
 
 def _add(name: str, sql: str, *tables: str) -> None:
@@ -92,6 +96,27 @@ _add("sem_rollup_customer_risk", f"SELECT aml_risk_rating AS {_PC}_aml_risk_rati
 
 _add("rel_collateral", f"SELECT collateral_type, count(*) AS asset_count, {_sum('estimated_value')} AS total_value FROM loan_collateral WHERE md_is_active GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 10", _LC)
 _add("rel_deposit", f"SELECT a.account_type, count(*) AS account_count, {_sum('b.available_balance')} AS total_available_balance FROM deposit_account a JOIN deposit_balance b USING (deposit_account_id) WHERE a.md_is_active AND b.md_is_active GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 10", _DA, "deposit_balance")
+_add("sem_repayments_by_collateral", f"SELECT collateral_status AS loan_collateral_collateral_status, count(*) AS loan_repayment_schedule_total_installments, {_sum('total_due')} AS loan_repayment_schedule_total_scheduled_due FROM (SELECT DISTINCT r.rid, r.total_due, c.collateral_status FROM (SELECT *, row_number() OVER () AS rid FROM loan_repayment_schedule) r LEFT JOIN loan_agreement a USING (loan_agreement_id) LEFT JOIN loan_collateral c ON c.loan_agreement_id = a.loan_agreement_id) GROUP BY 1", "loan_repayment_schedule", _LA, "loan_collateral")
+_add("sem_maturity_by_year", "SELECT CAST(date_trunc('year', maturity_date) AS DATE) AS loan_agreement_maturity_date_year, count(*) FILTER (WHERE md_is_active) AS loan_agreement_total_loan_contracts FROM loan_agreement GROUP BY 1", _LA)
+_add("sem_new_dimensions", "SELECT currency_code AS deposit_transaction_currency_code, transaction_type AS deposit_transaction_transaction_type, count(*) AS deposit_transaction_total_transactions FROM deposit_transaction GROUP BY 1, 2", "deposit_transaction")
+_ACTIVE_COUNT = "count(*) FILTER (WHERE o.md_is_active)"
+_OWN = {
+    _DA: ("total_deposit_accounts", _ACTIVE_COUNT), "deposit_balance": ("total_current_balance", _sum("o.current_balance")), "deposit_interest_term": ("average_interest_rate", _avg("o.interest_rate * 100")), "deposit_overdraft_facility": ("total_facility_count", "count(*)"), "deposit_transaction": ("total_transactions", "count(*)"),
+    _LA: ("total_loan_contracts", _ACTIVE_COUNT), "loan_application": ("total_applications", "count(*)"), "loan_collateral": ("total_collateral_assets", "count(*)"), "loan_disbursement": ("total_disbursements_count", "count(*)"), "loan_repayment_schedule": ("total_installments", "count(*)"),
+    "party_address": ("total_addresses", "count(*)"), "party_identification": ("total_identifications", "count(*)"), "party_individual": ("total_individuals", "count(*)"), "party_organization": ("total_organizations", "count(*)"), _PC: ("total_customers", "count(*)"),
+}
+for _a, _b, _key, _their, _dim in (
+    (_DA, _PC, "customer_id", "party_role_customer_id", "customer_segment"), (_DA, "deposit_balance", "deposit_account_id", "deposit_account_id", "currency_code"), (_DA, "ref_currency", "currency_code", "currency_code", "currency_name"), (_DA, "deposit_interest_term", "deposit_account_id", "deposit_account_id", "rate_type"),
+    ("deposit_balance", _DA, "deposit_account_id", "deposit_account_id", "account_type"), ("deposit_interest_term", _DA, "deposit_account_id", "deposit_account_id", "account_type"), ("deposit_overdraft_facility", _DA, "deposit_account_id", "deposit_account_id", "account_type"), ("deposit_transaction", _DA, "deposit_account_id", "deposit_account_id", "account_type"),
+    (_LA, _PC, "customer_id", "party_role_customer_id", "customer_segment"), (_LA, "loan_application", "loan_application_id", "loan_application_id", "application_status"), (_LA, "ref_currency", "currency_code", "currency_code", "currency_name"), ("loan_application", _PC, "customer_id", "party_role_customer_id", "customer_segment"),
+    ("loan_collateral", _LA, "loan_agreement_id", "loan_agreement_id", "agreement_status"), ("loan_disbursement", _LA, "loan_agreement_id", "loan_agreement_id", "agreement_status"), ("loan_repayment_schedule", _LA, "loan_agreement_id", "loan_agreement_id", "agreement_status"),
+    ("party_address", "party", "party_id", "party_id", "party_type"), ("party_identification", "party", "party_id", "party_id", "party_type"), ("party_individual", "party", "party_id", "party_id", "party_type"), ("party_individual", "ref_country", "citizenship_country_code", "country_code", "country_name"),
+    ("party_organization", "party", "party_id", "party_id", "party_type"), ("party_organization", "ref_country", "incorporation_country_code", "country_code", "country_name"), ("party_organization", "ref_nace_industry", "nace_code", "nace_code", "nace_title"),
+    (_PC, "party", "party_id", "party_id", "party_type"), (_PC, "party_individual", "party_id", "party_id", "first_name"), (_PC, "party_organization", "party_id", "party_id", "legal_form"),
+):
+    _live = " AND t.md_is_active" if (_a, _b) in ((_DA, "deposit_balance"), (_DA, "deposit_interest_term")) else ""
+    _add(f"edge_{_a}_{_b}", f"SELECT t.{_dim} AS {_b}_{_dim}, {_OWN[_a][1]} AS {_a}_{_OWN[_a][0]} FROM {_a} o LEFT JOIN {_b} t ON o.{_key} = t.{_their}{_live} GROUP BY 1", _a, _b)
+
 _add("rel_aml", "SELECT aml_risk_rating, kyc_status, count(*) AS customer_count FROM party_role_customer WHERE md_is_active GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 10", _PC)
 _add("rel_default", "SELECT party_type, count(*) AS party_count FROM party WHERE md_is_active GROUP BY 1", "party")
 _add("rel_five_way_active", f"SELECT p.party_type, c.customer_segment, u.currency_name, count(*) AS n_accounts, {_sum('b.available_balance')} AS available_balance FROM party p JOIN party_role_customer c USING (party_id) JOIN deposit_account a ON a.customer_id = c.party_role_customer_id JOIN deposit_balance b USING (deposit_account_id) JOIN ref_currency u ON u.currency_code = a.currency_code WHERE p.md_is_active AND c.md_is_active AND a.md_is_active AND b.md_is_active GROUP BY 1, 2, 3", "party", _PC, _DA, "deposit_balance", "ref_currency")
@@ -104,7 +129,9 @@ _HISTORY = """h AS (
 _add("scd2_versions", f"WITH {_HISTORY} SELECT * FROM h")
 _add("scd2_active", f"WITH {_HISTORY} SELECT o_orderstatus, count(*) AS n_active FROM h WHERE is_active GROUP BY 1")
 _add("scd2_as_of", f"WITH {_HISTORY} SELECT o_custkey, o_orderkey, o_orderstatus FROM h WHERE valid_from <= TIMESTAMP '1997-01-01' AND TIMESTAMP '1997-01-01' < valid_to")
-_add("scd2_overlap_violations", "SELECT o_custkey, count(*) AS n_overlaps FROM (SELECT o_custkey, o_orderdate + INTERVAL 30 DAY AS e, lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate) AS nx FROM orders) WHERE nx < e GROUP BY 1")
+_add("scd2_overlap_violations", "SELECT b.o_custkey, count(*) AS n_overlaps FROM orders b WHERE EXISTS (SELECT 1 FROM orders a WHERE a.o_custkey = b.o_custkey AND (a.o_orderdate, a.o_orderkey) < (b.o_orderdate, b.o_orderkey) AND a.o_orderdate + INTERVAL 30 DAY > b.o_orderdate) GROUP BY 1")
+_add("scd2_apply_several", f"WITH {_HISTORY} SELECT o_custkey, o_orderkey, o_orderstatus, valid_from, CASE WHEN is_active AND o_custkey % 7 = 0 THEN TIMESTAMP '2005-01-01' ELSE valid_to END AS valid_to, is_active AND o_custkey % 7 <> 0 AS is_active FROM h UNION ALL SELECT o_custkey, o_orderkey, 'X', TIMESTAMP '2005-01-01', TIMESTAMP '2006-01-01', FALSE FROM h WHERE is_active AND o_custkey % 7 = 0 UNION ALL SELECT o_custkey, o_orderkey, 'Y', TIMESTAMP '2006-01-01', TIMESTAMP '9999-12-31 23:59:59', TRUE FROM h WHERE is_active AND o_custkey % 7 = 0")
+_add("scd2_as_of_join", f"WITH {_HISTORY} SELECT o.o_orderkey, h.o_orderkey AS v_version, h.o_orderstatus AS v_o_orderstatus FROM orders o LEFT JOIN h ON h.o_custkey = o.o_custkey AND h.valid_from <= o.o_orderdate - INTERVAL 10 DAY AND o.o_orderdate - INTERVAL 10 DAY < h.valid_to")
 _add("scd2_integrity", f"WITH {_HISTORY} SELECT 'disordered' AS rule, count(*) AS n FROM h WHERE valid_from >= valid_to UNION ALL SELECT 'several_active', count(*) FROM (SELECT o_custkey FROM h WHERE is_active GROUP BY 1 HAVING count(*) > 1)")
 _add("scd2_apply_change", f"WITH {_HISTORY} SELECT o_custkey, o_orderkey, o_orderstatus, valid_from, CASE WHEN is_active AND o_custkey % 7 = 0 THEN TIMESTAMP '2005-01-01' ELSE valid_to END AS valid_to, is_active AND o_custkey % 7 <> 0 AS is_active FROM h UNION ALL SELECT o_custkey, o_orderkey, 'X', TIMESTAMP '2005-01-01', TIMESTAMP '9999-12-31 23:59:59', TRUE FROM h WHERE is_active AND o_custkey % 7 = 0")
 
@@ -127,6 +154,15 @@ _add("graph_edge_inventory", "SELECT edge_type, CAST(sum(n) AS BIGINT) AS n_edge
 _add("graph_most_edges", "WITH per AS (SELECT customer_id AS src, count(*) AS n FROM loan_agreement l JOIN party_role_customer c ON c.party_role_customer_id = l.customer_id WHERE l.md_is_active AND c.md_is_active GROUP BY 1) SELECT (SELECT max(n) FROM per) AS max_loans, (SELECT count(*) FROM party_role_customer WHERE md_is_active AND party_role_customer_id NOT IN (SELECT src FROM per)) AS n_without", _LA, _PC)
 _add("graph_most_specific_type", "SELECT CASE party_type WHEN 'ORGANIZATION' THEN 'Organization' ELSE 'Individual' END AS class, count(*) AS n_nodes FROM party WHERE md_is_active GROUP BY 1", "party")
 
+_EDGE_SUM = "SELECT CAST(sum(n) AS BIGINT) FROM (" + " UNION ALL ".join(_EDGE.format(k=k, a=a, b=b, on=on, w=w) for k, a, b, on, w in _EDGES) + ")"
+_add("graph_totals", f"SELECT (SELECT CAST(sum(n_nodes) AS BIGINT) FROM ({_INVENTORY})) AS n_nodes, ({_EDGE_SUM}) AS n_edges", *[t for _, t in _NODES])
+_add("graph_degrees", "SELECT n, count(*) AS n_customers FROM (SELECT c.party_role_customer_id, count(l.loan_agreement_id) AS n FROM party_role_customer c LEFT JOIN loan_agreement l ON l.customer_id = c.party_role_customer_id AND l.md_is_active WHERE c.md_is_active GROUP BY 1) GROUP BY 1", _LA, _PC)
+_add("graph_labelled", "SELECT party_id AS node_id FROM party WHERE md_is_active AND party_type = 'ORGANIZATION'", "party")
+_KEYS_OF = {"RefCountry": "country_code", "RefCurrency": "currency_code", "RefIndustry": "nace_code"}
+_add("graph_untyped_ids", " UNION ALL ".join(f"SELECT '{n}' AS label, CAST({_KEYS_OF[n]} AS VARCHAR) AS node_id FROM {t}" for n, t in _NODES if n in _KEYS_OF), *[t for n, t in _NODES if n in _KEYS_OF])
+_add("graph_full_text", """WITH n AS (SELECT 'Individual' AS label, party_id AS node_id, first_name || ' ' || last_name AS name FROM party_individual WHERE md_is_active UNION ALL SELECT 'Organization', party_id, legal_name FROM party_organization WHERE md_is_active UNION ALL SELECT 'Customer', party_role_customer_id, customer_number FROM party_role_customer WHERE md_is_active)
+SELECT label, node_id, name, score FROM (SELECT *, len(list_intersect(list_distinct(regexp_extract_all(lower(name), '[a-z0-9]+')), ['customer', '000000001', 'first'])) + CAST(lower(name) = 'customer#000000001 first' AS BIGINT) AS score FROM n) WHERE score > 0 ORDER BY score DESC, label, node_id LIMIT 10""", "party_individual", "party_organization", _PC)
+
 _CLASS = _values([(n, label, c) for n, label, c, _, _ in CLASSES], "concept", "label", "definition")
 _SUB = _values([(n, p) for n, _, _, p, _ in CLASSES if p], "child", "parent")
 _BRIDGE = _values([(f"{schema_of(t)}.{t}", t, e) for t, e in ENTITIES.items()], "table_name", "cube", "entity")
@@ -156,20 +192,61 @@ _add("lineage_columns", f"SELECT cube, n_columns FROM {_values(_BARE.items(), 'c
 _add("lineage_three_hop", f"SELECT entity, table_name, cube, label FROM {_BRIDGE} LEFT JOIN {_CLASS} ON concept = entity")
 
 _DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)))"
-_COS = f"round({_DOT.format(a='e.embedding', b='q.embedding')} / (sqrt({_DOT.format(a='e.embedding', b='e.embedding')}) * sqrt({_DOT.format(a='q.embedding', b='q.embedding')})), 4)"
-_NEAR = f"near AS (SELECT * FROM (SELECT query_id, id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, {_COS} AS similarity FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0)) WHERE rank <= 10)"
+_COS = f"{_DOT.format(a='e.embedding', b='q.embedding')} / (sqrt({_DOT.format(a='e.embedding', b='e.embedding')}) * sqrt({_DOT.format(a='q.embedding', b='q.embedding')}))"
+_NEAR = f"near AS (SELECT query_id, id, round(s, 4) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, {_COS} AS s FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0)) WHERE rank <= 10)"
 _add("vec_knn_cosine", f"WITH {_NEAR} SELECT * FROM near")
 _add("vec_two_stage_rerank", f"WITH {_NEAR} SELECT query_id, id, cross_score, rerank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cross_score DESC, id) AS rerank FROM (SELECT query_id, id, round((CASE WHEN a.label = b.label THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) + similarity, 4) AS cross_score FROM near JOIN embeddings a ON a.vec_id = id JOIN embeddings b ON b.vec_id = query_id)) WHERE rerank <= 3")
-_add("vec_degraded_embed", """WITH w AS (SELECT item_id AS id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+')) AS word FROM benchmark),
+_add("vec_degraded_embed", """WITH w AS (SELECT item_id AS id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+')) AS word FROM benchmark),
 g AS (SELECT id, substr(word, i, 3) AS piece FROM (SELECT id, word, unnest(range(1, length(word) + 1)) AS i FROM w)),
 c AS (SELECT id, CAST(('0x' || substr(md5(piece), 1, 8)) AS BIGINT) % 384 AS bucket, count(*) AS n FROM g GROUP BY 1, 2)
 SELECT id, bucket, round(n / sqrt(CAST(sum(n * n) OVER (PARTITION BY id) AS DOUBLE)), 6) AS weight FROM c""")
 _add("vec_upsert", "WITH n AS (SELECT CASE WHEN vec_id % 2 = 0 THEN vec_id ELSE -vec_id END AS vec_id, label + 100 AS label FROM embeddings WHERE vec_id % 3 = 0) SELECT coalesce(e.vec_id, n.vec_id) AS vec_id, coalesce(n.label, e.label) AS label, CASE WHEN e.vec_id IS NULL THEN 0.0::DOUBLE ELSE CAST(e.embedding[1] AS DOUBLE) END AS first FROM embeddings e FULL JOIN n ON e.vec_id = n.vec_id")
 _QUERY = _values(((1, "the thing that was and the other"), (2, "de la que en"), (3, "nothing zzz")), "query_id", "query")
-_add("lex_overlap_score", f"""WITH p AS (SELECT query_id, item_id AS id, list_distinct(regexp_extract_all(lower(query), '[a-z0-9]+')) AS q, regexp_extract_all(lower(text), '[a-z0-9]+') AS d FROM benchmark, {_QUERY}),
+_add("lex_overlap_score", f"""WITH p AS (SELECT query_id, item_id AS id, list_distinct(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}_]+')) AS q, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS d FROM benchmark, {_QUERY}),
 s AS (SELECT query_id, id, CASE WHEN len(q) = 0 OR len(d) = 0 THEN 0.0 ELSE round(CAST(len(list_filter(d, lambda x: list_contains(q, x))) AS DOUBLE) / sqrt(CAST(len(q) AS DOUBLE) * len(d)), 4) END AS cross_score FROM p)
 SELECT query_id, id, cross_score, rerank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cross_score DESC, id) AS rerank FROM s) WHERE rerank <= 3""")
 
+_CUBES = _values([(c.name, cube_text(c)) for c in CUBES.values()], "id", "content")
+_GRAMS = """SELECT id, CAST(('0x' || substr(md5(substr(word, i, 3)), 1, 8)) AS BIGINT) % 384 AS bucket, count(*) AS n FROM (SELECT id, word, unnest(range(1, length(word) + 1)) AS i FROM (SELECT {i} AS id, unnest(regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}_]+')) AS word FROM {t})) GROUP BY 1, 2"""
+_UNI = "regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}_]+')"
+_add("vec_prompt_search", f"""WITH docs AS (SELECT * FROM {_CUBES}), prompts AS (SELECT * FROM {_PROMPTS}), d AS ({_GRAMS.format(i="id", c="content", t="docs")}), q AS ({_GRAMS.format(i="prompt_id", c="prompt", t="prompts")}),
+s AS (SELECT q.id AS prompt_id, d.id AS fqn, CAST(sum(d.n * q.n) AS DOUBLE) / (any_value(a) * any_value(b)) AS s FROM d JOIN q USING (bucket) JOIN (SELECT id, sqrt(CAST(sum(n * n) AS DOUBLE)) AS a FROM d GROUP BY 1) x ON x.id = d.id JOIN (SELECT id, sqrt(CAST(sum(n * n) AS DOUBLE)) AS b FROM q GROUP BY 1) y ON y.id = q.id GROUP BY 1, 2),
+n AS (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY s DESC, fqn) AS r FROM s),
+c AS (SELECT prompt_id, fqn, round(s, 4) AS similarity, list_distinct({_UNI.format(c="prompt")}) AS w, {_UNI.format(c="content")} AS v FROM n JOIN docs ON docs.id = fqn JOIN prompts USING (prompt_id) WHERE r <= 10),
+x AS (SELECT prompt_id, fqn, similarity, CASE WHEN len(w) = 0 OR len(v) = 0 THEN 0.0 ELSE round(CAST(len(list_filter(v, lambda z: list_contains(w, z))) AS DOUBLE) / sqrt(CAST(len(w) AS DOUBLE) * len(v)), 4) END AS cross_score FROM c)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY cross_score DESC, fqn) AS rank FROM x) WHERE rank <= 3""")
+
+# The catalog, from what DuckDB says of the projections.
+_IN = lambda t: "ref" if t.startswith("ref_") else "financial"
+_SCHEMA = "(" + " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{_IN(t)}' AS schema_name, column_name FROM (DESCRIBE {q})" for t, q in LOGICAL.items()) + ")"
+_CLASS_OF = "CASE WHEN " + " OR ".join(f"contains(column_name, '{w}')" for w in ("id_number", "date_of_birth", "registration_number", "gender", "party_bk")) + " THEN 'PersonalData.SpecialCategory' WHEN " + " OR ".join(f"contains(column_name, '{w}')" for w in ("first_name", "last_name", "street_address", "building_number", "city", "postal_code", "account_number")) + " THEN 'PersonalData.Personal' END"
+_GROUNDED = _values(GROUNDINGS.items(), "t", "g")
+_add("catalog_entities", f"SELECT schema_name || '.' || table_name AS fqn, table_name AS name, n_columns, CASE WHEN tags IS NULL THEN 'Grounding.' || g ELSE tags || ',Grounding.' || g END AS tags FROM (SELECT schema_name, table_name, count(*) AS n_columns, string_agg(DISTINCT tag, ',' ORDER BY tag) AS tags FROM (SELECT *, {_CLASS_OF} AS tag FROM {_SCHEMA}) GROUP BY 1, 2) JOIN {_GROUNDED} ON t = table_name")
+_add("catalog_columns", f"SELECT schema_name, table_name, column_name, CASE WHEN table_name = 'party' AND column_name = 'party_bk' THEN 'Business key' END AS comment FROM {_SCHEMA}")
+_add("catalog_upsert", f"SELECT schema_name || '.' || table_name AS fqn, table_name AS name, CASE WHEN table_name = 'party' THEN 0 ELSE count(*) END AS n_columns FROM {_SCHEMA} GROUP BY schema_name, table_name UNION ALL SELECT 'financial.extra', 'extra', 1")
+_add("top_catalog_hits", f"SELECT table_name, schema_name || '.' || table_name AS fqn, score FROM (SELECT table_name, schema_name, count(DISTINCT w) AS score FROM (SELECT table_name, schema_name, unnest(regexp_extract_all(replace(lower(table_name || ' ' || column_name), '_', ' '), '[a-z0-9]+')) AS w FROM {_SCHEMA}) WHERE w IN ('loan', 'collateral', 'value', 'status') GROUP BY 1, 2) ORDER BY score DESC, table_name LIMIT 5")
+_add("catalog_constraints", "SELECT * FROM (VALUES ('PRIMARY KEY', 19), ('FOREIGN KEY', 21), ('CHECK', 22)) t(kind, n)")
+_PROFILED = (("party", ("party_id", "party_bk", "party_type")), ("loan_repayment_schedule", ("loan_agreement_id", "installment_number", "installment_status")))
+_add("catalog_profiles", " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) AS n_rows, count({c}) AS n_values, count(*) - count({c}) AS n_nulls, count(DISTINCT {c}) AS n_distinct FROM {t}" for t, cs in _PROFILED for c in cs), "party", "loan_repayment_schedule")
+
+
+def _suite(t: str, source: str, bounds, filled, unique, allowed: dict) -> list[str]:
+    tests = [("row_count_between", "", f"CASE WHEN count(*) BETWEEN {bounds[0]} AND {bounds[1]} THEN 0 ELSE 1 END")] if bounds else []
+    tests += [("not_null", c, f"count(*) - count({c})") for c in filled] + [("unique", c, f"count({c}) - count(DISTINCT {c})") for c in unique]
+    tests += [("allowed_values", c, f"count(*) FILTER (WHERE {c} NOT IN ({', '.join(map(_text, v))}))") for c, v in allowed.items()]
+    return [f"SELECT '{t}' AS table_name, '{a}' AS assertion, '{c}' AS column_name, CAST({e} AS BIGINT) AS n_failing, {e} = 0 AS passed FROM {source}" for a, c, e in tests]
+
+
+_flagged = lambda t: f"(SELECT * FROM {t}" + (" WHERE md_is_active)" if "md_is_active" in LOGICAL[t] else ")")
+_add("dq_suites", " UNION ALL ".join(x for t, (bounds, filled, unique) in SUITES.items() for x in _suite(t, _flagged(t), bounds, filled, unique, ALLOWED.get(t, {}))), *SUITES)
+_REPAYMENTS = " UNION ALL ".join(_suite("loan_repayment_schedule", _flagged("loan_repayment_schedule"), *SUITES["loan_repayment_schedule"], ALLOWED["loan_repayment_schedule"]))
+_add("dq_check_table", f"SELECT table_name || '_' || assertion || CASE WHEN column_name <> '' THEN '_' || column_name ELSE '' END AS test_name, CASE WHEN passed THEN 'Success' ELSE 'Failed' END AS status, CAST(n_failing AS VARCHAR) || ' failing' AS result_message FROM ({_REPAYMENTS})", "loan_repayment_schedule")
+_RULES = (("party", (11, 1 << 62), ("party_id", "party_bk", "party_type", "status_code"), ("party_id",), {"party_type": ("INDIVIDUAL", "ORGANIZATION"), "status_code": ("ACTIVE", "INACTIVE", "SUSPENDED")}), (_DA, (1_000_000_001, 1 << 62), ("deposit_account_id", "account_number", "account_type", "account_status"), ("deposit_account_id",), {"account_type": ("SAVINGS", "CHECKING"), "account_status": ("ACTIVE", "DORMANT", "FROZEN", "CLOSED")}), (_LA, None, ("loan_agreement_id", "agreement_status"), ("loan_agreement_id",), {"agreement_status": ("ACTIVE", "DEFAULTED", "PAID_OFF", "FROZEN")}))
+_add("contract_rules", " UNION ALL ".join(x for t, *rest in _RULES for x in _suite(t, t, *rest)), *[r[0] for r in _RULES])
+_add("contract_find_drift", "SELECT * FROM (VALUES ('loan_guarantee', NULL, 'unqualified_model', NULL), ('financial.loan_guarantor', NULL, 'missing_table', NULL), ('financial.deposit_account', 'overdraft_code', 'phantom_column', NULL), ('financial.loan_agreement', 'agreement_status', 'unwritable_value', 'FROZEN'), ('financial.deposit_account', 'account_type', 'missing_value', 'TERM_DEPOSIT')) t(model, column_name, problem, detail)")
+_add("contract_products", "SELECT * FROM (VALUES ('Party Data Product', 'Party', '1.0', 'active', 1), ('Deposit Data Product', 'Deposits', '1.1', 'active', 1), ('Loan Data Product', 'Loans', '0.9', 'draft', 3)) t(product, domain, version, status, n_models)")
+_add("contract_freshness", "SELECT 'events' AS table_name, CAST(epoch(TIMESTAMP '2030-01-01') - floor(epoch(max(ts))) AS BIGINT) AS age_seconds, coalesce(epoch(TIMESTAMP '2030-01-01') - floor(epoch(max(ts))) <= 3600, FALSE) AS fresh FROM events")
+
 _COLUMNS = ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
 _add("dq_profile", "WITH g AS (SELECT * REPLACE (nullif(c_mktsegment, 'BUILDING') AS c_mktsegment) FROM customer) " + " UNION ALL ".join(f"SELECT 'customer' AS table_name, '{c}' AS column_name, count(*) AS n_rows, count({c}) AS n_values, count(*) - count({c}) AS n_nulls, count(DISTINCT {c}) AS n_distinct FROM g" for c in _COLUMNS))
 
@@ -196,7 +273,12 @@ _add("contract_drift", f"SELECT table_name, NULL::VARCHAR AS column_name, 'missi
 
 _TAGS = (("first_name", "Personal"), ("home_city", "Personal"), ("id_number_hash", "SpecialCategory"), ("gender", "SpecialCategory"), ("party_bk", "SpecialCategory"), ("balance", None), ("account_number", "Personal"), ("date_of_birth", "SpecialCategory"), ("registration_number", "SpecialCategory"), ("postal_code_2", "Personal"), ("amount", None))
 _add("pii_column_tags", f"SELECT * FROM {_values(_TAGS, 'column_name', 'pii_class')}")
-_add("pii_mask_rows", "SELECT party_individual_id, party_id, '[REDACTED]' AS first_name, CASE WHEN last_name IS NOT NULL THEN '[REDACTED]' END AS last_name, CASE WHEN gender IS NOT NULL THEN '[REDACTED]' END AS gender, citizenship_country_code, md_is_active FROM party_individual", "party_individual")
+_SPECIAL, _PERSONAL = "'[REDACTED - PersonalData.SpecialCategory]'", "'[REDACTED - PersonalData.Personal]'"
+_hidden = lambda c, m: f"CASE WHEN {c} IS NOT NULL THEN {m} END"
+_add("pii_mask_rows", f"SELECT * REPLACE ({_hidden('first_name', _PERSONAL)} AS first_name, {_hidden('last_name', _PERSONAL)} AS last_name, {_hidden('gender', _SPECIAL)} AS gender, {_hidden('date_of_birth', _SPECIAL)} AS date_of_birth) FROM party_individual", "party_individual")
+_add("pii_mask_nested", f"SELECT party_id, {_hidden('first_name', _PERSONAL)} AS a, md_is_active AS b, {_hidden('gender', _SPECIAL)} AS c, {_hidden('last_name', _PERSONAL)} AS d, {_hidden('gender', _SPECIAL)} AS e, 'k' AS f FROM party_individual", "party_individual")
+_add("sql_guarded_masked", "SELECT party_id, CASE WHEN last_name IS NOT NULL THEN '[REDACTED]' END AS nick, CASE WHEN gender IS NOT NULL THEN '[REDACTED]' END AS g FROM party_individual ORDER BY party_id LIMIT 200", "party_individual")
+_add("sql_guarded_uncapped", "SELECT party_type, party_id FROM party WHERE md_is_active", "party")
 _SAMPLE = _values(SAMPLES, "doc_id", "text")
 _TEXTS = f"(SELECT doc_id, text FROM documents UNION ALL SELECT * FROM {_SAMPLE})"
 
@@ -214,7 +296,9 @@ _add("inj_scan", f"SELECT doc_id, len(h) AS n_patterns, CAST(h[1] AS BIGINT) AS
 _CLEAN = "text"
 for _p in INJECTION_PATTERNS:
     _CLEAN = f"regexp_replace({_CLEAN}, {_text('(?i)' + _p)}, '[QUARANTINED]', 'g')"
-_add("inj_quarantine", f"SELECT doc_id, {_CLEAN} AS clean FROM {_SAMPLE}")
+_add("inj_quarantine", f"SELECT doc_id, md5({_CLEAN}) AS digest FROM {_TEXTS}")
+_MARKS = "len(regexp_extract_all({c}, '\\[REDACTED_'))"
+_add("gov_sanitised", f"WITH r AS (SELECT doc_id, turn, text AS raw, {_redacted('text')} AS text FROM (SELECT doc_id, 0 AS turn, text FROM {_SAMPLE} UNION ALL SELECT conv_id, turn, text FROM conversations)), h AS (SELECT *, len({_HITS}) AS n_patterns FROM r) SELECT doc_id, turn, md5({_CLEAN}) AS digest, {_MARKS.format(c='text')} - {_MARKS.format(c='raw')} AS pii_redactions_applied, n_patterns, CASE WHEN n_patterns > 0 THEN 'REVIEW_REQUIRED' ELSE 'SECURE' END AS safety_status, n_patterns > 0 AS content_quarantined FROM h")
 _BODY = """regexp_replace(trim(regexp_replace(regexp_replace(statement, '''(?:[^'']|'''')*''', '''''', 'g'), '"[^"]*"', '""', 'g')), ';\\s*$', '')"""
 _add("guard_readonly", f"SELECT id, NOT contains(b, ';') AND regexp_matches(b, '(?i)^\\s*(?:SELECT|WITH|EXPLAIN)\\b') AND NOT regexp_matches(b, '(?i)\\b(?:{'|'.join(FORBIDDEN_SQL)})\\b') AS allowed FROM (SELECT id, {_BODY} AS b FROM {_values(STATEMENTS, 'id', 'statement')})")
 
@@ -223,15 +307,27 @@ _add("intent_classify", f"SELECT prompt_id, CASE WHEN {_HAS(('collateral', 'pled
 _TURNS = "t AS (SELECT u.conv_id, u.turn, u.text AS prompt, a.text AS response FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant')"
 _KEYS = "list_distinct(regexp_extract_all(lower(coalesce({c}, '')), '[a-z0-9_]{{3,}}'))"
 _FACTS = "list_distinct(regexp_extract_all(coalesce({c}, ''), '\\b(?:\\d+(?:\\.\\d+)?|[A-Z_]{{3,}})\\b'))"
-_add("triad_scores", f"""WITH {_TURNS},
-k AS (SELECT *, {_KEYS.format(c="prompt")} AS p, {_KEYS.format(c="response")} AS r, {_FACTS.format(c="prompt")} AS kf, {_FACTS.format(c="response")} AS rf FROM t),
-s AS (SELECT conv_id, turn,
-        CASE WHEN len(p) = 0 THEN 1.0::DOUBLE WHEN len(r) = 0 THEN 0.0::DOUBLE ELSE round(len(list_intersect(p, r))::DOUBLE / len(p), 4) END AS answer_relevance,
-        CASE WHEN len(rf) = 0 THEN 1.0::DOUBLE ELSE round(len(list_filter(rf, lambda f: list_contains(kf, f) OR contains(lower(prompt), lower(f))))::DOUBLE / len(rf), 4) END AS faithfulness FROM k)
-SELECT *, round((answer_relevance + faithfulness) / 2, 5) AS composite FROM s""")
+_COVER = "CASE WHEN length(trim(coalesce(response, ''))) = 0 THEN 0.0::DOUBLE WHEN len(p) = 0 THEN 1.0::DOUBLE WHEN len({c}) = 0 THEN 0.0::DOUBLE ELSE round(len(list_intersect(p, {c}))::DOUBLE / len(p), 4) END"
+_TRIAD = f"""{_TURNS}, g AS (SELECT t.*, b.text AS context FROM t LEFT JOIN conversations b ON b.conv_id = t.conv_id AND b.turn = t.turn - 1),
+k AS (SELECT *, {_KEYS.format(c="prompt")} AS p, {_KEYS.format(c="response")} AS r, {_KEYS.format(c="context")} AS x, {_FACTS.format(c="context")} AS kf, {_FACTS.format(c="response")} AS rf FROM g),
+s AS (SELECT conv_id, turn, {_COVER.format(c="x")} AS context_relevance, {_COVER.format(c="r")} AS answer_relevance,
+        CASE WHEN length(trim(coalesce(response, ''))) = 0 THEN 0.0::DOUBLE WHEN len(rf) = 0 THEN 1.0::DOUBLE ELSE round(len(list_filter(rf, lambda f: list_contains(kf, f) OR contains(lower(coalesce(context, '')), lower(f))))::DOUBLE / len(rf), 4) END AS faithfulness FROM k),
+triad AS (SELECT *, round((context_relevance + faithfulness + answer_relevance) / 3, 4) AS composite FROM s)"""
+_add("triad_scores", f"WITH {_TRIAD} SELECT * FROM triad")
+_add("triad_evaluation", f"WITH {_TRIAD}, e AS (SELECT conv_id % 3 AS domain, CASE WHEN conv_id % 7 <> 0 THEN composite * 100 END AS score FROM triad) SELECT domain, count(*) AS n, count(*) FILTER (WHERE score >= 80) AS n_passed, CAST(sum(CAST(score AS DECIMAL(18,6))) AS DOUBLE) / nullif(count(score), 0) AS mean_score, 100.0::DOUBLE * count(*) FILTER (WHERE score >= 80) / count(*) AS pass_rate FROM e GROUP BY 1")
 _EST = "CASE WHEN length(coalesce({c}, '')) = 0 THEN 0 ELSE greatest(1, length({c}) // 4) END"
-_add("telemetry_rollup", f"WITH {_TURNS}, n AS (SELECT count(*) AS n_calls, CAST(sum({_EST.format(c='prompt')}) AS BIGINT) AS prompt_tokens, CAST(sum({_EST.format(c='response')}) AS BIGINT) AS completion_tokens FROM t) SELECT model, n_calls, prompt_tokens, completion_tokens, round(prompt_tokens / 1000.0::DOUBLE * rate_in::DOUBLE + completion_tokens / 1000.0::DOUBLE * rate_out::DOUBLE, 6) AS cost FROM n, {_values(RATES, 'model', 'rate_in', 'rate_out')}")
-_add("telemetry_histogram", " UNION ALL ".join(f"SELECT event_type, {e!r}::DOUBLE AS le, count(*) FILTER (WHERE value <= {e!r}) AS n FROM events GROUP BY 1" for e in (*EDGES, 1e9)))
+_PRICED = {"gpt-4o-mini": (0.00015, 0.0006), "gemini-2.0-flash": (0.0001, 0.0004), "moonshot/unlisted": (0.002, 0.004)}
+_rate = lambda k: "CAST(CASE model " + " ".join(f"WHEN '{m}' THEN {r[k]:.5f}" for m, r in _PRICED.items()) + " ELSE 0.00000 END AS DECIMAL(8,5))"
+_TRACED = f"{_TURNS}, traces AS (SELECT *, [{', '.join(map(_text, MODELS))}][conv_id % {len(MODELS)} + 1] AS model, {_EST.format(c='prompt')} AS pt, {_EST.format(c='response')} AS ct, length(coalesce(prompt, '')) AS pl, length(coalesce(response, '')) AS rl FROM t)"
+_add("telemetry_rollup", f"WITH {_TRACED} SELECT model, count(*) AS n_traces, CAST(sum(pt) AS BIGINT) AS prompt_tokens, CAST(sum(ct) AS BIGINT) AS completion_tokens, CAST(sum(CAST(round((CAST(pt AS DECIMAL(10,0)) * {_rate(0)} + CAST(ct AS DECIMAL(10,0)) * {_rate(1)}) * CAST(0.001 AS DECIMAL(4,3)), 6) AS DECIMAL(18,6))) AS DOUBLE) AS cost_usd, CAST(sum(pl + rl) AS DOUBLE) / count(*) AS mean_ms FROM traces GROUP BY 1")
+_add("telemetry_tiers", f"WITH {_TRACED} SELECT 'vector' AS tier, count(*) AS n, CAST(sum(pl) AS DOUBLE) / count(*) AS mean_ms FROM traces UNION ALL SELECT 'graph', count(*), CAST(sum(rl) AS DOUBLE) / count(*) FROM traces")
+_BUCKETS = (10.0, 25.0, 50.0, 100.0, 250.0, 500.0, 1000.0, 2500.0, 5000.0, 10000.0)
+_HISTOGRAM = " UNION ALL ".join([f"SELECT event_type, {e!r}::DOUBLE AS le, count(*) FILTER (WHERE value <= {e!r}) AS n FROM events GROUP BY 1" for e in _BUCKETS] + ["SELECT event_type, 1e9::DOUBLE AS le, count(value) AS n FROM events GROUP BY 1"])
+_add("telemetry_histogram", _HISTOGRAM)
+_add("telemetry_p95", f"""WITH h AS ({_HISTOGRAM}), w AS (SELECT *, lag(n, 1, 0) OVER (PARTITION BY event_type ORDER BY le) AS n0, lag(le, 1, 0.0) OVER (PARTITION BY event_type ORDER BY le) AS le0, 0.95::DOUBLE * max(n) OVER (PARTITION BY event_type) AS rank FROM h)
+SELECT event_type, round(CASE WHEN le >= 1e9 THEN le0 WHEN n = n0 THEN le ELSE le0 + (le - le0) * (rank - n0) / (n - n0) END, 6) AS p95 FROM w QUALIFY n >= rank AND row_number() OVER (PARTITION BY event_type, n >= rank ORDER BY le) = 1""")
+_add("stream_quantiles", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type AS kind, count(value) AS n, round(quantile_cont(value, 0.95), 6) AS quantile FROM events GROUP BY 1, 2")
+_add("fn_scalars", "SELECT page_id, 'part' || CAST(page_id AS VARCHAR) AS local, md5(CASE WHEN length(html) > 100 THEN substr(html, 1, 100) || '...' ELSE html END) AS cut, regexp_full_match(url, '[A-Za-z_][A-Za-z0-9_]*') AS is_name, least(1.0::DOUBLE, CAST((page_id % 3) || '.25' AS DOUBLE)) AS score, 0.0::DOUBLE AS no_score FROM pages")
 _add("telemetry_last_five", "SELECT event_type, event_id, rn FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn <= 5")
 _add("stream_sliding_rate", "SELECT w AS window_start, w + INTERVAL 1 HOUR AS window_end, count(*) AS n_events, count(*) FILTER (WHERE event_type = 'error') AS n_bad, round(CAST(count(*) FILTER (WHERE event_type = 'error') AS DOUBLE) / count(*), 4) AS bad_ratio FROM (SELECT *, unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS w FROM events) GROUP BY 1")
 _add("stream_sessions", "SELECT user_id, min(ts) AS session_start, count(*) AS n_events FROM (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s")

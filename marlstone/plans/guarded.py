@@ -3,17 +3,32 @@
 from __future__ import annotations
 
 import json
+import threading
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions import text
 from marlstone.sources.bindings import LOGICAL, Catalog
 
-#: Rows that a tool gets at most.
+#: Rows that a tool gets at most, and seconds that a role's statement may take.
 ROW_CAP = 200
+TIMEOUTS = {"tools": 10.0, "metrics": 30.0}
+#: Functions that statements may call; none reads files, settings or classes.
+FUNCTIONS = frozenset(
+    "count sum avg mean min max stddev variance median first last any_value bool_and bool_or every some count_if collect_list collect_set array_agg approx_count_distinct percentile percentile_approx corr "
+    "row_number rank dense_rank ntile lag lead first_value last_value nth_value cume_dist percent_rank "
+    "abs ceil ceiling floor round bround sqrt power pow exp ln log log10 log2 mod pmod sign signum greatest least rand "
+    "coalesce nullif ifnull nvl nvl2 if isnull isnotnull cast try_cast double int bigint string boolean decimal date timestamp "
+    "lower upper trim ltrim rtrim btrim length char_length concat concat_ws substring substr left right replace translate reverse repeat lpad rpad split initcap instr position locate contains startswith endswith regexp_replace regexp_extract regexp_extract_all regexp_like rlike like ilike format_number md5 sha1 sha2 "
+    "year quarter month day dayofmonth dayofweek hour minute second date_trunc trunc date_add date_sub datediff months_between add_months last_day to_date to_timestamp date_format current_date current_timestamp now unix_timestamp "
+    "array map struct named_struct size array_contains array_distinct array_sort sort_array element_at explode posexplode inline transform filter aggregate exists flatten slice sequence to_json get_json_object from_json grouping grouping_id".split()
+)
 _WRITES = ("org.apache.spark.sql.catalyst.plans.logical.Command", "org.apache.spark.sql.catalyst.plans.logical.ParsedStatement")
+_LEAVES = frozenset({"UnresolvedRelation", "OneRowRelation", "UnresolvedInlineTable", "LocalRelation"})
 
 
 class Rejected(ValueError):
@@ -26,8 +41,30 @@ class Answer:
     truncated: bool
 
 
-def check(catalog: Catalog, sql: str) -> None:
-    """Reject what isn't one reading statement: by its words first, then by the plan that Catalyst parses."""
+def _each(seq) -> Iterator:
+    return (seq.apply(i) for i in range(seq.size()))
+
+
+def _plans(plan) -> Iterator:
+    """A parsed plan's nodes, those of subqueries and common tables too."""
+    yield plan
+    for kin in (plan.children(), plan.innerChildren(), plan.subqueries()):
+        for p in _each(kin):
+            yield from _plans(p)
+
+
+def _expressions(expression) -> Iterator:
+    yield expression
+    for e in _each(expression.children()):
+        yield from _expressions(e)
+
+
+def check(catalog: Catalog, sql: str) -> list[str]:
+    """The logical tables that a statement reads; raises Rejected unless it is one reading statement over them alone.
+
+    Its words are tested first, then the plan that Catalyst parses: no commands, no relation but
+    logical tables and the statement's own common tables, no table functions, no function but FUNCTIONS.
+    """
     spark = catalog.spark
     if not spark.createDataFrame([(sql,)], "q string").select(text.read_only(F.col("q"))).first()[0]:
         raise Rejected("only one statement that reads is allowed")
@@ -35,6 +72,28 @@ def check(catalog: Catalog, sql: str) -> None:
     loader = spark._jvm.java.lang.Class
     if any(loader.forName(name).isInstance(plan) for name in _WRITES):
         raise Rejected("only queries are allowed")
+    used, own = set(), set()
+    for node in _plans(plan):
+        kind = node.getClass().getSimpleName()
+        if kind == "UnresolvedWith":
+            own |= {t._1().lower() for t in _each(node.cteRelations())}
+        if kind == "UnresolvedRelation":
+            used.add(".".join(_each(node.multipartIdentifier())).lower())
+        elif not node.children().size() and kind not in _LEAVES:
+            raise Rejected(f"{kind} is not allowed")
+        for top in _each(node.expressions()):
+            for e in _expressions(top):
+                kind = e.getClass().getSimpleName()
+                if kind == "UnresolvedFunction" and ".".join(_each(e.nameParts())).lower() not in FUNCTIONS:
+                    raise Rejected(f"function {'.'.join(_each(e.nameParts()))} is not allowed")
+                if kind == "UnresolvedGenerator" and e.name().unquotedString().lower() not in FUNCTIONS:
+                    raise Rejected(f"function {e.name().unquotedString()} is not allowed")
+                if kind == "ExpressionWithUnresolvedIdentifier":
+                    raise Rejected("computed names are not allowed")
+    unknown = sorted(used - own - set(LOGICAL))
+    if unknown:
+        raise Rejected(f"unknown tables: {', '.join(unknown)}")
+    return sorted(used & set(LOGICAL))
 
 
 def sources(df: DataFrame) -> dict[str, set[str]]:
@@ -74,23 +133,47 @@ def sources(df: DataFrame) -> dict[str, set[str]]:
     return {output.apply(k).name(): names(output.apply(k).exprId().id()) for k in range(output.size())}
 
 
-def masked(df: DataFrame) -> DataFrame:
-    """df with columns that come from personal data replaced by a mark (nulls stay null), whatever they are called."""
-    personal = (*text.SPECIAL_COLUMNS, *text.PERSONAL_COLUMNS)
-    hide = {c for c, names in sources(df).items() if any(p in n.lower() for n in (*names, c) for p in personal)}
+def masked(df: DataFrame, restricted: Iterable[str] = ()) -> DataFrame:
+    """df with columns that come from personal data, or from restricted columns, replaced by a mark (nulls stay null), whatever they are called."""
+    personal, restricted = (*text.SPECIAL_COLUMNS, *text.PERSONAL_COLUMNS), set(restricted)
+    hide = {c for c, names in sources(df).items() if any(p in n.lower() for n in (*names, c) for p in personal) or restricted & {n.lower() for n in (*names, c)}}
     return df.select(*[F.when(F.col(f"`{c}`").isNotNull(), F.lit("[REDACTED]")).alias(c) if c in hide else F.col(f"`{c}`") for c in df.columns])
 
 
-def query(catalog: Catalog, sql: str, cap: int = ROW_CAP) -> Answer:
-    """At most cap rows of a reading statement over the logical tables, and whether there are more."""
-    check(catalog, sql)
-    used = [t for t in LOGICAL if t in sql]
-    for t in used:
-        catalog.table(t).createOrReplaceTempView(t)
+def within(spark: SparkSession, seconds: float | None, run: Callable):
+    """run(), whose Spark jobs are cancelled after so many seconds."""
+    if seconds is None:
+        return run()
+    group = f"marlstone-{uuid.uuid4().hex}"
+    sc = spark.sparkContext
+    timer = threading.Timer(seconds, lambda: sc.cancelJobGroup(group))
+    sc.setJobGroup(group, "a statement with a time limit", interruptOnCancel=True)
+    timer.start()
     try:
-        df = masked(catalog.spark.sql(sql.strip().rstrip(";")))
-        more = df.limit(cap + 1).count() > cap
-        return Answer(df.limit(cap), more)
+        return run()
     finally:
-        for t in used:
-            catalog.spark.catalog.dropTempView(t)
+        timer.cancel()
+        sc._jsc.clearJobGroup()
+
+
+def query(catalog: Catalog, sql: str, cap: int | None = ROW_CAP) -> Answer:
+    """At most cap rows (None: all) of a reading statement over the logical tables, and whether there are more.
+
+    The tables are views of a session of its own, so a caller's views are neither seen nor touched;
+    they show what the catalog's role may see.
+    """
+    used = check(catalog, sql)
+    apart = Catalog(catalog.spark.newSession(), catalog.sf_dir, catalog.role)
+    for t in used:
+        apart.table(t).createOrReplaceTempView(t)
+    df = masked(apart.spark.sql(sql.strip().rstrip(";")))
+    if cap is None:
+        return Answer(df, False)
+    more = within(apart.spark, TIMEOUTS.get(catalog.role), lambda: df.limit(cap + 1).count()) > cap
+    return Answer(df.limit(cap), more)
+
+
+def scalar_text(catalog: Catalog, sql: str) -> str:
+    """The first row of a statement, its values joined by '|'; empty if there is none."""
+    row = query(catalog, sql, 1).rows.first()
+    return "" if row is None else "|".join("" if v is None else str(v) for v in row)

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions import text
+from marlstone.operators import governance, telemetry, vector
 from marlstone.operators.graph import Graph
 from marlstone.operators.ontology import Ontology
-from marlstone.plans.semantic import SemanticLayer
+from marlstone.plans.guarded import masked
+from marlstone.plans.model import CUBES, PRIVILEGED, Cube
+from marlstone.plans.semantic import AccessDenied, SemanticLayer
 from marlstone.sources.bindings import Catalog
 
 # Metrics that an intent asks for.
@@ -51,35 +54,77 @@ def graph_pattern(graph: Graph, intent: str) -> DataFrame:
     return graph.nodes("Party").groupBy("party_type").agg(F.count(F.lit(1)).alias("n_parties")).orderBy(F.desc("n_parties"), "party_type")
 
 
-def hybrid(catalog: Catalog, prompt: str, role: str = "privileged") -> DataFrame:
-    """(tier, status, payload): one row for each tier's result, as redacted and quarantined JSON.
+#: Columns that show what only the privileged role may see.
+RESTRICTED = frozenset(m.split(".")[1] for m in PRIVILEGED)
+PAYLOAD = "tier string, status string, payload string, n_redactions bigint, safety_status string"
 
-    A prompt that carries an injection is refused in one row. Each tier fails by itself.
+
+def compile_pattern(graph: Graph, prompt: str) -> tuple[DataFrame, str]:
+    """The graph pattern of a prompt's intent, at most ten rows and masked, and what it shows."""
+    intent = graph.catalog.spark.range(1).select(text.intent(F.lit(prompt))).first()[0]
+    shows = {"collateral": "Loans and the collateral that secures them", "deposit": "Customers, their accounts and lowest balances", "aml_risk": "Individuals who are customers of high risk", "default": "Parties by type"}
+    return masked(graph_pattern(graph, intent)).limit(10), shows[intent]
+
+
+def cube_documents(spark: SparkSession) -> DataFrame:
+    """(fqn, content): a text for each cube, of its dimensions and measures."""
+    return spark.createDataFrame([(c.name, cube_text(c)) for c in CUBES.values()], "fqn string, content string")
+
+
+def cube_text(cube: Cube) -> str:
+    return f"Cube {cube.name} with dimensions {', '.join(cube.dimensions)} and measures {', '.join(cube.measures)}".replace("_", " ")
+
+
+def vector_tier(spark: SparkSession, prompts: DataFrame, fetch: int = 10, k: int = 3) -> DataFrame:
+    """The cubes nearest to each prompt by hashed vectors, re-ranked by shared words."""
+    return vector.prompt_search(cube_documents(spark), prompts, text.overlap_score(F.col("prompt"), F.col("content")), fetch, k, degraded=True)
+
+
+def hybrid(catalog: Catalog, prompt: str, role: str | None = None) -> DataFrame:
+    """(tier, status, payload, n_redactions, safety_status): one row for each tier's result, as sanitised JSON.
+
+    A prompt that carries an injection is refused in one row. Each tier is run by itself, so one
+    that fails, while it is planned or while it runs, leaves the others whole. A caller without the
+    privileged role gets no metrics of risk and no list of persons at risk, and restricted columns
+    masked, as personal ones are for everybody, by what they are made from.
     """
     spark = catalog.spark
     asked = spark.createDataFrame([(0, prompt)], "prompt_id int, prompt string")
     seen = asked.select(text.intent(F.col("prompt")).alias("intent"), F.size(text.injections(F.col("prompt"))).alias("bad")).first()
     if seen["bad"]:
-        return spark.createDataFrame([("guard", "BLOCKED", None)], "tier string, status string, payload string")
+        return spark.createDataFrame([("guard", "BLOCKED", None, 0, "REVIEW_REQUIRED")], PAYLOAD)
     intent = seen["intent"]
     cube, measures = METRICS[intent]
+
+    def graph() -> DataFrame:
+        if intent == "aml_risk" and role != "privileged":
+            raise AccessDenied("a list of persons at risk is for the privileged role")
+        return graph_pattern(Graph(catalog), intent)
+
     tiers: dict[str, Callable[[], DataFrame]] = {
-        "graph": lambda: graph_pattern(Graph(catalog), intent),
+        "vector": lambda: vector_tier(spark, asked),
+        "graph": graph,
         "metrics": lambda: SemanticLayer(catalog).load({"measures": [f"{cube}.{m}" for m in measures]}, role),
         "relational": lambda: relational(catalog, intent),
         "ontology": lambda: Ontology(spark).expand(asked),
     }
-    out: DataFrame | None = None
+    rows = []
     for tier, run in tiers.items():
         try:
-            df = run()
-            body = F.to_json(F.collect_list(F.struct(*[F.when(F.col(c).isNotNull(), F.lit("[REDACTED]")).alias(c) if _sensitive(c) else F.col(c) for c in df.columns])))
-            row = df.agg(body.alias("payload")).select(F.lit(tier).alias("tier"), F.lit("OK").alias("status"), text.quarantine(text.redact(F.col("payload"))).alias("payload"))
+            df = masked(run(), () if role == "privileged" else RESTRICTED)
+            body = df.agg(F.to_json(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).alias("payload"))  # tiers give a few rows
+            found = body.select(governance.sanitised(F.col("payload")).alias("p")).first()["p"]
+            rows.append((tier, "OK", found["payload"], found["pii_redactions_applied"], found["safety_status"]))
         except Exception as e:  # one store that fails must not take the others with it
-            row = spark.createDataFrame([(tier, "FAILED", str(e)[:200])], "tier string, status string, payload string")
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
-def _sensitive(column: str) -> bool:
-    return any(w in column for w in (*text.SPECIAL_COLUMNS, *text.PERSONAL_COLUMNS))
+            rows.append((tier, "FAILED", f"{type(e).__name__}: {e}"[:200], 0, "SECURE"))
+    return spark.createDataFrame(rows, PAYLOAD)
+
+
+def respond(catalog: Catalog, prompt: str, answer: Callable[[str, list[str]], str], role: str | None = None) -> tuple[str, dict]:
+    """An answer made by a pluggable answerer from the tiers' payloads, and its scores and trace."""
+    trace = telemetry.Trace(prompt)
+    context = [r["payload"] for r in hybrid(catalog, prompt, role).collect() if r["status"] == "OK"]
+    given = answer(prompt, context)
+    row = catalog.spark.createDataFrame([(prompt, " ".join(context), given)], "p string, c string, r string")
+    scores = row.select(telemetry.judged(F.col("p"), F.col("c"), F.col("r")).alias("s")).first()["s"].asDict()
+    return given, scores | {"trace": trace.finalise(given)}

@@ -102,15 +102,17 @@ def _refs(text: str, cube: str) -> set[tuple[str, str]]:
 
 
 class SemanticLayer:
-    def __init__(self, catalog: Catalog):
-        self.catalog = catalog
+    """Queries over the cubes; with a folder of stored roll-ups, those that a roll-up covers are answered from it."""
+
+    def __init__(self, catalog: Catalog, rollups: str | None = None):
+        self.catalog, self.rollups = catalog, rollups
 
     def _table(self, cube: str, columns: set[str]) -> DataFrame:
         df = self.catalog.table(cube)
         return df.select(*[F.col(c).alias(f"{cube}__{c}") for c in df.columns if c in columns])
 
     def _joined(self, owner: str, needed: set[tuple[str, str]]) -> tuple[DataFrame, bool]:
-        """The owner's rows with the needed columns of other cubes, and whether rows may repeat."""
+        """The owner's rows with the needed columns of other cubes, and whether rows may repeat; then __row numbers the owner's."""
         steps: list[tuple[str, str]] = []
         for goal in sorted({c for c, _ in needed} - {owner}):
             steps += [s for s in path(owner, goal) if s not in steps]
@@ -126,6 +128,7 @@ class SemanticLayer:
             for c, column in _refs(join.on, holder):
                 columns.setdefault(c, set()).add(column)
         df = self._table(owner, columns[owner])
+        df = df.withColumn("__row", F.monotonically_increasing_id()) if many else df
         joined = {owner}
         for a, b in steps:
             if b not in joined:
@@ -155,9 +158,9 @@ class SemanticLayer:
         if m.kind == "sum":
             return parts[0].cast("double")
         if m.kind == "avg":
-            return F.round(parts[0].cast("double") / F.when(parts[1] != 0, parts[1]), 4)
+            return parts[0].cast("double") / F.when(parts[1] != 0, parts[1])
         if m.kind == "number":
-            return F.round(F.expr(re.sub(r"\[(\w+)\]", lambda x: f"cast(`{of(x[1])}` as double)", m.sql)), 4)
+            return F.expr(re.sub(r"\[(\w+)\]", lambda x: f"cast(`{of(x[1])}` as double)", m.sql))
         return parts[0].cast("bigint")
 
     @staticmethod
@@ -182,7 +185,7 @@ class SemanticLayer:
             df = df.where(self._condition(f))
         df = df.withColumns(dimensions) if dimensions else df
         if many:  # a to-many edge was walked: each of the owner's rows counts once for each value of the dimensions
-            df = df.dropDuplicates([f"{cube}__{CUBES[cube].key}", *dimensions])
+            df = df.dropDuplicates(["__row", *dimensions])
         parts = {n: self._aggregate(CUBES[cube].measures[n], cube) for n in base}
         df = df.groupBy(*dimensions).agg(*[p.alias(f"{n}__{i}") for n, ps in parts.items() for i, p in enumerate(ps)])
         for n in wanted:
@@ -190,13 +193,16 @@ class SemanticLayer:
             df = df.withColumn(f"{cube}.{n}", self._finish(m, [F.col(f"{n}__{i}") for i in range(len(parts.get(n, ())))], lambda x: f"{cube}.{x}"))
         return df.select(*dimensions, *[F.col(f"`{cube}.{n}`").alias(f"{cube}__{n}__out") for n in names])
 
-    def load(self, query: dict, role: str | None = "privileged") -> DataFrame:
-        """The rows of a query; columns bear the members' names with _ for the dot.
+    def load(self, query: dict, role: str | None = None) -> DataFrame:
+        """The rows of a query; columns bear the members' names with _ for the dot. A caller without a role isn't privileged.
 
         query: measures, dimensions, filters ({member, operator, values}, nested in and/or),
         timeDimensions ({dimension, granularity, dateRange}), order ([(member, 'asc'|'desc')]), limit.
         """
         authorise(query, role)
+        stored = self._stored(query)
+        if stored is not None:
+            return self._ordered(self.load_from_rollup(query, stored), query)
         named = {m: resolve_member(m) for m in [*query.get("measures", ()), *query.get("dimensions", ()), *(t["dimension"] for t in query.get("timeDimensions", ()))]}
         out_name = {m: m.replace(".", "_") for m in named}
         dimensions: dict[str, Column] = {}
@@ -229,6 +235,10 @@ class SemanticLayer:
             for b in branches[1:]:
                 result = self._meet(result, b, list(dimensions))
             result = result.select(*dimensions, *[F.col("{}__{}__out".format(*named[m].split("."))).alias(out_name[m]) for m in query["measures"]])
+        return self._ordered(result, query)
+
+    @staticmethod
+    def _ordered(result: DataFrame, query: dict) -> DataFrame:
         order = [F.col(m.replace(".", "_")).desc_nulls_last() if way == "desc" else F.col(m.replace(".", "_")).asc_nulls_last() for m, way in query.get("order", ())]
         result = result.orderBy(*order) if order else result
         return result.limit(query["limit"]) if "limit" in query else result
@@ -247,7 +257,20 @@ class SemanticLayer:
     def rollup(self, cube: str, name: str) -> DataFrame:
         """The stored form of a roll-up: its dimensions and the parts of its (additive) measures."""
         measures, dimensions = CUBES[cube].rollups[name]
-        return self.load({"measures": [f"{cube}.{m}" for m in measures], "dimensions": list(dimensions)})
+        return SemanticLayer(self.catalog).load({"measures": [f"{cube}.{m}" for m in measures], "dimensions": list(dimensions)}, "privileged")
+
+    def materialise(self, cube: str, name: str) -> None:
+        """Store a roll-up, or store it anew."""
+        self.rollup(cube, name).write.mode("overwrite").parquet(f"{self.rollups}/{cube}.{name}")
+
+    def _stored(self, query: dict) -> DataFrame | None:
+        """The stored roll-up that covers a query, if there is one."""
+        found = self.matching_rollup(query) if self.rollups else None
+        if found is None:
+            return None
+        jvm, conf = self.catalog.spark._jvm, self.catalog.spark._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.rollups}/{found[0]}.{found[1]}/_SUCCESS")
+        return self.catalog.spark.read.parquet(str(path.getParent().toString())) if path.getFileSystem(conf).exists(path) else None
 
     @staticmethod
     def matching_rollup(query: dict) -> tuple[str, str] | None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -9,10 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions import text
+from marlstone.operators import catalog as catalogs
+from marlstone.operators import governance, ontology, quality, telemetry, temporal, vector
 from marlstone.operators import graph as graphs
-from marlstone.operators import ontology, quality, temporal, vector
-from marlstone.plans import retrieve
+from marlstone.plans import guarded, retrieve
+from marlstone.plans.model import CUBES
 from marlstone.plans.semantic import SemanticLayer
+from marlstone.session import shared_dir
+from marlstone.sources import contracts, documents, synthetic
 from marlstone.sources.bindings import Catalog, physical
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,7 +31,7 @@ def _register(fn: Query) -> Query:
 
 def _semantic(name: str, **query) -> None:
     """A query of the semantic layer."""
-    QUERIES[name] = lambda spark, sf_dir: SemanticLayer(Catalog(spark, sf_dir)).load(query)
+    QUERIES[name] = lambda spark, sf_dir: SemanticLayer(Catalog(spark, sf_dir)).load(query, "privileged")
 
 
 def _money(c) -> F.Column:
@@ -66,11 +71,14 @@ _semantic("sem_ordered_limit", measures=["deposit_account.total_deposit_accounts
 
 
 def _rolled(cube: str, rollup: str, **query) -> Query:
+    """A query that the layer answers from a stored roll-up of its own accord."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        layer = SemanticLayer(Catalog(spark, sf_dir))
+        layer = SemanticLayer(Catalog(spark, sf_dir), f"{shared_dir(spark)}/rollups-{uuid.uuid4().hex}")
         if layer.matching_rollup(query) != (cube, rollup):
             raise ValueError(f"{rollup} doesn't cover the query")
-        return layer.load_from_rollup(query, layer.rollup(cube, rollup))
+        layer.materialise(cube, rollup)
+        return layer.load(query, "privileged")
 
     return run
 
@@ -80,6 +88,22 @@ QUERIES["sem_rollup_account_activity"] = _rolled("deposit_account", "account_act
 QUERIES["sem_rollup_balance_totals"] = _rolled("deposit_balance", "balance_totals_rollup", measures=["deposit_balance.total_current_balance"], dimensions=["deposit_account.account_status"])
 QUERIES["sem_rollup_customer_risk"] = _rolled("party_role_customer", "customer_risk_rollup", measures=["party_role_customer.total_customers", "party_role_customer.verified_kyc_count"], dimensions=["party_role_customer.aml_risk_rating"])
 
+_semantic("sem_repayments_by_collateral", measures=["loan_repayment_schedule.total_installments", "loan_repayment_schedule.total_scheduled_due"], dimensions=["loan_collateral.collateral_status"])
+_semantic("sem_maturity_by_year", measures=["loan_agreement.total_loan_contracts"], timeDimensions=[{"dimension": "loan_agreement.maturity_date", "granularity": "year"}])
+_semantic("sem_new_dimensions", measures=["deposit_transaction.total_transactions"], dimensions=["deposit_transaction.currency_code", "deposit_transaction.transaction_type"])
+
+#: What each edge query measures on its own side, and by which dimension of the other.
+EDGE_MEASURES = {
+    "deposit_account": "total_deposit_accounts", "deposit_balance": "total_current_balance", "deposit_interest_term": "average_interest_rate", "deposit_overdraft_facility": "total_facility_count", "deposit_transaction": "total_transactions", "loan_agreement": "total_loan_contracts", "loan_application": "total_applications", "loan_collateral": "total_collateral_assets",
+    "loan_disbursement": "total_disbursements_count", "loan_repayment_schedule": "total_installments", "party_address": "total_addresses", "party_identification": "total_identifications", "party_individual": "total_individuals", "party_organization": "total_organizations", "party_role_customer": "total_customers",
+}
+EDGE_DIMENSIONS = {
+    "party_role_customer": "customer_segment", "deposit_balance": "currency_code", "ref_currency": "currency_name", "deposit_interest_term": "rate_type", "deposit_account": "account_type", "loan_application": "application_status", "loan_agreement": "agreement_status", "party": "party_type", "ref_country": "country_name", "ref_nace_industry": "nace_title", "party_individual": "first_name", "party_organization": "legal_form",
+}
+for _cube in CUBES.values():
+    for _join in _cube.joins:
+        _semantic(f"edge_{_cube.name}_{_join.to}", measures=[f"{_cube.name}.{EDGE_MEASURES[_cube.name]}"], dimensions=[f"{_join.to}.{EDGE_DIMENSIONS[_join.to]}"])
+
 # Relational overview of each intent.
 for _intent, _name in (("collateral", "rel_collateral"), ("deposit", "rel_deposit"), ("aml_risk", "rel_aml"), ("default", "rel_default")):
     QUERIES[_name] = lambda spark, sf_dir, intent=_intent: retrieve.relational(Catalog(spark, sf_dir), intent)
@@ -121,7 +145,7 @@ def scd2_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scd2_overlap_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as intervals of thirty days; a customer's intervals may not overlap."""
     df = physical(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_orderdate").alias("valid_from"), F.expr("o_orderdate + INTERVAL 30 DAYS").alias("valid_to"))
-    return temporal.overlaps(df, "o_custkey", "valid_from", "valid_to").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n_overlaps"))
+    return temporal.overlaps(df, "o_custkey", "valid_from", "valid_to", "o_orderkey").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n_overlaps"))
 
 
 @_register
@@ -141,6 +165,22 @@ def scd2_apply_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temporal.apply_changes(h, changes, "o_custkey", "2005-01-01 00:00:00")
 
 
+@_register
+def scd2_apply_several(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two changes of each customer divisible by 7, given out of order, and a third at the instant of the first that loses the tie."""
+    h = _history(spark, sf_dir)
+    keys = h.where("o_custkey % 7 = 0").select("o_custkey").distinct()
+    at = lambda status, cut: keys.select("o_custkey", F.lit(status).alias("o_orderstatus"), F.lit(cut).cast("timestamp_ntz").alias("cutover"))
+    return temporal.apply_changes(h, at("Y", "2006-01-01").unionByName(at("X", "2005-01-01")).unionByName(at("W", "2005-01-01")), "o_custkey")
+
+
+@_register
+def scd2_as_of_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order with the version of its customer that is valid ten days before it."""
+    rows = physical(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.expr("o_orderdate - INTERVAL 10 DAYS").alias("at"))
+    return temporal.as_of_join(rows, _history(spark, sf_dir).withColumnRenamed("o_orderkey", "version"), "o_custkey", "at", ["version", "o_orderstatus"]).select("o_orderkey", "v_version", "v_o_orderstatus")
+
+
 # Graph.
 def _graph(spark: SparkSession, sf_dir: str) -> graphs.Graph:
     return graphs.Graph(Catalog(spark, sf_dir))
@@ -186,6 +226,33 @@ def graph_untyped_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _graph(spark, sf_dir).label_inventory().join(classes, "label", "left_anti")
 
 
+@_register
+def graph_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _graph(spark, sf_dir).totals()
+
+
+@_register
+def graph_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many customers have each number of loans, none among them."""
+    return _graph(spark, sf_dir).degrees("Customer", "BORROWER_OF").groupBy("n").agg(F.count(F.lit(1)).alias("n_customers"))
+
+
+@_register
+def graph_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parties that bear the label of one subclass and not of the other."""
+    return _graph(spark, sf_dir).labelled(("Party", "Organization"), ("Individual",))
+
+
+@_register
+def graph_untyped_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _graph(spark, sf_dir).untyped(ontology.Ontology(spark).classes.select(F.col("concept").alias("label")))
+
+
+@_register
+def graph_full_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _graph(spark, sf_dir).full_text("Customer#000000001 first", 10)
+
+
 # Ontology and lineage.
 PROMPTS = (
     (1, "Which deposit accounts are overdrawn?"), (2, "Show loan agreements and their pledged collateral assets"), (3, "List all parties and organizations"), (4, "customer roles with high AML risk"), (5, "What is the weather?"), (6, "loan applications by individuals"), (7, ""),
@@ -260,6 +327,12 @@ def vec_two_stage_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.rerank(both, score, 3).select("query_id", "id", "cross_score", "rerank")
 
 
+@_register
+def vec_prompt_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three cubes that suit each prompt best."""
+    return retrieve.vector_tier(spark, _prompts(spark))
+
+
 @_register
 def vec_degraded_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.embed(physical(spark, sf_dir, "benchmark"), "item_id", "text")
@@ -284,11 +357,39 @@ def lex_overlap_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register
 def top_catalog_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five tables whose name and columns have most words of a question."""
-    asked = F.array(*[F.lit(w) for w in ("loan", "collateral", "value", "status")])
-    columns = Catalog(spark, sf_dir).columns()
-    docs = columns.groupBy("table_name").agg(F.concat_ws(" ", F.array_sort(F.collect_list("column_name"))).alias("body"))
-    own = F.array_distinct(F.split(F.concat_ws("_", "table_name", F.regexp_replace("body", " ", "_")), "_"))
-    return docs.withColumn("score", F.size(F.array_intersect(own, asked)).cast("bigint")).orderBy(F.desc("score"), "table_name").limit(5).select("table_name", "score")
+    return documents.search_catalog(Catalog(spark, sf_dir), "loan collateral value status").select("table_name", "fqn", "score")
+
+
+@_register
+def catalog_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every table as a catalog entity, tagged by its personal data and by the concept that grounds it."""
+    found = ontology.grounded_entities(catalogs.entities(Catalog(spark, sf_dir)))
+    return found.select("fqn", "name", F.size("columns").cast("bigint").alias("n_columns"), F.array_join("tags", ",").alias("tags"))
+
+
+@_register
+def catalog_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns with their comments, where there are any."""
+    comments = spark.createDataFrame([("party", "party_bk", "Business key"), ("nowhere", "x", "lost")], "table_name string, column_name string, comment string")
+    return catalogs.columns(Catalog(spark, sf_dir), comments).select("schema_name", "table_name", "column_name", "comment")
+
+
+@_register
+def catalog_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One entity replaced, one added."""
+    known = catalogs.entities(Catalog(spark, sf_dir)).select("fqn", "name", F.size("columns").cast("bigint").alias("n_columns"))
+    return catalogs.upsert(known, spark.createDataFrame([("financial.party", "party", 0), ("financial.extra", "extra", 1)], "fqn string, name string, n_columns bigint"))
+
+
+@_register
+def catalog_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogs.constraints(Catalog(spark, sf_dir)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_register
+def catalog_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles of two tables; one that isn't there has no rows."""
+    return catalogs.profiles(Catalog(spark, sf_dir), ["party", "missing", "loan_repayment_schedule"], 3)
 
 
 # Quality, contracts, drift.
@@ -334,6 +435,37 @@ def dq_referential(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_register
+def dq_suites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogs.all_suites(Catalog(spark, sf_dir))
+
+
+@_register
+def dq_check_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogs.check_data_quality(Catalog(spark, sf_dir), "Loan_Repayment_Schedule")
+
+
+@_register
+def contract_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = Catalog(spark, sf_dir)
+    return reduce(DataFrame.unionByName, [contracts.evaluate(c, x) for x in contracts.contracts()])
+
+
+@_register
+def contract_find_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contracts.find_drift(contracts.declared(spark, contracts.contracts()), contracts.schema(Catalog(spark, sf_dir))).select("model", "column_name", "problem", "detail")
+
+
+@_register
+def contract_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contracts.products(spark, contracts.contracts()).select("product", "domain", "version", "status", F.col("n_models").cast("bigint").alias("n_models"))
+
+
+@_register
+def contract_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contracts.freshness(physical(spark, sf_dir, "events"), "events", "ts", "2030-01-01 00:00:00", 3600)
+
+
 DECLARED = (("customer", "c_custkey"), ("customer", "c_phone"), ("customer", "c_name"), ("region", "r_regionkey"), ("region", "r_name"), ("invoice", "i_id"))
 
 
@@ -352,9 +484,34 @@ def pii_column_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register
 def pii_mask_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return governance.redact_rows(Catalog(spark, sf_dir).table("party_individual"))
+
+
+@_register
+def pii_mask_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal fields inside structs, arrays of structs and maps."""
     people = Catalog(spark, sf_dir).table("party_individual")
-    masked = [F.when(F.col(c).isNotNull(), F.lit("[REDACTED]")).alias(c) if c in ("first_name", "last_name", "gender") else F.col(c) for c in people.columns if c != "date_of_birth"]
-    return people.select(*masked)
+    inner = F.struct("first_name", "md_is_active", F.struct("gender").alias("more"))
+    masked = governance.redact_rows(people.select("party_id", F.struct(inner.alias("person")).alias("outer"), F.array(F.struct("last_name", "party_id")).alias("list"), F.create_map(F.lit("Gender"), "gender", F.lit("kind"), F.lit("k")).alias("map")))
+    return masked.select("party_id", F.col("outer.person.first_name").alias("a"), F.col("outer.person.md_is_active").alias("b"), F.col("outer.person.more.gender").alias("c"), F.col("list")[0]["last_name"].alias("d"), F.col("map")["Gender"].alias("e"), F.col("map")["kind"].alias("f"))
+
+
+@_register
+def gov_sanitised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations made safe to hand out: what was redacted, what was quarantined."""
+    found = _talk(spark, sf_dir).select("doc_id", "turn", governance.sanitised(F.col("text")).alias("s"))
+    return found.select("doc_id", "turn", F.md5("s.payload").alias("digest"), "s.pii_redactions_applied", F.size("s.injection_patterns_matched").cast("bigint").alias("n_patterns"), "s.safety_status", "s.content_quarantined")
+
+
+@_register
+def sql_guarded_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal columns under other names, in 200 rows of a guarded statement."""
+    return guarded.query(Catalog(spark, sf_dir, "tools"), "SELECT party_id, upper(last_name) AS nick, gender AS g FROM party_individual ORDER BY party_id").rows
+
+
+@_register
+def sql_guarded_uncapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return guarded.query(Catalog(spark, sf_dir, "tools"), "WITH a AS (SELECT party_id, party_type FROM party WHERE md_is_active) SELECT party_type, party_id FROM a", None).rows
 
 
 SAMPLES = (
@@ -392,7 +549,8 @@ def inj_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register
 def inj_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(list(SAMPLES), "doc_id bigint, text string").select("doc_id", text.quarantine(F.col("text")).alias("clean"))
+    """Documents and samples with instructions taken out, as digests."""
+    return _texts(spark, sf_dir).select("doc_id", F.md5(text.quarantine(F.col("text"))).alias("digest"))
 
 
 STATEMENTS = (
@@ -433,35 +591,55 @@ def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register
 def triad_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p, r = F.col("prompt"), F.col("response")
-    scored = _turns(spark, sf_dir).select("conv_id", "turn", text.coverage(text.keywords(p), text.keywords(r)).alias("answer_relevance"), text.faithfulness(p, r).alias("faithfulness"))
-    return scored.withColumn("composite", F.round((F.col("answer_relevance") + F.col("faithfulness")) / 2, 5))
+    """Each answer against its prompt, with the turn before the prompt as context."""
+    before = physical(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("context"))
+    turns = _turns(spark, sf_dir).join(before, ["conv_id", "turn"], "left")
+    return turns.select("conv_id", "turn", telemetry.judged(F.col("prompt"), F.col("context"), F.col("response")).alias("s")).select("conv_id", "turn", "s.*")
+
+
+@_register
+def triad_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pass rates and mean scores by the rest of the conversation's id; scores of every seventh conversation are missing."""
+    scored = triad_scores(spark, sf_dir).select((F.col("conv_id") % 3).alias("domain"), F.when(F.col("conv_id") % 7 != 0, F.col("composite") * 100).alias("score"))
+    return telemetry.evaluation(scored, by="domain")
 
 
-# Price of a thousand input and output tokens by model.
-RATES = (("gemini-2.0-flash", 0.00010, 0.00040), ("claude-3-5-sonnet", 0.00300, 0.01500), ("gpt-4o-mini", 0.00015, 0.00060))
+#: Models that the traces of the queries go to.
+MODELS = ("gpt-4o-mini", "gemini-2.0-flash", "ollama/gemma4", "moonshot/unlisted", "unknown/model")
+#: Price of a thousand tokens in and out of the configured models.
+CONFIGURED = (0.002, 0.004)
+
+
+def _traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A trace for each answered turn; lengths of texts stand for milliseconds."""
+    p, r = F.col("prompt"), F.col("response")
+    ms = lambda c: F.char_length(F.coalesce(c, F.lit(""))).cast("double")
+    model = F.get(F.array(*[F.lit(m) for m in MODELS]), (F.col("conv_id") % len(MODELS)).cast("int"))
+    tiers = F.map_from_arrays(F.array(F.lit("vector"), F.lit("graph")), F.array(ms(p), ms(r)))
+    return _turns(spark, sf_dir).select(F.concat_ws("-", "conv_id", "turn").alias("trace_id"), model.alias("model"), text.token_estimate(p).alias("prompt_tokens"), text.token_estimate(r).alias("completion_tokens"), (ms(p) + ms(r)).alias("total_ms"), tiers.alias("tiers"))
 
 
 @_register
 def telemetry_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens and cost of all turns as if each model had answered them."""
-    turns = _turns(spark, sf_dir).select(text.token_estimate(F.col("prompt")).alias("p"), text.token_estimate(F.col("response")).alias("c"))
-    rates = F.broadcast(spark.createDataFrame(list(RATES), "model string, rate_in double, rate_out double"))
-    tokens = turns.agg(F.count(F.lit(1)).alias("n_calls"), F.sum("p").alias("prompt_tokens"), F.sum("c").alias("completion_tokens"))
-    cost = F.round(F.col("prompt_tokens") / 1000.0 * F.col("rate_in") + F.col("completion_tokens") / 1000.0 * F.col("rate_out"), 6)
-    return tokens.crossJoin(rates).select("model", "n_calls", "prompt_tokens", "completion_tokens", cost.alias("cost"))
+    return telemetry.rollup(_traces(spark, sf_dir), "model", CONFIGURED)
 
 
-EDGES = (10.0, 50.0, 100.0, 250.0, 500.0, 1000.0)
+@_register
+def telemetry_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return telemetry.tier_means(_traces(spark, sf_dir))
 
 
 @_register
 def telemetry_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cumulative buckets of event values by type, as a histogram metric keeps them; one pass for all edges."""
-    events = physical(spark, sf_dir, "events")
-    counted = events.groupBy("event_type").agg(*[F.count_if(F.col("value") <= e).alias(f"e{i}") for i, e in enumerate(EDGES)], F.count(F.lit(1)).alias("all"))
-    rows = F.array(*[F.struct(F.lit(e).alias("le"), F.col(f"e{i}").alias("n")) for i, e in enumerate(EDGES)], F.struct(F.lit(1e9).alias("le"), F.col("all").alias("n")))
-    return counted.select("event_type", F.inline(rows))
+    """Cumulative buckets of event values by type."""
+    return telemetry.histogram(physical(spark, sf_dir, "events"), "value", telemetry.TOTAL_EDGES, "event_type")
+
+
+@_register
+def telemetry_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 95th percentile of event values by type, from buckets."""
+    found = telemetry.bucket_quantile(telemetry_histogram(spark, sf_dir), 0.95, "event_type")
+    return found.select("event_type", F.round("quantile", 6).alias("p95"))
 
 
 @_register
@@ -489,6 +667,30 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions(physical(spark, sf_dir, "events"))
 
 
+@_register
+def stream_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch form of the sliding quantile."""
+    from marlstone.streaming.windows import latency_quantile
+
+    found = latency_quantile(physical(spark, sf_dir, "events"), length="1 day", slide="1 day")
+    return found.select("window_start", "kind", "n", F.round("quantile", 6).alias("quantile"))
+
+
+@_register
+def fn_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scalar helpers over the pages' addresses."""
+    u = F.col("url")
+    return physical(spark, sf_dir, "pages").select(
+        "page_id", text.local_name(F.concat(u, F.lit("#part"), F.col("page_id").cast("string"))).alias("local"), F.md5(text.shortened(F.col("html"), 100)).alias("cut"), text.identifier(u).alias("is_name"), text.unit_interval(F.concat((F.col("page_id") % 3).cast("string"), F.lit(".25"))).alias("score"), text.unit_interval(u).alias("no_score")
+    )
+
+
+@_register
+def seeded_parties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invented parties by type and state of their versions."""
+    return synthetic.parties(spark).groupBy("party_type", "md_is_active").agg(F.count(F.lit(1)).alias("n"))
+
+
 @_register
 def hybrid_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieve.hybrid(Catalog(spark, sf_dir), "Which deposit accounts are overdrawn?")
+    return retrieve.hybrid(Catalog(spark, sf_dir), "Which deposit accounts are overdrawn?", "privileged")

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.operators import catalog as entity_catalog
 from marlstone.operators import quality
+from marlstone.plans.model import CUBES
 from marlstone.sources.bindings import LOGICAL, Catalog
 
 _STATEMENT = re.compile(r'"(?:[^"\\]|\\.)*"(?:@\w+)?|<[^>]*>|[^\s;,.<>"]+(?::[^\s;,]*[^\s;,.])?|[;,.]')
@@ -44,11 +47,47 @@ def turtle_frame(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame(read_turtle(text), "subject string, predicate string, object string")
 
 
-def write_turtle(customers: DataFrame, accounts: DataFrame) -> DataFrame:
-    """One line of Turtle for each customer and account, as a text column; booleans are quoted and typed."""
-    c = F.format_string('fin:customer_%s a fin:Customer ; fin:customerNumber "%s" ; fin:isActive "%s"^^xsd:boolean .', F.col("party_role_customer_id").cast("string"), "customer_number", F.col("md_is_active").cast("string"))
-    a = F.format_string("fin:account_%s a fin:DepositAccount . fin:customer_%s fin:holdsAccount fin:account_%s .", F.col("deposit_account_id").cast("string"), F.col("customer_id").cast("string"), F.col("deposit_account_id").cast("string"))
-    return customers.select(c.alias("value")).unionByName(accounts.select(a.alias("value")))
+def ontology_parts(triples: list[tuple[str, str, str]]) -> dict[str, list[tuple]]:
+    """Triples as classes (name, label, comment), subclass edges, object properties (name, domain, range) and datatype properties."""
+    by: dict[str, dict[str, list[str]]] = {}
+    for subject, predicate, value in triples:
+        by.setdefault(subject, {}).setdefault(predicate.split(":")[-1], []).append(value)
+    first = lambda d, k: d.get(k, [None])[0]
+    kind = lambda d, name: any(t.split(":")[-1] == name for t in d.get("type", ()))
+    prop = lambda name: [(s, first(d, "domain"), first(d, "range")) for s, d in by.items() if kind(d, name)]
+    return {
+        "classes": [(s, first(d, "label"), first(d, "comment")) for s, d in by.items() if kind(d, "Class")],
+        "subclass_of": [(s, parent) for s, d in by.items() for parent in d.get("subClassOf", ())],
+        "object_properties": prop("ObjectProperty"),
+        "datatype_properties": prop("DatatypeProperty"),
+    }
+
+
+def _literal(c: str) -> Column:
+    """A column as a quoted Turtle literal, with the characters escaped that would end it."""
+    text = F.col(c).cast("string")
+    for plain, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r")):
+        text = F.replace(text, F.lit(plain), F.lit(escaped))
+    return F.concat(F.lit('"'), text, F.lit('"'))
+
+
+def write_turtle(customers: DataFrame, accounts: DataFrame, loans: DataFrame | None = None) -> DataFrame:
+    """One line of Turtle for each customer, account and loan, as a text column; literals are quoted, escaped and typed."""
+    iri = lambda kind, c: F.concat(F.lit(f"fin:{kind}_"), F.col(c).cast("string"))
+    said = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]).alias("value")
+    lines = [
+        customers.select(said(iri("customer", "party_role_customer_id"), " a fin:Customer ; fin:customerNumber ", _literal("customer_number"), " ; fin:isActive ", _literal("md_is_active"), "^^xsd:boolean .")),
+        accounts.select(said(iri("account", "deposit_account_id"), " a fin:DepositAccount . ", iri("customer", "customer_id"), " fin:holdsAccount ", iri("account", "deposit_account_id"), " .")),
+    ]
+    if loans is not None:
+        lines.append(loans.select(said(iri("loan", "loan_agreement_id"), " a fin:LoanAgreement ; fin:principalAmount ", _literal("principal_amount"), "^^xsd:decimal ; fin:isNpl ", _literal("is_npl"), "^^xsd:boolean . ", iri("customer", "customer_id"), " fin:borrowerOf ", iri("loan", "loan_agreement_id"), " .")))
+    return reduce(DataFrame.unionByName, lines)
+
+
+def read_graph_statements(text: str) -> list[str]:
+    """Statements of a graph schema file: comment lines go first, as they may hold semicolons."""
+    body = "\n".join(line for line in text.splitlines() if not line.lstrip().startswith("//"))
+    return [s.strip() for s in body.split(";") if s.strip()]
 
 
 def read_ddl(text: str) -> dict[str, dict[str, list[str] | None]]:
@@ -66,12 +105,23 @@ def read_ddl(text: str) -> dict[str, dict[str, list[str] | None]]:
 
 
 def write_dbml(catalog: Catalog) -> str:
-    """The logical tables as DBML, always in the same order, so that a changed schema is a changed text."""
-    parts = []
+    """The logical tables as DBML with keys and references, always in the same order, so that a changed schema is a changed text."""
+    parts, references = [], []
     for t in LOGICAL:
-        lines = [f"  {f.name} {f.dataType.simpleString()}" for f in catalog.table(t).schema.fields]
+        lines = [f"  {f.name} {f.dataType.simpleString()}{' [pk]' if f.name == CUBES[t].key else ''}" for f in catalog.table(t).schema.fields]
         parts.append(f"Table {t} {{\n" + "\n".join(lines) + "\n}")
-    return "\n\n".join(parts) + "\n"
+        references += [f"Ref: {t}.{own.strip().removeprefix('$')} > {their.strip().removeprefix('$')}" for j in CUBES[t].joins if j.relationship == "belongs_to" for own, their in [j.on.split("=")]]
+    return "\n\n".join(parts) + "\n\n" + "\n".join(references) + "\n"
+
+
+def dbml_drifted(catalog: Catalog, text: str) -> bool:
+    """Whether a stored document isn't what the schema says now."""
+    return write_dbml(catalog) != text
+
+
+def embeddable(catalog: Catalog, without: tuple[str, ...] = ("entity_embeddings",)) -> DataFrame:
+    """(schema_name, table_name) of the tables whose content is embedded."""
+    return catalog.columns().where(~F.col("table_name").isin(list(without))).select(F.when(F.col("table_name").startswith("ref_"), "ref").otherwise("financial").alias("schema_name"), "table_name").distinct()
 
 
 def evaluate_contract(catalog: Catalog, contract: dict) -> DataFrame:
@@ -89,9 +139,5 @@ def evaluate_contract(catalog: Catalog, contract: dict) -> DataFrame:
 
 
 def search_catalog(catalog: Catalog, question: str, k: int = 5) -> DataFrame:
-    """(table_name, score, description): the k tables whose name and column names have most words of a question."""
-    asked = catalog.spark.createDataFrame([(question,)], "q string").select(F.array_distinct(F.regexp_extract_all(F.lower("q"), F.lit("[a-z0-9]+"), F.lit(0))).alias("asked"))
-    docs = catalog.columns().groupBy("table_name").agg(F.array_join(F.array_sort(F.collect_list("column_name")), " ").alias("body"))
-    own = F.array_distinct(F.regexp_extract_all(F.concat_ws(" ", "table_name", "body"), F.lit("[a-z0-9]+"), F.lit(0)))
-    scored = docs.crossJoin(F.broadcast(asked)).withColumn("score", F.size(F.array_intersect(own, "asked")).cast("bigint"))
-    return scored.where("score > 0").orderBy(F.desc("score"), "table_name").limit(k).select("table_name", "score", F.substring("body", 1, 200).alias("description"))
+    """(table_name, fqn, score, description, tags): the k tables whose name and columns have most words of a question."""
+    return entity_catalog.search(entity_catalog.entities(catalog), question, k).withColumnRenamed("name", "table_name")

@@ -26,7 +26,7 @@ def sessions(events: DataFrame, user: str = "user_id", time: str = "ts", gap: st
 
 
 def scd2_sink(base: str, key: str):
-    """A foreachBatch function: each batch of changes (key, cutover, changed columns) makes a new state of the history.
+    """A foreachBatch function: each batch of changes (key, cutover, changed columns) makes a new state of the history, every change at its own cut-over.
 
     States are written whole under base/state=N, so a batch that is retried overwrites its own
     state and readers never see a half-written one.
@@ -35,8 +35,31 @@ def scd2_sink(base: str, key: str):
     def write(changes: DataFrame, batch: int) -> None:
         spark = changes.sparkSession
         before = spark.read.parquet(f"{base}/state={batch - 1}" if batch else f"{base}/initial")
-        cutover = changes.agg(F.max("cutover")).first()[0]
-        out = before if cutover is None else apply_changes(before, changes.drop("cutover"), key, str(cutover))
-        out.write.mode("overwrite").parquet(f"{base}/state={batch}")
+        apply_changes(before, changes, key).write.mode("overwrite").parquet(f"{base}/state={batch}")
 
     return write
+
+
+def latency_quantile(events: DataFrame, time: str = "ts", kind: str = "event_type", value: str = "value", q: float = 0.95, length: str = "15 minutes", slide: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
+    """(window_start, kind, n, quantile) of sliding windows; the quantile is interpolated between exact ranks."""
+    timed = events.withColumn("__t", F.col(time).cast("timestamp")).withWatermark("__t", late)
+    found = timed.groupBy(F.window("__t", length, slide).alias("w"), F.col(kind).alias("kind")).agg(F.count(value).alias("n"), F.percentile(value, F.lit(q)).alias("quantile"))
+    return found.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "kind", "n", "quantile")
+
+
+def held(rates: DataFrame, threshold: float, times: int, rate: str = "bad_ratio") -> DataFrame:
+    """Windows with which the rate has been over the threshold `times` windows running: an alert that holds."""
+    from pyspark.sql import Window
+
+    running = Window.orderBy("window_start").rowsBetween(-(times - 1), 0)  # windows of one series: one row for each slide
+    over = rates.withColumn("__over", F.sum((F.col(rate) > threshold).cast("int")).over(running))
+    return over.where(F.col("__over") == times).drop("__over")
+
+
+def refresh(build, path: str, every: str = "1 hour"):
+    """A foreachBatch function and trigger that write build() anew to path whenever a tick of `every` comes."""
+
+    def write(_: DataFrame, batch: int) -> None:
+        build().write.mode("overwrite").parquet(path)
+
+    return write, {"processingTime": every}
