@@ -29,20 +29,21 @@ LOOK_ALIKES: dict[str, str] = {
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "*": "aeiou",
 }
 #: Characters that may stand between letters and mean nothing.
-FILLERS = "._-~*'`,/\\ "
+FILLERS = "._-~*'`,/\\#% "
 #: Log10 channel probabilities: a look-alike, a filler, a repeat that is dropped, a repeat that is kept.
 SWAP, FILL, DROP_REPEAT, KEEP_REPEAT = -0.3, -0.3, -0.4, -0.6
-#: Longest token that is decoded; a longer one is decoded in pieces of this length.
-PIECE = 32
+#: Characters of a token after which only the best state goes on: no word is so long, and time and memory stay in proportion.
+COMMIT = 1024
 #: Order of the character model, and its symbols: word boundary, a to z, any other character.
 ORDER, SYMBOLS = 4, 28
 #: Words of the scoring lexicon at most, and the least labelled texts that must hold one.
 LEXICON, LEAST_TEXTS, LEAST_STRENGTH = 400, 4, 4.5
 _EDGES = ".,;:!?\"'()[]{}<>#%&*-_~^/\\|="
-#: Suspicious tokens: a letter with a look-alike or an inner filler, or a doubled letter.
-_LETTER = "[a-z]"
+#: Tokens that have more than one reading: a letter or a mark that looks like one, and a look-alike, an inner filler or a
+#: doubled letter. The channel leaves any other token as it is; numbers without a letter are numbers.
+_LETTER = "[a-z@$!|+*]"
 _LEET = "[0-9@$!|+*]"
-_INNER = r"[a-z0-9@$!|+*][._\-~*'`,/\\]+[a-z0-9@$!|+*]"
+_INNER = r"[a-z0-9@$!|+*][._\-~*'`,/\\#%]+[a-z0-9@$!|+*]"
 _DOUBLED = "|".join(f"{c}{c}" for c in "abcdefghijklmnopqrstuvwxyz")
 _CODE = np.full(256, SYMBOLS - 1, dtype=np.int64)
 _CODE[ord("a") : ord("z") + 1] = np.arange(1, 27)
@@ -120,7 +121,9 @@ def _viterbi(token: str, model: np.ndarray, split: bool) -> str:
     adding, or is a filler; with split, a word may end before any character.
     """
     best: dict[tuple[int, int, int], tuple[float, tuple]] = {(0, 0, 0): (0.0, ())}
-    for c in token:
+    for i, c in enumerate(token):
+        if i % COMMIT == COMMIT - 1:
+            best = dict([max(best.items(), key=lambda e: e[1][0])])
         means = _means(c)
         other = not means and c not in FILLERS
         following: dict[tuple[int, int, int], tuple[float, tuple]] = {}
@@ -157,7 +160,7 @@ def _viterbi(token: str, model: np.ndarray, split: bool) -> str:
 
 def decode(token: str, model: np.ndarray) -> str:
     """The likeliest word behind a token of a to z, look-alikes and fillers; other characters stay themselves."""
-    return "".join(_viterbi(token[i : i + PIECE], model, False) for i in range(0, len(token), PIECE))
+    return _viterbi(token, model, False)
 
 
 def segment(run: str, model: np.ndarray) -> list[str]:
