@@ -8,23 +8,27 @@ documents is computed once. Training is backpropagation through time in numpy.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marlstone.llm import text
 from marlstone.llm.labelled import append, fold
+from marlstone.llm.store import map_batches
 
 HIDDEN, EMBED = 12, 8
-#: Bytes of a word that one pass reads; a longer word is read in pieces of this length.
-PIECE = 24
-#: Labelled documents of each language that the network is trained on at most, and bytes of each.
-DOCS_PER_LANGUAGE, BYTES_PER_DOC = 400, 2000
-#: Languages that are learned at most: those with most documents.
-LANGUAGES = 64
+#: Bytes that one pass reads; a longer run without a blank is read in pieces of this length, cut between characters.
+PIECE = 256
+#: Byte places that one pass holds.
+CELLS = 8192 * 24
+#: Labelled documents of each language that the network is trained on at most, by all their words.
+DOCS_PER_LANGUAGE = 400
+#: Sampled ids that are broadcast; more, as with very many languages, are matched by a shuffled join.
+MAX_BROADCAST = 2_000_000
 STEPS, BATCH, RATE = 800, 384, 0.015
 #: Text taken at once.
 CHUNK_BYTES = 8 << 20
@@ -36,14 +40,26 @@ def _pieces(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Padded bytes of the pieces of words (0 after the end), their sizes, and the word of each."""
     data, at = text.raw(words)
     size = np.diff(at)
-    count = np.maximum(1, -(-size // PIECE))
-    word = np.repeat(np.arange(len(size)), count)
-    number = np.arange(len(word)) - np.repeat(np.cumsum(count) - count, count)
-    start = at[:-1][word] + number * PIECE
-    length = np.minimum(PIECE, at[1:][word] - start)
-    out = np.zeros((len(word), PIECE), dtype=np.uint8)
-    inside = np.arange(PIECE) < length[:, None]
-    out[inside] = data[(start[:, None] + np.arange(PIECE))[inside]]
+    starts, ends, word = at[:-1].copy(), at[1:].copy(), np.arange(len(size))
+    more = np.flatnonzero(size > PIECE)
+    if len(more):
+        starts, ends, word = [starts[size <= PIECE]], [ends[size <= PIECE]], [word[size <= PIECE]]
+        for i in more:
+            cuts = [int(at[i])]
+            while at[i + 1] - cuts[-1] > PIECE:
+                cut = cuts[-1] + PIECE
+                while cut > cuts[-1] + PIECE - 3 and data[cut] & 0xC0 == 0x80:  # not inside a character
+                    cut -= 1
+                cuts.append(cut)
+            starts.append(np.array(cuts))
+            ends.append(np.array([*cuts[1:], int(at[i + 1])]))
+            word.append(np.full(len(cuts), i))
+        starts, ends, word = np.concatenate(starts), np.concatenate(ends), np.concatenate(word)
+    length = ends - starts
+    width = max(1, int(length.max(initial=0)))
+    out = np.zeros((len(word), width), dtype=np.uint8)
+    inside = np.arange(width) < length[:, None]
+    out[inside] = data[(starts[:, None] + np.arange(width))[inside]]
     return out, length, word
 
 
@@ -90,13 +106,14 @@ class Network:
 
     def _orders(self, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places read at each step: forwards, and backwards from each piece's end."""
-        step = np.arange(PIECE)[:, None]
-        return np.broadcast_to(step, (PIECE, len(length))), np.maximum(length[None, :] - 1 - step, 0)
+        longest = int(length.max(initial=0))
+        step = np.arange(longest)[:, None]
+        return np.broadcast_to(step, (longest, len(length))), np.maximum(length[None, :] - 1 - step, 0)
 
     def states(self, pieces: np.ndarray, length: np.ndarray, keep: bool = False):
         """States of both directions at every byte (piece, place, 2 * HIDDEN); pieces are longest first."""
         n, longest = len(pieces), int(length.max(initial=0))
-        out = np.zeros((n, PIECE, 2 * HIDDEN), dtype=np.float32)
+        out = np.zeros((n, longest, 2 * HIDDEN), dtype=np.float32)
         tape = []
         for d, (cell, order) in enumerate(zip(self.cells, self._orders(length))):
             table = self.embed @ cell.x + cell.b
@@ -118,23 +135,25 @@ class Network:
         x = np.exp(x - x.max(axis=-1, keepdims=True))
         return x / x.sum(axis=-1, keepdims=True)
 
-    def words(self, words: pa.Array, batch: int = 8192) -> np.ndarray:
+    def words(self, words: pa.Array) -> np.ndarray:
         """Log-probabilities of the languages, summed over the bytes of each word."""
         pieces, length, word = _pieces(words)
         total = np.zeros((len(words), len(self.languages)), dtype=np.float64)
         order = np.argsort(-length, kind="stable")
-        for i in range(0, len(order), batch):
-            own = order[i : i + batch]
-            longest = int(length[own].max(initial=0))
-            p = np.log(self.label(self.states(pieces[own], length[own])[:, :longest]) + 1e-6)
-            p *= (np.arange(longest) < length[own][:, None])[:, :, None]
+        i = 0
+        while i < len(order):
+            longest = max(1, int(length[order[i]]))
+            own = order[i : i + max(1, CELLS // longest)]
+            p = np.log(self.label(self.states(pieces[own], length[own])) + 1e-6)
+            p *= (np.arange(p.shape[1]) < length[own][:, None])[:, :, None]
             np.add.at(total, word[own], p.sum(axis=1))
+            i += len(own)
         return total
 
     def gradients(self, pieces: np.ndarray, length: np.ndarray, target: np.ndarray) -> tuple[float, list[np.ndarray]]:
         """Mean cross-entropy over all bytes, and its gradient by weights(), through time."""
         states, tape = self.states(pieces, length, keep=True)
-        mask = np.arange(PIECE) < length[:, None]
+        mask = np.arange(states.shape[1]) < length[:, None]
         p = self.label(states)
         n = float(mask.sum())
         rows, places = np.nonzero(mask)
@@ -191,41 +210,48 @@ def train(words: pa.Array, times: np.ndarray, target: np.ndarray, languages: lis
     return net
 
 
-def sample(docs: DataFrame, train_rows, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_language: int = DOCS_PER_LANGUAGE, languages: int = LANGUAGES) -> DataFrame:
-    """Columns text and lang: per_language training documents at most of each of the most frequent languages."""
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & train_rows)
-    top = [r["lang"] for r in rows.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
-    ids = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-    chosen = None
-    for lang in top:
-        own = ids.where(F.col("lang") == F.lit(lang)).orderBy(F.xxhash64("id"), "id").limit(per_language).select("id")
-        chosen = own if chosen is None else chosen.union(own)
-    if chosen is None:
-        return rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).limit(0)
-    return rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).join(F.broadcast(chosen.distinct()), "id").select("text", "lang")
+def sample(docs: DataFrame, train_rows, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_language: int = DOCS_PER_LANGUAGE) -> DataFrame:
+    """Columns text and lang: per_language training documents of each language at most, those with the smallest id hashes.
+
+    One scan of ids and languages: each partition keeps its first rows of a language before any are shuffled.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), train_rows.alias("train")).where(F.col("lang").isNotNull() & F.col("train"))
+    first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("h", "id"))
+    ids = rows.select("id", "lang", F.xxhash64("id").alias("h"), F.spark_partition_id().alias("part"))
+    ids = ids.withColumn("n", first("lang", "part")).where(F.col("n") <= per_language).withColumn("n", first("lang")).where(F.col("n") <= per_language)
+    chosen = ids.select("id", "lang").distinct().persist()
+    few = chosen.count() <= MAX_BROADCAST
+    return rows.join(F.broadcast(chosen) if few else chosen, ["id", "lang"], "left_semi").select("text", "lang")
 
 
 def fit(docs: DataFrame, train_rows=None, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> Network:
     """Train on a bounded sample of labelled documents (see sample()); by default of those whose crc32 fold of 4 isn't 2.
 
-    Each sampled document gives its words up to BYTES_PER_DOC bytes. Without labelled documents the
-    network knows no language and every text is undetermined.
+    All words of a sampled document are learned from, and each document weighs the same; words are
+    counted where the texts are. Without labelled documents the network knows no language and every
+    text is undetermined.
     """
     train_rows = fold(id_col, 4) != 2 if train_rows is None else train_rows
-    found = sample(docs, train_rows, lang_col, id_col, text_col).select(F.substring("text", 1, BYTES_PER_DOC).alias("text"), "lang").collect()
-    found.sort(key=lambda r: (r["lang"], r["text"]))
-    languages = sorted({r["lang"] for r in found})
-    if not found:
-        return Network([])
-    tokens, at = text.words(pa.array([r["text"] for r in found]))
-    ids, distinct = text.coded(tokens)
-    lang = np.repeat([languages.index(r["lang"]) for r in found], np.diff(at))
-    # Each language weighs the same, however many bytes it has here.
-    keys, times = np.unique(ids * len(languages) + lang, return_counts=True)
-    per = np.bincount(keys % len(languages), weights=times, minlength=len(languages))
-    if not len(keys):
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text.slices(batch, "text"):
+                tokens, at = text.words(part.column("text"))
+                ids, distinct = text.coded(tokens)
+                keys, times = np.unique(text.row_of(at) * max(1, len(distinct)) + ids, return_counts=True)
+                row = keys // max(1, len(distinct))
+                share = np.rint(times * 1e6 / np.maximum(1, np.diff(at))[row]).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("lang").take(pa.array(row)), distinct.take(pa.array(keys % max(1, len(distinct)))).cast(pa.binary()), pa.array(share)], names=["lang", "word", "share"])
+
+    counted = map_batches(sample(docs, train_rows, lang_col, id_col, text_col), count, "lang string, word binary, share bigint").groupBy("lang", "word").agg(F.sum("share").alias("share"))
+    found = counted.where("share > 0").toArrow().sort_by([("lang", "ascending"), ("word", "ascending")])
+    if not found.num_rows:
         return Network([])
-    return train(distinct.take(pa.array(keys // len(languages))), times / per[keys % len(languages)], keys % len(languages), languages)
+    lang = np.array(found.column("lang").to_pylist(), dtype=object)
+    languages, target = np.unique(lang.astype(str), return_inverse=True)
+    share = found.column("share").to_numpy().astype(np.float64)
+    per = np.bincount(target, weights=share)  # each language weighs the same, however many documents it has here
+    return train(pa.array(found.column("word").to_pylist(), pa.large_binary()), share / per[target], target, languages.tolist())
 
 
 def _predict(texts: pa.Array, net: Network) -> dict[str, pa.Array]:
