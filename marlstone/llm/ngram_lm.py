@@ -303,4 +303,8 @@ def score(docs: DataFrame, train: Column | None = None, id_col: str = "doc_id",
         answered.where(F.col("block").isNull()).select("shard", "answer").write.parquet(model_path)
     whole = blocks.select("block", "doc_id", "train", "size", "stream", "words").join(known, "block").join(_gathered(answered, "pair_answers"), "block")
     out = map_batches(whole, _score(shards, word_shards, corpus, size["starts"]), "doc_id bigint, train boolean, n_tokens bigint, n_known bigint, base_score double, score double")
-    return out.select("doc_id", "train", "n_tokens", "n_known", F.lit(corpus.tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
+    scores = scratch.write(out.select("doc_id", "train", "n_tokens", "n_known", F.lit(corpus.tokens).cast("bigint").alias("train_tokens"), "base_score", "score"), "scores")
+    spark.sql(f"DROP TABLE {table}")
+    del blocks, asked, counted, known, with_counts, answered, whole, out
+    scratch.drop(("scores",))
+    return scores
