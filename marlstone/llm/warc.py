@@ -213,7 +213,8 @@ def look_up(parts: DataFrame, keys: DataFrame) -> DataFrame:
     if len(known) > MAX_PARTS:
         raise ValueError(f"more than {MAX_PARTS} archive parts; write them in fewer partitions")
     shared = parts.sparkSession.sparkContext.broadcast([(r["first"], r["last"], r["path"], r["directory_at"], r["directory_size"]) for r in known])
-    ordered = keys.distinct().repartitionByRange("key").sortWithinPartitions("key")
+    # A task for each part: its records are read from the archive, which weighs far more than the keys.
+    ordered = keys.distinct().repartitionByRange(max(1, len(known)), "key").sortWithinPartitions("key")
     return map_batches(ordered, lambda it: _look_up(it, shared.value), "key string, page string, payload_bytes bigint, payload_digest string, record_type string, refers_to string")
 
 
