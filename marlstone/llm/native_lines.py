@@ -31,8 +31,9 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Which lines of each document stay: rows (doc_id, text_key, n_dropped, runs).
 
-    Only documents that lose lines have a row. runs is the bitmap, compressed: lengths of runs of
-    XX is xxhash64 of the text and tells rows apart that share a doc_id.
+    Only documents that lose lines have a row; all lines of the others stay. runs is the bitmap,
+    compressed: the dropped runs of lines in order, each by its first and last line (from 0).
+    text_key is xxhash64 of the text and tells rows apart that share a doc_id.
 
     A line's key is the line stripped of ASCII white space at both ends with A-Z lower-cased. A key
     of min_chars code points or more that min_docs rows or more hold loses its lines in all rows
@@ -72,18 +73,20 @@ def _runs(pos: Column) -> Column:
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with text_col rewritten to its kept lines, and n_lines and n_dropped (bigint) after its columns.
 
-    Columns of docs by the names n_lines and n_dropped are replaced. Null text stays null and has
-    one line.
+    Columns of docs by the names n_lines and n_dropped, upper and lower case alike, are replaced;
+    no other column can clash. Null text stays null and has one line.
     """
+    taken = {c.lower() for c in docs.columns}
+    own_id, key, n, own_runs, own_lines = (next(x for x in (name + "_" * k for k in range(len(taken) + 1)) if x not in taken) for name in ("__id", "__key", "__n", "__runs", "__lines"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.withColumns({"__id": F.col(id_col).cast("bigint"), "__key": F.xxhash64(text)})
-    marks = bitmaps.select(F.col("doc_id").cast("bigint").alias("__id"), F.col("text_key").alias("__key"), F.col("n_dropped").alias("__n"), F.col("runs").alias("__runs"))
-    joined = keyed.join(marks, ["__id", "__key"], "left").withColumn("__lines", F.split(text, "\n", -1))
-    lines, runs = F.col("__lines"), F.col("__runs")
+    keyed = docs.withColumns({own_id: F.col(id_col).cast("bigint"), key: F.xxhash64(text)})
+    marks = bitmaps.select(F.col("doc_id").cast("bigint").alias(own_id), F.col("text_key").alias(key), F.col("n_dropped").alias(n), F.col("runs").alias(own_runs))
+    joined = keyed.join(marks, [own_id, key], "left").withColumn(own_lines, F.split(text, "\n", -1))
+    lines, runs = F.col(own_lines), F.col(own_runs)
     after = lambda i: F.coalesce(F.get(runs, i - 1)["last"] + 1, F.lit(0))  # noqa: E731  first line after the run before
     between = F.transform(runs, lambda r, i: F.slice(lines, after(i) + 1, r["first"] - after(i)))
     tail = F.slice(lines, after(F.size(runs)) + 1, F.size(lines))
     out = F.when(runs.isNull(), F.col(text_col)).otherwise(F.array_join(F.concat(F.flatten(between), tail), "\n"))
-    return joined.withColumns({text_col: out, "n_lines": F.size(lines).cast("bigint"), "n_dropped": F.coalesce("__n", F.lit(0)).cast("bigint")}).select(
-        *[c for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped"
+    return joined.withColumns({text_col: out, "n_lines": F.size(lines).cast("bigint"), "n_dropped": F.coalesce(n, F.lit(0)).cast("bigint")}).select(
+        *[c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")], "n_lines", "n_dropped"
     )
