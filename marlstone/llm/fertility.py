@@ -69,7 +69,7 @@ BANDS: dict[str, Band] = {
     "de": Band(min_chars=1.7, max_chars=8.0, max_fallback=0.10, min_entropy=3.2, entropy_floors=(5.0, 5.4, 5.95, 6.2, 6.4, 6.5, 6.6)),
     "fr": Band(min_chars=1.5, max_chars=8.0, max_fallback=0.10, min_entropy=3.2, entropy_floors=(5.0, 5.5, 5.85, 6.05, 6.3, 6.4, 6.5)),
     "es": Band(min_chars=1.6, max_chars=8.0, max_fallback=0.10, min_entropy=3.2, entropy_floors=(5.0, 5.4, 5.8, 6.15, 6.4, 6.5, 6.65)),
-    "Latin": Band(min_chars=1.15, max_chars=8.0, max_fallback=0.20, min_entropy=3.2, entropy_floors=(4.7, 5.1, 5.5, 5.75, 6.0, 6.1, 6.2)),
+    "Latin": Band(min_chars=1.0, max_chars=8.0, max_fallback=0.20, min_entropy=3.2, entropy_floors=(4.7, 5.1, 5.5, 5.75, 6.0, 6.1, 6.2)),
     "Greek": Band(min_chars=0.6, max_chars=6.0, max_fallback=0.35, min_entropy=3.0),
     "Cyrillic": Band(min_chars=0.8, max_chars=8.0, max_fallback=0.35, min_entropy=3.2),
     "Hebrew": Band(min_chars=0.4, max_chars=6.0, max_fallback=0.5, min_entropy=3.0),
@@ -213,7 +213,7 @@ def measure(docs: DataFrame, vocabulary: str = VOCABULARY, bands: dict[str, Band
     word being tokenised by itself, so that all copies of a word share one encoding.
     """
     model = docs.sparkSession.sparkContext.broadcast(Vocabulary(Path(vocabulary).read_bytes()))
-    names = [c for c in docs.columns if c not in _MEASURES]
+    names = [c for c in docs.columns if c.lower() not in _MEASURES]
     kept = [c for c in names if keep_text or c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

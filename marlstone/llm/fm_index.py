@@ -316,9 +316,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id:
         if following == ([], []):
             following = None
         phrases = sc.broadcast(Phrases.of(*block, window))
-        keep = [c for c in docs.columns if c not in ADDED and (keep_text or c != text_col or following is not None)]
+        keep = [c for c in docs.columns if c.lower() not in ADDED and (keep_text or c != text_col or following is not None)]
         fields = [out.schema[c] for c in keep] + [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("spans", _SPANS_SQL), T.StructField("items", T.ArrayType(T.StringType()))]
-        source = out if first else out.select(*[c for c in docs.columns if c not in ADDED], "spans", "items")
+        source = out if first else out.select(*[c for c in docs.columns if c.lower() not in ADDED], "spans", "items")
         out = map_batches(source, lambda it, p=phrases, k=keep: _scan(it, p.value, text_col, k), T.StructType(fields))
         block, first = following, False
     return out

@@ -42,8 +42,8 @@ def class_sizes(labels: DataFrame, target: str, train: Callable[[str], Column] =
 
 
 def append(docs: DataFrame, text_col: str, added: dict[str, T.DataType], run: Callable[[pa.Array], dict[str, pa.Array]], keep_text: bool, chunk: int = text.CHUNK_BYTES) -> DataFrame:
-    """docs with columns that run makes of a run of texts; columns by their names are replaced."""
-    names = [c for c in docs.columns if c not in added]
+    """docs with columns that run makes of a run of texts; columns by their names, upper and lower case alike, are replaced."""
+    names = [c for c in docs.columns if c.lower() not in {a.lower() for a in added}]
     kept = [c for c in names if keep_text or c != text_col]
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

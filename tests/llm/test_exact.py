@@ -190,3 +190,24 @@ def test_url_keys(spark):
     cases = {"http://WWW.Example.com/A?b": "com,example)/A?b", "https://u@a.b.org:8080/x#y": "org,b,a)/x", "": "", "no scheme": "no%20scheme"}
     df = spark.createDataFrame([(u,) for u in cases], "u string").select("u", warc.url_key(F.col("u")).alias("k"))
     assert {r["u"]: r["k"] for r in df.collect()} == cases
+
+
+def test_tokens_against_brute_force(spark):
+    """Tokens, characters a token, byte share and entropy, word by word with the tokeniser itself."""
+    import math
+
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=fertility.VOCABULARY)
+    texts = ["the quick brown fox the quick", "", None, "naïve 漢字 𓀀𓀁 x", "Ünï cödé  words\n\nand lines", "a" * 3000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in fertility.measure(docs, lang_col=None).collect()}
+    for i, t in enumerate(texts):
+        words = [x for x in re.split(r"[\x20\x09-\x0d]+", t or "") if x]
+        tokens = [k for w in words for k in model.encode(w)]
+        share = [tokens.count(k) / len(tokens) for k in set(tokens)]
+        r = got[i]
+        assert r["n_tokens"] == len(tokens)
+        assert math.isclose(r["chars_per_token"], sum(map(len, words)) / max(1, len(tokens)), rel_tol=1e-12)
+        assert math.isclose(r["byte_fallback_share"], sum(model.IsByte(k) for k in tokens) / max(1, len(tokens)), rel_tol=1e-12)
+        assert math.isclose(r["token_entropy"], -sum(p * math.log2(p) for p in share), rel_tol=1e-9, abs_tol=1e-9)

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.llm import deobfuscate, gru, mixing, nbsvm, ngram_lm, text
+from marlstone.llm import deobfuscate, fertility, fm_index, gru, mixing, native_lines, nbsvm, ngram_lm, text
 from marlstone.llm.elias_fano import EliasFano, Trie, mapped
 from marlstone.llm.queries import QUERIES
 
@@ -237,3 +237,77 @@ def test_mixing(docs, labels):
 def test_query_returns_every_document(spark, sf_dir, name):
     df = QUERIES[name](spark, sf_dir)
     assert df.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count() and df.columns[0] == "doc_id"
+
+
+def test_tokens_with_several_readings():
+    """Marks that stand for letters without any letter beside them, doubled letters, and odd fillers; no token is cut."""
+    counts = np.zeros(deobfuscate.SYMBOLS**deobfuscate.ORDER)
+    np.add.at(counts, deobfuscate._char_grams(pa.array([b"ass", b"kill", b"stupid", b"idiot", b"slut", b"hole"] * 200, pa.large_binary())), 1)
+    restorer = deobfuscate.Restorer(deobfuscate.char_model(counts))
+    for word, tokens in {"ass": ("a55", "@$$", "a$$"), "kill": ("ki11", "k111"), "stupid": ("stuupid",), "idiot": ("id#iot", "id%iot", "i#d#i#o#t"), "slut": ("$1ut",)}.items():
+        for token in tokens:
+            assert word in _restored(restorer, f"you {token} there"), token
+    assert _restored(restorer, "3.14 1,000 2026") == {"3.14", "1,000", "2026"}
+    long = "1d10t" * 700
+    assert deobfuscate.decode(long, restorer.model).count("idiot") > 650
+
+
+def test_hinge_loss_is_least():
+    """Dual coordinate descent against a brute-force projected gradient of the same dual."""
+    rng = np.random.default_rng(4)
+    rows = [np.sort(rng.choice(12, rng.integers(1, 7), replace=False)) for _ in range(30)]
+    ratio, scale = rng.normal(size=12), np.array([1 / np.sqrt(len(r)) for r in rows])
+    y = np.where(rng.random(30) < 0.5, 1.0, -1.0)
+    upper = np.full(30, 0.7)
+    x = np.zeros((30, 12))
+    for i, r in enumerate(rows):
+        x[i, r] = ratio[r] * scale[i]
+    primal = lambda w: 0.5 * w @ w + (upper * np.maximum(0, 1 - y * (x @ w))).sum()
+    g = (x * y[:, None]) @ (x * y[:, None]).T
+    dual, step = np.zeros(30), 1 / np.linalg.eigvalsh(g)[-1]
+    for _ in range(100_000):
+        dual = np.clip(dual - step * (g @ dual - 1), 0, upper)
+    w = nbsvm.descend(rows, ratio, scale, y, upper)
+    assert primal(w) <= primal((x * y[:, None]).T @ dual) * (1 + 1e-2)
+
+
+def test_gru_reads_long_words_whole():
+    """Pieces longer than a pass are cut between characters; shorter ones aren't cut, and order doesn't matter."""
+    words = pa.array([("é" * 300).encode(), b"short", ("漢" * 100).encode(), b"", b"x" * 256], pa.large_binary())
+    pieces, length, word = gru._pieces(words)
+    assert [int(length[word == i].sum()) for i in range(5)] == [600, 5, 300, 0, 256] and (word == 4).sum() == 1
+    for p, n in zip(pieces, length):
+        bytes(p[:n]).decode()
+    net = gru.Network(["a", "b"])
+    one = np.concatenate([net.words(words.slice(i, 1)) for i in range(5)])
+    assert np.allclose(one, net.words(words), atol=1e-3)
+
+
+def test_every_language_is_learned(spark):
+    """More languages than any fixed number, some in one document only."""
+    rows = [(i, f"word{i % 70}a word{i % 70}b word{i % 70}c", f"l{i % 70}") for i in range(100)]
+    net = gru.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), F.lit(True))
+    assert len(net.languages) == 70
+
+
+def test_columns_that_clash_by_case(spark, docs, labels):
+    own = docs.limit(20).drop("score").withColumns({"Score": F.lit("x"), "N_Words": F.lit(1), "SPANS": F.lit(2), "__ID": F.lit(3), "N_Lines": F.lit(4)})
+    none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    assert {c.lower() for c in nbsvm.score(own, nbsvm.fit(own, none)).columns} >= {"score", "n_words"}
+    assert nbsvm.score(own, nbsvm.fit(own, none)).select("score").schema[0].dataType.typeName() == "double"
+    kept = native_lines.apply_bitmaps(own, native_lines.keep_bitmaps(own))
+    assert kept.select("n_lines").schema[0].dataType.typeName() == "long" and kept.where("__ID = 3").count() == 20
+    assert fm_index.scan(own, spark.createDataFrame([(1, "a b")], "item_id bigint, text string")).select("spans").count() == 20
+    assert fertility.measure(own).select("n_words").count() == 20
+
+
+def test_no_table_is_left(spark, sf_dir):
+    ngram_lm.score(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).count()
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("marlstone")]
+
+
+def test_empty_tables_of_learned_operators(spark):
+    docs = spark.createDataFrame([], "doc_id bigint, text string, lang string")
+    none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    assert deobfuscate.score(docs, deobfuscate.fit(docs, none)).count() == nbsvm.score(docs, nbsvm.fit(docs, none)).count() == 0
+    assert gru.predict(docs, gru.fit(docs)).count() == mixing.apply(docs, mixing.fit(docs, none)).count() == 0
