@@ -7,6 +7,7 @@ words, symbols, repeated lines and repeated word windows stand beside them.
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -19,8 +20,8 @@ from pyspark.sql import types as T
 from marlstone.llm import text
 from marlstone.llm.store import map_batches
 
-#: Where the public vocabularies are; a parameter of measure().
-VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+#: Where the public vocabularies are, parameters of measure(): one of pieces with byte fallback, and one of bytes for many languages.
+VOCABULARY, SECOND = "/opt/tokenizers/piece_bpe_32k.model", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Text taken at once: distinct words are tokenised once for each such run of documents.
 CHUNK_BYTES = 4 << 20
 SYMBOLS = b"#*$%&|<>"
@@ -30,7 +31,7 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 
 @dataclass(frozen=True)
 class Band:
-    """What is kept: bounds of characters per token, byte-fallback share and bits of token entropy.
+    """What is kept: bounds of characters per token, byte-fallback share and bits of token entropy, and of characters per token of the second vocabulary.
 
     min_entropy holds for texts of entropy_from tokens or more; shorter ones can't reach it. So do
     entropy_floors, the least entropy of texts of FLOOR_TOKENS tokens, between which it goes with
@@ -43,6 +44,7 @@ class Band:
     min_entropy: float = 0.0
     entropy_from: int = 100
     entropy_floors: tuple[float, ...] = ()
+    min_second: float = 0.0
 
     def least_entropy(self, n_tokens: np.ndarray) -> np.ndarray:
         least = np.full(len(n_tokens), self.min_entropy)
@@ -63,13 +65,14 @@ _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(0xC2, 256)]] = True
 
 #: Kept bands by language; other texts take the band of their script. Those of languages lie four deviations
-#: below the mean entropy of texts labelled clean, or lower; Latin's are 0.3 bits or more below the lowest of them.
+#: below the mean entropy of texts labelled clean, or lower, and 7 % below the least characters a token of the second
+#: vocabulary that such a text has; Latin's are 0.3 bits and a fifth or more below the lowest of them.
 BANDS: dict[str, Band] = {
-    "en": Band(min_chars=1.6, max_chars=8.0, max_fallback=0.10, min_entropy=3.2, entropy_floors=(5.2, 5.7, 6.1, 6.4, 6.6, 6.75, 6.8)),
-    "de": Band(min_chars=1.7, max_chars=8.0, max_fallback=0.10, min_entropy=3.2, entropy_floors=(5.0, 5.4, 5.95, 6.2, 6.4, 6.5, 6.6)),
-    "fr": Band(min_chars=1.5, max_chars=8.0, max_fallback=0.10, min_entropy=3.2, entropy_floors=(5.0, 5.5, 5.85, 6.05, 6.3, 6.4, 6.5)),
-    "es": Band(min_chars=1.6, max_chars=8.0, max_fallback=0.10, min_entropy=3.2, entropy_floors=(5.0, 5.4, 5.8, 6.15, 6.4, 6.5, 6.65)),
-    "Latin": Band(min_chars=1.0, max_chars=8.0, max_fallback=0.20, min_entropy=3.2, entropy_floors=(4.7, 5.1, 5.5, 5.75, 6.0, 6.1, 6.2)),
+    "en": Band(min_chars=1.6, max_chars=8.0, max_fallback=0.10, min_entropy=3.2, entropy_floors=(5.2, 5.7, 6.1, 6.4, 6.6, 6.75, 6.8), min_second=1.85),
+    "de": Band(min_chars=1.7, max_chars=8.0, max_fallback=0.10, min_entropy=3.2, entropy_floors=(5.0, 5.4, 5.95, 6.2, 6.4, 6.5, 6.6), min_second=1.95),
+    "fr": Band(min_chars=1.5, max_chars=8.0, max_fallback=0.10, min_entropy=3.2, entropy_floors=(5.0, 5.5, 5.85, 6.05, 6.3, 6.4, 6.5), min_second=1.68),
+    "es": Band(min_chars=1.6, max_chars=8.0, max_fallback=0.10, min_entropy=3.2, entropy_floors=(5.0, 5.4, 5.8, 6.15, 6.4, 6.5, 6.65), min_second=1.78),
+    "Latin": Band(min_chars=1.0, max_chars=8.0, max_fallback=0.20, min_entropy=3.2, entropy_floors=(4.7, 5.1, 5.5, 5.75, 6.0, 6.1, 6.2), min_second=1.3),
     "Greek": Band(min_chars=0.6, max_chars=6.0, max_fallback=0.35, min_entropy=3.0),
     "Cyrillic": Band(min_chars=0.8, max_chars=8.0, max_fallback=0.35, min_entropy=3.2),
     "Hebrew": Band(min_chars=0.4, max_chars=6.0, max_fallback=0.5, min_entropy=3.0),
@@ -82,7 +85,7 @@ BANDS: dict[str, Band] = {
 
 _MEASURES: dict[str, T.DataType] = {
     "n_words": T.LongType(), "word_chars": T.LongType(), "n_symbols": T.LongType(), "n_dup_lines": T.LongType(), "n_repeat_words": T.LongType(),
-    "n_tokens": T.LongType(), "chars_per_token": T.DoubleType(), "byte_fallback_share": T.DoubleType(), "token_entropy": T.DoubleType(),
+    "n_tokens": T.LongType(), "chars_per_token": T.DoubleType(), "byte_fallback_share": T.DoubleType(), "token_entropy": T.DoubleType(), "second_chars_per_token": T.DoubleType(),
     "script": T.StringType(), "base_failed": T.BooleanType(), "kept": T.BooleanType(),
 }
 
@@ -111,6 +114,27 @@ class Vocabulary:
         return np.fromiter((t for x in lists for t in x), np.int64, at[-1]), at, self.bytes
 
 
+@dataclass
+class ByteVocabulary:
+    """Ranks of a byte-level BPE, opened where it is first used."""
+
+    ranks: bytes
+    encoding: object = field(default=None, compare=False)
+
+    def __getstate__(self):
+        return {"ranks": self.ranks, "encoding": None}
+
+    def sizes(self, words: pa.Array) -> np.ndarray:
+        """Tokens of each word, read behind a space; runs of one kind of character are cut at 40, as merging takes the square of their length."""
+        if self.encoding is None:
+            import tiktoken
+
+            ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in self.ranks.splitlines() if line)}
+            self.encoding = tiktoken.Encoding("ranks", pat_str=r" ?\p{L}{1,40}| ?\p{N}{1,40}| ?[^\s\p{L}\p{N}]{1,40}|\s", mergeable_ranks=ranks, special_tokens={})
+        encode = self.encoding.encode_ordinary
+        return np.fromiter((len(encode(" " + w.decode("utf-8", "replace"))) for w in words.to_pylist()), np.int64, len(words))
+
+
 def repeated_words(ids: np.ndarray, at: np.ndarray, window: int = REPEAT_WINDOW) -> np.ndarray:
     """By text: words inside windows that the text has twice or more."""
     n = len(ids) - window + 1
@@ -155,7 +179,7 @@ def repeated_lines(texts: pa.Array) -> np.ndarray:
     return np.bincount(row[has_word], minlength=n) - np.bincount(once // max(1, len(distinct)), minlength=n)
 
 
-def _measure(texts: pa.Array, langs: list[str | None], vocabulary: Vocabulary, bands: dict[str, Band]) -> dict[str, pa.Array]:
+def _measure(texts: pa.Array, langs: list[str | None], vocabulary: Vocabulary, second: ByteVocabulary | None, bands: dict[str, Band]) -> dict[str, pa.Array]:
     tokens, at = text.words(texts, lower=False)
     ids, distinct = text.coded(tokens)
     data, byte_at = text.raw(texts)
@@ -189,30 +213,33 @@ def _measure(texts: pa.Array, langs: list[str | None], vocabulary: Vocabulary, b
     failed = (n_words < MIN_WORDS) | (100 * n_repeat > MAX_REPEAT_PERCENT * n_words)
     per_token, share = word_chars / some, n_fallback / some
     band = [bands.get(lang) or bands[SCRIPTS[s]] for lang, s in zip(langs, script)]
-    low, high, most = (np.array([getattr(b, k) for b in band], dtype=np.float64) for k in ("min_chars", "max_chars", "max_fallback"))
+    low, high, most, second_low = (np.array([getattr(b, k) for b in band], dtype=np.float64) for k in ("min_chars", "max_chars", "max_fallback", "min_second"))
+    per_second = np.full(len(n_words), np.nan) if second is None else word_chars / np.maximum(1, text.rows_sum(second.sizes(distinct)[ids], at))
     least = np.zeros(len(band))
     for b in set(band):
         own = np.array([x is b or x == b for x in band])
         least[own] = b.least_entropy(n_tokens[own])
-    fits = (per_token >= low) & (per_token <= high) & (share <= most) & (entropy >= least)
+    fits = (per_token >= low) & (per_token <= high) & (share <= most) & (entropy >= least) & ((per_second >= second_low) | (second is None))
     found = {
         "n_words": n_words, "word_chars": word_chars, "n_symbols": n_symbols, "n_dup_lines": repeated_lines(texts), "n_repeat_words": n_repeat,
-        "n_tokens": n_tokens, "chars_per_token": per_token, "byte_fallback_share": share, "token_entropy": entropy,
+        "n_tokens": n_tokens, "chars_per_token": per_token, "byte_fallback_share": share, "token_entropy": entropy, "second_chars_per_token": per_second,
         "script": np.array(SCRIPTS)[script], "base_failed": failed, "kept": ~failed & fits,
     }
-    return {k: pa.array(v) for k, v in found.items()}
+    return {k: pa.array(v, from_pandas=v.dtype.kind == "f") for k, v in found.items()}
 
 
-def measure(docs: DataFrame, vocabulary: str = VOCABULARY, bands: dict[str, Band] = BANDS, text_col: str = "text", lang_col: str | None = "lang", keep_text: bool = True) -> DataFrame:
+def measure(docs: DataFrame, vocabulary: str = VOCABULARY, second: str | None = SECOND, bands: dict[str, Band] = BANDS, text_col: str = "text", lang_col: str | None = "lang", keep_text: bool = True) -> DataFrame:
     """docs with the measures and verdict of each text; columns of docs by their names are replaced.
 
     base_failed: fewer than 20 words, or more than 30 % of the words in 8-word windows that come
     twice or more. kept: base_failed is false and the text lies in the band of its language, if
     bands has one, or else of the script most of its letters are in. Null text counts as empty: it
     has no words and fails. Repeated rows are measured alike. Tokens are counted over words, each
-    word being tokenised by itself, so that all copies of a word share one encoding.
+    word being tokenised by itself, so that all copies of a word share one encoding. Without a
+    second vocabulary its measure is null and bounds nothing.
     """
     model = docs.sparkSession.sparkContext.broadcast(Vocabulary(Path(vocabulary).read_bytes()))
+    other = docs.sparkSession.sparkContext.broadcast(None if second is None else ByteVocabulary(Path(second).read_bytes()))
     names = [c for c in docs.columns if c.lower() not in _MEASURES]
     kept = [c for c in names if keep_text or c != text_col]
 
@@ -220,7 +247,7 @@ def measure(docs: DataFrame, vocabulary: str = VOCABULARY, bands: dict[str, Band
         for batch in batches:
             for part in text.slices(batch, text_col, CHUNK_BYTES):
                 langs = part.column(lang_col).to_pylist() if lang_col in part.schema.names else [None] * part.num_rows
-                found = _measure(part.column(text_col), langs, model.value, bands)
+                found = _measure(part.column(text_col), langs, model.value, other.value, bands)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *found.values()], names=[*kept, *found])
 
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(k, t) for k, t in _MEASURES.items()])
