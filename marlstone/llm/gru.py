@@ -27,6 +27,8 @@ PIECE = 256
 CELLS = 8192 * 24
 #: Labelled documents of each language that the network is trained on at most, by all their words.
 DOCS_PER_LANGUAGE = 400
+#: Groups of partitions in which a language's first rows are found before they meet.
+SALTS = 64
 #: Sampled ids that are broadcast; more, as with very many languages, are matched by a shuffled join.
 MAX_BROADCAST = 2_000_000
 STEPS, BATCH, RATE = 800, 384, 0.015
@@ -218,7 +220,8 @@ def sample(docs: DataFrame, train_rows, lang_col: str = "lang", id_col: str = "d
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), train_rows.alias("train")).where(F.col("lang").isNotNull() & F.col("train"))
     first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("h", "id"))
     ids = rows.select("id", "lang", F.xxhash64("id").alias("h"), F.spark_partition_id().alias("part"))
-    ids = ids.withColumn("n", first("lang", "part")).where(F.col("n") <= per_language).withColumn("n", first("lang")).where(F.col("n") <= per_language)
+    for by in ("part", F.pmod("part", F.lit(SALTS)), F.lit(0)):  # the last step gets SALTS * per_language rows of a language at most
+        ids = ids.withColumn("n", first("lang", by)).where(F.col("n") <= per_language)
     chosen = ids.select("id", "lang").distinct().persist()
     few = chosen.count() <= MAX_BROADCAST
     return rows.join(F.broadcast(chosen) if few else chosen, ["id", "lang"], "left_semi").select("text", "lang")
