@@ -47,3 +47,23 @@ def test_entry_without_the_subpackage(tmp_path):
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'sem_npl_ratio' in q and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+
+
+def test_stages_take_odd_rows(spark, sf_dir):
+    """Nulls in any column, empty and very long texts, repeated rows and ids, and no rows at all."""
+    source = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    schema = source.schema
+    clean = source.where("lang = 'en'").join(spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 and toxic = 0"), "doc_id").select("doc_id", "text", "lang")
+    plain = fertility.measure(clean).where("kept").orderBy("doc_id").first()["text"]
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, plain, "en", "s", len(plain)), (3, plain, "en", "s", len(plain)), (None, plain, None, "s", None), (4, "x" * 200_000, "xx", None, 7), (5, " \n\t\n", "", "", 4)]
+    named = {"doc_id": 0, "text": 1, "lang": 2, "source": 3, "n_chars": 4}
+    docs = spark.createDataFrame([tuple(r[named[f.name]] for f in schema.fields) for r in rows], schema)
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, sf_dir)
+        found = out.collect()
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert out.columns == docs.columns, name
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0, name
+        ids = sorted((r["doc_id"] for r in found), key=str)
+        expected = {"quality_rules": [3, 3, None], "line_dedup": sorted((r[0] for r in rows), key=str), "near_duplicates": sorted((r[0] for r in rows), key=str)}.get(name)
+        assert expected is None or ids == sorted(expected, key=str), name
