@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -23,7 +24,7 @@ from marlstone.llm.store import map_batches
 #: Where the public vocabularies are, parameters of measure(): one of pieces with byte fallback, and one of bytes for many languages.
 VOCABULARY, SECOND = "/opt/tokenizers/piece_bpe_32k.model", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Text taken at once: distinct words are tokenised once for each such run of documents.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 SYMBOLS = b"#*$%&|<>"
 REPEAT_WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
@@ -90,48 +91,48 @@ _MEASURES: dict[str, T.DataType] = {
 }
 
 
-@dataclass
+@lru_cache(maxsize=2)
+def _pieces(model: bytes):
+    """A SentencePiece processor and which of its ids are byte tokens; opened once in a process, whichever query asks."""
+    import sentencepiece
+
+    processor = sentencepiece.SentencePieceProcessor(model_proto=model)
+    return processor, np.array([processor.IsByte(i) for i in range(processor.vocab_size())])
+
+
+@lru_cache(maxsize=2)
+def _ranks(body: bytes):
+    import tiktoken
+
+    ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in body.splitlines() if line)}
+    return tiktoken.Encoding("ranks", pat_str=r" ?\p{L}{1,40}| ?\p{N}{1,40}| ?[^\s\p{L}\p{N}]{1,40}|\s", mergeable_ranks=ranks, special_tokens={})
+
+
+@dataclass(frozen=True)
 class Vocabulary:
-    """A SentencePiece model, opened where it is first used."""
+    """A SentencePiece model."""
 
     model: bytes
-    processor: object = field(default=None, compare=False)
-
-    def __getstate__(self):
-        return {"model": self.model, "processor": None}
 
     def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Token ids of all words after one another, offsets by word, and which ids are byte tokens."""
-        if self.processor is None:
-            import sentencepiece
-
-            self.processor = sentencepiece.SentencePieceProcessor(model_proto=self.model)
-            self.bytes = np.array([self.processor.IsByte(i) for i in range(self.processor.vocab_size())])
+        processor, is_byte = _pieces(self.model)
         # Replacement characters stand in for bytes that no text has; Spark strings are UTF-8.
-        lists = self.processor.encode([w.decode("utf-8", "replace") for w in words.to_pylist()], num_threads=1)
+        lists = processor.encode([w.decode("utf-8", "replace") for w in words.to_pylist()], num_threads=1)
         at = np.zeros(len(lists) + 1, dtype=np.int64)
         np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)), out=at[1:])
-        return np.fromiter((t for x in lists for t in x), np.int64, at[-1]), at, self.bytes
+        return np.fromiter((t for x in lists for t in x), np.int64, at[-1]), at, is_byte
 
 
-@dataclass
+@dataclass(frozen=True)
 class ByteVocabulary:
-    """Ranks of a byte-level BPE, opened where it is first used."""
+    """Ranks of a byte-level BPE."""
 
     ranks: bytes
-    encoding: object = field(default=None, compare=False)
-
-    def __getstate__(self):
-        return {"ranks": self.ranks, "encoding": None}
 
     def sizes(self, words: pa.Array) -> np.ndarray:
         """Tokens of each word, read behind a space; runs of one kind of character are cut at 40, as merging takes the square of their length."""
-        if self.encoding is None:
-            import tiktoken
-
-            ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in self.ranks.splitlines() if line)}
-            self.encoding = tiktoken.Encoding("ranks", pat_str=r" ?\p{L}{1,40}| ?\p{N}{1,40}| ?[^\s\p{L}\p{N}]{1,40}|\s", mergeable_ranks=ranks, special_tokens={})
-        encode = self.encoding.encode_ordinary
+        encode = _ranks(self.ranks).encode_ordinary
         return np.fromiter((len(encode(" " + w.decode("utf-8", "replace"))) for w in words.to_pylist()), np.int64, len(words))
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -50,7 +52,23 @@ class Scratch:
         jvm.System.gc()
 
 
+def _release() -> None:
+    """Give memory that is free back to the system: workers live on, and others need it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library than glibc
+        pass
+
+
 def map_batches(df: DataFrame, run: Callable, schema: T.StructType | str) -> DataFrame:
-    """df.mapInArrow with the package at hand in the workers."""
+    """df.mapInArrow with the package at hand in the workers; what a task has held is free when it ends."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _release()
+
+    return df.mapInArrow(released, schema)
