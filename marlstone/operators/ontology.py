@@ -36,7 +36,7 @@ ENTITIES: dict[str, str] = {
     "loan_application": "LoanApplication", "loan_agreement": "LoanAgreement", "loan_repayment_schedule": "LoanRepaymentSchedule", "loan_disbursement": "LoanDisbursement", "loan_collateral": "LoanCollateral",
     "ref_country": "RefCountry", "ref_currency": "RefCurrency", "ref_nace_industry": "RefIndustry",
 }
-# Tables by the external concept that grounds what they hold.
+#: Tables by an external concept that grounds what they hold: names of our own choice, not a published mapping.
 GROUNDINGS: dict[str, str] = {
     "party": "fibo-party:Party", "party_individual": "fibo-people:Person", "party_organization": "fibo-org:LegalEntity", "party_role_customer": "fibo-partyrole:Customer", "party_address": "fibo-place:Address", "party_identification": "fibo-people:IdentityDocument",
     "deposit_account": "fibo-account:DepositAccount", "deposit_balance": "fibo-account:Balance", "deposit_transaction": "fibo-pay:Transaction", "deposit_interest_term": "fibo-account:InterestTerm", "deposit_overdraft_facility": "fibo-loan:OverdraftFacility",
