@@ -1,11 +1,9 @@
 """Benchmark decontamination by an FM-index over each shard of training documents.
 
-A shard is one Arrow batch of documents. Its words become symbols; the Burrows-Wheeler transform of
-the symbols is held in a wavelet matrix whose ranks drive backward search of every benchmark window
-at once; occurrences are located by walking to sampled suffix positions; their word spans merge.
-
-Words that no benchmark window has cannot lie inside an occurrence, so they end runs of words, and
-runs shorter than the shortest window are left out of the index: no occurrence is lost by that.
+A shard is a run of whole documents with about SHARD_BYTES of text. All its words become symbols,
+those that no benchmark window has one symbol together; the Burrows-Wheeler transform of the
+symbols is held in a wavelet matrix whose ranks drive backward search of every benchmark window at
+once; occurrences are located by walking to sampled suffix positions; their word spans merge.
 """
 
 from __future__ import annotations
@@ -27,10 +25,12 @@ from marlstone.llm.store import map_batches
 WINDOW = 13
 #: Benchmark text that one pass over the documents searches for; a larger benchmark takes more passes.
 BLOCK_BYTES = 8 << 20
+#: Text of the documents that are indexed together; a longer document is a shard of its own.
+SHARD_BYTES = 8 << 20
 #: Distance of sampled suffix positions.
 SAMPLE = 16
-#: Symbols that separate runs and end the shard.
-_END, _GAP, _FIRST = 0, 1, 2
+#: Symbols that end the shard, end a document and stand for words that no window has.
+_END, _GAP, _OTHER, _FIRST = 0, 1, 2, 3
 
 
 class Bits:
@@ -86,18 +86,25 @@ class Wavelet:
 
 
 def suffix_array(sequence: np.ndarray) -> np.ndarray:
-    """Starts of the suffixes in order, by prefix doubling over those that are still tied."""
+    """Starts of the suffixes in order, by prefix doubling over those that are still tied.
+
+    The first order is by as many symbols, a power of two, as one integer holds.
+    """
     n = len(sequence)
-    order = np.argsort(sequence, kind="stable")
+    bits = int(sequence.max(initial=0) + 1).bit_length()
     rank = np.empty(n, dtype=np.int64)
+    keys, step = sequence.astype(np.int64) + 1, 1
+    while 2 * step * bits < 63:
+        keys = (keys << (step * bits)) | np.append(keys[step:], np.zeros(min(step, n), np.int64))
+        step *= 2
+    order = np.argsort(keys)
 
     def ranks(of: np.ndarray, keys: np.ndarray, base: np.ndarray) -> None:
         new = np.ones(len(of), dtype=bool)
         new[1:] = keys[1:] != keys[:-1]
         rank[of] = base[np.maximum.accumulate(np.where(new, np.arange(len(of)), 0))]
 
-    ranks(order, sequence[order], np.arange(n))
-    step = 1
+    ranks(order, keys[order], np.arange(n))
     while True:
         sorted_rank = rank[order]
         tied = np.zeros(n, dtype=bool)
@@ -117,7 +124,7 @@ def suffix_array(sequence: np.ndarray) -> np.ndarray:
 
 
 class FmIndex:
-    """Counts and places of patterns in a sequence of symbols from _FIRST on; _GAP may separate parts."""
+    """Counts and places of patterns in a sequence of symbols above _END."""
 
     def __init__(self, sequence: np.ndarray, symbols: int, sample: int = SAMPLE):
         sequence = np.append(sequence, _END)
@@ -189,37 +196,18 @@ def _spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low[of] + np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size), of
 
 
-def _hits(shard: list[pa.Array], phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _hits(texts: pa.Array, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a shard's texts: words by text; (text, first, last) of occurrences, one row each; (text, item) pairs."""
-    shortest = min(phrases.windows, default=0)
-    n_words, parts, places, rows_before = [], [], [], 0
-    for texts in shard:
-        tokens, at = text.words(texts, "alnum")
-        n_words.append(np.diff(at))
-        if shortest and len(tokens):
-            ids = pc.fill_null(pc.index_in(tokens, value_set=phrases.vocabulary), -1).to_numpy().astype(np.int64)
-            edge = np.zeros(len(ids) + 1, dtype=bool)
-            known = ids >= 0
-            edge[at] = True
-            edge[1:-1] |= known[1:] != known[:-1]
-            cut = np.flatnonzero(edge)
-            keep = known[cut[:-1]] & (np.diff(cut) >= shortest)
-            if keep.any():
-                place, run = _spread(cut[:-1][keep], cut[1:][keep])
-                row = np.searchsorted(at, cut[:-1][keep], side="right") - 1
-                gap = np.flatnonzero(np.append(np.diff(run) != 0, True)) + 1  # a separator after each run
-                parts.append(np.insert(ids[place] + _FIRST, gap, _GAP))
-                owner = np.stack([row[run] + rows_before, place - at[row][run]], axis=1)
-                places.append(np.insert(owner, gap, -1, axis=0))
-        rows_before += len(texts)
-    n_words = np.concatenate(n_words) if n_words else np.zeros(0, np.int64)
-    none = np.zeros((0, 3), np.int64), np.zeros((0, 2), np.int64)
-    if not parts:
-        return n_words, *none
-    sequence, place = np.concatenate(parts), np.concatenate(places)
-    present = np.unique(sequence)
+    tokens, at = text.words(texts, "alnum")
+    n_words = np.diff(at)
+    if not phrases.windows or not len(tokens):
+        return n_words, np.zeros((0, 3), np.int64), np.zeros((0, 2), np.int64)
+    sequence = np.full(len(tokens) + len(texts), _GAP, dtype=np.int64)
+    opens = at[:-1] + np.arange(len(texts))  # where each text's words start in the sequence
+    sequence[np.arange(len(tokens)) + text.row_of(at)] = pc.fill_null(pc.index_in(tokens, value_set=phrases.vocabulary), _OTHER - _FIRST).to_numpy() + _FIRST
+    del tokens
+    present = np.union1d(sequence, [_END])
     local = np.full(len(phrases.vocabulary) + _FIRST, -1, dtype=np.int64)
-    present = np.union1d(present, [_END, _GAP])
     local[present] = np.arange(len(present))
     index = FmIndex(local[sequence], len(present))
     spans, pairs = [], []
@@ -229,10 +217,11 @@ def _hits(shard: list[pa.Array], phrases: Phrases) -> tuple[np.ndarray, np.ndarr
         low, high = index.search(symbols[there])
         found = np.flatnonzero(high > low)
         rows, of = _spread(low[found], high[found])
-        start = place[index.locate(rows)]
-        window = there[found][of]
-        spans.append(np.stack([start[:, 0], start[:, 1], start[:, 1] + length - 1], axis=1))
-        once = np.unique(np.stack([start[:, 0], window], axis=1), axis=0)
+        place = index.locate(rows)
+        row = np.searchsorted(opens, place, side="right") - 1
+        start, window = place - opens[row], there[found][of]
+        spans.append(np.stack([row, start, start + length - 1], axis=1))
+        once = np.unique(np.stack([row, window], axis=1), axis=0)
         k, which = _spread(item_at[once[:, 1]], item_at[once[:, 1] + 1])
         pairs.append(np.stack([once[which, 0], item_of[k]], axis=1))
     return n_words, np.concatenate(spans), np.unique(np.concatenate(pairs), axis=0)
@@ -261,9 +250,9 @@ def _lists(rows: np.ndarray, n: int, values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(n + 1)), pa.int32()), values)
 
 
-def _scan(batches: Iterator[pa.RecordBatch], phrases: Phrases, text_col: str, keep: list[str]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n_words, spans, pairs = _hits([s.column(text_col) for s in text.slices(batch, text_col)], phrases)
+def _scan(batches: Iterator[pa.RecordBatch], phrases: Phrases, text_col: str, keep: list[str], shard_bytes: int = SHARD_BYTES) -> Iterator[pa.RecordBatch]:
+    for batch in (shard for batch in batches for shard in text.slices(batch, text_col, shard_bytes)):
+        n_words, spans, pairs = _hits(batch.column(text_col), phrases)
         names = [phrases.items[i] for i in pairs[:, 1]]
         if "spans" in batch.schema.names:  # a later block of the benchmark: add what earlier ones found
             was = batch.column("spans")
@@ -290,14 +279,14 @@ def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"
     for item, body in benchmark.select(F.col(id_col).cast("string"), F.col(text_col)).where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).toLocalIterator():
         ids.append(item)
         texts.append(body)
-        size += len(body)
+        size += len(body.encode())
         if size >= limit:
             yield ids, texts
             ids, texts, size = [], [], 0
     yield ids, texts
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep_text: bool = True) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES, keep_text: bool = True) -> DataFrame:
     """docs with what the benchmark has in common with them.
 
     Added: n_words and n_hit (bigint), spans (first and last word, from 0, of the merged spans to
@@ -319,7 +308,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id:
         keep = [c for c in docs.columns if c.lower() not in ADDED and (keep_text or c != text_col or following is not None)]
         fields = [out.schema[c] for c in keep] + [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("spans", _SPANS_SQL), T.StructField("items", T.ArrayType(T.StringType()))]
         source = out if first else out.select(*[c for c in docs.columns if c.lower() not in ADDED], "spans", "items")
-        out = map_batches(source, lambda it, p=phrases, k=keep: _scan(it, p.value, text_col, k), T.StructType(fields))
+        out = map_batches(source, lambda it, p=phrases, k=keep: _scan(it, p.value, text_col, k, shard_bytes), T.StructType(fields))
         block, first = following, False
     return out
 

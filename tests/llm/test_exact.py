@@ -3,6 +3,7 @@
 import hashlib
 import re
 
+import numpy as np
 import pytest
 from conftest import cells
 
@@ -116,19 +117,31 @@ def _hits(t, items, size=13):
     return len(w), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("block", [1 << 20, 30])
-def test_fm_index(spark, block):
+@pytest.mark.parametrize("block, shard", [(1 << 20, 1 << 20), (30, 1 << 20), (1 << 20, 40)])
+def test_fm_index(spark, block, shard):
     item = " ".join(f"a{i}" for i in range(20))
     items = [(7, item), (12, "short one"), (30, None), (31, ""), (32, "a0 a1, A2"), (33, "the the the"), (None, "never"), (12, "second text of twelve")]
     rows = [(1, f"x {item} y"), (2, item.upper() + " " + item), (3, None), (4, ""), (5, "Short-One!"), (6, "the the the the"), (7, " ".join(f"a{i}" for i in range(3, 17))), (7, "second text of twelve"), (8, "q " * 20000 + item), (None, item), (9, "never")]
     docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id bigint, text string, spans int").repartition(2)
-    out = fm_index.scan(docs, spark.createDataFrame(items, "item_id bigint, text string"), block_bytes=block).collect()
+    out = fm_index.scan(docs, spark.createDataFrame(items, "item_id bigint, text string"), block_bytes=block, shard_bytes=shard).collect()
     named = [(n, t) for n, t in items if n is not None]
     expected = sorted(((i, *_hits(t, named)) for i, t in rows), key=str)
     assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in out), key=str) == expected
     assert all(sum(s["last"] - s["first"] + 1 for s in r["spans"]) == r["n_hit"] for r in out)
 
 
+@pytest.mark.parametrize("n, symbols", [(0, 1), (1, 1), (300, 1), (400, 2), (2000, 50), (2000, 100_000)])
+def test_fm_index_finds_every_place(n, symbols):
+    sequence = np.random.default_rng(n + symbols).integers(1, symbols + 1, n)
+    ended = np.append(sequence, 0)
+    assert fm_index.suffix_array(ended).tolist() == sorted(range(n + 1), key=lambda i: ended[i:].tolist())
+    index = fm_index.FmIndex(sequence, symbols + 1)
+    patterns = np.array([sequence[i : i + 3] for i in range(0, n - 3, 7)] + [[1, 1, 1]])
+    for pattern, low, high in zip(patterns, *index.search(patterns)):
+        places = [i for i in range(n - 2) if (sequence[i : i + 3] == pattern).all()]
+        assert sorted(index.locate(np.arange(low, high)).tolist()) == places
+
+
 def test_rules(spark):
     words = "the quick brown fox jumps over a lazy dog while seven bright stars shine above quiet northern lakes and people walk home slowly"
     rows = [(1, words), (2, None), (3, ""), (4, "a b c d e f g h " * 5), (5, "line one\nline one\n \n \nline one x"), (6, "#*$%&|<> é 漢字 x"), (6, "#*$%&|<> é 漢字 x"), (7, "y" * 30000), (8, words + " " + words)]
