@@ -33,9 +33,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_i
     """
     scored = vectors.select(F.col(id_col).alias("id"), unit(F.col(vector)).alias("__v")).crossJoin(F.broadcast(queries.select(query_id, unit(F.col(query_vector)).alias("__q"))))
     scored = scored.select(query_id, "id", dot(F.col("__v"), F.col("__q")).alias("__s"))
-    best = lambda *by: Window.partitionBy(*by).orderBy(F.col("__s").desc_nulls_last(), F.col("id"))
-    local = scored.withColumn("__p", F.spark_partition_id()).withColumn("__r", F.row_number().over(best(query_id, "__p"))).where(F.col("__r") <= k)
-    ranked = local.withColumn("rank", F.row_number().over(best(query_id))).where(F.col("rank") <= k)
+    return best(scored, k, query_id)
+
+
+def best(scored: DataFrame, k: int, query_id: str = "query_id") -> DataFrame:
+    """(query_id, id, similarity, rank) of the k rows (query_id, id, __s) with the greatest __s, ties by id; first in each partition, then over all."""
+    order = lambda *by: Window.partitionBy(*by).orderBy(F.col("__s").desc_nulls_last(), F.col("id"))
+    local = scored.withColumn("__p", F.spark_partition_id()).withColumn("__r", F.row_number().over(order(query_id, "__p"))).where(F.col("__r") <= k)
+    ranked = local.withColumn("rank", F.row_number().over(order(query_id))).where(F.col("rank") <= k)
     return ranked.select(query_id, "id", F.round("__s", 4).alias("similarity"), F.col("rank").cast("bigint").alias("rank"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import text
 from marlstone.operators import catalog as catalogs
-from marlstone.operators import governance, ontology, quality, telemetry, temporal, vector
+from marlstone.operators import ann, governance, ontology, quality, telemetry, temporal, vector
 from marlstone.operators import graph as graphs
 from marlstone.plans import guarded, retrieve
 from marlstone.plans.model import CUBES
@@ -316,6 +316,14 @@ def vec_knn_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.nearest(physical(spark, sf_dir, "embeddings"), _vector_queries(spark, sf_dir), 10)
 
 
+@_register
+def vec_ann_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten neighbours of each query from the inverted file over every vector."""
+    e = physical(spark, sf_dir, "embeddings")
+    lists = ann.fit(e)
+    return ann.search(ann.index(e, lists), lists, _vector_queries(spark, sf_dir), 10)
+
+
 @_register
 def vec_two_stage_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten neighbours of each query, re-ranked to three by agreement of labels, then similarity."""

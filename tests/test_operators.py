@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.functions import text
-from marlstone.operators import quality, temporal, vector
+from marlstone.operators import ann, quality, temporal, vector
 from marlstone.operators.ontology import Ontology
 from marlstone.plans import retrieve
 from marlstone.queries import QUERIES, SAMPLES
@@ -126,3 +126,29 @@ def test_numbered_redaction_covers_conversations(spark, sf_dir):
     talk = [(r["conv_id"], r["turn"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").collect()]
     expected = [(i, t, *text.redact_numbered(x)) for i, t, x in [*((i, 0, x) for i, x in SAMPLES), *talk]]
     assert sorted((r["doc_id"], r["turn"], r["redacted"], r["n_redacted"]) for r in rows) == sorted((i, t, x, len(k)) for i, t, x, k in expected)
+
+
+def test_inverted_file(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    queries = e.where("vec_id % 100 = 0").selectExpr("vec_id AS query_id", "embedding AS query_vector")
+    lists = ann.fit(e)
+    indexed = ann.index(e, lists).cache()
+    assert sorted(r["id"] for r in indexed.collect()) == sorted(r["vec_id"] for r in e.collect())
+    exact = {tuple(r) for r in vector.nearest(e, queries, 10).collect()}
+    pairs = lambda rows: {(r[0], r[1]) for r in rows}
+    assert len(pairs(exact) & pairs(ann.search(indexed, lists, queries, 10).collect())) >= 0.9 * len(exact)
+    assert {tuple(r) for r in ann.search(indexed, lists, queries, 10, probes=len(lists.centroids)).collect()} == exact
+
+
+def test_inverted_file_of_odd_rows(spark):
+    schema = "vec_id bigint, embedding array<float>"
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [1.0]), (None, [0.0, 2.0]), (6, [])]
+    v = spark.createDataFrame(rows, schema)
+    lists = ann.fit(v)
+    indexed = ann.index(v, lists)
+    assert sorted((r["id"], r["list"] == ann.NOWHERE) for r in indexed.collect() if r["id"]) == [(1, False), (1, False), (2, True), (3, True), (4, True), (6, True)]
+    q = spark.createDataFrame([(0, [3.0, 0.0]), (1, [0.0, 0.0]), (2, None), (3, [1.0])], "query_id bigint, query_vector array<float>")
+    assert {(r["query_id"], r["id"]) for r in ann.search(indexed, lists, q, 2).collect() if r["rank"] <= 2} == {(0, 1)}
+    none = spark.createDataFrame([], schema)
+    empty = ann.fit(none)
+    assert empty.probes == 0 and ann.index(none, empty).count() == 0 and ann.search(ann.index(v, empty), empty, q, 2).count() == 0
