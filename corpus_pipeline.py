@@ -60,4 +60,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     for name, stage in STAGES[:-1]:
         docs = scratch.write(stage(spark, docs, sf_dir), name)
+        scratch.drop(keep=(name,))  # no later stage reads what came before
     return STAGES[-1][1](spark, docs, sf_dir)
