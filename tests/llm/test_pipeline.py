@@ -1,5 +1,7 @@
 """The pipeline's stages against what each is to do with its own input."""
 
+import os
+
 import corpus_pipeline
 from pyspark.sql import functions as F
 
@@ -31,13 +33,15 @@ def test_stages(spark, sf_dir):
             assert out.columns == columns
         docs = out
     assert {"rate", "copies"} <= set(docs.columns)
-    whole = {r["doc_id"] for r in corpus_pipeline.run(spark, sf_dir).select("doc_id").collect()}
-    assert whole == {r["doc_id"] for r in docs.select("doc_id").collect()}
+    whole = corpus_pipeline.run(spark, sf_dir)
+    assert {r["doc_id"] for r in whole.select("doc_id").collect()} == {r["doc_id"] for r in docs.select("doc_id").collect()}
+    last = {f.rsplit("/", 2)[1] for f in whole.inputFiles() if "/pipeline-" in f}
+    folder = next(f for f in whole.inputFiles() if "/pipeline-" in f).rsplit("/", 2)[0].removeprefix("file:")
+    assert last == set(os.listdir("/" + folder.lstrip("/")))  # tables that nothing reads any more are gone
 
 
 def test_entry_without_the_subpackage(tmp_path):
     """__spark_entry__ imports, and has its other queries, where the folders are gone."""
-    import os
     import shutil
     import subprocess
     import sys
