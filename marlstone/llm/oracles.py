@@ -71,4 +71,40 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
 FROM documents LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op3_group_jaccard_join": OP3, "op7_warc_index": OP7, "op9_line_dedup": OP9, "op10_fm_decontamination": OP10}
+
+
+def _op11(rounds: int = 6) -> str:
+    """Codebooks by rounds of full comparison: a statement for each assignment and each update."""
+    assign = """
+a{r} AS MATERIALIZED (
+  SELECT vec_id, label, part, x, b.d AS d, b.e AS entry FROM (
+    SELECT vec_id, label, part, x, min({{'d': list_sum(list_transform(x, lambda v, i: (v - c[i]) * (v - c[i]))), 'e': entry}}) AS b
+    FROM parts JOIN c{r} USING (part) GROUP BY ALL))"""
+    update = """
+m{r} AS (
+  SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY pos) AS c FROM (
+    SELECT part, entry, pos, CAST(sum(v) AS HUGEINT) AS s, count(*) AS n
+    FROM (SELECT part, entry, unnest(x) AS v, unnest(range(1, len(x) + 1)) AS pos FROM a{r}) GROUP BY part, entry, pos)
+  GROUP BY part, entry),
+c{n} AS MATERIALIZED (SELECT part, entry, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} USING (part, entry))"""
+    steps = [assign.format(r=r) + ("," + update.format(r=r, n=r + 1) if r < rounds else "") for r in range(rounds + 1)]
+    return f"""
+WITH k AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (
+  SELECT vec_id, label, part, list_transform(v[part * (len(v) // 8) + 1 : (part + 1) * (len(v) // 8)], lambda x: CAST(x AS HUGEINT)) AS x FROM k, range(8) t(part)),
+c0 AS MATERIALIZED (
+  SELECT part, dense_rank() OVER (ORDER BY vec_id) - 1 AS entry, x AS c FROM parts
+  WHERE vec_id IN (SELECT vec_id FROM k ORDER BY vec_id LIMIT 16)),{",".join(steps)},
+books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{rounds}),
+coded AS (SELECT vec_id, label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id, label),
+labels_of AS (SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM coded GROUP BY label)
+SELECT vec_id, code, error, label_error, codebooks_sha256
+FROM coded JOIN labels_of ON coded.label IS NOT DISTINCT FROM labels_of.label, books
+"""
+
+
+OP11 = _op11()
+
+ORACLES: dict[str, str] = {"op3_group_jaccard_join": OP3, "op7_warc_index": OP7, "op9_line_dedup": OP9, "op10_fm_decontamination": OP10, "op11_annular_codes": OP11}

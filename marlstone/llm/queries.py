@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import deobfuscate, fertility, fm_index, group_join, gru, labelled, mixing, native_lines, nbsvm, ngram_lm, warc
+from marlstone.llm import deobfuscate, fertility, fm_index, group_join, gru, labelled, mixing, native_lines, nbsvm, ngram_lm, vector_codes, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +71,11 @@ def op10_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), fm_index.contaminated().alias("contaminated"))
 
 
+def op11_annular_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.encode(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_noisy_channel_toxicity": op1_noisy_channel_toxicity,
     "op2_elias_fano_lm": op2_elias_fano_lm,
@@ -82,4 +87,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nb_svm": op8_nb_svm,
     "op10_fm_decontamination": op10_fm_decontamination,
     "op9_line_dedup": op9_line_dedup,
+    "op11_annular_codes": op11_annular_codes,
 }
