@@ -107,4 +107,29 @@ FROM coded JOIN labels_of ON coded.label IS NOT DISTINCT FROM labels_of.label, b
 
 OP11 = _op11()
 
-ORACLES: dict[str, str] = {"op3_group_jaccard_join": OP3, "op7_warc_index": OP7, "op9_line_dedup": OP9, "op10_fm_decontamination": OP10, "op11_annular_codes": OP11}
+OP12 = """
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+grams AS MATERIALIZED (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS g, count(*) AS f
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 6) t(k) WHERE len(w) >= k) GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM grams WHERE k = 1 GROUP BY lang),
+cand AS MATERIALIZED (SELECT lang, k, g, f AS a, string_split(g, ' ') AS w FROM grams WHERE k >= 2 AND f >= 100),
+cuts AS (
+  SELECT c.lang, c.g, c.k, c.a, n, j, x.f AS l, y.f AS r, (1000 * CAST(a AS HUGEINT) * n) // (CAST(x.f AS HUGEINT) * y.f) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM cand) c JOIN totals USING (lang)
+  JOIN grams x ON x.lang = c.lang AND x.k = j AND x.g = array_to_string(w[1:j], ' ')
+  JOIN grams y ON y.lang = c.lang AND y.k = c.k - j AND y.g = array_to_string(w[j + 1:c.k], ' ')),
+best AS (SELECT lang, k, g, a, n, min({'score': score, 'j': j, 'l': l, 'r': r}) AS b FROM cuts GROUP BY ALL),
+inner_of AS (
+  SELECT lang, m AS k, array_to_string(w[i:i + m - 1], ' ') AS g, max(a) AS most
+  FROM (SELECT lang, w, a, m, unnest(range(1, k - m + 2)) AS i FROM cand, range(2, 5) t(m) WHERE m < k) GROUP BY ALL),
+ranked AS (
+  SELECT lang, g AS phrase, a, n, b.l AS l, b.r AS r, CAST(b.score AS BIGINT) AS score,
+         row_number() OVER (PARTITION BY lang ORDER BY b.score DESC, a DESC, g) AS rank
+  FROM best LEFT JOIN inner_of USING (lang, k, g) WHERE most IS NULL OR 100 * most < 100 * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
+ORACLES: dict[str, str] = {"op3_group_jaccard_join": OP3, "op7_warc_index": OP7, "op9_line_dedup": OP9, "op10_fm_decontamination": OP10, "op11_annular_codes": OP11, "op12_pair_naming_collocations": OP12}

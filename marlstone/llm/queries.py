@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import deobfuscate, fertility, fm_index, group_join, gru, labelled, mixing, native_lines, nbsvm, ngram_lm, vector_codes, warc
+from marlstone.llm import collocations, deobfuscate, fertility, fm_index, group_join, gru, labelled, mixing, native_lines, nbsvm, ngram_lm, vector_codes, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +76,10 @@ def op11_annular_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
 
 
+def op12_pair_naming_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_docs(spark, sf_dir).select("text", "lang")).drop("cut")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_noisy_channel_toxicity": op1_noisy_channel_toxicity,
     "op2_elias_fano_lm": op2_elias_fano_lm,
@@ -88,4 +92,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_fm_decontamination": op10_fm_decontamination,
     "op9_line_dedup": op9_line_dedup,
     "op11_annular_codes": op11_annular_codes,
+    "op12_pair_naming_collocations": op12_pair_naming_collocations,
 }
