@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from marlstone.llm.spotsigs import ANCHORS
+
 #: Strips ASCII white space at both ends and lower-cases A-Z.
 _KEY = "translate(trim({x}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -132,4 +134,32 @@ ranked AS (
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
 """
 
-ORACLES: dict[str, str] = {"op3_group_jaccard_join": OP3, "op7_warc_index": OP7, "op9_line_dedup": OP9, "op10_fm_decontamination": OP10, "op11_annular_codes": OP11, "op12_pair_naming_collocations": OP12}
+
+def _op13(anchors: tuple[str, ...]) -> str:
+    named = ", ".join(f"'{a}'" for a in anchors)
+    low = "translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    words = f"list_transform(regexp_extract_all({low}, '\\p{{Han}}|\\p{{Hiragana}}|\\p{{Katakana}}|[\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda w: CASE WHEN w IN ({named}) THEN chr(1) || w ELSE w END)"
+    glued = f"regexp_replace(array_to_string({words}, ' '), chr(1) || '([^ ]+) ', chr(1) || '\\1' || chr(2), 'g')"
+    bare = lambda t: f"split_part({t}, chr(2), -1)"
+    near = lambda a, b: f"len(list_intersect({a}, {b})) / (len({a}) + len({b}) - len(list_intersect({a}, {b})))"
+    return f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n_chars,
+         coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id DESC), first_value(coalesce(text, '')) OVER (ORDER BY doc_id DESC)) AS following FROM documents),
+e AS (SELECT *, left(t, n_chars - n_chars // 3) || left(following, n_chars // 3) AS edited FROM d),
+texts AS (SELECT doc_id, unnest(['own', 'edited', 'next']) AS which, unnest([t, edited, following]) AS x FROM e),
+tokens AS (SELECT doc_id, which, x, list_filter(string_split({glued}, ' '), lambda s: s <> '' AND NOT starts_with({bare('s')}, chr(1))) AS t FROM texts),
+chains AS (SELECT doc_id, which, x, list_transform(t, lambda s, i: concat_ws(' ', s, {bare('t[i + 1]')}, {bare('t[i + 2]')})) AS c FROM tokens),
+kept AS (SELECT doc_id, which, CASE WHEN len(list_filter(c, lambda s: starts_with(s, chr(1)))) > 0 THEN list_filter(c, lambda s: starts_with(s, chr(1))) WHEN len(c) > 0 THEN c ELSE [x] END AS k FROM chains),
+sets AS (SELECT doc_id, which, list_sort(list_distinct(list_transform(k, lambda s: md5(s)[1:8]))) AS s FROM kept),
+wide AS MATERIALIZED (
+  SELECT doc_id, any_value(s) FILTER (WHERE which = 'own') AS a, any_value(s) FILTER (WHERE which = 'edited') AS b, any_value(s) FILTER (WHERE which = 'next') AS c FROM sets GROUP BY doc_id)
+SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, array_to_string(a, '') AS fingerprint, array_to_string(b, '') AS edited_fingerprint,
+       {near('a', 'b')} AS near_edited, {near('a', 'c')} AS near_next
+FROM e JOIN wide USING (doc_id)
+"""
+
+
+OP13 = _op13(ANCHORS)
+
+ORACLES: dict[str, str] = {"op3_group_jaccard_join": OP3, "op7_warc_index": OP7, "op9_line_dedup": OP9, "op10_fm_decontamination": OP10, "op11_annular_codes": OP11, "op12_pair_naming_collocations": OP12, "op13_spotsigs": OP13}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import collocations, deobfuscate, fertility, fm_index, group_join, gru, labelled, mixing, native_lines, nbsvm, ngram_lm, vector_codes, warc
+from marlstone.llm import collocations, deobfuscate, fertility, fm_index, group_join, gru, labelled, mixing, native_lines, nbsvm, ngram_lm, spotsigs, vector_codes, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +80,10 @@ def op12_pair_naming_collocations(spark: SparkSession, sf_dir: str) -> DataFrame
     return collocations.collocations(_docs(spark, sf_dir).select("text", "lang")).drop("cut")
 
 
+def op13_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.compared_with_next(_docs(spark, sf_dir).select("doc_id", "text"), keep_text=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_noisy_channel_toxicity": op1_noisy_channel_toxicity,
     "op2_elias_fano_lm": op2_elias_fano_lm,
@@ -93,4 +97,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op11_annular_codes": op11_annular_codes,
     "op12_pair_naming_collocations": op12_pair_naming_collocations,
+    "op13_spotsigs": op13_spotsigs,
 }
