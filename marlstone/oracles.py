@@ -278,6 +278,8 @@ _hidden = lambda c, m: f"CASE WHEN {c} IS NOT NULL THEN {m} END"
 _add("pii_mask_rows", f"SELECT * REPLACE ({_hidden('first_name', _PERSONAL)} AS first_name, {_hidden('last_name', _PERSONAL)} AS last_name, {_hidden('gender', _SPECIAL)} AS gender, {_hidden('date_of_birth', _SPECIAL)} AS date_of_birth) FROM party_individual", "party_individual")
 _add("pii_mask_nested", f"SELECT party_id, {_hidden('first_name', _PERSONAL)} AS a, md_is_active AS b, {_hidden('gender', _SPECIAL)} AS c, {_hidden('last_name', _PERSONAL)} AS d, {_hidden('gender', _SPECIAL)} AS e, 'k' AS f FROM party_individual", "party_individual")
 _add("sql_guarded_masked", "SELECT party_id, CASE WHEN last_name IS NOT NULL THEN '[REDACTED]' END AS nick, CASE WHEN gender IS NOT NULL THEN '[REDACTED]' END AS g FROM party_individual ORDER BY party_id LIMIT 200", "party_individual")
+_add("sql_guarded_union", "SELECT party_id, '[REDACTED]' AS shown, kyc_status AS state FROM party_role_customer UNION ALL SELECT party_id, '[REDACTED]', 'person' FROM party_individual", "party_role_customer", "party_individual")
+_add("sql_guarded_explode", "WITH a AS (SELECT party_id, citizenship_country_code AS country, CASE WHEN i = 1 OR gender IS NOT NULL THEN '[REDACTED]' END AS item FROM party_individual, (VALUES (1), (2)) t(i)) SELECT a.party_id, a.country, a.item, b.item AS other, '[REDACTED]' AS top FROM a JOIN a b USING (party_id)", "party_individual")
 _add("sql_guarded_uncapped", "SELECT party_type, party_id FROM party WHERE md_is_active", "party")
 _SAMPLE = _values(SAMPLES, "doc_id", "text")
 _TEXTS = f"(SELECT doc_id, text FROM documents UNION ALL SELECT * FROM {_SAMPLE})"

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import threading
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -10,8 +9,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marlstone.functions import text
+from marlstone.plans.provenance import Provenance
+from marlstone.session import shared_dir
 from marlstone.sources.bindings import LOGICAL, Catalog
 
 #: Rows that a tool gets at most, and seconds that a role's statement may take.
@@ -35,10 +37,22 @@ class Rejected(ValueError):
     pass
 
 
+class TimedOut(TimeoutError):
+    pass
+
+
 @dataclass
 class Answer:
     rows: DataFrame
     truncated: bool
+    path: str | None = None
+
+    def drop(self) -> None:
+        """Remove the table of an answer that has one; its rows can't be read after."""
+        if self.path:
+            spark = self.rows.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _each(seq) -> Iterator:
@@ -96,81 +110,77 @@ def check(catalog: Catalog, sql: str) -> list[str]:
     return sorted(used & set(LOGICAL))
 
 
-def sources(df: DataFrame) -> dict[str, set[str]]:
-    """For each output column, every name that it or what it is made from bears on the way from storage."""
-    nodes = json.loads(df._jdf.queryExecution().analyzed().toJSON())
-    name: dict[int, str] = {}
-    made_from: dict[int, set[int]] = {}
-
-    def expression(flat: list[dict]) -> None:
-        ids = {x["exprId"]["id"] for x in flat if x["class"].endswith(".AttributeReference")}
-        for x in flat:
-            if x["class"].endswith(".AttributeReference"):
-                name.setdefault(x["exprId"]["id"], x["name"])
-        if flat[0]["class"].endswith(".Alias"):
-            name.setdefault(flat[0]["exprId"]["id"], flat[0]["name"])
-            made_from.setdefault(flat[0]["exprId"]["id"], set()).update(ids)
-
-    def walk(value) -> None:
-        if isinstance(value, list):
-            if value and isinstance(value[0], dict) and "class" in value[0] and "num-children" in value[0]:
-                expression(value)
-            for v in value:
-                walk(v)
-        elif isinstance(value, dict):
-            for v in value.values():
-                walk(v)
-
-    for node in nodes:
-        walk(list(node.values()))
-
-    def names(i: int, seen: frozenset = frozenset()) -> set[str]:
-        if i in seen:
-            return set()
-        return ({name[i]} if i in name else set()).union(*(names(j, seen | {i}) for j in made_from.get(i, ())))
-
-    output = df._jdf.queryExecution().analyzed().output()
-    return {output.apply(k).name(): names(output.apply(k).exprId().id()) for k in range(output.size())}
-
-
-def masked(df: DataFrame, restricted: Iterable[str] = ()) -> DataFrame:
+def _personal(names: Iterable[str], restricted: Iterable[str] = ()) -> bool:
+    return any(p in n.lower() for n in names for p in (*text.SPECIAL_COLUMNS, *text.PERSONAL_COLUMNS)) or any(n.lower() in restricted for n in names)
+
+
+def masked(df: DataFrame, restricted: Iterable[str] = (), origin: Provenance | None = None) -> DataFrame:
     """df with columns that come from personal data, or from restricted columns, replaced by a mark (nulls stay null), whatever they are called."""
-    personal, restricted = (*text.SPECIAL_COLUMNS, *text.PERSONAL_COLUMNS), set(restricted)
-    hide = {c for c, names in sources(df).items() if any(p in n.lower() for n in (*names, c) for p in personal) or restricted & {n.lower() for n in (*names, c)}}
-    return df.select(*[F.when(F.col(f"`{c}`").isNotNull(), F.lit("[REDACTED]")).alias(c) if c in hide else F.col(f"`{c}`") for c in df.columns])
+    restricted, origin = set(restricted), origin or Provenance(df)
+    hide = [_personal({*names, c}, restricted) for c, names in zip(df.columns, origin.columns())]
+    apart = df.toDF(*[f"c{i}" for i in range(len(hide))])  # two columns may bear one name
+    return apart.select(*[(F.when(F.col(f"c{i}").isNotNull(), F.lit("[REDACTED]")) if hidden else F.col(f"c{i}")).alias(name) for i, (hidden, name) in enumerate(zip(hide, df.columns))])
 
 
 def within(spark: SparkSession, seconds: float | None, run: Callable):
-    """run(), whose Spark jobs are cancelled after so many seconds."""
+    """run(), whose Spark jobs are cancelled after so many seconds, those that it has yet to start too; then TimedOut is raised."""
     if seconds is None:
         return run()
-    group = f"marlstone-{uuid.uuid4().hex}"
+    group, late = f"marlstone-{uuid.uuid4().hex}", threading.Event()
     sc = spark.sparkContext
-    timer = threading.Timer(seconds, lambda: sc.cancelJobGroup(group))
+
+    def stop() -> None:
+        late.set()
+        sc._jsc.sc().cancelJobGroupAndFutureJobs(group)
+
+    timer = threading.Timer(seconds, stop)
     sc.setJobGroup(group, "a statement with a time limit", interruptOnCancel=True)
     timer.start()
     try:
         return run()
+    except Exception as e:
+        if late.is_set():
+            raise TimedOut(f"stopped after {seconds:g} seconds") from e
+        raise
     finally:
         timer.cancel()
         sc._jsc.clearJobGroup()
 
 
-def query(catalog: Catalog, sql: str, cap: int | None = ROW_CAP) -> Answer:
+def _kept(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
+    """df's rows, written and read back; neither two columns of one name nor a column of nulls alone can be stored as they are."""
+    names, kinds = df.columns, [f.dataType for f in df.schema.fields]
+    apart = df.toDF(*[f"c{i}" for i in range(len(names))])
+    apart.select(*[F.col(c).cast("string") if isinstance(k, T.NullType) else F.col(c) for c, k in zip(apart.columns, kinds)]).write.parquet(path)
+    return spark.read.parquet(path).toDF(*names)
+
+
+def query(catalog: Catalog, sql: str, cap: int | None = ROW_CAP, seconds: float | None = None) -> Answer:
     """At most cap rows (None: all) of a reading statement over the logical tables, and whether there are more.
 
     The tables are views of a session of its own, so a caller's views are neither seen nor touched;
-    they show what the catalog's role may see.
+    they show what the catalog's role may see. Columns made from personal data are masked, however
+    they got there, and a statement that chooses, matches or orders rows by personal data is
+    refused: its rows would tell what the mask hides. (Asking whether a value is there is allowed.)
+
+    The statement runs once, within its role's time (or so many seconds): what is returned are rows
+    that were gathered, or with cap=None written to the shared folder, where they stay until drop().
     """
     used = check(catalog, sql)
-    apart = Catalog(catalog.spark.newSession(), catalog.sf_dir, catalog.role)
+    spark = catalog.spark
+    apart = Catalog(spark.newSession(), catalog.sf_dir, catalog.role)
     for t in used:
         apart.table(t).createOrReplaceTempView(t)
-    df = masked(apart.spark.sql(sql.strip().rstrip(";")))
+    df = apart.spark.sql(sql.strip().rstrip(";"))
+    origin = Provenance(df)
+    if _personal(origin.conditions()):
+        raise Rejected("rows can't be chosen, matched or ordered by personal data")
+    df, limit = masked(df, origin=origin), seconds or TIMEOUTS.get(catalog.role)
     if cap is None:
-        return Answer(df, False)
-    more = within(apart.spark, TIMEOUTS.get(catalog.role), lambda: df.limit(cap + 1).count()) > cap
-    return Answer(df.limit(cap), more)
+        path = f"{shared_dir(spark)}/answer-{uuid.uuid4().hex}"
+        return Answer(within(spark, limit, lambda: _kept(spark, df, path)), False, path)
+    rows = within(spark, limit, lambda: df.limit(cap + 1).collect())
+    return Answer(spark.createDataFrame([tuple(r) for r in rows[:cap]], df.schema), len(rows) > cap)
 
 
 def scalar_text(catalog: Catalog, sql: str) -> str:
