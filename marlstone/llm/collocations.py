@@ -14,6 +14,7 @@ ids; only the codes of a block and the ids of its own pairs ever meet in a task.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -113,6 +114,7 @@ def _pair(blocks: pa.Table, ids: pa.Table) -> pa.Table:
         return schema.empty_table()
     after = np.full(len(left), -1, np.int32)
     after[both] = code
+    after = after[(after >= 0) | np.append(False, after[:-1] >= 0)]  # one place of a gap will do
     names = [pa.array(name[keys // len(own)]), pa.array(name[keys % len(own)])]
     return pa.Table.from_batches([b.cast(schema) for b in _batch(blocks.column("block")[0].as_py(), after, n, names, ["left", "right"])])
 
@@ -125,6 +127,20 @@ def _written(scratch: Scratch, df: DataFrame, name: str) -> tuple[DataFrame, Dat
     return back().where("kind = 'blocks'").select("block", "codes"), back().where("kind = 'names'").drop("kind", "codes")
 
 
+def _named(scratch: Scratch, names: DataFrame, keys: list[str], least: int, k: int) -> DataFrame:
+    """Rows (block, code, id, a, first, keys) of the names that occur least times in all blocks together.
+
+    All rows of a name, one from each block that has it, meet in one shuffle and agree on its count
+    and id. Its first row has first and the keys; the others don't need them again.
+    """
+    rows = names.select("block", "code", "n", *keys, F.monotonically_increasing_id().alias("place"))
+    same = Window.partitionBy(*keys)
+    kept = rows.withColumns({"a": F.sum("n").over(same), "least": F.min("place").over(same)}).where(F.col("a") >= least)
+    first = F.col("place") == F.col("least")
+    own = (F.col("least") + F.lit(k << 56)).alias("id")  # no id of another level
+    return scratch.write(kept.select("block", "code", own, "a", first.alias("first"), *[F.when(first, F.col(c)).alias(c) for c in keys]), f"named{k}")
+
+
 def frequent_phrases(docs: DataFrame, scratch: Scratch, least: int = 100, longest: int = 5, text_col: str = "text", lang_col: str = "lang", block_bytes: int = BLOCK_BYTES) -> tuple[list[DataFrame], DataFrame]:
     """Phrases of 1, 2, ... longest words that occur least times, a table for each length, and all words' totals by language.
 
@@ -136,27 +152,25 @@ def frequent_phrases(docs: DataFrame, scratch: Scratch, least: int = 100, longes
     ship(spark)
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     blocks, names = _written(scratch, map_batches(rows, _read(block_bytes), _WORDS), "read")
-    counted = names.groupBy("lang", "word").agg(F.sum("n").alias("a"))
-    totals = names.groupBy("lang").agg(F.sum("n").alias("n"))
+    totals = scratch.write(names.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     none = F.array().cast("array<bigint>")
-    named = lambda k: (F.monotonically_increasing_id() + F.lit(k << 56)).alias("id")  # noqa: E731  no id of another level
-    keys, level = ["lang", "word"], counted.where(F.col("a") >= least).select(named(1), "lang", "word", F.array(F.col("word").cast("string")).alias("words"), "a", none.alias("before"), none.alias("after"), none.alias("inside"))
+    named = _named(scratch, names, ["lang", "word"], least, 1)
+    level = named.where("first").select("id", "lang", F.array(F.col("word").cast("string")).alias("words"), "a", none.alias("before"), none.alias("after"), none.alias("inside"))
     levels = [scratch.write(level, "level1")]
     for k in range(2, longest + 1):
-        known = levels[-1]
-        ids = names.join(known.select("id", *keys), keys).select("block", "code", "id")
-        paired = blocks.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_pair, _PAIRS)
+        paired = blocks.groupBy("block").cogroup(named.select("block", "code", "id").groupBy("block")).applyInArrow(_pair, _PAIRS)
         blocks, names = _written(scratch, paired, f"pairs{k}")
-        keys = ["left", "right"]
-        pairs = names.groupBy(*keys).agg(F.sum("n").alias("a")).where(F.col("a") >= least)
-        l, r = (known.select(*[F.col(c).alias(f"{side}_{c}") for c in ("id", "lang", "words", "a", "before", "after", "inside")]) for side in ("l", "r"))
-        both = pairs.join(l, F.col("left") == F.col("l_id")).join(r, F.col("right") == F.col("r_id"))
+        named = _named(scratch, names, ["left", "right"], least, k)
+        l, r = (levels[-1].select(*[F.col(c).alias(f"{side}_{c}") for c in levels[-1].columns]) for side in ("l", "r"))
+        both = named.where("first").join(l, F.col("left") == F.col("l_id")).join(r, F.col("right") == F.col("r_id"))
         own = F.array("left", "right") if k > 2 else none
         level = both.select(
-            named(k), "left", "right", F.col("l_lang").alias("lang"), F.concat("l_words", F.slice("r_words", -1, 1)).alias("words"), "a",
+            "id", F.col("l_lang").alias("lang"), F.concat("l_words", F.slice("r_words", -1, 1)).alias("words"), "a",
             F.concat("l_before", F.array("l_a")).alias("before"), F.concat("r_after", F.array("r_a")).alias("after"), F.array_distinct(F.concat(own, "l_inside", "r_inside")).alias("inside"),
         )
         levels.append(scratch.write(level, f"level{k}"))
+        del paired, level, both
+        scratch.drop(keep=("totals", f"pairs{k}", f"named{k}", *(f"level{i}" for i in range(1, k + 1))))
     return levels, totals
 
 
@@ -184,9 +198,7 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, subsumed_p
     scratch = Scratch(docs.sparkSession, "collocations")
     levels, totals = frequent_phrases(docs, scratch, least, longest, text_col, lang_col, block_bytes)
     wanted = ["id", F.size("words").alias("k"), "lang", "words", "a", "before", "after", "inside"]
-    candidates = levels[0].select(*wanted).limit(0)
-    for level in levels[1:]:
-        candidates = candidates.unionByName(level.select(*wanted))
+    candidates = reduce(DataFrame.unionByName, [level.select(*wanted) for level in levels[1:]])
     longer = None
     for k in range(3, longest + 1):
         own = levels[k - 1].select("a", F.explode("inside").alias("id"))
