@@ -124,10 +124,11 @@ def compared_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     (edited_sha256). Without a next document (null id) the last third goes and near_next is 0.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    paired = with_next(with_signature(rows, "text", "signature"), ["text", "signature"])
+    spots = with_signature(rows, "text", "spots").withColumn("spots", F.array_join("spots", " "))  # a text takes less room on the way than an array
+    paired = with_next(spots, ["text", "spots"]).withColumn("signature", F.split("spots", " "))
     sized = paired.withColumn("n_chars", F.char_length("text").cast("bigint")).withColumn("third", F.floor(F.col("n_chars") / 3).cast("int"))
     edited = F.concat(F.left("text", F.col("n_chars").cast("int") - F.col("third")), F.left(F.coalesce("next.text", F.lit("")), F.col("third")))
-    both = with_signature(sized.withColumn("edited", edited).withColumn("next_signature", F.col("next.signature")).drop("text", "next", "third"), "edited", "edited_signature")
+    both = with_signature(sized.withColumn("edited", edited).withColumn("next_signature", F.split("next.spots", " ")).drop("text", "next", "spots", "third"), "edited", "edited_signature")
     text = F.col("edited") if keep_text else F.sha2("edited", 256).alias("edited_sha256")
     own, other = F.col("signature"), F.col("edited_signature")
     return both.select("doc_id", "n_chars", text, fingerprint(own).alias("fingerprint"), fingerprint(other).alias("edited_fingerprint"), likeness(own, other).alias("near_edited"), likeness(own, F.col("next_signature")).alias("near_next"))
