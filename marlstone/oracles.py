@@ -89,6 +89,7 @@ _add("sem_multi_hop_loan_segment", f"SELECT c.customer_segment AS {_PC}_customer
 _add("sem_to_many_dimension", f"SELECT agreement_status AS loan_agreement_agreement_status, count(DISTINCT party_role_customer_id) AS {_PC}_total_customers FROM party_role_customer c LEFT JOIN loan_agreement l ON l.customer_id = c.party_role_customer_id GROUP BY 1", _PC, _LA)
 _add("sem_distinct_members", "SELECT DISTINCT account_type AS deposit_account_account_type, currency_code AS deposit_account_currency_code FROM deposit_account", _DA)
 _add("sem_ordered_limit", "SELECT account_type AS deposit_account_account_type, currency_code AS deposit_account_currency_code, count(*) FILTER (WHERE md_is_active) AS deposit_account_total_deposit_accounts FROM deposit_account GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 4", _DA)
+_add("sem_rollup_merged", f"SELECT agreement_status AS loan_agreement_agreement_status, count(*) FILTER (WHERE md_is_active) AS loan_agreement_total_loan_contracts, {_sum('principal_amount', 'md_is_active')} AS loan_agreement_total_principal_exposure, count(*) FILTER (WHERE is_npl AND md_is_active) AS loan_agreement_npl_default_count, {_sum('principal_amount', 'is_npl AND md_is_active')} AS loan_agreement_npl_default_principal_exposure FROM (SELECT principal_amount, md_is_active, CASE WHEN loan_agreement_id % 50 = 0 THEN 'PAID_OFF' ELSE agreement_status END AS agreement_status, is_npl AND loan_agreement_id % 50 <> 0 AS is_npl FROM loan_agreement WHERE loan_agreement_id % 97 <> 0) GROUP BY 1", _LA)
 _add("sem_rollup_credit_risk", f"SELECT agreement_status AS loan_agreement_agreement_status, count(*) FILTER (WHERE md_is_active) AS loan_agreement_total_loan_contracts, {_sum('principal_amount', 'md_is_active')} AS loan_agreement_total_principal_exposure FROM loan_agreement WHERE NOT is_npl GROUP BY 1", _LA)
 _add("sem_rollup_account_activity", f"SELECT a.currency_code AS deposit_account_currency_code, count(*) FILTER (WHERE a.md_is_active) AS deposit_account_total_deposit_accounts, count(*) FILTER (WHERE b.current_balance < 0 AND a.md_is_active) AS deposit_account_overdrawn_account_count FROM {_ACC} GROUP BY 1", _DA, "deposit_balance")
 _add("sem_rollup_balance_totals", f"SELECT a.account_status AS deposit_account_account_status, {_sum('b.current_balance')} AS deposit_balance_total_current_balance FROM deposit_balance b LEFT JOIN deposit_account a USING (deposit_account_id) GROUP BY 1", _DA, "deposit_balance")

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.plans.model import CUBES, MASKED, PRIVILEGED, VIEWS, Measure
+from marlstone.plans.rollups import Rollups
 from marlstone.sources.bindings import Catalog
 
 _REF = re.compile(r"\$(?:(\w+)\.)?(\w+)")
@@ -105,7 +106,7 @@ class SemanticLayer:
     """Queries over the cubes; with a folder of stored roll-ups, those that a roll-up covers are answered from it."""
 
     def __init__(self, catalog: Catalog, rollups: str | None = None):
-        self.catalog, self.rollups = catalog, rollups
+        self.catalog, self.rollups = catalog, Rollups(rollups) if rollups else None
 
     def _table(self, cube: str, columns: set[str]) -> DataFrame:
         df = self.catalog.table(cube)
@@ -254,23 +255,51 @@ class SemanticLayer:
 
     # Roll-ups: stored aggregates that answer queries they cover.
 
-    def rollup(self, cube: str, name: str) -> DataFrame:
-        """The stored form of a roll-up: its dimensions and the parts of its (additive) measures."""
+    def rollup_tables(self, cube: str, name: str) -> list[str]:
+        """The logical tables that a roll-up is made from."""
+        _, needed = self._rollup_needs(cube, name)
+        steps = [s for goal in sorted({c for c, _ in needed} - {cube}) for s in path(cube, goal)]
+        return sorted({cube} | {c for s in steps for c in s})
+
+    def _rollup_needs(self, cube: str, name: str) -> tuple[list[str], set[tuple[str, str]]]:
         measures, dimensions = CUBES[cube].rollups[name]
-        return SemanticLayer(self.catalog).load({"measures": [f"{cube}.{m}" for m in measures], "dimensions": list(dimensions)}, "privileged")
+        base = [n for n in self.closure(cube, measures) if CUBES[cube].measures[n].kind != "number"]
+        needed = {tuple(d.split(".")) for d in dimensions}
+        for n in base:
+            m = CUBES[cube].measures[n]
+            needed |= _refs(m.sql, cube) | _refs(m.where, cube)
+        return base, needed
+
+    def partials(self, cube: str, name: str, only: tuple[str, DataFrame] | None = None) -> DataFrame:
+        """A roll-up's states: its dimensions, __rows, and what adds up of each measure: counts, sums and (__n) how many values a sum has.
+
+        only: a column of the cube and its values, if no other rows are asked for.
+        """
+        base, needed = self._rollup_needs(cube, name)
+        df, many = self._joined(cube, needed | ({(cube, only[0])} if only else set()))
+        if many:
+            raise ValueError(f"{cube}.{name} walks a to-many edge: its states don't add up")
+        if only:
+            df = df.join(only[1].withColumnRenamed(only[0], f"{cube}__{only[0]}"), f"{cube}__{only[0]}", "left_semi")
+        states = [F.count(F.lit(1)).alias("__rows")]
+        for n in base:
+            m = CUBES[cube].measures[n]
+            parts = self._aggregate(m, cube)
+            if m.kind == "count":
+                states.append(parts[0].cast("bigint").alias(f"{cube}_{n}"))
+            else:
+                count = self._aggregate(Measure("avg", m.sql, m.where), cube)[1]
+                states += [parts[0].cast("decimal(38,4)").alias(f"{cube}_{n}"), count.alias(f"{cube}_{n}__n")]
+        return df.groupBy(*[F.col(d.replace(".", "__")).alias(d.replace(".", "_")) for d in CUBES[cube].rollups[name][1]]).agg(*states)
 
     def materialise(self, cube: str, name: str) -> None:
         """Store a roll-up, or store it anew."""
-        self.rollup(cube, name).write.mode("overwrite").parquet(f"{self.rollups}/{cube}.{name}")
+        self.rollups.store(self.catalog, cube, name)
 
     def _stored(self, query: dict) -> DataFrame | None:
-        """The stored roll-up that covers a query, if there is one."""
+        """The stored roll-up that covers a query, if there is one that is up to date and that the catalog's role may read."""
         found = self.matching_rollup(query) if self.rollups else None
-        if found is None:
-            return None
-        jvm, conf = self.catalog.spark._jvm, self.catalog.spark._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.rollups}/{found[0]}.{found[1]}/_SUCCESS")
-        return self.catalog.spark.read.parquet(str(path.getParent().toString())) if path.getFileSystem(conf).exists(path) else None
+        return self.rollups.read(self.catalog, *found) if found else None
 
     @staticmethod
     def matching_rollup(query: dict) -> tuple[str, str] | None:
@@ -292,7 +321,7 @@ class SemanticLayer:
         for m in query["measures"]:
             cube, member = resolve_member(m).split(".")
             held = F.col(f"{cube}_{member}")
-            total = F.coalesce(F.sum(held), F.lit(0)).cast("bigint") if CUBES[cube].measures[member].kind == "count" else F.sum(held.cast("decimal(18,4)")).cast("double")
+            total = F.coalesce(F.sum(held), F.lit(0)).cast("bigint") if CUBES[cube].measures[member].kind == "count" else F.sum(held).cast("double")
             sums.append(total.alias(m.replace(".", "_")))
         return df.groupBy(*[F.col(resolve_member(d).replace(".", "_")).alias(d.replace(".", "_")) for d in query.get("dimensions", ())]).agg(*sums)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 from collections.abc import Callable
 from functools import reduce
 
@@ -18,7 +18,7 @@ from marlstone.plans.model import CUBES
 from marlstone.plans.semantic import SemanticLayer
 from marlstone.session import shared_dir
 from marlstone.sources import contracts, documents, synthetic
-from marlstone.sources.bindings import Catalog, physical
+from marlstone.sources.bindings import Catalog, Overlay, physical
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -70,19 +70,47 @@ _semantic("sem_distinct_members", dimensions=["deposit_account.account_type", "d
 _semantic("sem_ordered_limit", measures=["deposit_account.total_deposit_accounts"], dimensions=["deposit_account.account_type", "deposit_account.currency_code"], order=[("deposit_account.total_deposit_accounts", "desc"), ("deposit_account.account_type", "asc"), ("deposit_account.currency_code", "asc")], limit=4)
 
 
+def _rollups(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of these tables' roll-ups: stored once, used until the tables change."""
+    return f"{shared_dir(spark)}/rollups/{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+
+
 def _rolled(cube: str, rollup: str, **query) -> Query:
     """A query that the layer answers from a stored roll-up of its own accord."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        layer = SemanticLayer(Catalog(spark, sf_dir), f"{shared_dir(spark)}/rollups-{uuid.uuid4().hex}")
+        catalog = Catalog(spark, sf_dir)
+        layer = SemanticLayer(catalog, _rollups(spark, sf_dir))
         if layer.matching_rollup(query) != (cube, rollup):
             raise ValueError(f"{rollup} doesn't cover the query")
-        layer.materialise(cube, rollup)
+        layer.rollups.ensure(catalog, cube, rollup)
         return layer.load(query, "privileged")
 
     return run
 
 
+def _changed_loans(before: Catalog) -> tuple[DataFrame, Catalog]:
+    """Every fiftieth loan is paid off, every 97th is gone: the changes, and the tables with them."""
+    loans = before.table("loan_agreement")
+    gone, paid = F.col("loan_agreement_id") % 97 == 0, F.col("loan_agreement_id") % 50 == 0
+    now = loans.where(~gone).withColumns({"agreement_status": F.when(paid, "PAID_OFF").otherwise(F.col("agreement_status")), "is_npl": F.col("is_npl") & ~paid})
+    changes = loans.where(gone | paid).withColumn("op", F.lit("delete")).unionByName(now.where(paid).withColumn("op", F.lit("insert")))
+    return changes, Overlay(before, {"loan_agreement": now}, "paid")
+
+
+@_register
+def sem_rollup_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loans by status from a roll-up that a batch of changes was merged into."""
+    before = Catalog(spark, sf_dir)
+    changes, after = _changed_loans(before)
+    layer = SemanticLayer(after, f"{_rollups(spark, sf_dir)}-merged")
+    if not layer.rollups.fresh(after, "loan_agreement", "credit_risk_rollup"):
+        layer.rollups.store(before, "loan_agreement", "credit_risk_rollup", watermark=0)
+        layer.rollups.merge("loan_agreement", "credit_risk_rollup", "loan_agreement", changes, before, after, watermark=1)
+    names = ("total_loan_contracts", "total_principal_exposure", "npl_default_count", "npl_default_principal_exposure")
+    return layer.load({"measures": [f"loan_agreement.{n}" for n in names], "dimensions": ["loan_agreement.agreement_status"]}, "privileged")
+
+
 QUERIES["sem_rollup_credit_risk"] = _rolled("loan_agreement", "credit_risk_rollup", measures=["loan_agreement.total_loan_contracts", "loan_agreement.total_principal_exposure"], dimensions=["loan_agreement.agreement_status"], filters=[{"member": "loan_agreement.is_npl", "operator": "equals", "values": [False]}])
 QUERIES["sem_rollup_account_activity"] = _rolled("deposit_account", "account_activity_rollup", measures=["deposit_account.total_deposit_accounts", "deposit_account.overdrawn_account_count"], dimensions=["deposit_account.currency_code"])
 QUERIES["sem_rollup_balance_totals"] = _rolled("deposit_balance", "balance_totals_rollup", measures=["deposit_balance.total_current_balance"], dimensions=["deposit_account.account_status"])
