@@ -8,12 +8,14 @@ parents: following the left ones gives the phrase's beginnings, the right ones i
 together all phrases inside it.
 
 Texts become blocks of codes once. A block exchanges its distinct pairs, with their counts, for
-ids; only the codes of a block and the ids of its own pairs ever meet in a task.
+ids; only the codes of a block and the ids of its own pairs ever meet in a task. Most pairs are
+rare, so pairs are first counted by packed 32-bit hashes in shards: a pair whose hash isn't
+frequent can't be, and makes no row. That saves work and changes no result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -24,11 +26,13 @@ from pyspark.sql import functions as F
 
 from marlstone.llm import text as tx
 from marlstone.llm.sized import with_totals
-from marlstone.llm.store import Scratch, map_batches
+from marlstone.llm.store import Scratch, _release, map_batches
 from marlstone.workers import ship
 
 #: Text that one block takes at most, unless a single document is longer.
 BLOCK_BYTES = 4 << 20
+#: Words of all texts for each shard in which hashes of pairs are counted, and hashes that are handed to every task at most (32 MB).
+SHARD_WORDS, HEAVY_HASHES = 2 << 20, 4 << 20
 #: Salts of the rounds in which phrases of a language are ranked, so that no task ranks them all.
 ROUNDS = (1024, 32, 1)
 
@@ -42,6 +46,7 @@ _LOWER[ord("A") : ord("Z") + 1] += 32
 _BLOCKS = "kind string, block bigint, codes binary, code int, n bigint"
 _WORDS = f"{_BLOCKS}, lang string, word binary"
 _PAIRS = f"{_BLOCKS}, left bigint, right bigint"
+_RENAMED = "kind string, block bigint, codes binary, ids binary, shard int, packed binary, size bigint"
 
 
 def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -97,34 +102,103 @@ def _read(block_bytes: int):
     return run
 
 
-def _pair(blocks: pa.Table, ids: pa.Table) -> pa.Table:
-    """The next level of a block: codes of the pairs of neighbouring ids, and the pairs."""
-    schema = pa.schema([("kind", pa.string()), ("block", pa.int64()), ("codes", pa.binary()), ("code", pa.int32()), ("n", pa.int64()), ("left", pa.int64()), ("right", pa.int64())])
-    if not len(blocks) or not len(ids):
-        return schema.empty_table()
-    codes = np.frombuffer(blocks.column("codes")[0].as_buffer(), np.int32)
-    own, name = ids.column("code").to_numpy(), ids.column("id").to_numpy()
-    index = np.full(max(int(codes.max()), int(own.max())) + 2, -1, np.int64)  # its last place is for code -1
-    index[own] = np.arange(len(own))
-    at = index[codes]
-    left, right = at[:-1], at[1:]
-    both = (left >= 0) & (right >= 0)
-    keys, code, n = _distinct(left[both] * len(own) + right[both])
-    if not len(keys):
-        return schema.empty_table()
-    after = np.full(len(left), -1, np.int32)
-    after[both] = code
-    after = after[(after >= 0) | np.append(False, after[:-1] >= 0)]  # one place of a gap will do
-    names = [pa.array(name[keys // len(own)]), pa.array(name[keys % len(own)])]
-    return pa.Table.from_batches([b.cast(schema) for b in _batch(blocks.column("block")[0].as_py(), after, n, names, ["left", "right"])])
-
-
-def _written(scratch: Scratch, df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """Blocks and names of a level, written apart in one go."""
+def _bucket(left: np.ndarray, right: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shard and the 32-bit hash of pairs of ids."""
+    h = tx.mix(tx.mix(left.astype(np.uint64)) + np.uint64(3) * right.astype(np.uint64))
+    return ((h >> np.uint64(32)) % np.uint64(shards)).astype(np.int64), (h & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def _neighbours(at: np.ndarray, known: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where two names stand next to each other, the distinct pairs (left * known + right), each place's pair, and counts."""
+    both = (at[:-1] >= 0) & (at[1:] >= 0)
+    return both, *_distinct(at[:-1][both].astype(np.int64) * known + at[1:][both])
+
+
+def _renamed(shards: int):
+    """A block and the ids of its frequent names: its places by those names, and its pairs' hashes, packed for each shard."""
+    schema = pa.schema([("kind", pa.string()), ("block", pa.int64()), ("codes", pa.binary()), ("ids", pa.binary()), ("shard", pa.int32()), ("packed", pa.binary()), ("size", pa.int64())])
+
+    def run(blocks: pa.Table, ids: pa.Table) -> pa.Table:
+        if not len(blocks) or not len(ids):
+            return schema.empty_table()
+        codes = np.frombuffer(blocks.column("codes")[0].as_buffer(), np.int32)
+        own, name = ids.column("code").to_numpy(), ids.column("id").to_numpy()
+        index = np.full(max(int(codes.max()), int(own.max())) + 2, -1, np.int32)  # its last place is for code -1
+        index[own] = np.arange(len(own), dtype=np.int32)
+        at = index[codes]
+        at = at[(at >= 0) | np.append(False, at[:-1] >= 0)]  # one place of a gap will do
+        _, keys, _, n = _neighbours(at, len(own))
+        shard, value = _bucket(name[keys // len(own)], name[keys % len(own)], shards)
+        order = np.lexsort((value, shard))
+        shard, value, n = shard[order], value[order], n[order]
+        edges = np.searchsorted(shard, np.arange(shards + 1))
+        used = np.flatnonzero(np.diff(edges))
+        packed = [pa.compress(np.concatenate([np.diff(value[a:b], prepend=0), n[a:b]]).astype(np.uint32).tobytes(), "zstd", asbytes=True) for a, b in zip(edges[used], edges[used + 1])]
+        m = len(used)
+        head = [pa.array(["blocks"]), pa.array([blocks.column("block")[0].as_py()]), pa.array([at.tobytes()], pa.binary()), pa.array([name.tobytes()], pa.binary()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64())]
+        rest = [pa.array(["hashes"] * m, pa.string()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), pa.array(used, pa.int32()), pa.array(packed, pa.binary()), pa.array(np.diff(edges)[used])]
+        _release()
+        return pa.Table.from_arrays([pa.concat_arrays([x, y.cast(x.type)]) for x, y in zip(head, rest)], schema=schema)
+
+    return run
+
+
+def _heavy(least: int):
+    """Of a shard's hashes those that occur least times in all blocks together, packed."""
+    schema = pa.schema([("shard", pa.int32()), ("n", pa.int64()), ("values", pa.binary())])
+
+    def run(rows: pa.Table) -> pa.Table:
+        values, counts = [], []
+        for packed, size in zip(rows.column("packed").to_pylist(), rows.column("size").to_pylist()):
+            both = np.frombuffer(pa.decompress(packed, decompressed_size=8 * size, codec="zstd", asbytes=True), np.uint32)
+            values.append(np.cumsum(both[:size], dtype=np.int64))
+            counts.append(both[size:].astype(np.int64))
+        value, code = np.unique(np.concatenate(values), return_inverse=True)
+        kept = value[np.bincount(code.reshape(-1), weights=np.concatenate(counts)) >= least].astype(np.uint32)
+        _release()
+        return pa.Table.from_arrays([pa.array([rows.column("shard")[0].as_py()], pa.int32()), pa.array([len(kept)]), pa.array([kept.tobytes()], pa.binary())], schema=schema)
+
+    return run
+
+
+def _pairs(shards: int, heavy: np.ndarray | None):
+    """The next level of each block: codes of its pairs, and the pairs; heavy: the only hashes (shard << 32 | hash, sorted) that count, if known."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, codes, ids in zip(batch.column("block").to_pylist(), batch.column("codes"), batch.column("ids")):
+                at, name = np.frombuffer(codes.as_buffer(), np.int32), np.frombuffer(ids.as_buffer(), np.int64)
+                both, keys, code, n = _neighbours(at, len(name))
+                left, right = name[keys // len(name)], name[keys % len(name)]
+                if heavy is not None:
+                    shard, value = _bucket(left, right, shards)
+                    kept = np.isin((shard << 32) | value, heavy)
+                    code = np.where(kept, np.cumsum(kept) - 1, -1).astype(np.int32)[code]
+                    left, right, n = left[kept], right[kept], n[kept]
+                if not len(n):
+                    continue
+                after = np.full(len(both), -1, np.int32)
+                after[both] = code
+                after = after[(after >= 0) | np.append(False, after[:-1] >= 0)]
+                yield from _batch(block, after, n, [pa.array(left), pa.array(right)], ["left", "right"])
+
+    return run
+
+
+def _written(scratch: Scratch, df: DataFrame, name: str) -> Callable[[str], DataFrame]:
+    """Rows of several kinds written apart in one go; a kind's rows."""
     path = scratch.path(name)
     df.write.option("compression", "zstd").partitionBy("kind").parquet(path)
-    back = lambda: df.sparkSession.read.schema(df.schema).parquet(path)  # noqa: E731  the two meet again, so neither may be the other's
-    return back().where("kind = 'blocks'").select("block", "codes"), back().where("kind = 'names'").drop("kind", "codes")
+    return lambda kind: df.sparkSession.read.schema(df.schema).parquet(path).where(F.col("kind") == kind)  # parts meet again, so none may be another's
+
+
+def _heavy_hashes(scratch: Scratch, hashes: DataFrame, least: int, k: int) -> np.ndarray | None:
+    """Hashes of the pairs that may be frequent, sorted; None if they are too many to hand to every task."""
+    found = scratch.write(hashes.groupBy("shard").applyInArrow(_heavy(least), "shard int, n bigint, values binary"), f"heavy{k}")
+    if (found.agg(F.sum("n")).first()[0] or 0) > HEAVY_HASHES:
+        return None
+    parts = [(r["shard"] << 32) | np.frombuffer(r["values"], np.uint32).astype(np.int64) for r in found.collect()]
+    return np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
 
 
 def _named(scratch: Scratch, names: DataFrame, keys: list[str], least: int, k: int) -> DataFrame:
@@ -151,15 +225,23 @@ def frequent_phrases(docs: DataFrame, scratch: Scratch, least: int = 100, longes
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    blocks, names = _written(scratch, map_batches(rows, _read(block_bytes), _WORDS), "read")
+    parts = _written(scratch, map_batches(rows, _read(block_bytes), _WORDS), "read")
+    blocks, names = parts("blocks").select("block", "codes"), parts("names")
     totals = scratch.write(names.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+    shards = 1 + (totals.agg(F.sum("n")).first()[0] or 0) // SHARD_WORDS
     none = F.array().cast("array<bigint>")
     named = _named(scratch, names, ["lang", "word"], least, 1)
     level = named.where("first").select("id", "lang", F.array(F.col("word").cast("string")).alias("words"), "a", none.alias("before"), none.alias("after"), none.alias("inside"))
     levels = [scratch.write(level, "level1")]
     for k in range(2, longest + 1):
-        paired = blocks.groupBy("block").cogroup(named.select("block", "code", "id").groupBy("block")).applyInArrow(_pair, _PAIRS)
-        blocks, names = _written(scratch, paired, f"pairs{k}")
+        renamed = blocks.groupBy("block").cogroup(named.select("block", "code", "id").groupBy("block")).applyInArrow(_renamed(shards), _RENAMED)
+        parts = _written(scratch, renamed, f"renamed{k}")
+        del renamed, blocks, names, named
+        scratch.drop(keep=("totals", f"renamed{k}", *(f"level{i}" for i in range(1, k))))
+        heavy = _heavy_hashes(scratch, parts("hashes").select("shard", "packed", "size"), least, k)
+        paired = map_batches(parts("blocks").select("block", "codes", "ids"), _pairs(shards, heavy), _PAIRS)
+        parts = _written(scratch, paired, f"pairs{k}")
+        blocks, names = parts("blocks").select("block", "codes"), parts("names")
         named = _named(scratch, names, ["left", "right"], least, k)
         l, r = (levels[-1].select(*[F.col(c).alias(f"{side}_{c}") for c in levels[-1].columns]) for side in ("l", "r"))
         both = named.where("first").join(l, F.col("left") == F.col("l_id")).join(r, F.col("right") == F.col("r_id"))
@@ -169,7 +251,7 @@ def frequent_phrases(docs: DataFrame, scratch: Scratch, least: int = 100, longes
             F.concat("l_before", F.array("l_a")).alias("before"), F.concat("r_after", F.array("r_a")).alias("after"), F.array_distinct(F.concat(own, "l_inside", "r_inside")).alias("inside"),
         )
         levels.append(scratch.write(level, f"level{k}"))
-        del paired, level, both
+        del parts, paired, level, both
         scratch.drop(keep=("totals", f"pairs{k}", f"named{k}", *(f"level{i}" for i in range(1, k + 1))))
     return levels, totals
 

@@ -49,8 +49,10 @@ def test_query_equals_sql(spark, duck):
     assert cells(rows, df.columns) == cells(answer.fetchall(), answer.columns)
 
 
-@pytest.mark.parametrize("block, longest, percent, per_lang", [(1 << 20, 5, 100, 2000), (40, 5, 80, 2000), (300, 3, 100, 7), (40, 2, 100, 5)])
-def test_phrases(spark, block, longest, percent, per_lang):
+@pytest.mark.parametrize("block, longest, percent, per_lang, shard, heavy", [(1 << 20, 5, 100, 2000, 1 << 20, 1 << 20), (40, 5, 80, 2000, 100, 1 << 20), (300, 3, 100, 7, 100, 0), (40, 2, 100, 5, 1 << 20, 0)])
+def test_phrases(spark, monkeypatch, block, longest, percent, per_lang, shard, heavy):
+    monkeypatch.setattr(collocations, "SHARD_WORDS", shard)
+    monkeypatch.setattr(collocations, "HEAVY_HASHES", heavy)
     rng = random.Random(block)
     common = ["new york city", "of the", "In The Middle of", "a b c d e f", "é ü 漢字"]
     rows = []
