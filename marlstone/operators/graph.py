@@ -117,6 +117,12 @@ class Graph:
         nodes = reduce(DataFrame.unionAll, [self.nodes(x).select(F.lit(x).alias("label"), F.col("node_id").cast("string").alias("node_id")) for x in NODES])
         return nodes.join(F.broadcast(classes.select("label").distinct()), "label", "left_anti")
 
+    def names(self) -> DataFrame:
+        """(id, name) of the named nodes; id is label:node."""
+        named = (("Individual", ("first_name", "last_name")), ("Organization", ("legal_name",)), ("Customer", ("customer_number",)))
+        parts = [self.nodes(x).select(F.concat(F.lit(f"{x}:"), F.col("node_id").cast("string")).alias("id"), F.concat_ws(" ", *cols).alias("name")) for x, cols in named]
+        return reduce(DataFrame.unionAll, parts)
+
     def full_text(self, term: str, k: int = 10) -> DataFrame:
         """(label, node_id, name, score): the k named nodes with most words of a term in their names, exact names first."""
         names = (("Individual", ("first_name", "last_name")), ("Organization", ("legal_name",)), ("Customer", ("customer_number",)))

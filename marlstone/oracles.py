@@ -195,6 +195,30 @@ _add("lineage_three_hop", f"SELECT entity, table_name, cube, label FROM {_BRIDGE
 _DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)))"
 _COS = f"{_DOT.format(a='e.embedding', b='q.embedding')} / (sqrt({_DOT.format(a='e.embedding', b='e.embedding')}) * sqrt({_DOT.format(a='q.embedding', b='q.embedding')}))"
 _NEAR = f"near AS (SELECT query_id, id, round(s, 4) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, {_COS} AS s FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0)) WHERE rank <= 10)"
+
+
+def _bm25(docs: str, queries: str, k: int) -> str:
+    """Common tables that end in bm25 (query_id, rank, id, score): every document of docs (id, text) scored for every query of queries (query_id, text)."""
+    words = "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+')"
+    return f"""bm_docs AS MATERIALIZED (SELECT id, {words} AS w FROM ({docs})),
+bm_stats AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM bm_docs),
+bm_tf AS MATERIALIZED (SELECT id, len, term, count(*) AS tf FROM (SELECT id, len(w) AS len, unnest(w) AS term FROM bm_docs) GROUP BY ALL),
+bm_idf AS (SELECT term, ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) AS idf FROM (SELECT term, count(*) AS df FROM bm_tf GROUP BY term), bm_stats),
+bm_asked AS (SELECT DISTINCT query_id, unnest({words}) AS term FROM ({queries})),
+bm_scores AS (
+  SELECT query_id, id, CAST(sum(CAST(round(idf * (tf * (1.2::DOUBLE + 1) / (tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * len / mean))), 9) AS DECIMAL(18,9))) AS DOUBLE) AS score
+  FROM bm_asked JOIN bm_idf USING (term) JOIN bm_tf USING (term), bm_stats GROUP BY query_id, id),
+bm25 AS (SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, id, score FROM bm_scores) WHERE rank <= {k})"""
+
+
+_ITEMS = "SELECT item_id AS query_id, text FROM benchmark"
+_add("search_bm25", f"WITH {_bm25('SELECT doc_id AS id, text FROM documents', _ITEMS, 10)} SELECT * FROM bm25")
+_add("search_fused", f"""WITH {_bm25('SELECT doc_id AS id, text FROM documents', _ITEMS, 20)},
+near AS (SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, {_COS} AS s FROM embeddings q, embeddings e WHERE q.vec_id IN (SELECT item_id FROM benchmark))) WHERE rank <= 20),
+parts AS (SELECT query_id, id, rank FROM bm25 UNION ALL SELECT query_id, id, rank FROM near),
+fused AS (SELECT query_id, id, CAST(sum(CAST(round(1::DOUBLE / (60::DOUBLE + rank), 9) AS DECIMAL(18,9))) AS DOUBLE) AS score FROM parts GROUP BY query_id, id)
+SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, id, score FROM fused) WHERE rank <= 10""")
+_add("graph_name_search", f"""WITH {_bm25("SELECT 'Individual:' || CAST(party_id AS VARCHAR) AS id, first_name || ' ' || last_name AS text FROM party_individual WHERE md_is_active UNION ALL SELECT 'Organization:' || CAST(party_id AS VARCHAR), legal_name FROM party_organization WHERE md_is_active UNION ALL SELECT 'Customer:' || CAST(party_role_customer_id AS VARCHAR), customer_number FROM party_role_customer WHERE md_is_active", "SELECT * FROM (VALUES (1, 'Customer#000000012'), (2, 'First customer 000000007 trading')) q(query_id, text)", 5)} SELECT * FROM bm25""", "party_individual", "party_organization", "party_role_customer")
 _add("vec_knn_cosine", f"WITH {_NEAR} SELECT * FROM near")
 _add("vec_two_stage_rerank", f"WITH {_NEAR} SELECT query_id, id, cross_score, rerank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cross_score DESC, id) AS rerank FROM (SELECT query_id, id, round((CASE WHEN a.label = b.label THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) + similarity, 4) AS cross_score FROM near JOIN embeddings a ON a.vec_id = id JOIN embeddings b ON b.vec_id = query_id)) WHERE rerank <= 3")
 _add("vec_degraded_embed", """WITH w AS (SELECT item_id AS id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+')) AS word FROM benchmark),

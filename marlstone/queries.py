@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import text
 from marlstone.operators import catalog as catalogs
-from marlstone.operators import ann, governance, ontology, quality, telemetry, temporal, vector
+from marlstone.operators import ann, governance, ontology, quality, search, telemetry, temporal, vector
 from marlstone.operators import graph as graphs
 from marlstone.plans import guarded, retrieve
 from marlstone.plans.model import CUBES
@@ -281,6 +281,41 @@ def graph_full_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _graph(spark, sf_dir).full_text("Customer#000000001 first", 10)
 
 
+# Full-text search.
+def _text_index(spark: SparkSession, sf_dir: str, name: str, tables: tuple[str, ...], rows: Callable[[], DataFrame], id_col: str, text_col: str) -> search.TextIndex:
+    """The index of these tables' rows: written once, used until the tables change."""
+    index = search.TextIndex(spark, f"{shared_dir(spark)}/search/{name}-{Catalog(spark, sf_dir).state(tables)[:24]}")
+    return index if index.ready() else index.build(rows(), id_col, text_col)
+
+
+def _document_index(spark: SparkSession, sf_dir: str) -> search.TextIndex:
+    return _text_index(spark, sf_dir, "documents", ("documents",), lambda: physical(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@_register
+def search_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents that suit each benchmark item best."""
+    items = physical(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return _document_index(spark, sf_dir).search(items, 10)
+
+
+@_register
+def search_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten documents of each benchmark item by words and by vectors: the vector of an item or document is that of its id."""
+    items = physical(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    vectors = physical(spark, sf_dir, "embeddings")
+    asked = vectors.join(F.broadcast(items.select(F.col("query_id").alias("vec_id"))), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return search.fuse([_document_index(spark, sf_dir).search(items, 20), vector.nearest(vectors, asked, 20)], 10)
+
+
+@_register
+def graph_name_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Named nodes by two names: of a customer, and of what most have in common."""
+    names = ("party_individual", "party_organization", "party_role_customer")
+    index = _text_index(spark, sf_dir, "names", names, lambda: _graph(spark, sf_dir).names(), "id", "name")
+    return index.search(spark.createDataFrame([(1, "Customer#000000012"), (2, "First customer 000000007 trading")], "query_id int, text string"), 5)
+
+
 # Ontology and lineage.
 PROMPTS = (
     (1, "Which deposit accounts are overdrawn?"), (2, "Show loan agreements and their pledged collateral assets"), (3, "List all parties and organizations"), (4, "customer roles with high AML risk"), (5, "What is the weather?"), (6, "loan applications by individuals"), (7, ""),
