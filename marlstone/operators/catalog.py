@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,16 +83,19 @@ def constraints(catalog: Catalog) -> DataFrame:
     return catalog.spark.createDataFrame(rows, "table_name string, kind string, columns string, refers_to string")
 
 
-def suite(catalog: Catalog, table: str) -> DataFrame:
-    """(table_name, assertion, column_name, n_failing, passed) of a table's suite, over active rows where the table has the flag."""
+def _suite(catalog: Catalog, table: str) -> quality.Suite:
     bounds, filled, unique = SUITES[table]
     df = catalog.table(table)
-    df = df.where("md_is_active") if "md_is_active" in df.columns else df
-    return quality.assertions(df, table, bounds, filled, unique, ALLOWED.get(table))
+    return quality.Suite(table, df.where("md_is_active") if "md_is_active" in df.columns else df, bounds, filled, unique, ALLOWED.get(table))
+
+
+def suite(catalog: Catalog, table: str) -> DataFrame:
+    """(table_name, assertion, column_name, n_failing, passed) of a table's suite, over active rows where the table has the flag."""
+    return quality.suites([_suite(catalog, table)])
 
 
 def all_suites(catalog: Catalog) -> DataFrame:
-    return reduce(DataFrame.unionByName, [suite(catalog, t) for t in SUITES])
+    return quality.suites([_suite(catalog, t) for t in SUITES])
 
 
 def check_data_quality(catalog: Catalog, name: str) -> DataFrame | str:
@@ -110,13 +111,8 @@ def check_data_quality(catalog: Catalog, name: str) -> DataFrame | str:
 
 
 def profiles(catalog: Catalog, tables: list[str], first: int = 5) -> DataFrame:
-    """quality.profile of the first columns of each table; a table that can't be read has no rows."""
-    parts = []
-    for t in tables:
-        try:
-            df = catalog.table(t)
-            parts.append(quality.profile(df, t, df.columns[:first]))
-        except Exception:  # no number is better than an invented one
-            continue
-    empty = catalog.spark.createDataFrame([], "table_name string, column_name string, n_rows bigint, n_values bigint, n_nulls bigint, n_distinct bigint")
-    return reduce(DataFrame.unionByName, parts, empty)
+    """quality.profiles of the first columns of each table; a table that the catalog doesn't have has no rows."""
+    known = [(t, catalog.table(t)) for t in tables if t in catalog.names()]
+    if not known:
+        return catalog.spark.createDataFrame([], "table_name string, column_name string, n_rows bigint, n_values bigint, n_nulls bigint, n_distinct bigint")
+    return quality.profiles([(t, df, df.columns[:first]) for t, df in known])

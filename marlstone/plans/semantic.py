@@ -21,6 +21,7 @@ from marlstone.plans.rollups import Rollups
 from marlstone.sources.bindings import Catalog
 
 _REF = re.compile(r"\$(?:(\w+)\.)?(\w+)")
+_HAS_ONE = re.compile(r"\$(\w+) = \$\w+\.(\w+)(?: AND (.*))?$")
 _OPERATORS = {
     "equals": lambda c, v: c.isin(v), "notEquals": lambda c, v: ~c.isin(v), "gt": lambda c, v: c > v[0], "gte": lambda c, v: c >= v[0], "lt": lambda c, v: c < v[0], "lte": lambda c, v: c <= v[0],
     "set": lambda c, v: c.isNotNull(), "notSet": lambda c, v: c.isNull(), "contains": lambda c, v: F.lower(c).contains(str(v[0]).lower()), "inDateRange": lambda c, v: (c >= v[0]) & (c < v[1]),
@@ -120,12 +121,15 @@ class SemanticLayer:
         columns: dict[str, set[str]] = {owner: {CUBES[owner].key}}
         for c, column in needed:
             columns.setdefault(c, set()).add(column)
-        conditions, many = {}, False
+        conditions, single, many = {}, {}, False
         for a, b in steps:
             own = [(j, a) for j in CUBES[a].joins if j.to == b] or [(j, b) for j in CUBES[b].joins if j.to == a]
             join, holder = own[0]
             many |= holder == b and join.relationship == "belongs_to"
             conditions[(a, b)] = _sql(join.on, holder)
+            if join.relationship == "has_one":
+                m = _HAS_ONE.match(join.on)
+                single[(a, b)] = (f"{b}__{m[2]}", _sql(m[3], holder) if m[3] else None) if holder == a else (f"{b}__{m[1]}", None)
             for c, column in _refs(join.on, holder):
                 columns.setdefault(c, set()).add(column)
         df = self._table(owner, columns[owner])
@@ -133,10 +137,25 @@ class SemanticLayer:
         joined = {owner}
         for a, b in steps:
             if b not in joined:
-                df = df.join(self._table(b, columns[b]), F.expr(conditions[(a, b)]), "left")
+                right = self._table(b, columns[b])
+                df = df.join(self._one(right, *single[(a, b)]) if (a, b) in single else right, F.expr(conditions[(a, b)]), "left")
                 joined.add(b)
         return df, many
 
+    @staticmethod
+    def _one(rows: DataFrame, key: str, where: str | None) -> DataFrame:
+        """The rows that a has_one edge may meet, one for each key; a key with several fails the query, which would count its partner twice.
+
+        The rows are grouped by the key that they are then joined by, so the check costs no shuffle
+        of its own.
+        """
+        rows = rows.where(where) if where else rows
+        rest = [c for c in rows.columns if c != key]
+        table = key.split("__")[0]
+        message = F.concat(F.lit(f"{table} has more than one row for "), F.lit(key.split("__")[1]), F.lit(" "), F.col(key).cast("string"))
+        each = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n"), *[F.first(c).alias(c) for c in rest])
+        return each.select(key, *[F.when(F.col("__n") == 1, F.col(c)).otherwise(F.raise_error(message)).alias(c) for c in rest])
+
     def _condition(self, f: dict) -> Column:
         for k, fold in (("and", lambda a, b: a & b), ("or", lambda a, b: a | b)):
             if k in f:

@@ -472,13 +472,12 @@ def dq_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _assertions(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda n: physical(spark, sf_dir, n)
-    return reduce(
-        DataFrame.unionByName,
+    return quality.suites(
         [
-            quality.assertions(t("customer"), "customer", (1, 10**12), ("c_custkey", "c_name"), ("c_custkey", "c_name"), {"c_mktsegment": ("BUILDING", "MACHINERY", "AUTOMOBILE", "FURNITURE", "HOUSEHOLD")}),
-            quality.assertions(t("orders"), "orders", (1, 10**12), ("o_orderkey", "o_custkey", "o_totalprice"), ("o_orderkey",), {"o_orderstatus": ("O", "F")}),
-            quality.assertions(t("lineitem"), "lineitem", (1, 10**12), ("l_orderkey", "l_partkey"), ("l_orderkey",), {"l_returnflag": ("A", "N", "R")}),
-            quality.assertions(t("part"), "part", (1, 100), ("p_partkey",), ("p_partkey", "p_name"), {}),
+            quality.Suite("customer", t("customer"), (1, 10**12), ("c_custkey", "c_name"), ("c_custkey", "c_name"), {"c_mktsegment": ("BUILDING", "MACHINERY", "AUTOMOBILE", "FURNITURE", "HOUSEHOLD")}),
+            quality.Suite("orders", t("orders"), (1, 10**12), ("o_orderkey", "o_custkey", "o_totalprice"), ("o_orderkey",), {"o_orderstatus": ("O", "F")}),
+            quality.Suite("lineitem", t("lineitem"), (1, 10**12), ("l_orderkey", "l_partkey"), ("l_orderkey",), {"l_returnflag": ("A", "N", "R")}),
+            quality.Suite("part", t("part"), (1, 100), ("p_partkey",), ("p_partkey", "p_name"), {}),
         ],
     )
 

@@ -179,7 +179,7 @@ def find_drift(declared_rows: DataFrame, actual: DataFrame) -> DataFrame:
 
 
 def evaluate(catalog: Catalog, contract: dict) -> DataFrame:
-    """The contract's rules over each of its models that is there: nulls, unique keys, allowed values, row counts; one pass a table."""
+    """The contract's rules over each of its models that is there: nulls, unique keys, allowed values, row counts; one shuffle for all."""
     parts = []
     rules = contract.get("quality") or ()
     for model, spec in (contract.get("models") or {}).items():
@@ -190,9 +190,10 @@ def evaluate(catalog: Catalog, contract: dict) -> DataFrame:
         columns = {c: d or {} for c, d in (spec.get("columns") or {}).items() if c in df.columns}
         filled = dict.fromkeys([c for c, d in columns.items() if d.get("nullable") is False] + [r["column"] for r in rules if r["type"] == "columnNoNulls" and r["column"] in df.columns])
         least = [r["value"] for r in rules if r["type"] == "rowCountGreaterThan"]
-        parts.append(quality.assertions(df, table, (max(least) + 1, 1 << 62) if least else None, tuple(filled), tuple(c for c, d in columns.items() if d.get("primary_key")), {c: tuple(d["allowed_values"]) for c, d in columns.items() if d.get("allowed_values")}))
-    empty = catalog.spark.createDataFrame([], "table_name string, assertion string, column_name string, n_failing bigint, passed boolean")
-    return reduce(DataFrame.unionByName, parts, empty)
+        parts.append(quality.Suite(table, df, (max(least) + 1, 1 << 62) if least else None, tuple(filled), tuple(c for c, d in columns.items() if d.get("primary_key")), {c: tuple(d["allowed_values"]) for c, d in columns.items() if d.get("allowed_values")}))
+    if not parts:
+        return catalog.spark.createDataFrame([], "table_name string, assertion string, column_name string, n_failing bigint, passed boolean")
+    return quality.suites(parts)
 
 
 def freshness(df: DataFrame, name: str, time: str, now: str, limit_seconds: int) -> DataFrame:
