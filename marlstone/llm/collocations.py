@@ -45,7 +45,10 @@ _LOWER[ord("A") : ord("Z") + 1] += 32
 
 _BLOCKS = "kind string, block bigint, codes binary, code int, n bigint"
 _WORDS = f"{_BLOCKS}, lang string, word binary"
-_PAIRS = f"{_BLOCKS}, left bigint, right bigint"
+_PACKED = "kind string, block bigint, codes binary, shard int, start bigint, size bigint, packed binary"
+_PACKED_SCHEMA = pa.schema([("kind", pa.string()), ("block", pa.int64()), ("codes", pa.binary()), ("shard", pa.int32()), ("start", pa.int64()), ("size", pa.int64()), ("packed", pa.binary())])
+_PACKED_FIELDS = _PACKED_SCHEMA.names
+_NAMED = "kind string, block bigint, size bigint, packed binary, id bigint, left bigint, right bigint, a bigint"
 _RENAMED = "kind string, block bigint, codes binary, ids binary, shard int, packed binary, size bigint"
 
 
@@ -122,7 +125,10 @@ def _renamed(shards: int):
         if not len(blocks) or not len(ids):
             return schema.empty_table()
         codes = np.frombuffer(blocks.column("codes")[0].as_buffer(), np.int32)
-        own, name = ids.column("code").to_numpy(), ids.column("id").to_numpy()
+        if "packed" in ids.column_names:
+            own, name = np.concatenate([_unpack(p, n, 2) for p, n in zip(ids.column("packed").to_pylist(), ids.column("size").to_pylist())], axis=1)
+        else:
+            own, name = ids.column("code").to_numpy(), ids.column("id").to_numpy()
         index = np.full(max(int(codes.max()), int(own.max())) + 2, -1, np.int32)  # its last place is for code -1
         index[own] = np.arange(len(own), dtype=np.int32)
         at = index[codes]
@@ -161,8 +167,16 @@ def _heavy(least: int):
     return run
 
 
+def _pack(*columns: np.ndarray) -> bytes:
+    return pa.compress(np.concatenate([c.astype(np.int64) for c in columns]).tobytes(), "zstd", asbytes=True)
+
+
+def _unpack(packed: bytes, size: int, columns: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(packed, decompressed_size=8 * size * columns, codec="zstd", asbytes=True), np.int64).reshape(columns, size)
+
+
 def _pairs(shards: int, heavy: np.ndarray | None):
-    """The next level of each block: codes of its pairs, and the pairs; heavy: the only hashes (shard << 32 | hash, sorted) that count, if known."""
+    """The next level of each block: codes of its pairs, and the pairs packed for each shard; heavy: the only hashes (shard << 32 | hash, sorted) that count, if known."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,17 +184,55 @@ def _pairs(shards: int, heavy: np.ndarray | None):
                 at, name = np.frombuffer(codes.as_buffer(), np.int32), np.frombuffer(ids.as_buffer(), np.int64)
                 both, keys, code, n = _neighbours(at, len(name))
                 left, right = name[keys // len(name)], name[keys % len(name)]
+                shard, value = _bucket(left, right, shards)
+                own = np.arange(len(n))
                 if heavy is not None:
-                    shard, value = _bucket(left, right, shards)
                     kept = np.isin((shard << 32) | value, heavy)
-                    code = np.where(kept, np.cumsum(kept) - 1, -1).astype(np.int32)[code]
-                    left, right, n = left[kept], right[kept], n[kept]
+                    own, left, right, n, shard = own[kept], left[kept], right[kept], n[kept], shard[kept]
                 if not len(n):
                     continue
+                order = np.argsort(shard, kind="stable")
+                new = np.full(len(keys), -1, np.int32)
+                new[own[order]] = np.arange(len(order), dtype=np.int32)
                 after = np.full(len(both), -1, np.int32)
-                after[both] = code
+                after[both] = new[code]
                 after = after[(after >= 0) | np.append(False, after[:-1] >= 0)]
-                yield from _batch(block, after, n, [pa.array(left), pa.array(right)], ["left", "right"])
+                left, right, n, shard = left[order], right[order], n[order], shard[order]
+                used, first = np.unique(shard, return_index=True)
+                cuts = [*first.tolist(), len(n)]
+                rows = [("blocks", block, after.tobytes(), None, None, None, None)]
+                rows += [("names", block, None, int(s), a, b - a, _pack(left[a:b], right[a:b], n[a:b])) for s, a, b in zip(used, cuts, cuts[1:])]
+                yield pa.RecordBatch.from_pylist([dict(zip(_PACKED_FIELDS, r)) for r in rows], schema=_PACKED_SCHEMA)
+
+    return run
+
+
+def _namer(least: int, k: int):
+    """A shard's pairs of all blocks: those that occur least times get ids; each block's codes and ids, packed, and the pairs by id."""
+    schema = pa.schema([("kind", pa.string()), ("block", pa.int64()), ("size", pa.int64()), ("packed", pa.binary()), ("id", pa.int64()), ("left", pa.int64()), ("right", pa.int64()), ("a", pa.int64())])
+
+    def run(rows: pa.Table) -> pa.Table:
+        blocks, starts, sizes, shard = (rows.column(c).to_pylist() for c in ("block", "start", "size", "shard"))
+        left, right, n = np.concatenate([_unpack(p, s, 3) for p, s in zip(rows.column("packed").to_pylist(), sizes)], axis=1)
+        order = np.lexsort((right, left))
+        new = np.append(True, (np.diff(left[order]) != 0) | (np.diff(right[order]) != 0))
+        group = np.empty(len(order), np.int64)
+        group[order] = np.cumsum(new) - 1
+        total = np.zeros(int(new.sum()), np.int64)
+        np.add.at(total, group, n)
+        kept = total >= least
+        ids = np.where(kept, (k << 56) + (shard[0] << 32) + np.cumsum(kept) - 1, -1)
+        out = []
+        at = np.append(0, np.cumsum(sizes))
+        for block, start, a, b in zip(blocks, starts, at, at[1:]):
+            own = ids[group[a:b]]
+            some = np.flatnonzero(own >= 0)
+            if len(some):
+                out.append(("ids", block, len(some), _pack(start + some, own[some]), None, None, None, None))
+        where = order[new]  # a place of each pair
+        out += [("level", None, None, None, *row) for row in zip(ids[kept].tolist(), left[where][kept].tolist(), right[where][kept].tolist(), total[kept].tolist())]
+        _release()
+        return pa.Table.from_pylist([dict(zip(schema.names, r)) for r in out], schema=schema)
 
     return run
 
@@ -232,19 +284,20 @@ def frequent_phrases(docs: DataFrame, scratch: Scratch, least: int = 100, longes
     none = F.array().cast("array<bigint>")
     named = _named(scratch, names, ["lang", "word"], least, 1)
     level = named.where("first").select("id", "lang", F.array(F.col("word").cast("string")).alias("words"), "a", none.alias("before"), none.alias("after"), none.alias("inside"))
-    levels = [scratch.write(level, "level1")]
+    levels, ids = [scratch.write(level, "level1")], named.select("block", "code", "id")
     for k in range(2, longest + 1):
-        renamed = blocks.groupBy("block").cogroup(named.select("block", "code", "id").groupBy("block")).applyInArrow(_renamed(shards), _RENAMED)
+        renamed = blocks.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_renamed(shards), _RENAMED)
         parts = _written(scratch, renamed, f"renamed{k}")
-        del renamed, blocks, names, named
+        del renamed, blocks, ids, names, named
         scratch.drop(keep=("totals", f"renamed{k}", *(f"level{i}" for i in range(1, k))))
         heavy = _heavy_hashes(scratch, parts("hashes").select("shard", "packed", "size"), least, k)
-        paired = map_batches(parts("blocks").select("block", "codes", "ids"), _pairs(shards, heavy), _PAIRS)
+        paired = map_batches(parts("blocks").select("block", "codes", "ids"), _pairs(shards, heavy), _PACKED)
         parts = _written(scratch, paired, f"pairs{k}")
-        blocks, names = parts("blocks").select("block", "codes"), parts("names")
-        named = _named(scratch, names, ["left", "right"], least, k)
+        blocks, names = parts("blocks").select("block", "codes"), parts("names").select("shard", "block", "start", "size", "packed")
+        parts = _written(scratch, names.groupBy("shard").applyInArrow(_namer(least, k), _NAMED), f"named{k}")
+        ids, named = parts("ids").select("block", "size", "packed"), parts("level").select("id", "left", "right", "a")
         l, r = (levels[-1].select(*[F.col(c).alias(f"{side}_{c}") for c in levels[-1].columns]) for side in ("l", "r"))
-        both = named.where("first").join(l, F.col("left") == F.col("l_id")).join(r, F.col("right") == F.col("r_id"))
+        both = named.join(l, F.col("left") == F.col("l_id")).join(r, F.col("right") == F.col("r_id"))
         own = F.array("left", "right") if k > 2 else none
         level = both.select(
             "id", F.col("l_lang").alias("lang"), F.concat("l_words", F.slice("r_words", -1, 1)).alias("words"), "a",
