@@ -38,18 +38,37 @@ def overlaps(df: DataFrame, key: str, start: str, end: str, tiebreak: str | None
     return df.withColumn("reaches", F.max(end).over(before)).where(F.col("reaches") > F.col(start))
 
 
-def as_of_join(rows: DataFrame, history: DataFrame, key: str, at: str, carried: list[str]) -> DataFrame:
+#: Stretches of time into which the rows of a key are dealt for an as-of join.
+STRETCHES = 64
+
+
+def as_of_join(rows: DataFrame, history: DataFrame, key: str, at: str, carried: list[str], stretches: int = STRETCHES) -> DataFrame:
     """rows with the carried columns of the version of their key that is valid at their own instant, else nulls.
 
     Rows and versions are sorted together by key and time, and the last version before each row is
-    handed down, so a key's rows are never multiplied by its versions. rows may not have null keys.
+    handed down, so a key's rows are never multiplied by its versions. Time is cut into stretches
+    with about as many rows each, and a task gets a key's rows of one stretch: a key that has all
+    rows is split. Each stretch begins with the last version that the key had before it, which
+    comes from a row for each key and stretch. rows may not have null keys; of several versions
+    with one start any may be handed down.
     """
     version = F.struct(F.col("valid_to").cast("timestamp_ntz").alias("until"), *carried)
     none = F.lit(None).cast(history.select(version.alias("v")).schema["v"].dataType)
     marks = history.select(F.col(key).alias("__key"), F.col("valid_from").cast("timestamp_ntz").alias("__at"), F.lit(0).alias("__kind"), version.alias("__v"), F.lit(None).cast(rows.select(F.struct("*").alias("r")).schema["r"].dataType).alias("__row"))
     own = rows.select(F.col(key).alias("__key"), F.col(at).cast("timestamp_ntz").alias("__at"), F.lit(1).alias("__kind"), none.alias("__v"), F.struct("*").alias("__row"))
-    last = F.last("__v", ignorenulls=True).over(Window.partitionBy("__key").orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    found = marks.unionByName(own).withColumn("__v", last).where("__kind = 1")
+    times = own.select("__at").unionByName(marks.select("__at")).select(F.col("__at").cast("timestamp").cast("double").alias("t"))
+    cuts = times.agg(F.percentile_approx("t", [i / stretches for i in range(1, stretches)], 10 * stretches)).first()[0] if stretches > 1 else None
+    edges = sorted(set(cuts or ()))
+    t = F.col("__at").cast("timestamp").cast("double")
+    stretch = F.size(F.filter(F.lit(edges), lambda e: e <= t)) if edges else F.lit(0)
+    both = marks.unionByName(own).withColumn("__part", F.when(F.col("__at").isNull(), -1).otherwise(stretch))
+
+    # A null end sorts before all others, so the greatest struct is that of the latest start.
+    last = both.groupBy("__key", "__part").agg(F.max(F.when(F.col("__kind") == 0, F.struct("__at", "__v"))).alias("__last"))
+    before = F.last("__last", ignorenulls=True).over(Window.partitionBy("__key").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    opening = last.withColumn("__before", before).where("__before is not null").select("__key", "__part", F.col("__before.__at").alias("__at"), F.lit(0).alias("__kind"), F.col("__before.__v").alias("__v"), F.lit(None).cast(both.schema["__row"].dataType).alias("__row"))
+    along = Window.partitionBy("__key", "__part").orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.unionByName(opening).withColumn("__v", F.last("__v", ignorenulls=True).over(along)).where("__kind = 1")
     valid = F.col("__v.until") > F.col("__at")
     return found.select("__row.*", *[F.when(valid, F.col(f"__v.{c}")).alias(f"v_{c}") for c in carried])
 

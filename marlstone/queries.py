@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.functions import text
+from marlstone.functions import json, text
 from marlstone.operators import catalog as catalogs
 from marlstone.operators import ann, governance, ontology, quality, search, telemetry, temporal, vector
 from marlstone.operators import graph as graphs
@@ -761,6 +761,33 @@ def stream_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("window_start", "kind", "n", F.round("quantile", 6).alias("quantile"))
 
 
+@_register
+def stream_quantile_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 95th percentile of each kind by sketches of days that are merged: whether its rank among all values is within the bound."""
+    from marlstone.streaming import windows
+
+    events = physical(spark, sf_dir, "events")
+    days = windows.quantile_sketches(events, length="1 day", slide="1 day")
+    found = windows.merged_sketches(days, "kind").select("kind", "n", windows.sketched_quantile(F.col("sketch"), 0.95).alias("estimate"))
+    ranks = events.join(F.broadcast(found), events["event_type"] == found["kind"]).groupBy("kind", "n").agg(F.count_if(F.col("value") <= F.col("estimate")).alias("below"))
+    return ranks.select("kind", "n", (F.abs(F.col("below") / F.col("n") - 0.95) <= 2 * windows.rank_error() + 1 / F.col("n")).alias("within"))
+
+
+def _page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with metadata as JSON."""
+    host, size = F.regexp_extract("url", "^[a-z]+://([^/]+)", 1), F.length("html")
+    tags = F.array(F.concat(F.lit("mod"), (F.col("page_id") % 3).cast("string")), F.when(F.col("page_id") % 2 == 0, "even").otherwise("odd"))
+    meta = F.to_json(F.struct(host.alias("host"), tags.alias("tags"), F.struct(size.alias("chars"), (size > 1000).alias("large")).alias("size"), F.array(F.struct((F.col("page_id") % 5).alias("rank"), F.lit("x").alias("by"))).alias("marks")))
+    return physical(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 11 != 0, meta).alias("metadata"))
+
+
+@_register
+def json_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose metadata contains a pattern: nested objects, elements of arrays, objects in arrays."""
+    pattern = {"tags": ["even", "mod1"], "size": {"large": True}, "marks": [{"rank": 4.0}]}
+    return _page_metadata(spark, sf_dir).where(json.contains(F.parse_json("metadata"), pattern)).select("page_id")
+
+
 @_register
 def fn_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scalar helpers over the pages' addresses."""

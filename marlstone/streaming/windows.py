@@ -47,6 +47,38 @@ def latency_quantile(events: DataFrame, time: str = "ts", kind: str = "event_typ
     return found.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "kind", "n", "quantile")
 
 
+#: Items of a quantile sketch's levels: its size is bounded by them, and so is the error of its ranks.
+SKETCH_K = 800
+
+
+def rank_error(k: int = SKETCH_K) -> float:
+    """The share of all values by which the rank of an estimate may be off, with 99 percent confidence (the sketches' published bound)."""
+    return 2.446 / k**0.9433
+
+
+def quantile_sketches(events: DataFrame, time: str = "ts", kind: str = "event_type", value: str = "value", length: str = "15 minutes", slide: str = "5 minutes", late: str = "10 minutes", k: int = SKETCH_K) -> DataFrame:
+    """(window_start, kind, n, sketch) of sliding windows: a KLL sketch of the values instead of the values.
+
+    As a partial aggregate and as a stream's state, a group is one sketch of bounded size however
+    many events it has. Sketches of several windows or tables can be merged. Null values and NaN
+    aren't counted; a group without values has a null sketch.
+    """
+    timed = events.withColumn("__t", F.col(time).cast("timestamp")).withWatermark("__t", late)
+    number = F.when(~F.isnan(F.col(value).cast("double")), F.col(value).cast("double"))
+    found = timed.groupBy(F.window("__t", length, slide).alias("w"), F.col(kind).alias("kind")).agg(F.count(number).alias("n"), F.kll_sketch_agg_double(number, F.lit(k)).alias("sketch"))
+    return found.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "kind", "n", F.when(F.col("n") > 0, F.col("sketch")).alias("sketch"))
+
+
+def merged_sketches(sketches: DataFrame, *by: str, k: int = SKETCH_K) -> DataFrame:
+    """(by, n, sketch): sketches merged over all that isn't in by."""
+    return sketches.where("sketch is not null").groupBy(*by).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch", F.lit(k)).alias("sketch"))
+
+
+def sketched_quantile(sketch, q: float):
+    """The value at a rank of q of all; its true rank is within rank_error() of q."""
+    return F.kll_sketch_get_quantile_double(sketch, F.lit(q))
+
+
 def held(rates: DataFrame, threshold: float, times: int, rate: str = "bad_ratio") -> DataFrame:
     """Windows with which the rate has been over the threshold `times` windows running: an alert that holds."""
     from pyspark.sql import Window
