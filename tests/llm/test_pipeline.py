@@ -71,3 +71,17 @@ def test_stages_take_odd_rows(spark, sf_dir):
         ids = sorted((r["doc_id"] for r in found), key=str)
         expected = {"quality_rules": [3, 3, None], "line_dedup": sorted((r[0] for r in rows), key=str), "near_duplicates": sorted((r[0] for r in rows), key=str)}.get(name)
         assert expected is None or ids == sorted(expected, key=str), name
+
+
+def test_stages_leave_the_callers_columns(spark, sf_dir):
+    """Columns by the names of operators' own come out as they went in; the last stage's three give way to its own."""
+    own = ("n_words", "script", "kept", "n_dropped", "N_LINES", "spans", "items", "n_hit", "component_id", "node", "posterior", "n_shingles", "Rate", "__own0")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 60")
+    docs = docs.withColumns({c: F.concat(F.lit(f"{c} of "), F.col("doc_id").cast("string")) for c in own})
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, sf_dir)
+        last = k == len(corpus_pipeline.STAGES) - 1
+        kept = [c for c in own if not (last and c == "Rate")]
+        assert out.columns == ([c for c in docs.columns if c != "Rate"] + ["n_tokens", "rate", "copies"] if last else docs.columns), name
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c} of {r['doc_id']}" for r in rows for c in kept), name
