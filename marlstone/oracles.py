@@ -360,3 +360,4 @@ _add("stream_sliding_rate", "SELECT w AS window_start, w + INTERVAL 1 HOUR AS wi
 _add("stream_sessions", "SELECT user_id, min(ts) AS session_start, count(*) AS n_events FROM (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s")
 _add("stream_quantile_sketch", "SELECT event_type AS kind, count(*) AS n, TRUE AS within FROM events WHERE value IS NOT NULL GROUP BY 1")
 _add("json_contains", "SELECT page_id FROM pages WHERE page_id % 11 <> 0 AND page_id % 2 = 0 AND page_id % 3 = 1 AND page_id % 5 = 4 AND length(html) > 1000")
+ORACLES["scd2_change_log"] = ORACLES["scd2_apply_several"]

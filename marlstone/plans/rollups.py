@@ -12,7 +12,6 @@ rename, so readers see whole versions only and a batch that is retried counts on
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Callable
 
@@ -21,6 +20,7 @@ from pyspark.sql import functions as F
 
 from marlstone.plans.model import CUBES
 from marlstone.sources.bindings import Catalog, Overlay
+from marlstone.sources.manifest import Manifests
 
 #: Versions that stay: readers of the last but one may not have ended.
 KEPT = 2
@@ -36,44 +36,22 @@ class Rollups:
     def __init__(self, folder: str):
         self.folder = folder.rstrip("/")
 
-    # Files, through the file system that Spark itself uses.
-
-    @staticmethod
-    def _files(spark: SparkSession, path: str):
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
-
     def _home(self, cube: str, name: str) -> str:
         return f"{self.folder}/{cube}.{name}"
 
-    def _versions(self, spark: SparkSession, cube: str, name: str) -> list[int]:
-        fs, home = self._files(spark, self._home(cube, name))
-        if not fs.exists(home):
-            return []
-        found = (re.fullmatch(r"manifest-(\d+)\.json", s.getPath().getName()) for s in fs.listStatus(home))
-        return sorted(int(m[1]) for m in found if m)
-
     def manifest(self, spark: SparkSession, cube: str, name: str) -> dict | None:
         """What the present version covers: version, state, watermark."""
-        versions = self._versions(spark, cube, name)
-        if not versions:
-            return None
-        return json.loads("".join(r[0] for r in spark.read.text(f"{self._home(cube, name)}/manifest-{versions[-1]:08d}.json").collect()))
+        return Manifests(spark, self._home(cube, name)).last()
 
     def _write(self, spark: SparkSession, cube: str, name: str, states: DataFrame, state: str, watermark: int | None) -> None:
-        versions = self._versions(spark, cube, name)
+        home = Manifests(spark, self._home(cube, name))
+        versions = home.numbers()
         n = versions[-1] + 1 if versions else 0
-        home = self._home(cube, name)
-        states.write.mode("overwrite").parquet(f"{home}/data-{n:08d}")
-        fs, draft = self._files(spark, f"{home}/_draft-{n:08d}")
-        out = fs.create(draft, True)
-        out.write(bytearray(json.dumps({"version": n, "state": state, "watermark": watermark}).encode()))
-        out.close()
-        if not fs.rename(draft, self._files(spark, f"{home}/manifest-{n:08d}.json")[1]):
-            raise Stale(f"another writer has made version {n} of {cube}.{name}")
+        states.write.mode("overwrite").parquet(f"{home.folder}/data-{n:08d}")
+        home.put(n, {"version": n, "state": state, "watermark": watermark})
         for old in versions[: 1 - KEPT]:
-            for path in (f"{home}/manifest-{old:08d}.json", f"{home}/data-{old:08d}"):
-                fs.delete(self._files(spark, path)[1], True)
+            home.delete(home.path(old))
+            home.delete(f"{home.folder}/data-{old:08d}")
 
     # What is stored.
 

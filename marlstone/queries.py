@@ -19,6 +19,7 @@ from marlstone.plans.semantic import SemanticLayer
 from marlstone.session import shared_dir
 from marlstone.sources import contracts, documents, synthetic
 from marlstone.sources.bindings import Catalog, Overlay, physical
+from marlstone.streaming.versions import VersionLog
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -202,6 +203,23 @@ def scd2_apply_several(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temporal.apply_changes(h, at("Y", "2006-01-01").unionByName(at("X", "2005-01-01")).unionByName(at("W", "2005-01-01")), "o_custkey")
 
 
+@_register
+def scd2_change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The changes of scd2_apply_several as batches of a log: the later ones first, a compaction between, one batch twice."""
+    h = _history(spark, sf_dir)
+    keys = h.where("o_custkey % 7 = 0").select("o_custkey").distinct()
+    at = lambda status, cut: keys.select("o_custkey", F.lit(status).alias("o_orderstatus"), F.lit(cut).cast("timestamp_ntz").alias("cutover"))
+    log = VersionLog(spark, f"{shared_dir(spark)}/versions/{Catalog(spark, sf_dir).state(['orders'])[:24]}", "o_custkey")
+    if not log.manifests.numbers():
+        log.create(h)
+    for batch, changes in enumerate((at("Y", "2006-01-01"), at("X", "2005-01-01"), at("W", "2005-01-01"))):
+        log.append(changes, batch)
+    log.append(at("Y", "2006-01-01"), 0)
+    if len(log.manifests.numbers()) < 2:
+        log.compact("2005-06-01")
+    return log.read()
+
+
 @_register
 def scd2_as_of_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order with the version of its customer that is valid ten days before it."""

@@ -1,4 +1,4 @@
-"""Structured Streaming forms: windowed aggregates with watermarks, and versions from change streams."""
+"""Structured Streaming forms: windowed aggregates with watermarks, quantile sketches, alerts."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.operators.temporal import apply_changes
+from marlstone.sources.manifest import Manifests
 
 
 def event_stream(spark: SparkSession, folder: str, schema, max_files: int = 1) -> DataFrame:
@@ -29,13 +30,15 @@ def scd2_sink(base: str, key: str):
     """A foreachBatch function: each batch of changes (key, cutover, changed columns) makes a new state of the history, every change at its own cut-over.
 
     States are written whole under base/state=N, so a batch that is retried overwrites its own
-    state and readers never see a half-written one.
+    state and readers never see a half-written one; the last two stay. That suits small histories:
+    streaming.versions writes what a batch changes alone.
     """
 
     def write(changes: DataFrame, batch: int) -> None:
         spark = changes.sparkSession
         before = spark.read.parquet(f"{base}/state={batch - 1}" if batch else f"{base}/initial")
         apply_changes(before, changes, key).write.mode("overwrite").parquet(f"{base}/state={batch}")
+        Manifests(spark, base).delete(f"{base}/state={batch - 2}")
 
     return write
 
