@@ -361,3 +361,23 @@ _add("stream_sessions", "SELECT user_id, min(ts) AS session_start, count(*) AS n
 _add("stream_quantile_sketch", "SELECT event_type AS kind, count(*) AS n, TRUE AS within FROM events WHERE value IS NOT NULL GROUP BY 1")
 _add("json_contains", "SELECT page_id FROM pages WHERE page_id % 11 <> 0 AND page_id % 2 = 0 AND page_id % 3 = 1 AND page_id % 5 = 4 AND length(html) > 1000")
 ORACLES["scd2_change_log"] = ORACLES["scd2_apply_several"]
+_add("graph_pattern_back", """SELECT b.deposit_balance_id AS balance, CAST(b.current_balance AS DOUBLE) AS amount, a.account_type, '[REDACTED]' AS number, c.customer_segment AS segment, '[REDACTED]' AS party, l.loan_agreement_id AS loan
+FROM deposit_balance b JOIN deposit_account a ON a.deposit_account_id = b.deposit_account_id AND a.md_is_active JOIN party_role_customer c ON c.party_role_customer_id = a.customer_id AND c.md_is_active JOIN party p ON p.party_id = c.party_id AND p.md_is_active
+LEFT JOIN (SELECT * FROM loan_agreement WHERE md_is_active) l ON l.customer_id = c.party_role_customer_id
+WHERE b.md_is_active AND b.current_balance < 0 AND coalesce(l.is_npl, true) ORDER BY amount, balance, loan NULLS FIRST LIMIT 10""", "deposit_balance", "deposit_account", "party_role_customer", "party", "loan_agreement")
+_add("graph_reach", """WITH RECURSIVE customer_n AS (SELECT * FROM party_role_customer WHERE md_is_active), party_n AS (SELECT * FROM party WHERE md_is_active), account_n AS (SELECT * FROM deposit_account WHERE md_is_active), balance_n AS (SELECT * FROM deposit_balance WHERE md_is_active),
+application_n AS (SELECT * FROM loan_application WHERE md_is_active), loan_n AS (SELECT * FROM loan_agreement WHERE md_is_active), collateral_n AS (SELECT * FROM loan_collateral WHERE md_is_active),
+one_way AS (
+  SELECT 'Party:' || p.party_id AS a, 'Customer:' || c.party_role_customer_id AS b FROM party_n p JOIN customer_n c USING (party_id)
+  UNION ALL SELECT 'Customer:' || c.party_role_customer_id, 'DepositAccount:' || d.deposit_account_id FROM customer_n c JOIN account_n d ON d.customer_id = c.party_role_customer_id
+  UNION ALL SELECT 'DepositAccount:' || d.deposit_account_id, 'DepositBalance:' || b.deposit_balance_id FROM account_n d JOIN balance_n b USING (deposit_account_id)
+  UNION ALL SELECT 'Customer:' || c.party_role_customer_id, 'LoanApplication:' || l.loan_application_id FROM customer_n c JOIN application_n l ON l.customer_id = c.party_role_customer_id
+  UNION ALL SELECT 'Customer:' || c.party_role_customer_id, 'LoanAgreement:' || l.loan_agreement_id FROM customer_n c JOIN loan_n l ON l.customer_id = c.party_role_customer_id
+  UNION ALL SELECT 'LoanApplication:' || x.loan_application_id, 'LoanAgreement:' || l.loan_agreement_id FROM application_n x JOIN loan_n l USING (loan_application_id)
+  UNION ALL SELECT 'LoanAgreement:' || l.loan_agreement_id, 'LoanCollateral:' || k.loan_collateral_id FROM loan_n l JOIN collateral_n k USING (loan_agreement_id)),
+edges AS MATERIALIZED (SELECT DISTINCT a, b FROM (SELECT a, b FROM one_way UNION ALL SELECT b, a FROM one_way)),
+walk AS (
+  SELECT 'Customer:' || party_role_customer_id AS start, 'Customer:' || party_role_customer_id AS node, 0 AS hops FROM customer_n WHERE party_role_customer_id % 20 = 0
+  UNION SELECT w.start, e.b, w.hops + 1 FROM walk w JOIN edges e ON e.a = w.node WHERE w.hops < 3),
+met AS (SELECT start, node, min(hops) AS hops FROM walk GROUP BY start, node)
+SELECT split_part(node, ':', 1) AS label, CAST(hops AS BIGINT) AS hops, count(*) AS n FROM met WHERE hops BETWEEN 1 AND 3 GROUP BY 1, 2""", "party_role_customer", "party", "deposit_account", "deposit_balance", "loan_application", "loan_agreement", "loan_collateral")

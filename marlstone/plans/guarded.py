@@ -110,14 +110,15 @@ def check(catalog: Catalog, sql: str) -> list[str]:
     return sorted(used & set(LOGICAL))
 
 
-def _personal(names: Iterable[str], restricted: Iterable[str] = ()) -> bool:
+def personal(names: Iterable[str], restricted: Iterable[str] = ()) -> bool:
+    """Whether a name among these is that of personal data, or restricted."""
     return any(p in n.lower() for n in names for p in (*text.SPECIAL_COLUMNS, *text.PERSONAL_COLUMNS)) or any(n.lower() in restricted for n in names)
 
 
 def masked(df: DataFrame, restricted: Iterable[str] = (), origin: Provenance | None = None) -> DataFrame:
     """df with columns that come from personal data, or from restricted columns, replaced by a mark (nulls stay null), whatever they are called."""
     restricted, origin = set(restricted), origin or Provenance(df)
-    hide = [_personal({*names, c}, restricted) for c, names in zip(df.columns, origin.columns())]
+    hide = [personal({*names, c}, restricted) for c, names in zip(df.columns, origin.columns())]
     apart = df.toDF(*[f"c{i}" for i in range(len(hide))])  # two columns may bear one name
     return apart.select(*[(F.when(F.col(f"c{i}").isNotNull(), F.lit("[REDACTED]")) if hidden else F.col(f"c{i}")).alias(name) for i, (hidden, name) in enumerate(zip(hide, df.columns))])
 
@@ -173,7 +174,7 @@ def query(catalog: Catalog, sql: str, cap: int | None = ROW_CAP, seconds: float
         apart.table(t).createOrReplaceTempView(t)
     df = apart.spark.sql(sql.strip().rstrip(";"))
     origin = Provenance(df)
-    if _personal(origin.conditions()):
+    if personal(origin.conditions()):
         raise Rejected("rows can't be chosen, matched or ordered by personal data")
     df, limit = masked(df, origin=origin), seconds or TIMEOUTS.get(catalog.role)
     if cap is None:

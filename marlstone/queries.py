@@ -13,6 +13,7 @@ from marlstone.functions import json, text
 from marlstone.operators import catalog as catalogs
 from marlstone.operators import ann, governance, ontology, quality, search, telemetry, temporal, vector
 from marlstone.operators import graph as graphs
+from marlstone.operators.patterns import Pattern, StoredGraph
 from marlstone.plans import guarded, retrieve
 from marlstone.plans.model import CUBES
 from marlstone.plans.semantic import SemanticLayer
@@ -299,6 +300,25 @@ def graph_full_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _graph(spark, sf_dir).full_text("Customer#000000001 first", 10)
 
 
+@_register
+def graph_pattern_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lowest balances with the account and customer that lead to them, and defaulted loans where there are any; names are masked."""
+    found = Pattern(_graph(spark, sf_dir), "b", "DepositBalance").into("HAS_BALANCE", "a", "DepositAccount").into("HOLDS_ACCOUNT", "c", "Customer").into("PLAYS_ROLE", "p", "Party")
+    found = found.out("BORROWER_OF", "l", "LoanAgreement", optional=True, begin="c").where("b.current_balance < 0 AND coalesce(l.is_npl, true)")
+    columns = ["b.deposit_balance_id AS balance", "cast(b.current_balance AS double) AS amount", "a.account_type AS account_type", "a.account_number AS number", "c.customer_segment AS segment", "p.party_bk AS party", "l.loan_agreement_id AS loan"]
+    return found.rows(columns, ["amount", "balance", "loan"])
+
+
+@_register
+def graph_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many nodes of each label lie one to three hops from every 20th customer, against or along any edge but those of reference data."""
+    graph = _graph(spark, sf_dir)
+    starts = graph.nodes("Customer").where("node_id % 20 = 0").select(F.lit("Customer").alias("label"), "node_id")
+    kinds = ("PLAYS_ROLE", "HOLDS_ACCOUNT", "HAS_BALANCE", "APPLIED_FOR", "BORROWER_OF", "ORIGINATED", "SECURED_BY")
+    met = StoredGraph(graph).build().reach(starts, 3, 1, kinds, "both")
+    return met.groupBy("label", F.col("hops").cast("bigint").alias("hops")).agg(F.count(F.lit(1)).alias("n"))
+
+
 # Full-text search.
 def _text_index(spark: SparkSession, sf_dir: str, name: str, tables: tuple[str, ...], rows: Callable[[], DataFrame], id_col: str, text_col: str) -> search.TextIndex:
     """The index of these tables' rows: written once, used until the tables change."""
