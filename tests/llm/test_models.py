@@ -224,13 +224,35 @@ def test_mixing(docs, labels):
     assert (x >= 0).all() and np.allclose(p.sum(axis=1), 1)
     assert np.abs((n * x) @ p / n.sum() - goal).max() < 1e-3
     assert all(r["copies"] in (math.floor(r["rate"]), math.floor(r["rate"]) + 1) for r in rows)
-    # Rates that must hit zero: the descent is that of brute-force nonnegative least squares.
+
+
+def _least_squares(n, p, goal):
+    """Nonnegative least squares of domain totals, by accelerated projected gradients from rates of 1."""
+    a, x = (p * n[:, None]).T, np.ones(len(n))
+    y, pace, t = x, 1 / np.linalg.norm(a, 2) ** 2, 1.0
+    for _ in range(5000):
+        z = np.maximum(0, y - pace * (a.T @ (a @ y - goal)))
+        following = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        x, y, t = z, z + (t - 1) / following * (z - x), following
+    return x
+
+
+@pytest.mark.parametrize("shares, reachable", [((0.4, 0.3, 0.2, 0.1), True), ((0.7, 0.1, 0.1, 0.1), True), ((0.97, 0.01, 0.01, 0.01), True), ((1.0, 0.0, 0.0, 0.0), False)])
+def test_descent_against_least_squares(docs, shares, reachable):
+    """Reachable targets are met as brute-force least squares meets them, zero rates and all; of others the misfit is told."""
     rng = np.random.default_rng(0)
-    q = rng.dirichlet([0.2] * 4, 300)
-    frame = docs.sparkSession.createDataFrame([(int(k), v.tolist()) for k, v in zip(rng.integers(1, 50, 300), q)], "n_tokens bigint, posterior array<double>")
-    steps = mixing.descend(frame, {(1, 0): 1.0})
-    rates = mixing.Mixer([], steps).rates(np.array([r["posterior"] for r in frame.collect()]))
-    assert (rates == 0).any() and len(steps) > 1
+    q, n = rng.dirichlet([0.2] * 4, 300), rng.integers(1, 50, 300)
+    frame = docs.sparkSession.createDataFrame([(int(k), v.tolist()) for k, v in zip(n, q)], "n_tokens bigint, posterior array<double>")
+    steps = mixing.descend(frame, dict(zip(mixing.DOMAINS, shares)))
+    rates, goal = mixing.Mixer([], steps).rates(q), np.array(shares) * n.sum()
+    brute = _least_squares(n.astype(float), q, goal)
+    off = lambda x: np.abs((n * x) @ q - goal).sum() / n.sum()
+    assert (rates >= 0).all() and math.isclose(off(rates), steps.misfit, abs_tol=1e-9)
+    if reachable:
+        assert off(rates) < mixing.ENOUGH and off(brute) < 10 * mixing.ENOUGH
+    else:
+        assert 0 < off(brute) < off(rates) and steps.misfit > mixing.ENOUGH and (rates == 0).any()
+    assert shares[0] < 0.97 or (rates == 0).any()
 
 
 @pytest.mark.parametrize("name", ["op1_noisy_channel_toxicity", "op2_elias_fano_lm", "op4_bigru_language", "op5_soft_mixing", "op6_tokeniser_fertility", "op8_nb_svm"])
