@@ -38,21 +38,52 @@ def cost(model: Column, prompt_tokens: Column, completion_tokens: Column, config
 
 @dataclass
 class Trace:
-    """One answered prompt: started, its tiers recorded, and finalised into a row."""
+    """One answered prompt: started, its tiers recorded, and finalised into a row and into spans."""
 
     prompt: str
     model: str = "ollama/gemma4"
     trace_id: str = field(default_factory=lambda: str(uuid.uuid4()))
     began: float = field(default_factory=time.perf_counter)
+    started: float = field(default_factory=time.time)
     tiers: dict[str, float] = field(default_factory=dict)
+    errors: dict[str, str] = field(default_factory=dict)
+    backend: dict[str, str] = field(default_factory=dict)
+    spans: list[tuple] = field(default_factory=list)
+    shown: str | None = None  # the prompt as it's kept: without personal data
 
-    def record(self, tier: str, milliseconds: float) -> None:
+    def record(self, tier: str, milliseconds: float, error: str | None = None) -> None:
+        """A tier that has just ended after so many milliseconds, and why it failed, if it did."""
         self.tiers[tier] = float(milliseconds)
+        if error:
+            self.errors[tier] = error
+        end = (time.perf_counter() - self.began) * 1000
+        self.spans.append((self.trace_id, uuid.uuid4().hex[:16], self.trace_id[:16], tier, max(0.0, end - milliseconds), float(milliseconds), "ERROR" if error else "OK"))
 
     def finalise(self, response: str) -> tuple:
         tokens = lambda s: 0 if not s else max(1, len(s) // 4)
-        shown = self.prompt if len(self.prompt) <= 100 else self.prompt[:100] + "..."
-        return self.trace_id, shown, self.model, tokens(self.prompt), tokens(response), (time.perf_counter() - self.began) * 1000, self.tiers
+        kept = self.prompt if self.shown is None else self.shown
+        total = (time.perf_counter() - self.began) * 1000
+        self.spans.append((self.trace_id, self.trace_id[:16], None, "answer", 0.0, total, "OK"))
+        return self.trace_id, kept if len(kept) <= 100 else kept[:100] + "...", self.model, tokens(self.prompt), tokens(response), total, self.tiers
+
+
+SPAN = "trace_id string, span_id string, parent_id string, name string, start_ms double, ms double, status string"
+
+
+def span_rows(spark: SparkSession, traces: list[Trace]) -> DataFrame:
+    """A row for each span of finalised traces: the answer's, and under it one for each tier; start_ms counts from the trace's start."""
+    return spark.createDataFrame([s for t in traces for s in t.spans], SPAN)
+
+
+def write_spans(spans: DataFrame, folder: str) -> None:
+    """Append spans to a table; one that can't be written is no reason to lose the answer, so callers may ignore what this raises."""
+    spans.write.mode("append").parquet(folder)
+
+
+def slow_tiers(spans: DataFrame, threshold_ms: float) -> DataFrame:
+    """(name, n, n_failed, p95_ms) of the tiers whose 95th percentile, linear between ranks, is over a threshold."""
+    each = spans.where("parent_id is not null").groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "ERROR").alias("n_failed"), F.percentile("ms", F.lit(0.95)).alias("p95_ms"))
+    return each.where(F.col("p95_ms") > threshold_ms)
 
 
 def frame(spark: SparkSession, rows: list[tuple]) -> DataFrame:
@@ -95,10 +126,14 @@ def bucket_quantile(counts: DataFrame, q: float, by: str) -> DataFrame:
     return one.select(by, F.when(F.element_at("b", -1)["n"] == 0, F.lit(None)).when(le >= UNBOUNDED, start).otherwise(inside).alias("quantile"))
 
 
-def evaluation(results: DataFrame, score: str = "score", passing: float = 80.0, by: str | None = None) -> DataFrame:
-    """(by, n, n_passed, pass_rate, mean_score): scores of 0 to 100; null scores count as tried, not passed, and not in the mean."""
+def evaluation(results: DataFrame, score: str = "score", passing: float = 80.0, by: str | None = None, latency: str | None = None) -> DataFrame:
+    """(by, n, n_passed, pass_rate, mean_score, mean_ms): scores of 0 to 100; null scores count as tried, not passed, and not in the mean.
+
+    mean_ms, of the column latency, is there where that is named.
+    """
     exact = F.sum(F.col(score).cast("decimal(18,6)")).cast("double")
-    out = results.groupBy(*([by] if by else [])).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(score) >= passing).alias("n_passed"), (exact / F.when(F.count(score) > 0, F.count(score))).alias("mean_score"))
+    timed = [(F.sum(F.col(latency).cast("decimal(18,4)")).cast("double") / F.count(latency)).alias("mean_ms")] if latency else []
+    out = results.groupBy(*([by] if by else [])).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(score) >= passing).alias("n_passed"), (exact / F.when(F.count(score) > 0, F.count(score))).alias("mean_score"), *timed)
     return out.withColumn("pass_rate", 100.0 * F.col("n_passed") / F.col("n"))
 
 

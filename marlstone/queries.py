@@ -14,7 +14,7 @@ from marlstone.operators import catalog as catalogs
 from marlstone.operators import ann, governance, ontology, quality, search, telemetry, temporal, vector
 from marlstone.operators import graph as graphs
 from marlstone.operators.patterns import Pattern, StoredGraph
-from marlstone.plans import guarded, retrieve
+from marlstone.plans import evaluate, guarded, retrieve
 from marlstone.plans.model import CUBES
 from marlstone.plans.semantic import SemanticLayer
 from marlstone.session import shared_dir
@@ -844,3 +844,19 @@ def seeded_parties(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register
 def hybrid_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.hybrid(Catalog(spark, sf_dir), "Which deposit accounts are overdrawn?", "privileged")
+
+
+@_register
+def eval_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five scenarios and how many of their checks hold."""
+    return evaluate.passed(evaluate.run(Catalog(spark, sf_dir, "tools")))
+
+
+@_register
+def search_reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three of the twenty documents that BM25 finds for each benchmark item, re-ranked by the words that they share."""
+    items = physical(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    found = _document_index(spark, sf_dir).search(items, 20, text_col="query").select("query_id", "id")
+    docs = physical(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    pairs = docs.join(F.broadcast(found), "id").join(F.broadcast(items), "query_id")
+    return vector.rerank(pairs, text.overlap_score(F.col("query"), F.col("text")), 3).select("query_id", "id", "cross_score", "rerank")

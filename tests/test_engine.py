@@ -84,6 +84,34 @@ def test_answers_are_scored_and_traced(c):
     assert retrieve.respond(c, "loan agreements", lambda prompt, context: "")[1]["composite"] == 0.0
 
 
+def test_traces_have_tiers_and_spans(c, tmp_path):
+    answered = retrieve.respond(c, "Contact Jane Mary Doe, jane@example.com about loan agreements", lambda prompt, context: "fine", sql="SELECT nothing FROM party", spans=str(tmp_path / "spans"))
+    trace, errors = answered[1]["trace"], answered[1]["errors"]
+    assert set(trace[6]) == {"vector", "graph", "metrics", "relational", "ontology"} and all(ms > 0 for ms in trace[6].values())
+    assert "jane@example.com" not in trace[1] and set(errors) == {"relational"} and answered[1]["backend"]["embedding"] == "degraded"
+    spans = c.spark.read.parquet(str(tmp_path / "spans")).collect()
+    root = next(s for s in spans if s["parent_id"] is None)
+    assert len(spans) == 6 and all(s["parent_id"] == root["span_id"] for s in spans if s is not root) and root["ms"] >= sum(s["ms"] for s in spans if s is not root)
+    assert {s["name"] for s in spans if s["status"] == "ERROR"} == {"relational"}
+    slow = telemetry.slow_tiers(c.spark.read.parquet(str(tmp_path / "spans")), 0.0)
+    assert slow.count() == 5 and slow.where("n_failed = 1").first()["name"] == "relational"
+
+
+def test_overrides_replace_the_intents_own(c):
+    from marlstone.operators.patterns import Pattern
+
+    rows = {r["tier"]: r for r in retrieve.hybrid(c, "loans", sql="SELECT party_id, last_name AS x FROM party_individual ORDER BY party_id", pattern=lambda g: Pattern(g, "p", "Party").rows(["p.node_id AS n"])).collect()}
+    assert '"x":"[REDACTED]"' in rows["relational"]["payload"] and rows["graph"]["payload"].count('"n"') == 10
+    refused = {r["tier"]: r for r in retrieve.hybrid(c, "loans", sql="DROP TABLE party").collect()}
+    assert refused["relational"]["status"] == "FAILED" and refused["relational"]["payload"] is None and refused["graph"]["status"] == "OK"
+
+
+def test_evaluation_has_latency(spark):
+    rows = spark.createDataFrame([("a", 100.0, 10.0), ("b", 50.0, 30.0), ("c", None, 20.0)], "scenario string, score double, ms double")
+    got = telemetry.evaluation(rows, latency="ms").first()
+    assert (got["n"], got["n_passed"], got["mean_score"], got["mean_ms"]) == (3, 1, 75.0, 20.0)
+
+
 def test_stored_rollup_is_chosen(c, tmp_path):
     q = {"measures": ["loan_agreement.total_loan_contracts"], "dimensions": ["loan_agreement.is_npl"], "order": [("loan_agreement.total_loan_contracts", "desc")], "limit": 1}
     layer = SemanticLayer(c, str(tmp_path))
