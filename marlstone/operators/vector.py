@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Length of a hashed vector, and of the character pieces that it counts.
 DIMENSIONS, PIECE = 384, 3
+#: Queries that are broadcast at a time.
+QUERY_BLOCK = 10_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -27,13 +29,19 @@ def unit(v: Column) -> Column:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", query_id: str = "query_id", query_vector: str = "query_vector") -> DataFrame:
     """(query_id, id, similarity, rank): the k vectors nearest to each query by unrounded cosine, ties by id; shown to 4 digits.
 
-    queries is a stated set and is broadcast, so vectors are scanned once where they lie; lengths
-    are divided out once for each vector, and each partition keeps its best k of each query before
-    anything is shuffled.
+    Queries are counted and broadcast in blocks of at most QUERY_BLOCK, a scan of the vectors for
+    each, so that no broadcast grows with them; lengths are divided out once for each vector, and
+    each partition keeps its best k of each query before anything is shuffled.
     """
-    scored = vectors.select(F.col(id_col).alias("id"), unit(F.col(vector)).alias("__v")).crossJoin(F.broadcast(queries.select(query_id, unit(F.col(query_vector)).alias("__q"))))
-    scored = scored.select(query_id, "id", dot(F.col("__v"), F.col("__q")).alias("__s"))
-    return best(scored, k, query_id)
+    asked = queries.select(query_id, unit(F.col(query_vector)).alias("__q"))
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    found = None
+    for b in range(blocks):
+        block = asked.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b) if blocks > 1 else asked
+        scored = vectors.select(F.col(id_col).alias("id"), unit(F.col(vector)).alias("__v")).crossJoin(F.broadcast(block))
+        own = best(scored.select(query_id, "id", dot(F.col("__v"), F.col("__q")).alias("__s")), k, query_id)
+        found = own if found is None else found.unionByName(own)
+    return found
 
 
 def best(scored: DataFrame, k: int, query_id: str = "query_id") -> DataFrame:

@@ -78,3 +78,14 @@ def test_fused_ranks(spark):
     b = spark.createDataFrame([(1, 1, 20), (1, 2, 40)], "query_id int, rank int, id int")
     got = {(r["query_id"], r["rank"]): (r["id"], r["score"]) for r in fuse([a, b], 2).collect()}
     assert got == {(1, 1): (20, round(1 / 62, 9) + round(1 / 61, 9)), (1, 2): (10, round(1 / 61, 9)), (2, 1): (30, round(1 / 61, 9))}
+
+
+def test_neighbours_by_blocks_of_queries(spark, sf_dir, monkeypatch):
+    """However queries are cut into blocks, each has the neighbours that it has in one."""
+    from marlstone.operators import vector
+
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    queries = vectors.where("vec_id % 5 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    whole = sorted(vector.nearest(vectors, queries, 3).collect())
+    monkeypatch.setattr(vector, "QUERY_BLOCK", 3)
+    assert sorted(vector.nearest(vectors, queries, 3).collect()) == whole and len(whole) == 3 * queries.count()
