@@ -148,7 +148,7 @@ def encode(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, round
     has another length than the vector of the least id whose length the parts divide. Rows with a
     null id are coded but begin no codebook (unless all ids are null: then the least vectors do).
     Numbers so large that squared distances would pass 64 bits count as the largest that don't
-    (131,072 before scaling at 64 components). Other columns are left behind.
+    (32,768 before scaling at 64 components). Other columns are left behind.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "codes")
