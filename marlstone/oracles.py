@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marlstone.functions.text import FORBIDDEN_SQL, INJECTION_PATTERNS, LABEL_STOP_WORDS, LABELLED, PII_PATTERNS
+from marlstone.functions.text import FORBIDDEN_SQL, INJECTION_PATTERNS, INTENTS, LABELLED, LABEL_STOP_WORDS, PII_PATTERNS
 from marlstone.operators.ontology import CLASSES, ENTITIES, schema_of
 from marlstone.operators.catalog import SUITES
 from marlstone.plans.model import CUBES
@@ -387,3 +387,9 @@ walk AS (
 met AS (SELECT start, node, min(hops) AS hops FROM walk GROUP BY start, node)
 SELECT split_part(node, ':', 1) AS label, CAST(hops AS BIGINT) AS hops, count(*) AS n FROM met WHERE hops BETWEEN 1 AND 3 GROUP BY 1, 2""", "party_role_customer", "party", "deposit_account", "deposit_balance", "loan_application", "loan_agreement", "loan_collateral")
 _add("eval_scenarios", "SELECT scenario, CAST(n AS BIGINT) AS n_checks, CAST(n AS BIGINT) AS n_passed, 100.0::DOUBLE AS score FROM (VALUES ('exposure', 7), ('liquidity', 1), ('credit', 3), ('quality', 2), ('tools', 3)) t(scenario, n)")
+
+_ALLOWED = f"NOT contains(b, ';') AND regexp_matches(b, '(?i)^\\s*(?:SELECT|WITH|EXPLAIN)\\b') AND NOT regexp_matches(b, '(?i)\\b(?:{'|'.join(FORBIDDEN_SQL)})\\b')"
+_PLAIN = "regexp_replace(text, '[\\x{80}-\\x{10FFFF}]', 'x', 'g')"  # letters beyond ASCII are no word's end
+_add("guard_said", f"SELECT role, count(*) AS n, count(*) FILTER (WHERE {_ALLOWED}) AS n_as_is, count(*) FILTER (WHERE {_ALLOWED.replace('(b,', '(c,')}) AS n_selected FROM (SELECT role, {_BODY.replace('statement', _PLAIN)} AS b, {_BODY.replace('statement', f"'SELECT ' || {_PLAIN}")} AS c FROM conversations) GROUP BY role")
+_INTENT = "CASE WHEN {0} THEN 'collateral' WHEN {1} THEN 'deposit' WHEN {2} THEN 'aml_risk' ELSE 'default' END".format(*(_HAS(w).replace("lower(prompt)", "lower(text)") for _, w in INTENTS))
+_add("intent_of_turns", f"SELECT role, {_INTENT} AS intent, count(*) AS n FROM conversations GROUP BY 1, 2")

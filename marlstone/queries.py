@@ -860,3 +860,17 @@ def search_reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = physical(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     pairs = docs.join(F.broadcast(found), "id").join(F.broadcast(items), "query_id")
     return vector.rerank(pairs, text.overlap_score(F.col("query"), F.col("text")), 3).select("query_id", "id", "cross_score", "rerank")
+
+
+@_register
+def guard_said(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which turns of the conversations would pass as reading statements, as they are and after a SELECT, by role."""
+    talk = physical(spark, sf_dir, "conversations").select("role", text.read_only(F.col("text")).alias("as_is"), text.read_only(F.concat(F.lit("SELECT "), "text")).alias("selected"))
+    return talk.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.count_if("as_is").alias("n_as_is"), F.count_if("selected").alias("n_selected"))
+
+
+@_register
+def intent_of_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many turns of each role have each intent."""
+    talk = physical(spark, sf_dir, "conversations").select("role", text.intent(F.col("text")).alias("intent"))
+    return talk.groupBy("role", "intent").agg(F.count(F.lit(1)).alias("n"))
