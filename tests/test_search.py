@@ -89,3 +89,21 @@ def test_neighbours_by_blocks_of_queries(spark, sf_dir, monkeypatch):
     whole = sorted(vector.nearest(vectors, queries, 3).collect())
     monkeypatch.setattr(vector, "QUERY_BLOCK", 3)
     assert sorted(vector.nearest(vectors, queries, 3).collect()) == whole and len(whole) == 3 * queries.count()
+
+
+@pytest.mark.parametrize("queries, docs, terms", [(1, 4096, 16_384), (512, 3, 16_384), (2, 5, 7)])
+def test_scores_by_blocks(spark, tmp_path, monkeypatch, queries, docs, terms):
+    """However a range's queries, documents and terms are cut into blocks, the results are those of scoring every document."""
+    for name, value in (("RANGE_DOCS", 40), ("QUERIES", queries), ("DOCS", docs), ("TERMS", terms)):
+        monkeypatch.setattr(search, name, value)
+    rows, asked = corpus(120), [(1, "w1 w2 w3"), (2, "w7 w250"), (3, " ".join(f"w{i}" for i in range(100)))]
+    index = TextIndex(spark, str(tmp_path)).build(spark.createDataFrame(rows, "doc_id int, text string"))
+    got = index.search(spark.createDataFrame(asked, "query_id int, text string"), 4).collect()
+    assert sorted((r["query_id"], r["rank"], r["id"], round(r["score"], 6)) for r in got) == sorted((*x[:3], round(x[3], 6)) for x in brute(rows, asked, 4))
+
+
+def test_shuffles_no_row_for_each_posting(spark, tmp_path):
+    """Neither building nor searching makes a row of each word or posting: a range's texts and postings move whole."""
+    index = TextIndex(spark, str(tmp_path)).build(spark.createDataFrame(corpus(50), "doc_id int, text string"))
+    plan = index.search(spark.createDataFrame([(1, "w1 w2")], "query_id int, text string"), 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "inline(postings" not in plan and "FlatMapCoGroupsInArrow" in plan
