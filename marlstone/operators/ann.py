@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.operators.vector import best, dot, unit
+from marlstone.operators.vector import best_in_lists, dot, unit
 
 #: Rows that centroids are fitted on and lists at most: both bound what the driver and each task hold.
 SAMPLE, LISTS = 20_000, 256
@@ -87,10 +87,11 @@ def search(indexed: DataFrame, lists: Lists, queries: DataFrame, k: int, probes:
     """(query_id, id, similarity, rank): the k nearest rows of the lists that each query opens, ties by id.
 
     probes: lists to open, by default what fit() found; all lists give the exact answer. Queries
-    without direction, or of another length than the centroids, get no rows. Queries meet rows on
-    the list: a small set is broadcast by its size, a large one is shuffled and hot lists are split.
+    without direction, or of another length than the centroids, get no rows. Queries are broadcast
+    in blocks and a task holds a tile of scores of one list at a time, so that hot lists grow nothing.
     """
     asked = queries.select(query_id, unit(F.col(query_vector)).alias("__q")).where(F.size("__q") == lists.centroids.shape[1])
     both, order = _ranked(asked, lists, "__q")
-    opened = both.select(query_id, "__q", F.explode(F.slice(order, 1, max(1, probes or lists.probes))).alias("__l")).select(query_id, "__q", F.col("__l")["list"].alias("list"))
-    return best(indexed.join(opened, "list").select(query_id, "id", dot(F.col("v"), F.col("__q")).alias("__s")), k, query_id)
+    opened = both.select(query_id, "__q", F.transform(F.slice(order, 1, max(1, probes or lists.probes)), lambda x: x["list"]).alias("__lists"))
+    rows = indexed.select("id", "list", F.col("v").alias("__v")).sortWithinPartitions("id")
+    return best_in_lists(rows, opened, k, query_id, pruned=True)

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +14,10 @@ from pyspark.sql import functions as F
 DIMENSIONS, PIECE = 384, 3
 #: Queries that are broadcast at a time.
 QUERY_BLOCK = 10_000
+#: Queries and rows that one matrix product takes at most.
+TILE_QUERIES, TILE_ROWS = 1024, 2048
+#: How far a matrix product's sums may lie from sums in order; what lies nearer to the k-th best is summed again in order.
+SLACK = 1e-9
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -29,27 +38,123 @@ def unit(v: Column) -> Column:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", query_id: str = "query_id", query_vector: str = "query_vector") -> DataFrame:
     """(query_id, id, similarity, rank): the k vectors nearest to each query by unrounded cosine, ties by id; shown to 4 digits.
 
-    Queries are counted and broadcast in blocks of at most QUERY_BLOCK, a scan of the vectors for
-    each, so that no broadcast grows with them; lengths are divided out once for each vector, and
-    each partition keeps its best k of each query before anything is shuffled.
+    Queries are broadcast in blocks of about QUERY_BLOCK, a scan of the vectors for each, so that
+    no broadcast grows with them. A task holds a tile of scores and the best k of each query of the
+    block, whatever it reads; pairs are never rows.
+    """
+    asked = queries.select(query_id, unit(F.col(query_vector)).alias("__q"), F.array(F.lit(0)).alias("__lists"))
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector).alias("__v")).sortWithinPartitions("id")
+    return best_in_lists(rows.select("id", F.lit(0).alias("list"), unit(F.col("__v")).alias("__v")), asked, k, query_id)
+
+
+def best_in_lists(rows: DataFrame, asked: DataFrame, k: int, query_id: str = "query_id", pruned: bool = False) -> DataFrame:
+    """(query_id, id, similarity, rank) of the k best rows (id, list, __v) of the lists that each query (query_id, __q, __lists) opens.
+
+    Rows come sorted by id within each partition, which settles ties there. pruned: rows of lists that no query opens aren't read.
     """
-    asked = queries.select(query_id, unit(F.col(query_vector)).alias("__q"))
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    out = f"{query_id} {asked.schema[query_id].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, __s double"
     found = None
     for b in range(blocks):
-        block = asked.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b) if blocks > 1 else asked
-        scored = vectors.select(F.col(id_col).alias("id"), unit(F.col(vector)).alias("__v")).crossJoin(F.broadcast(block))
-        own = best(scored.select(query_id, "id", dot(F.col("__v"), F.col("__q")).alias("__s")), k, query_id)
+        block = (asked.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b) if blocks > 1 else asked).select(query_id, "__q", "__lists").toArrow()
+        read = rows
+        if pruned:
+            read = rows.where(F.col("list").isin(pc.unique(pc.list_flatten(block["__lists"])).to_pylist()))
+        own = read.select("id", "list", "__v").mapInArrow(_scan(rows.sparkSession.sparkContext.broadcast(block), k, query_id), out)
         found = own if found is None else found.unionByName(own)
-    return found
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy(F.col("__s").desc_nulls_last(), F.col("id")))).where(F.col("rank") <= k)
+    return ranked.select(query_id, "id", F.round("__s", 4).alias("similarity"), F.col("rank").cast("bigint").alias("rank"))
 
 
-def best(scored: DataFrame, k: int, query_id: str = "query_id") -> DataFrame:
-    """(query_id, id, similarity, rank) of the k rows (query_id, id, __s) with the greatest __s, ties by id; first in each partition, then over all."""
-    order = lambda *by: Window.partitionBy(*by).orderBy(F.col("__s").desc_nulls_last(), F.col("id"))
-    local = scored.withColumn("__p", F.spark_partition_id()).withColumn("__r", F.row_number().over(order(query_id, "__p"))).where(F.col("__r") <= k)
-    ranked = local.withColumn("rank", F.row_number().over(order(query_id))).where(F.col("rank") <= k)
-    return ranked.select(query_id, "id", F.round("__s", 4).alias("similarity"), F.col("rank").cast("bigint").alias("rank"))
+def _scan(block, k: int, query_id: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Gives a partition's best k rows of each query of the broadcast block.
+
+    Scores are ordered as Spark orders them: NaN above all numbers, null (a vector without
+    direction, or of another length) below. A matrix product finds what may be among the best k;
+    only that is summed in the order of the components, so that equal vectors have equal scores.
+    """
+
+    def by_width(column: pa.ListArray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(places, vectors) for each length."""
+        width = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
+        return [(at := np.flatnonzero(width == w), column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), w)) for w in np.unique(width) if w >= 0]
+
+    def one(column: pa.ChunkedArray):
+        return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+
+    def first_k(q: np.ndarray, order: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The best k of each query, sorted."""
+        sort = np.lexsort((place, -order, q))
+        q, order, place = q[sort], order[sort], place[sort]
+        keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+        return q[keep], order[keep], place[keep]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = block.value
+        n = len(asked)
+        lists = one(asked["__lists"])
+        of = np.repeat(np.arange(n), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        opens = lists.flatten().to_numpy(zero_copy_only=False)
+        queries = by_width(one(asked["__q"]))
+        # The best so far: (query, order, place), order with infinities for NaN and null, and the ids by place.
+        q_, s_, p_ = np.zeros(0, "int64"), np.zeros(0), np.zeros(0, "int64")
+        ids, full = None, np.full(n, -np.inf)  # full: the k-th best order, once there are k
+        have, base = np.zeros(n, "int64"), 0
+
+        def tiles(table: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            """(queries, orders, rows) of the pairs that may be among the best k."""
+            of_list = table["list"].to_numpy(zero_copy_only=False)
+            vectors = by_width(one(table["__v"]))
+            for name in np.unique(of_list):
+                open_, mine = np.unique(of[opens == name]), np.flatnonzero(of_list == name)
+                for q0 in range(0, len(open_), TILE_QUERIES):
+                    qs = open_[q0 : q0 + TILE_QUERIES]
+                    approx = np.full((len(qs), len(mine)), -np.inf)
+                    exact: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+                    for at, v in vectors:
+                        for where, q in queries:
+                            if q.shape[1] == v.shape[1]:
+                                _, qi, qj = np.intersect1d(qs, where, return_indices=True)
+                                _, vi, vj = np.intersect1d(mine, at, return_indices=True)
+                                with np.errstate(all="ignore"):
+                                    product = q[qj] @ v[vj].T
+                                approx[np.ix_(qi, vi)] = np.where(np.isnan(product), np.inf, product)
+                                own_q, own_v = np.full(len(qs), -1), np.full(len(mine), -1)
+                                own_q[qi], own_v[vi] = qj, vj
+                                exact.append((own_q, own_v, q, v))
+                    least = full[qs]
+                    if len(mine) > k:
+                        least = np.maximum(least, np.partition(approx, -k, axis=1)[:, -k])
+                    i, j = np.nonzero((approx >= least[:, None] - SLACK) & ((have[qs] < k)[:, None] | (approx > -np.inf)))
+                    order = approx[i, j]
+                    for own_q, own_v, q, v in exact:
+                        x = np.flatnonzero((own_q[i] >= 0) & (own_v[j] >= 0) & np.isfinite(order))
+                        a, b, total = own_q[i[x]], own_v[j[x]], np.zeros(len(x))
+                        for c in range(q.shape[1]):
+                            total += v[b, c] * q[a, c]
+                        order[x] = total
+                    yield first_k(qs[i], order, mine[j])
+
+        for whole in batches:
+            for start in range(0, whole.num_rows, TILE_ROWS):
+                table = whole.slice(start, TILE_ROWS)
+                own = one(table["id"])
+                # Places of the rows that are kept go on in the order of the ids.
+                new = list(tiles(table))
+                q_, s_, p_ = first_k(np.concatenate([q_, *[x[0] for x in new]]), np.concatenate([s_, *[x[1] for x in new]]), np.concatenate([p_, *[x[2] + base for x in new]]))
+                have = np.bincount(q_, minlength=n)
+                last = np.searchsorted(q_, np.arange(n), side="right") - 1
+                if len(q_):
+                    full = np.where(have >= k, s_[last], -np.inf)
+                # Only the ids of rows that are still among the best are kept.
+                all_ = own if ids is None else pa.concat_arrays([ids, own])
+                used, p_ = np.unique(p_, return_inverse=True)
+                ids, base = all_.take(pa.array(used)), len(used)
+        if len(q_):
+            score = pa.array(np.where(np.isposinf(s_), np.nan, s_), mask=np.isneginf(s_))
+            yield pa.RecordBatch.from_arrays([one(asked[query_id].take(pa.array(q_))), ids.take(pa.array(p_)), score], [query_id, "id", "__s"])
+
+    return scan
 
 
 def rerank(candidates: DataFrame, score: Column, k: int, query_id: str = "query_id", tiebreak: str = "id") -> DataFrame:

@@ -107,3 +107,31 @@ def test_shuffles_no_row_for_each_posting(spark, tmp_path):
     index = TextIndex(spark, str(tmp_path)).build(spark.createDataFrame(corpus(50), "doc_id int, text string"))
     plan = index.search(spark.createDataFrame([(1, "w1 w2")], "query_id int, text string"), 3)._jdf.queryExecution().optimizedPlan().toString()
     assert "inline(postings" not in plan and "FlatMapCoGroupsInArrow" in plan
+
+
+@pytest.mark.parametrize("tile", [2, 2048])
+def test_neighbours_of_odd_vectors(spark, monkeypatch, tile):
+    """Null, zero, NaN and shorter vectors, copies and repeated ids rank as a sort of all pairs ranks them."""
+    from marlstone.operators import vector
+
+    monkeypatch.setattr(vector, "TILE_ROWS", tile)
+    monkeypatch.setattr(vector, "TILE_QUERIES", tile)
+    rng = random.Random(5)
+    some = [[rng.choice([-1.0, 0.5, 0.3, 2.0]) for _ in range(3)] for _ in range(12)]
+    rows = [(i, some[i % 12]) for i in range(60)] + [(7, [1.0, 0.0, 0.0]), (7, [1.0, 0.0, 0.0]), (100, None), (101, [0.0] * 3), (102, [float("nan"), 1.0, 0.0]), (103, [1.0]), (104, [1.0, None, 1.0]), (105, []), (None, some[0])]
+    v = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").repartition(4)
+    q = spark.createDataFrame(rows[:8] + rows[62:], "query_id bigint, query_vector array<float>").where("query_id is not null")
+    for k in (3, 66, 100):
+        pairs = v.crossJoin(q).select("query_id", F.col("vec_id").alias("id"), vector.dot(vector.unit(F.col("embedding")), vector.unit(F.col("query_vector"))).alias("s"))
+        order = "row_number() OVER (PARTITION BY query_id ORDER BY s DESC NULLS LAST, id)"
+        wanted = pairs.selectExpr("query_id", "id", "round(s, 4) AS similarity", f"{order} AS rank").where(F.col("rank") <= k)
+        text = lambda df: sorted(str(tuple(r)) for r in df.collect())
+        assert text(vector.nearest(v, q, k)) == text(wanted)
+
+
+def test_neighbours_make_no_row_of_a_pair(spark, sf_dir):
+    from marlstone.queries import QUERIES
+
+    for name in ("vec_knn_cosine", "vec_ann_cosine"):
+        plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and "query_vector" not in plan
