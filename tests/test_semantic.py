@@ -51,3 +51,14 @@ def test_roles_see_their_schemas(spark, sf_dir):
     assert Catalog(spark, sf_dir, "anon").table("party").count() == 0
     assert Catalog(spark, sf_dir, "authenticated").table("ref_country").count() > 0
     assert Catalog(spark, sf_dir, "authenticated").table("party").count() == 0
+
+
+def test_many_rows_alike_are_joined_once(spark, sf_dir):
+    """Rows on the far side of a to-many edge don't multiply the owner's, and no row is kept to be told from its copies."""
+    layer = SemanticLayer(Catalog(spark, sf_dir))
+    df, many = layer._joined("loan_repayment_schedule", {("loan_collateral", "collateral_status")}, frozenset(["loan_collateral__collateral_status"]))
+    table = lambda name, *cols: layer.catalog.table(name).select(*cols)
+    rows = table("loan_repayment_schedule", "loan_agreement_id").selectExpr("*", "monotonically_increasing_id() AS n").join(table("loan_agreement", "loan_agreement_id").distinct(), "loan_agreement_id", "left_semi")
+    every = rows.join(table("loan_collateral", "loan_agreement_id", "collateral_status"), "loan_agreement_id", "left")
+    assert not many and df.count() == every.select("n", "collateral_status").distinct().count() < every.count()
+    assert layer._joined("loan_repayment_schedule", {("loan_collateral", "collateral_status"), ("loan_collateral", "collateral_type")}, frozenset(["loan_collateral__collateral_status"]))[1]
